@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 @dataclass(frozen=True)
 class Verdict:
-    check: float | None
+    gain: float | None
     converged: bool
     stop: bool
 
@@ -17,23 +17,23 @@ class Verdict:
 def verdict(bounds: list[float], threshold: float, max_iterations: int) -> Verdict:
     """State after the latest bound (the list is oldest first). From the second iteration
     on a relative gain below the threshold, or a fall, counts as convergence."""
-    check = None
+    gain = None
     if len(bounds) > 1:
-        check = (bounds[-1] - bounds[-2]) / abs(bounds[-2])
-    converged = check is not None and check < threshold
-    return Verdict(check, converged, converged or len(bounds) >= max_iterations)
+        gain = (bounds[-1] - bounds[-2]) / abs(bounds[-2])
+    converged = gain is not None and gain < threshold
+    return Verdict(gain, converged, converged or len(bounds) >= max_iterations)
 
 
 def verdict_table(history: DataFrame, threshold: float, max_iterations: int, run: str) -> DataFrame:
     """The same for stored histories (run, iteration, bound), one row per iteration."""
     before = F.lag("bound").over(Window.partitionBy(run).orderBy("iteration"))
-    checked = history.withColumn("check", (F.col("bound") - before) / F.abs(before))
-    converged = F.coalesce(F.col("check") < threshold, F.lit(False))
+    checked = history.withColumn("gain", (F.col("bound") - before) / F.abs(before))
+    converged = F.coalesce(F.col("gain") < threshold, F.lit(False))
     return checked.select(
         run,
         "iteration",
         "bound",
-        "check",
+        "gain",
         converged.alias("converged"),
         (converged | (F.col("iteration") >= max_iterations)).alias("stop"),
     )

@@ -31,7 +31,8 @@ def row_by_anchor(cells: DataFrame, picks: list[int], terms: int) -> DataFrame:
     """(term_id, products): inner products of every row with every anchor row, in one pass
     over the matrix."""
     x = anchor_rows(cells, picks)
-    joined = lookup_join(cells, x, "j", terms * (16 + 8 * len(picks)), spread="i")
+    joined = lookup_join(cells, x, "j", terms * (16 + 8 * len(picks)), spread="i", how="left")
+    joined = joined.withColumn("x", F.coalesce("x", number_array([0.0] * len(picks))))
     return joined.groupBy(F.col("i").alias("term_id")).agg(
         sum_scaled(F.col("q"), "x", len(picks)).alias("products")
     )

@@ -82,7 +82,7 @@ def fit_corpus(
         )
         topics = Topics(updated, params.topics, corpus.terms)
         state = verdict(bounds, params.threshold, params.max_iterations)
-        history.append((number, bounds[-1], state.check))
+        history.append((number, bounds[-1], state.gain))
         if number > 1:
             space.drop(f"inferred_{number - 1}")
             space.drop(f"topics_{number - 1}")

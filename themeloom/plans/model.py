@@ -53,7 +53,7 @@ class Model:
             "sigma": spark.createDataFrame(sigma, "i INT, j INT, value DOUBLE"),
             "history": spark.createDataFrame(
                 [(*row, self.converged) for row in self.history],
-                "iteration INT, bound DOUBLE, check DOUBLE, converged BOOLEAN",
+                "iteration INT, bound DOUBLE, gain DOUBLE, converged BOOLEAN",
             ),
         }
         if self.vocab is not None:
@@ -83,7 +83,7 @@ def load(spark: SparkSession, folder: str) -> Model:
         sigma=_matrix(read("sigma"), "i", "j", "value"),
         logits=read("doc_topics").select("doc_id", "eta", "bound"),
         prior_means=read("prior_mean"),
-        history=[(r["iteration"], r["bound"], r["check"]) for r in history],
+        history=[(r["iteration"], r["bound"], r["gain"]) for r in history],
         converged=bool(history) and history[-1]["converged"],
         vocab=read("vocabulary") if has_vocab else None,
     )
