@@ -36,20 +36,20 @@ PARTS: dict[str, str] = {
     "gn": "select i, j, q / s as q from gram join row_sum on i = term_id",
     "norms": "select i, sum(q * q) as r from gn group by i",
     # Three anchors by orthogonal directions.
-    "pick1": "select i, r from norms order by r desc, i limit 1",
+    "pick1": "select i, r from norms order by round(r, 12) desc, i limit 1",
     "row1": "select j, q as v from gn where i = (select i from pick1)",
     "dir1": "select j, v / sqrt((select sum(v * v) from row1)) as b from row1",
     "in1": "select i, sum(q * b) as c from gn join dir1 using (j) group by i",
     "left1": """select i, r - coalesce(c, 0) * coalesce(c, 0) as r from norms left join in1 using (i)
         where i not in (select i from pick1)""",
-    "pick2": "select i, r from left1 order by r desc, i limit 1",
+    "pick2": "select i, r from left1 order by round(r, 12) desc, i limit 1",
     "row2": """select j, coalesce(q, 0) - coalesce((select c from in1 where i = (select i from pick2)), 0) * coalesce(b, 0) as v
         from (select j, q from gn where i = (select i from pick2)) full join dir1 using (j)""",
     "dir2": "select j, v / sqrt((select sum(v * v) from row2)) as b from row2",
     "in2": "select i, sum(q * b) as c from gn join dir2 using (j) group by i",
     "left2": """select i, r - coalesce(c, 0) * coalesce(c, 0) as r from left1 left join in2 using (i)
         where i not in (select i from pick2)""",
-    "pick3": "select i, r from left2 order by r desc, i limit 1",
+    "pick3": "select i, r from left2 order by round(r, 12) desc, i limit 1",
     "anch": """select 1 as rank, i as term_id from pick1 union all select 2, i from pick2
         union all select 3, i from pick3""",
     "anch_row": "select rank - 1 as k, j, q from gn join anch on i = term_id",
@@ -63,20 +63,30 @@ PARTS: dict[str, str] = {
     "xx": """select sum(v) filter (k1 = 0 and k2 = 0) as x00, sum(v) filter (k1 = 0 and k2 = 1) as x01,
         sum(v) filter (k1 = 0 and k2 = 2) as x02, sum(v) filter (k1 = 1 and k2 = 1) as x11,
         sum(v) filter (k1 = 1 and k2 = 2) as x12, sum(v) filter (k1 = 2 and k2 = 2) as x22 from crossed""",
-    "climb": """select term_id, 0 as it, 1e0 / 3 as w0, 1e0 / 3 as w1, 1e0 / 3 as w2,
+    "climb": """select term_id, 0 as it, 1e0 / 3 as w0, 1e0 / 3 as w1, 1e0 / 3 as w2, 200e0 as step,
             'infinity'::double as size, false as done from target
         union all
-        select term_id, it + 1, u0 / (u0 + u1 + u2), u1 / (u0 + u1 + u2), u2 / (u0 + u1 + u2), now, abs(size - now) < 1e-27
+        select term_id, it + 1, case when taken then n0 else w0 end, case when taken then n1 else w1 end,
+            case when taken then n2 else w2 end, case when taken then step else step / 2 end,
+            case when taken then now else size end, taken and abs(size - now) < 1e-27
         from (
-            select *, w0 * exp(200 * g0 - m) as u0, w1 * exp(200 * g1 - m) as u1, w2 * exp(200 * g2 - m) as u2
+            select *, (n0 * (n0 * x00 + 2 * n1 * x01 + 2 * n2 * x02) + n1 * (n1 * x11 + 2 * n2 * x12) + n2 * n2 * x22) / 2
+                    - (n0 * y0 + n1 * y1 + n2 * y2)
+                <= (w0 * (w0 * x00 + 2 * w1 * x01 + 2 * w2 * x02) + w1 * (w1 * x11 + 2 * w2 * x12) + w2 * w2 * x22) / 2
+                    - (w0 * y0 + w1 * y1 + w2 * y2) + 1e-16 as taken
             from (
-                select *, sqrt(g0 * g0 + g1 * g1 + g2 * g2) as now, 200 * greatest(g0, g1, g2) as m
+                select *, u0 / (u0 + u1 + u2) as n0, u1 / (u0 + u1 + u2) as n1, u2 / (u0 + u1 + u2) as n2
                 from (
-                    select c.*, y0 - (w0 * x00 + w1 * x01 + w2 * x02) as g0,
-                        y1 - (w0 * x01 + w1 * x11 + w2 * x12) as g1,
-                        y2 - (w0 * x02 + w1 * x12 + w2 * x22) as g2
-                    from climb c join target using (term_id) cross join xx
-                    where it < 499 and not done)))""",
+                    select *, w0 * exp(step * g0 - m) as u0, w1 * exp(step * g1 - m) as u1, w2 * exp(step * g2 - m) as u2
+                    from (
+                        select *, sqrt(g0 * g0 + g1 * g1 + g2 * g2) as now, step * greatest(g0, g1, g2) as m
+                        from (
+                            select c.*, y0, y1, y2, x00, x01, x02, x11, x12, x22,
+                                y0 - (w0 * x00 + w1 * x01 + w2 * x02) as g0,
+                                y1 - (w0 * x01 + w1 * x11 + w2 * x12) as g1,
+                                y2 - (w0 * x02 + w1 * x12 + w2 * x22) as g2
+                            from climb c join target using (term_id) cross join xx
+                            where it < 499 and not done)))))""",
     "settled": """select term_id, arg_max(w0, it) as w0, arg_max(w1, it) as w1, arg_max(w2, it) as w2
         from climb group by term_id""",
     "weight": """select term_id, 0 as topic, w0 as weight from settled union all select term_id, 1, w1 from settled
@@ -309,7 +319,7 @@ FINAL: dict[str, str] = {
     "p2_l1": """select round(sum(abs(a.prob)), 6) as size_a, round(sum(abs(b.prob)), 6) as size_b,
         round(sum(abs(a.prob - b.prob)), 6) as difference from topic4 a join beta4 b using (topic, term_id)""",
     "p3_anchor_compare": """select a.rank::bigint as rank, a.term_id as a, n.i as b from anch a
-        join (select i, row_number() over (order by r desc, i) as rank from norms) n using (rank)""",
+        join (select i, row_number() over (order by round(r, 12) desc, i) as rank from norms) n using (rank)""",
     "p4_score": """select doc_id, round(e0, 5) as eta0, round(e1, 5) as eta1, round(1 - t0 - t1, 6) as theta2, round(bound, 4) as bound
         from best_new join best_new_bound using (doc_id)""",
 }

@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from themeloom.checks.given import ANCHORS, Given, given, precision
+from themeloom.constants import TIE_DIGITS
 from themeloom.functions import dot, softmax_with_reference
 from themeloom.operators import aggregate, anchors, control, corpus, estep, gram, mstep, recover
 from themeloom.params import FitParams
@@ -496,8 +497,9 @@ def p2_l1(g: Given) -> DataFrame:
 @query
 def p3_anchor_compare(g: Given) -> DataFrame:
     """Anchors beside the rows that are largest before any direction is removed."""
-    norms = anchors.row_norms(g.gram_normalised).orderBy(F.desc("r"), "i").limit(ANCHORS)
-    largest = control.top_words(norms.select(F.lit(0).alias("topic"), F.col("i").alias("term_id"), F.col("r").alias("prob")), words=ANCHORS)
+    largest = anchors.largest_rows(anchors.row_norms(g.gram_normalised), ANCHORS)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("r", TIE_DIGITS)), "i")
+    largest = largest.select(F.row_number().over(order).alias("rank"), F.col("i").alias("term_id"))
     pairs = control.pair_by_rank(g.anchors.table(), largest)
     return pairs.select(whole("rank"), whole("a"), whole("b"))
 

@@ -10,6 +10,8 @@ SIMPLEX_ROUNDS = 499           # most updates per term
 RIDGE_TOLERANCE = 1e-4         # allowed total change of the coefficients
 
 # Own settings of this package.
+SIMPLEX_SLACK = 1e-16          # rise of the squared error taken for rounding
+TIE_DIGITS = 12                # norms equal to this many decimals count as equal
 RIDGE_ROUNDS = 1000            # cap on the coefficient updates; reaching it warns
 SMALLEST_NORMAL = 2.2250738585072014e-308  # floor for a probability before log or division
 NEWTON_ROUNDS = 100            # cap on Newton steps per document

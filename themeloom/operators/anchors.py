@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from themeloom.constants import TIE_DIGITS
 from themeloom.functions import dot, number_array
 from themeloom.lookup import lookup_join
 from themeloom.workspace import Workspace
@@ -18,9 +19,15 @@ def row_norms(cells: DataFrame) -> DataFrame:
 
 
 def argmax_row(norms: DataFrame) -> DataFrame:
-    """The row with the largest norm; the smallest index wins a tie. One pass that keeps
-    one candidate per task, not a sort."""
-    return norms.orderBy(F.desc("r"), F.asc("i")).limit(1)
+    """The row with the largest norm; the smallest index wins a tie."""
+    return largest_rows(norms, 1)
+
+
+def largest_rows(norms: DataFrame, rows: int) -> DataFrame:
+    """The rows with the largest norms, in order. One pass that keeps as many candidates per
+    task, not a sort. Norms are compared at 12 decimals: whether two equal rows tie must not
+    depend on the order in which their cells were summed."""
+    return norms.orderBy(F.desc(F.round("r", TIE_DIGITS)), F.asc("i")).limit(rows)
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from themeloom.constants import (
     INITIAL_VARIANCE,
     SIMPLEX_ROUNDS,
+    SIMPLEX_SLACK,
     SIMPLEX_STEP,
     SIMPLEX_TOLERANCE,
     SMALLEST_DOUBLE,
@@ -85,22 +86,36 @@ def anchor_one_hot(weights: DataFrame, picks: list[int]) -> DataFrame:
 
 
 def _simplex(target: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Weights per row of ``target`` (its products with the anchors). An update that would
+    raise the squared error is not taken; that row goes on with half the step. Without this
+    the fixed step overshoots where anchor rows are long, and rounding decides the result."""
     weights = np.full(target.shape, 1.0 / target.shape[1])
     active = np.arange(len(target))
     before = np.full(len(target), np.inf)
+    step = np.full(len(target), 2.0 * SIMPLEX_STEP)
     for _ in range(SIMPLEX_ROUNDS):
-        slope = target[active] - weights[active] @ cross
+        now, aim = weights[active], target[active]
+        slope = aim - now @ cross
         size = np.sqrt(np.square(slope).sum(axis=1))
-        slope *= 2.0 * SIMPLEX_STEP
-        moved = weights[active] * np.exp(slope - slope.max(axis=1, keepdims=True))
-        weights[active] = moved / moved.sum(axis=1, keepdims=True)
-        going = ~(np.abs(before - size) < SIMPLEX_TOLERANCE)
-        active, before = active[going], size[going]
+        scaled = slope * step[:, None]
+        moved = now * np.exp(scaled - scaled.max(axis=1, keepdims=True))
+        moved /= moved.sum(axis=1, keepdims=True)
+        taken = _error(moved, aim, cross) <= _error(now, aim, cross) + SIMPLEX_SLACK
+        weights[active[taken]] = moved[taken]
+        step[~taken] *= 0.5
+        going = ~(taken & (np.abs(before - size) < SIMPLEX_TOLERANCE))
+        before[taken] = size[taken]
+        active, before, step = active[going], before[going], step[going]
         if not len(active):
             break
     return weights
 
 
+def _error(weights: np.ndarray, target: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Half the squared error, up to a constant per row."""
+    return 0.5 * (weights * (weights @ cross)).sum(axis=1) - (weights * target).sum(axis=1)
+
+
 def recover_topics(weights: DataFrame, probability: DataFrame, topics: int, terms: int) -> DataFrame:
     """(term_id, b): topic-word probabilities. ``b[k]`` is proportional to the weight of
     topic k times the probability of the term, and sums to 1 over the terms."""
