@@ -63,7 +63,7 @@ def fit_corpus(
     while True:
         number = len(bounds) + 1
         inferred = infer(
-            _with_state(corpus.rows, result, gamma, size), topics, Prior.of(sigma), params.aspects
+            with_state(corpus.rows, result, gamma, size), topics, Prior.of(sigma), params.aspects
         )
         result = space.bucketed(
             inferred, f"inferred_{number}", "doc_id", corpus.buckets, split_by="kind"
@@ -101,7 +101,7 @@ def fit_corpus(
     )
 
 
-def _with_state(rows: DataFrame, result: DataFrame | None, gamma: np.ndarray, size: int) -> DataFrame:
+def with_state(rows: DataFrame, result: DataFrame | None, gamma: np.ndarray, size: int) -> DataFrame:
     """Corpus rows with start logits and prior mean."""
     with_mean = rows.withColumn("mu", linear_map(F.col("x"), gamma.T.tolist()))
     if result is None:
