@@ -70,11 +70,13 @@ def doc_terms(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Stored table (term_id, term, df, total) with its measured size."""
+    """Stored table (term_id, term, df, total) with its measured size. ``entries`` is the
+    number of (document, term) pairs, the sum of the document frequencies."""
 
     table: DataFrame
     terms: int
     bytes: int
+    entries: int
 
 
 def vocabulary(
@@ -91,9 +93,11 @@ def vocabulary(
     ranked = with_ranks(space, kept, [F.desc("df"), F.asc("term")], "term_id", name)
     table = space.table(ranked.select(F.col("term_id").cast("int"), "term", "df", "total"), name)
     size = table.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0)).alias("b")
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0)).alias("b"),
+        F.coalesce(F.sum("df"), F.lit(0)).alias("e"),
     ).first()
-    return Vocabulary(table, size["n"], size["b"])
+    return Vocabulary(table, size["n"], size["b"], size["e"])
 
 
 def with_ranks(space: Workspace, df: DataFrame, order: list, column: str, name: str) -> DataFrame:

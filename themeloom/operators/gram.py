@@ -18,22 +18,25 @@ BATCH_ROWS = 1 << 16
 
 
 def gram_upper(
-    corpus: DataFrame, terms: int, dense_cells: int = DENSE_CELLS, sparse_cells: int = SPARSE_CELLS
+    corpus: DataFrame,
+    terms: int,
+    tasks: int | None = None,
+    dense_cells: int = DENSE_CELLS,
+    sparse_cells: int = SPARSE_CELLS,
 ) -> DataFrame:
     """Cells with i <= j.
 
     Over documents of n >= 2 tokens: sum of c_i c_j / (n (n - 1)) off the diagonal and of
     c_i (c_i - 1) / (n (n - 1)) on it. Every task adds its documents into one partial
     matrix and emits only its cells, so the shuffle carries one cell per task and term
-    pair at most, not one row per pair and document. There is one task per core at most:
-    a task streams its documents, and fewer tasks mean fewer partial cells.
+    pair at most, not one row per pair and document. Tasks stream their documents, so they
+    may be long: ``tasks`` caps their number and with it the number of partial cells. By
+    default there is one per core.
     """
-    spark = corpus.sparkSession
+    tasks = tasks or corpus.sparkSession.sparkContext.defaultParallelism
     usable = corpus.where(F.col("n") >= MIN_DOCUMENT_LENGTH).select("n", "term_ids", "counts")
     add = _dense_partial(terms) if terms * terms <= dense_cells else _sparse_partial(terms, sparse_cells)
-    partial = usable.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(
-        add, "i INT, j INT, q DOUBLE"
-    )
+    partial = usable.coalesce(tasks).mapInArrow(add, "i INT, j INT, q DOUBLE")
     return partial.groupBy("i", "j").agg(F.sum("q").alias("q"))
 
 
@@ -45,8 +48,8 @@ def mirrored(upper: DataFrame) -> DataFrame:
     return upper.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def gram(corpus: DataFrame, terms: int) -> DataFrame:
-    return mirrored(gram_upper(corpus, terms))
+def gram(corpus: DataFrame, terms: int, tasks: int | None = None) -> DataFrame:
+    return mirrored(gram_upper(corpus, terms, tasks))
 
 
 def gram_row_sums(corpus: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,21 +16,31 @@ from themeloom.operators.corpus import (
 )
 from themeloom.workspace import Workspace
 
+ENTRY_BYTES = 16                  # one term of one document
+BUCKET_BYTES = 256 * 1024 * 1024
+MOST_BUCKETS = 65536              # Spark itself allows 100,000
+
 
 @dataclass(frozen=True)
 class Corpus:
-    """Stored rows (doc_id, aspect, x, n, term_ids, counts), bucketed by doc_id."""
+    """Stored rows (doc_id, aspect, x, n, term_ids, counts), bucketed by doc_id. ``aspects``
+    is the largest aspect plus 1, ``covariates`` the length of x."""
 
     rows: DataFrame
     buckets: int
     documents: int
     terms: int
     covariates: int
+    aspects: int = 1
     vocab: Vocabulary | None = None
 
 
-def partition_count(df: DataFrame, wanted: int | None) -> int:
-    return wanted or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(df: DataFrame, entries: int) -> int:
+    """Enough buckets for ``BUCKET_BYTES`` of entries each, and no fewer than the session's
+    shuffle partitions. Every task of an iteration emits its own sums over the terms, so
+    buckets are larger than usual partitions."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKETS, max(usual, math.ceil(entries * ENTRY_BYTES / BUCKET_BYTES)))
 
 
 def build_corpus(
@@ -43,13 +54,16 @@ def build_corpus(
     name: str = "corpus",
 ) -> Corpus:
     """From texts (doc_id, text). Covariates are (doc_id, x), aspects (doc_id, aspect); both
-    may miss. Texts are read twice, once for the vocabulary and once for the counts; that is
-    cheaper than storing the counts of all rare words between the two."""
-    terms = doc_terms(documents)
+    may miss. Splitting texts into words is the costly part, so the counts are stored between
+    choosing the vocabulary and using it, and removed after."""
+    terms = space.table(doc_terms(documents), f"{name}_terms")
     if vocab is None:
         vocab = vocabulary(space, terms, documents.count(), min_doc_share, f"{name}_vocabulary")
+    buckets = partitions or bucket_count(terms, vocab.entries)
     triplets = document_term(terms, vocab)
-    return store_corpus(space, triplets, documents, vocab.terms, covariates, aspects, partitions, vocab, name)
+    built = store_corpus(space, triplets, documents, vocab.terms, covariates, aspects, buckets, vocab, name)
+    space.drop(f"{name}_terms")
+    return built
 
 
 def store_corpus(
@@ -75,9 +89,14 @@ def store_corpus(
     else:
         described = described.join(aspects.select("doc_id", "aspect"), "doc_id", "left")
         described = described.withColumn("aspect", F.coalesce(F.col("aspect").cast("int"), F.lit(0)))
-    buckets = partition_count(triplets, partitions)
+    buckets = partitions or bucket_count(triplets, triplets.count())
     rows = space.bucketed(corpus_rows(triplets, described, buckets), name, "doc_id", buckets)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d"), F.min(F.size("x")).alias("e")).first()
+    facts = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.size("x")).alias("d"),
+        F.min(F.size("x")).alias("e"),
+        F.max("aspect").alias("a"),
+    ).first()
     if facts["n"] and (facts["d"] != facts["e"] or facts["d"] < 1):
         raise ValueError("every document needs covariates of the same length")
-    return Corpus(rows, buckets, facts["n"], terms, facts["d"] or 1, vocab)
+    return Corpus(rows, buckets, facts["n"], terms, facts["d"] or 1, (facts["a"] or 0) + 1, vocab)

@@ -53,6 +53,8 @@ def fit_corpus(
     pass of its own. Covariates, topics and prior are refreshed before every iteration.
     """
     check_dimensions(params.topics, corpus.terms)
+    if corpus.aspects > params.aspects:
+        raise ValueError(f"the corpus has {corpus.aspects} aspects, the settings {params.aspects}")
     topics, size = start, params.topics - 1
     width = corpus.covariates + size
     sigma = initial_covariance(params.topics) if sigma is None else sigma

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.functions import number_array, softmax_with_reference
+from themeloom.functions import linear_map, number_array, softmax_with_reference
 from themeloom.operators.estep import Prior, Topics, infer
 from themeloom.plans.corpus import Corpus
+from themeloom.plans.model import Model
 
 
 def score(
@@ -19,13 +20,13 @@ def score(
     detail: bool = False,
 ) -> DataFrame:
     """Result rows of ``infer`` for corpus rows. Prior means (doc_id, mu) and start logits
-    (doc_id, eta) are 0 where not given. Terms outside the vocabulary are not in the rows;
+    (doc_id, eta) are 0 where neither given nor columns of the rows. Terms outside the vocabulary are not in the rows;
     a document left without terms gets its prior mean."""
     zeros = number_array([0.0] * (topics.topics - 1))
     for name, given in (("mu", means), ("eta", start)):
-        if given is None:
+        if given is None and name not in rows.columns:
             rows = rows.withColumn(name, zeros)
-        else:
+        elif given is not None:
             rows = rows.join(given.select("doc_id", name), "doc_id", "left")
             rows = rows.withColumn(name, F.coalesce(name, zeros))
     return infer(rows.drop("x"), topics, prior, aspects, detail)
@@ -42,10 +43,8 @@ def scored_documents(result: DataFrame) -> DataFrame:
     )
 
 
-def score_corpus(corpus: Corpus, model) -> DataFrame:
+def score_corpus(corpus: Corpus, model: Model) -> DataFrame:
     """Documents of a corpus under a fitted model, with the model's coefficients applied to
     their covariates."""
-    from themeloom.operators.mstep import prior_mean
-
-    means = prior_mean(corpus.rows, model.gamma)
-    return scored_documents(score(corpus.rows, model.topics, model.prior, means))
+    rows = corpus.rows.withColumn("mu", linear_map(F.col("x"), model.gamma.T.tolist()))
+    return scored_documents(score(rows, model.topics, model.prior))
