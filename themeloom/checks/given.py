@@ -14,6 +14,7 @@ state them too:
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 import numpy as np
@@ -27,6 +28,8 @@ from themeloom.operators.gram import gram, gram_row_sums, normalised_gram
 from themeloom.operators.recover import simplex_weights
 from themeloom.params import FitParams
 from themeloom.plans.corpus import Corpus, build_corpus
+from themeloom.plans.em import fit_corpus
+from themeloom.plans.model import Model
 from themeloom.workspace import Workspace
 
 SMOOTHING = 0.01
@@ -181,6 +184,13 @@ class Given:
         start = rows.withColumn("eta", F.array(F.lit(0.0), F.lit(0.0)))
         return self.space.table(infer(start, self.topics3, self.prior3, 3, detail=True), "inferred3")
 
+    @cached_property
+    def two_iterations(self) -> Model:
+        rows = self.corpus.rows.withColumn("x", F.array(F.lit(1.0)))
+        plain = replace(self.corpus, rows=rows, covariates=1)
+        params = FitParams(topics=3, aspects=3, max_iterations=2, threshold=-1.0)
+        return fit_corpus(self.space, plain, self.topics3, params)
+
 
 _GIVEN: dict[tuple[str, str], Given] = {}
 

@@ -133,18 +133,20 @@ PARTS: dict[str, str] = {
 }
 
 
-def _search(name: str, docs: str, trip: str) -> dict[str, str]:
+def _search(name: str, docs: str, trip: str, prior: str) -> dict[str, str]:
     """Best logits of each document for three topics: rounds that bound the curvature from
-    above and so cannot overshoot far, then Newton rounds."""
+    above and so cannot overshoot far, then Newton rounds. ``docs`` gives the prior mean
+    (m0, m1), ``prior`` in one row the precision (p00, p01, p11) and half the log of the
+    covariance's determinant."""
     sums = f"""select e.doc_id, e.e0, e.e1, {{extra}} coalesce(sum(cnt), 0) as n,
-            coalesce(sum(cnt * p0), 0) as s0, coalesce(sum(cnt * p1), 0) as s1,
-            coalesce(sum(cnt * p0 * p0), 0) as s00, coalesce(sum(cnt * p0 * p1), 0) as s01,
-            coalesce(sum(cnt * p1 * p1), 0) as s11, coalesce(sum(cnt * ln(word)), 0) as fit
+            coalesce(sum(cnt * q0), 0) as s0, coalesce(sum(cnt * q1), 0) as s1,
+            coalesce(sum(cnt * q0 * q0), 0) as s00, coalesce(sum(cnt * q0 * q1), 0) as s01,
+            coalesce(sum(cnt * q1 * q1), 0) as s11, coalesce(sum(cnt * ln(word)), 0) as fit
             from (select e.*, cnt,
                 exp(e0) / (1 + exp(e0) + exp(e1)) as t0, exp(e1) / (1 + exp(e0) + exp(e1)) as t1,
                 (b0 * exp(e0) + b1 * exp(e1) + b2) / (1 + exp(e0) + exp(e1)) as word,
-                b0 * exp(e0) / (b0 * exp(e0) + b1 * exp(e1) + b2) as p0,
-                b1 * exp(e1) / (b0 * exp(e0) + b1 * exp(e1) + b2) as p1
+                b0 * exp(e0) / (b0 * exp(e0) + b1 * exp(e1) + b2) as q0,
+                b1 * exp(e1) / (b0 * exp(e0) + b1 * exp(e1) + b2) as q1
                 from {{source}} e left join {trip} t on t.doc_id = e.doc_id) e
             group by {{group}}"""
     step = sums.format(extra="any_value(t0) as t0, any_value(t1) as t1, e.it,", source=f"{name}_walk", group="e.doc_id, e.it, e.e0, e.e1")
@@ -156,24 +158,68 @@ def _search(name: str, docs: str, trip: str) -> dict[str, str]:
             select doc_id, it + 1, e0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), e1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
             from (
                 select s.doc_id, it, e0, e1,
-                    5e-2 * (e0 - m0) + 1e-2 * (e1 - m1) - (s0 - n * t0) as g0,
-                    1e-2 * (e0 - m0) + 5e-2 * (e1 - m1) - (s1 - n * t1) as g1,
-                    5e-2 + n * t0 * (1 - t0) - case when it >= 100 then s0 - s00 else 0 end as h00,
-                    5e-2 + n * t1 * (1 - t1) - case when it >= 100 then s1 - s11 else 0 end as h11,
-                    1e-2 - n * t0 * t1 + case when it >= 100 then s01 else 0 end as h01
-                from ({step}) s join {docs} using (doc_id))""",
-        f"{name}": f"""select doc_id, e0, e1, t0, t1, fit, h00, h11, h01, h00 * h11 - h01 * h01 as det,
-                25e-3 * ((e0 - m0) * (e0 - m0) + (e1 - m1) * (e1 - m1)) + 1e-2 * (e0 - m0) * (e1 - m1) as prior
+                    p00 * (e0 - m0) + p01 * (e1 - m1) - (s0 - n * t0) as g0,
+                    p01 * (e0 - m0) + p11 * (e1 - m1) - (s1 - n * t1) as g1,
+                    p00 + n * t0 * (1 - t0) - case when it >= 100 then s0 - s00 else 0 end as h00,
+                    p11 + n * t1 * (1 - t1) - case when it >= 100 then s1 - s11 else 0 end as h11,
+                    p01 - n * t0 * t1 + case when it >= 100 then s01 else 0 end as h01
+                from ({step}) s join {docs} using (doc_id) cross join {prior})""",
+        f"{name}": f"""select doc_id, e0, e1, t0, t1, fit, h00, h11, h01, h00 * h11 - h01 * h01 as det, entropy,
+                (p00 * (e0 - m0) * (e0 - m0) + p11 * (e1 - m1) * (e1 - m1)) / 2 + p01 * (e0 - m0) * (e1 - m1) as away
             from (
-                select s.*, m0, m1, 5e-2 + n * t0 * (1 - t0) - s0 + s00 as h00,
-                    5e-2 + n * t1 * (1 - t1) - s1 + s11 as h11, 1e-2 - n * t0 * t1 + s01 as h01
-                from ({last}) s join {docs} using (doc_id))""",
-        f"{name}_bound": f"""select doc_id, fit - 5e-1 * ln(det) - prior + 5e-1 * ln(24e-4) as bound from {name}""",
+                select s.*, m0, m1, p00, p01, p11, entropy, p00 + n * t0 * (1 - t0) - s0 + s00 as h00,
+                    p11 + n * t1 * (1 - t1) - s1 + s11 as h11, p01 - n * t0 * t1 + s01 as h01
+                from ({last}) s join {docs} using (doc_id) cross join {prior})""",
+        f"{name}_bound": f"""select doc_id, fit - ln(det) / 2 - away - entropy as bound from {name}""",
     }
 
 
-PARTS |= _search("best3", "doc3", "trip3")
-PARTS |= _search("best_new", "new_doc", "new_trip")
+def _counts(trip: str, best: str) -> str:
+    """Expected counts of the three topics per term."""
+    return f"""select term_id, sum(cnt * b0 * t0 / w) as c0, sum(cnt * b1 * t1 / w) as c1, sum(cnt * b2 * (1 - t0 - t1) / w) as c2
+        from (select *, b0 * t0 + b1 * t1 + b2 * (1 - t0 - t1) as w from {trip} join {best} using (doc_id)) group by term_id"""
+
+
+def _normalised(counts: str) -> str:
+    return f"""select term_id, c0 / sum(c0) over () as b0, c1 / sum(c1) over () as b1, c2 / sum(c2) over () as b2 from {counts}"""
+
+
+def _moments(best: str) -> str:
+    """Mean of the logits, and their scatter around it plus posterior covariances, per document."""
+    return f"""select m0, m1, avg((e0 - m0) * (e0 - m0) + h11 / det) as s00, avg((e0 - m0) * (e1 - m1) - h01 / det) as s01,
+        avg((e1 - m1) * (e1 - m1) + h00 / det) as s11
+        from {best} cross join (select avg(e0) as m0, avg(e1) as m1 from {best}) group by m0, m1"""
+
+
+def _inverse(covariance: str) -> str:
+    return f"""select s11 / (s00 * s11 - s01 * s01) as p00, -s01 / (s00 * s11 - s01 * s01) as p01,
+        s00 / (s00 * s11 - s01 * s01) as p11, ln(s00 * s11 - s01 * s01) / 2 as entropy from {covariance}"""
+
+
+PARTS["prior3"] = "select 5e-2 as p00, 1e-2 as p01, 5e-2 as p11, -ln(24e-4) / 2 as entropy"
+PARTS |= _search("best3", "doc3", "trip3", "prior3")
+PARTS |= _search("best_new", "new_doc", "new_trip", "prior3")
+
+# Two iterations of the fit: variance 20 and mean 0 at first, then what the first one gives.
+PARTS |= {
+    "em1_prior": "select 5e-2 as p00, 0e0 as p01, 5e-2 as p11, ln(400) / 2 as entropy",
+    "em1_doc": "select doc_id, 0e0 as m0, 0e0 as m1 from documents",
+}
+PARTS |= _search("em1", "em1_doc", "trip3", "em1_prior")
+PARTS |= {
+    "em1_count": _counts("trip3", "em1"),
+    "em1_topic": _normalised("em1_count"),
+    "em1_moment": _moments("em1"),
+    "em2_prior": _inverse("em1_moment"),
+    "em2_doc": "select doc_id, m0, m1 from documents cross join em1_moment",
+    "em2_trip": "select doc_id, term_id, cnt, b0, b1, b2 from trip join em1_topic using (term_id)",
+}
+PARTS |= _search("em2", "em2_doc", "em2_trip", "em2_prior")
+PARTS |= {
+    "em2_count": _counts("em2_trip", "em2"),
+    "em2_topic": _normalised("em2_count"),
+    "em2_moment": _moments("em2"),
+}
 PARTS |= {
     "nu3": """select doc_id, 0 as k1, 0 as k2, h11 / det as value from best3
         union all select doc_id, 0, 1, -h01 / det from best3 union all select doc_id, 1, 0, -h01 / det from best3
@@ -322,6 +368,19 @@ FINAL: dict[str, str] = {
         join (select i, row_number() over (order by round(r, 12) desc, i) as rank from norms) n using (rank)""",
     "p4_score": """select doc_id, round(e0, 5) as eta0, round(e1, 5) as eta1, round(1 - t0 - t1, 6) as theta2, round(bound, 4) as bound
         from best_new join best_new_bound using (doc_id)""",
+    "f2_two_iterations": f"""select topic::bigint as topic, term_id, {M.format('prob')} as prob
+        from (select 0 as topic, term_id, b0 as prob from em2_topic union all select 1, term_id, b1 from em2_topic
+            union all select 2, term_id, b2 from em2_topic)""",
+    "f2_bounds": """select what, i::bigint as i, j::bigint as j, round(value, 3) as value from (
+        select 'bound' as what, 1 as i, 0 as j, sum(bound) as value from em1_bound
+        union all select 'bound', 2, 0, sum(bound) from em2_bound
+        union all select 'mean', 0, 0, m0 from em2_moment union all select 'mean', 0, 1, m1 from em2_moment
+        union all select 'covariance', 0, 0, s00 from em2_moment union all select 'covariance', 0, 1, s01 from em2_moment
+        union all select 'covariance', 1, 0, s01 from em2_moment union all select 'covariance', 1, 1, s11 from em2_moment)""",
+    "p5_output": """select 'doc_topics' as table_name, count(*) as rows from documents
+        union all select 'prior_mean', count(*) from documents
+        union all select 'topics', count(*) from vocab union all select 'vocabulary', count(*) from vocab
+        union all select 'gamma', 15 union all select 'sigma', 9 union all select 'history', 2""",
 }
 
 

@@ -509,7 +509,7 @@ def p4_score(g: Given) -> DataFrame:
     """New documents, the benchmark texts, under the three given topics."""
     new = g.read("benchmark").select(F.col("item_id").alias("doc_id"), "text")
     triplets = corpus.document_term(corpus.doc_terms(new), g.corpus.vocab)
-    rows = store_corpus(g.space, triplets, new, g.corpus.terms, name="benchmark").rows
+    rows = store_corpus(g.space, triplets, new, g.corpus.terms).rows
     found = scored_documents(score(rows, g.topics3, g.prior3))
     return found.select(
         "doc_id",
@@ -525,6 +525,25 @@ def _fitted(g: Given, iterations: int = 4):
     return fit_corpus(g.space, g.corpus, start.topics, FitParams(topics=4, aspects=3, max_iterations=iterations))
 
 
+@query
+def f2_two_iterations(g: Given) -> DataFrame:
+    """Topics after two iterations from the three given ones, with an intercept only."""
+    return recover.long_topics(g.two_iterations.topics.table).select(
+        whole("topic"), whole("term_id"), tiny("prob")
+    )
+
+
+@query
+def f2_bounds(g: Given) -> DataFrame:
+    """Bounds of these iterations, and the prior they end with."""
+    model = g.two_iterations
+    rows = [("bound", i, 0, float(b)) for i, b, _ in model.history]
+    rows += [("mean", 0, k, float(v)) for (_, k), v in np.ndenumerate(model.gamma)]
+    rows += [("covariance", i, j, float(v)) for (i, j), v in np.ndenumerate(model.sigma)]
+    table = g.spark.createDataFrame(rows, "what STRING, i BIGINT, j BIGINT, value DOUBLE")
+    return table.select("what", "i", "j", rounded("value", 3))
+
+
 @query
 def f2_fit(g: Given) -> DataFrame:
     return _fitted(g).top_words(5).select(

@@ -58,6 +58,7 @@ def find_anchors(space: Workspace, cells: DataFrame, topics: int, terms: int) ->
     Only the picked row's few coordinates come to the driver. The state, one row per
     term, is stored after every pick.
     """
+    space = space.part()
     # Every round groups by i again: partition and cache once. In order, so that reading
     # one row skips the cached batches without it.
     rows = cells.repartition("i").sortWithinPartitions("i").persist()

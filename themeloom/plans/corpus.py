@@ -36,11 +36,13 @@ class Corpus:
 
 
 def bucket_count(df: DataFrame, entries: int) -> int:
-    """Enough buckets for ``BUCKET_BYTES`` of entries each, and no fewer than the session's
-    shuffle partitions. Every task of an iteration emits its own sums over the terms, so
-    buckets are larger than usual partitions."""
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MOST_BUCKETS, max(usual, math.ceil(entries * ENTRY_BYTES / BUCKET_BYTES)))
+    """Enough buckets for ``BUCKET_BYTES`` of entries each. A small corpus gets the session's
+    shuffle partitions, or two buckets per core if that is less. Every task of an iteration
+    emits its own sums over the terms, so buckets are larger than usual partitions."""
+    spark = df.sparkSession
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fewest = min(usual, 2 * spark.sparkContext.defaultParallelism)
+    return min(MOST_BUCKETS, max(fewest, math.ceil(entries * ENTRY_BYTES / BUCKET_BYTES)))
 
 
 def build_corpus(
@@ -51,18 +53,18 @@ def build_corpus(
     aspects: DataFrame | None = None,
     partitions: int | None = None,
     vocab: Vocabulary | None = None,
-    name: str = "corpus",
 ) -> Corpus:
     """From texts (doc_id, text). Covariates are (doc_id, x), aspects (doc_id, aspect); both
     may miss. Splitting texts into words is the costly part, so the counts are stored between
     choosing the vocabulary and using it, and removed after."""
-    terms = space.table(doc_terms(documents), f"{name}_terms")
+    space = space.part()
+    terms = space.table(doc_terms(documents), "terms")
     if vocab is None:
-        vocab = vocabulary(space, terms, documents.count(), min_doc_share, f"{name}_vocabulary")
+        vocab = vocabulary(space, terms, documents.count(), min_doc_share)
     buckets = partitions or bucket_count(terms, vocab.entries)
     triplets = document_term(terms, vocab)
-    built = store_corpus(space, triplets, documents, vocab.terms, covariates, aspects, buckets, vocab, name)
-    space.drop(f"{name}_terms")
+    built = store_corpus(space, triplets, documents, vocab.terms, covariates, aspects, buckets, vocab)
+    space.drop("terms")
     return built
 
 
@@ -75,7 +77,6 @@ def store_corpus(
     aspects: DataFrame | None = None,
     partitions: int | None = None,
     vocab: Vocabulary | None = None,
-    name: str = "corpus",
 ) -> Corpus:
     """From triplets (doc_id, term_id, cnt), at most one per document and term; ``documents``
     names every document."""
@@ -90,7 +91,7 @@ def store_corpus(
         described = described.join(aspects.select("doc_id", "aspect"), "doc_id", "left")
         described = described.withColumn("aspect", F.coalesce(F.col("aspect").cast("int"), F.lit(0)))
     buckets = partitions or bucket_count(triplets, triplets.count())
-    rows = space.bucketed(corpus_rows(triplets, described, buckets), name, "doc_id", buckets)
+    rows = space.part().bucketed(corpus_rows(triplets, described, buckets), "corpus", "doc_id", buckets)
     facts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.size("x")).alias("d"),

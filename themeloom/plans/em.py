@@ -55,6 +55,7 @@ def fit_corpus(
     check_dimensions(params.topics, corpus.terms)
     if corpus.aspects > params.aspects:
         raise ValueError(f"the corpus has {corpus.aspects} aspects, the settings {params.aspects}")
+    space = space.part()
     topics, size = start, params.topics - 1
     width = corpus.covariates + size
     sigma = initial_covariance(params.topics) if sigma is None else sigma

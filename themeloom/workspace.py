@@ -33,11 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """A folder of its own for the tables of one run."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, run: str | None = None):
         self.spark = spark
-        self.run = f"themeloom_{uuid.uuid4().hex[:12]}"
+        self.run = run or f"themeloom_{uuid.uuid4().hex[:12]}"
         self.folder = f"{(root or shared_folder(spark)).rstrip('/')}/{self.run}"
 
+    def part(self) -> Workspace:
+        """A new folder inside this one. Every job takes its own, so jobs that share a
+        workspace never replace each other's tables."""
+        return Workspace(self.spark, self.folder, f"{self.run}_{uuid.uuid4().hex[:6]}")
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
