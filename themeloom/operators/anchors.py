@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, functions as F
 
 from themeloom.constants import TIE_DIGITS
 from themeloom.functions import dot, number_array
@@ -30,6 +30,12 @@ def largest_rows(norms: DataFrame, rows: int) -> DataFrame:
     return norms.orderBy(F.desc(F.round("r", TIE_DIGITS)), F.asc("i")).limit(rows)
 
 
+def _best() -> Column:
+    """Aggregate: the row ``largest_rows`` would put first, among those not yet picked."""
+    key = F.struct(F.round("r", TIE_DIGITS).alias("top"), (-F.col("i")).alias("first"), "i", "r", "along")
+    return F.max(F.when(~F.col("picked"), key))
+
+
 @dataclass(frozen=True)
 class Anchors:
     """``picks``: the anchor term ids in pick order. ``products``: (term_id, products), the
@@ -55,8 +61,8 @@ def find_anchors(space: Workspace, cells: DataFrame, topics: int, terms: int) ->
 
         next coordinate = (product - along . along_a) / sqrt(r_a),   r -= coordinate^2.
 
-    Only the picked row's few coordinates come to the driver. The state, one row per
-    term, is stored after every pick.
+    The state, one row per term, is stored after every pick, and the write itself observes
+    which row comes next: only that row's few coordinates reach the driver.
     """
     space = space.part()
     # Every round groups by i again: partition and cache once. In order, so that reading
@@ -70,10 +76,9 @@ def find_anchors(space: Workspace, cells: DataFrame, topics: int, terms: int) ->
             F.array().cast("array<double>").alias("along"),
             F.array().cast("array<double>").alias("products"),
         )
-        state = space.table(start, "anchor_state_0")
+        state, best = _stored(space, start, "state_0")
         picks: list[int] = []
         for number in range(1, topics + 1):
-            best = argmax_row(state.where(~F.col("picked"))).first()
             if best is None or best["r"] <= 0.0:
                 raise ValueError(f"only {len(picks)} independent co-occurrence rows, {topics} topics asked for")
             picks.append(best["i"])
@@ -86,20 +91,27 @@ def find_anchors(space: Workspace, cells: DataFrame, topics: int, terms: int) ->
             coordinate = (F.col("product") - dot(F.col("along"), number_array(best["along"]))) / F.lit(
                 math.sqrt(best["r"])
             )
-            state = space.table(
+            state, best = _stored(
+                space,
                 state.join(products, "i", "left")
                 .withColumn("product", F.coalesce("product", F.lit(0.0)))
                 .withColumn("coordinate", coordinate)
                 .select(
                     "i",
                     (F.col("r") - F.col("coordinate") * F.col("coordinate")).alias("r"),
-                    (F.col("picked") | (F.col("i") == best["i"])).alias("picked"),
+                    (F.col("picked") | (F.col("i") == picks[-1])).alias("picked"),
                     F.array_append("along", F.col("coordinate")).alias("along"),
                     F.array_append("products", F.col("product")).alias("products"),
                 ),
-                f"anchor_state_{number}",
+                f"state_{number}",
             )
-            space.drop(f"anchor_state_{number - 1}")
+            space.drop(f"state_{number - 1}")
         return Anchors(picks, state.select(F.col("i").alias("term_id"), "products"))
     finally:
         rows.unpersist()
+
+
+def _stored(space: Workspace, state: DataFrame, name: str) -> tuple[DataFrame, Row | None]:
+    seen = Observation()
+    stored = space.table(state.observe(seen, _best().alias("best")), name)
+    return stored, seen.get["best"]

@@ -107,7 +107,8 @@ def gradient(sliced: DataFrame, state: DataFrame, precision: np.ndarray) -> Data
 
 def hessian(sliced: DataFrame, eta: DataFrame, precision: np.ndarray) -> DataFrame:
     """(doc_id, k1, k2, value): second derivatives of the objective, for documents that
-    have terms."""
+    have terms. One sum per pair of topics: for many topics use the ``doc_nu`` rows of
+    ``infer``, which hold the inverse."""
     size = len(precision)
     theta = proportions(eta)
     per_pair = [

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from themeloom.constants import MIN_DOCUMENT_LENGTH
 from themeloom.lookup import lookup_join
+from themeloom.operators.corpus import corpus_entries
 from themeloom.operators.ragged import ragged
 
 DENSE_CELLS = 1 << 24   # cells of a task's dense sum: 128 MB
@@ -62,6 +63,17 @@ def gram_row_sums(corpus: DataFrame) -> DataFrame:
     )
 
 
+def term_sums(corpus: DataFrame) -> DataFrame:
+    """(term_id, s, total): row sums of the Gram matrix and tokens of each term, from one
+    read of the corpus. ``s`` is null for a term without co-occurrences."""
+    share = F.when(F.col("n") >= MIN_DOCUMENT_LENGTH, F.col("cnt") / F.col("n"))
+    return (
+        corpus_entries(corpus, "n")
+        .groupBy("term_id")
+        .agg(F.sum(share).alias("s"), F.sum("cnt").alias("total"))
+    )
+
+
 def normalised_gram(cells: DataFrame, row_sums: DataFrame, terms: int) -> DataFrame:
     """Rows of the matrix divided by their sums."""
     sums = row_sums.select(F.col("term_id").alias("i"), "s")
