@@ -50,9 +50,10 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
 
     documents = spark.read.parquet(f"{folder}/documents.parquet")
-    texts = documents.select("doc_id", "text")
-    run(texts.limit(1))  # start the session's threads outside of the first query
-    lines = documents.select(F.explode(F.split("text", "\n")).alias("line"))
+    # The file is one row group, so one task reads it all: spread its rows over the cores.
+    texts = documents.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    run(documents.limit(1))  # start the session's threads outside of the first query
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
     timed("word_count", lambda: run(corpus.word_counts(corpus.split_words(lines, "line"))))
     timed("doc_terms", lambda: run(corpus.doc_terms(texts)))
     covariates = timed("design", lambda: design(documents, ["lang"], {"length": F.log1p("n_chars")})).table

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from themeloom import FitParams, Workspace, fit, fit_corpus, initialise, load, score_corpus, store_corpus
 from themeloom.operators import aggregate, control, mstep
-from themeloom.operators.estep import RESULT, Topics
+from themeloom.operators.estep import RESULT, infer
+from themeloom.plans.em import with_state
 from test_start import aligned
 
 
@@ -121,8 +122,9 @@ def test_reports(spark):
     assert sorted(tuple(r) for r in control.pair_by_rank(a, b).collect()) == [(1, 7, 7), (2, 8, 5)]
 
 
-@pytest.fixture
-def fitted(spark, space, planted):
+@pytest.fixture(scope="module")
+def fitted(spark, tmp_path_factory, planted):
+    space = Workspace(spark, str(tmp_path_factory.mktemp("fit")))
     built = store_corpus(
         space, planted.triplets(spark), planted.docs(spark), planted.terms, planted.covariates(spark), partitions=4
     )
@@ -130,7 +132,7 @@ def fitted(spark, space, planted):
     return built, start, fit_corpus(space, built, start.topics, FitParams(planted.topics, max_iterations=12))
 
 
-def test_fit_finds_planted_topics(spark, space, planted, fitted):
+def test_fit_finds_planted_topics(planted, fitted):
     built, start, model = fitted
     beta = model.topics.array()[0].T
     np.testing.assert_allclose(beta.sum(axis=1), 1.0)
@@ -189,6 +191,40 @@ def test_fit_refreshes_everything_each_iteration(spark, space, planted):
     assert not np.allclose(one.topics.array(), two.topics.array())
 
 
+def test_iterations_join_without_a_shuffle(spark, space, fitted, planted):
+    built, start, model = fitted
+    size = planted.topics - 1
+    first = infer(with_state(built.rows, None, model.gamma, size), start.topics, model.prior)
+    stored = space.bucketed(first, "inferred", "doc_id", built.buckets, split_by="kind")
+    second = infer(with_state(built.rows, stored, model.gamma, size), start.topics, model.prior)
+    assert "Exchange" not in second._jdf.queryExecution().executedPlan().toString()
+    again = {r["doc_id"]: r["vec"] for r in second.where("kind = 'doc'").collect()}
+    before = {r["doc_id"]: r["vec"] for r in stored.where("kind = 'doc'").collect()}
+    assert set(again) == set(before) and len(again) == planted.documents
+    for d in again:  # started from its own result, the search stays there
+        np.testing.assert_allclose(again[d], before[d], atol=1e-8)
+
+
+def test_settings_must_cover_the_aspects(spark, space, planted, fitted):
+    _, start, _ = fitted
+    aspects = planted.docs(spark).withColumn("aspect", (F.col("doc_id") % 2).cast("int"))
+    built = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, aspects=aspects, partitions=2)
+    assert built.aspects == 2
+    with pytest.raises(ValueError, match="2 aspects"):
+        fit_corpus(space, built, start.topics, FitParams(planted.topics))
+
+
+def test_fits_that_share_a_workspace_keep_their_tables(spark, space, planted):
+    built = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, partitions=2)
+    start = initialise(space, built, 2)
+    first = fit_corpus(space, built, start.topics, FitParams(2, max_iterations=1))
+    wanted = first.topics.array()
+    fit_corpus(space, built, initialise(space, built, 2).topics, FitParams(2, max_iterations=1, sigma_shrink=1.0))
+    np.testing.assert_array_equal(first.topics.array(), wanted)
+    assert start.anchors.products.count() == planted.terms
+    assert first.doc_topics().count() == planted.documents
+
+
 def test_fit_from_texts(spark, space):
     texts = [(d, " ".join(["sea ship sail"] * 3 if d % 2 else ["rock hill peak"] * 3) + (" the" * (d % 5 + 1))) for d in range(60)]
     docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")

@@ -184,7 +184,7 @@ def test_score_of_new_documents(spark, space, case, planted):
     _, _, topics, covariance = case
     triplets = spark.createDataFrame([(5, 3, 2.0), (5, 40, 1.0)], "doc_id BIGINT, term_id INT, cnt DOUBLE")
     new = spark.createDataFrame([(5,), (6,)], "doc_id BIGINT")
-    rows = store_corpus(space, triplets, new, planted.terms, partitions=2, name="new").rows
+    rows = store_corpus(space, triplets, new, planted.terms, partitions=2).rows
     means = spark.createDataFrame([(6, [0.5, 0.0, -0.5, 1.0])], "doc_id BIGINT, mu ARRAY<DOUBLE>")
     found = {r["doc_id"]: r for r in scored_documents(score(rows, topics, Prior.of(covariance), means)).collect()}
     np.testing.assert_allclose(found[6]["eta"], [0.5, 0.0, -0.5, 1.0], atol=1e-9)  # nothing but its prior mean

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from themeloom import initialise, store_corpus
 from themeloom.constants import SMALLEST_DOUBLE
 from themeloom.operators import anchors, recover
-from themeloom.operators.gram import gram, gram_row_sums, gram_upper, mirrored
+from themeloom.operators.gram import gram, gram_row_sums, gram_upper, mirrored, term_sums
 
 
 @pytest.fixture
@@ -37,6 +37,22 @@ def test_gram_row_sums_need_no_gram(built, planted):
     np.testing.assert_allclose(found, wanted, atol=1e-12)
 
 
+def test_hot_document_and_hot_term(spark, space):
+    """One document holds a third of all tokens, one term is in every document."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 3, (200, 60))
+    counts[:, 0] = 5
+    counts[17] = rng.integers(100, 300, 60)
+    d, w = np.nonzero(counts)
+    rows = [(int(a), int(b), float(counts[a, b])) for a, b in zip(d, w)]
+    triplets = spark.createDataFrame(rows, "doc_id BIGINT, term_id INT, cnt DOUBLE")
+    built = store_corpus(space, triplets, spark.range(200).toDF("doc_id"), 60, partitions=4)
+    np.testing.assert_allclose(matrix_of(gram(built.rows, 60), 60), gram_of(counts), atol=1e-12)
+    sums = {r["term_id"]: (r["s"], r["total"]) for r in term_sums(built.rows).collect()}
+    np.testing.assert_allclose([sums[t][0] for t in range(60)], gram_of(counts).sum(axis=1), atol=1e-12)
+    np.testing.assert_allclose([sums[t][1] for t in range(60)], counts.sum(axis=0))
+
+
 def test_short_documents_add_nothing(spark, space):
     rows = [(0, 0, 1.0), (1, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0)]
     triplets = spark.createDataFrame(rows, "doc_id BIGINT, term_id INT, cnt DOUBLE")
