@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import numpy as np  # noqa: E402
 from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
-from themeloom import FitParams, Workspace, build_corpus, design, fit_corpus, initialise  # noqa: E402
+from themeloom import FitParams, Workspace, build_corpus, design, fit_corpus, initialise, score_corpus  # noqa: E402
 from themeloom.operators import corpus  # noqa: E402
 from themeloom.operators.anchors import find_anchors  # noqa: E402
 from themeloom.operators.estep import Prior, infer  # noqa: E402
@@ -71,7 +71,9 @@ def main() -> None:
     state = with_state(built.rows, None, np.zeros((built.covariates, TOPICS - 1)), TOPICS - 1)
     prior = Prior.of(initial_covariance(TOPICS))
     timed("infer", lambda: run(infer(state, start.topics, prior)))
-    timed(f"fit_{ITERATIONS}_iterations", lambda: fit_corpus(space, built, start.topics, params))
+    model = timed(f"fit_{ITERATIONS}_iterations", lambda: fit_corpus(space, built, start.topics, params))
+    timed("score", lambda: run(score_corpus(built, model)))
+    timed("top_words", lambda: run(model.top_words(5)))
     space.close()
     print(
         json.dumps(

@@ -93,6 +93,25 @@ def test_corpus_entries_invert_corpus_rows(spark, space, planted):
     assert back == sorted(planted.triplet_rows())
 
 
+def test_repeated_triplets_add_up_and_documents_need_covariates(spark, space):
+    rows = [(1, 4, 1.0), (1, 4, 2.0), (1, 2, 1.0), (2, 0, 1.0)]
+    triplets = spark.createDataFrame(rows, "doc_id BIGINT, term_id INT, cnt DOUBLE")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id BIGINT")
+    found = {r["doc_id"]: r for r in store_corpus(space, triplets, docs, 5, partitions=2).rows.collect()}
+    assert (found[1]["term_ids"], found[1]["counts"], found[1]["n"]) == ([2, 4], [1.0, 3.0], 4.0)
+    some = spark.createDataFrame([(1, [1.0])], "doc_id BIGINT, x ARRAY<DOUBLE>")
+    with pytest.raises(ValueError, match="1 documents have no covariates"):
+        store_corpus(space, triplets, docs, 5, some, partitions=2)
+    with pytest.raises(ValueError, match="not named"):
+        store_corpus(space, triplets, docs.where("doc_id = 1"), 5, partitions=2)
+
+
+def test_corpus_rows_take_one_shuffle(spark, planted):
+    described = planted.covariates(spark).withColumn("aspect", F.lit(0))
+    rows = corpus.corpus_rows(planted.triplets(spark), described, 4)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_corpus_join_by_document_needs_no_shuffle(spark, space, planted):
     a = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, partitions=4)
     other = space.bucketed(planted.covariates(spark), "other", "doc_id", 4)

@@ -194,21 +194,22 @@ def corpus_rows(triplets: DataFrame, documents: DataFrame, partitions: int) -> D
 
     ``documents`` holds doc_id, aspect and covariates x for every document, also those
     without a vocabulary term; the result adds n, term_ids and counts. One shuffle
-    brings entries and attributes together. A row holds at most one entry per
-    vocabulary term, so its size does not grow with the text.
+    brings entries and attributes together; counts of a repeated (document, term) pair are
+    added up there, without another. A row holds one entry per vocabulary term at most, so
+    its size does not grow with the text.
     """
-    entry = F.struct(F.col("term_id"), F.col("cnt").cast("double").alias("cnt"))
-    entries = triplets.select("doc_id", entry.alias("entry"))
+    entries = triplets.select("doc_id", "term_id", F.col("cnt").cast("double").alias("cnt"))
     together = entries.unionByName(documents.select("doc_id", "aspect", "x"), allowMissingColumns=True)
-    grouped = (
+    attributes = [F.max("aspect").alias("aspect"), F.first("x", ignorenulls=True).alias("x")]
+    counted = (
         together.repartition(partitions, "doc_id")
-        .groupBy("doc_id")
-        .agg(
-            F.coalesce(F.max("aspect"), F.lit(0)).alias("aspect"),
-            F.first("x", ignorenulls=True).alias("x"),
-            F.sort_array(F.collect_list("entry")).alias("entries"),
-        )
+        .groupBy("doc_id", "term_id")
+        .agg(F.sum("cnt").alias("cnt"), *attributes)
     )
+    entry = F.when(F.col("term_id").isNotNull(), F.struct("term_id", "cnt"))
+    grouped = counted.groupBy("doc_id").agg(
+        *attributes, F.sort_array(F.collect_list(entry)).alias("entries")
+    ).withColumn("aspect", F.coalesce("aspect", F.lit(0)))
     return grouped.select(
         "doc_id",
         "aspect",

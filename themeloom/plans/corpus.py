@@ -78,13 +78,12 @@ def store_corpus(
     partitions: int | None = None,
     vocab: Vocabulary | None = None,
 ) -> Corpus:
-    """From triplets (doc_id, term_id, cnt), at most one per document and term; ``documents``
-    names every document."""
+    """From triplets (doc_id, term_id, cnt); ``documents`` names every document."""
     described = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     if covariates is None:
         described = described.withColumn("x", F.array(F.lit(1.0)))
     else:
-        described = described.join(covariates.select("doc_id", "x"), "doc_id")
+        described = described.join(covariates.select("doc_id", "x"), "doc_id", "left")
     if aspects is None:
         described = described.withColumn("aspect", F.lit(0))
     else:
@@ -97,7 +96,10 @@ def store_corpus(
         F.max(F.size("x")).alias("d"),
         F.min(F.size("x")).alias("e"),
         F.max("aspect").alias("a"),
+        F.count("x").alias("x"),
     ).first()
+    if facts["x"] < facts["n"]:
+        raise ValueError(f"{facts['n'] - facts['x']} documents have no covariates or are not named")
     if facts["n"] and (facts["d"] != facts["e"] or facts["d"] < 1):
         raise ValueError("every document needs covariates of the same length")
     return Corpus(rows, buckets, facts["n"], terms, facts["d"] or 1, (facts["a"] or 0) + 1, vocab)
