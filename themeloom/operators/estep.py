@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from themeloom.constants import SMALLEST_NORMAL
@@ -184,6 +185,14 @@ class Prior:
         return Prior(np.linalg.inv(covariance), 0.5 * float(np.linalg.slogdet(covariance)[1]))
 
 
+def share_topics(topics: Topics, topic_bytes: int = TOPIC_BYTES) -> Broadcast | None:
+    """The topics as a broadcast array, if they are small enough. Whoever iterates destroys it
+    once the result is stored."""
+    if topics.bytes > topic_bytes:
+        return None
+    return topics.table.sparkSession.sparkContext.broadcast(topics.array())
+
+
 def infer(
     documents: DataFrame,
     topics: Topics,
@@ -191,6 +200,7 @@ def infer(
     aspects: int = 1,
     detail: bool = False,
     topic_bytes: int = TOPIC_BYTES,
+    shared: Broadcast | None = None,
 ) -> DataFrame:
     """Most probable logits of every document, with what the M-step needs.
 
@@ -204,18 +214,15 @@ def infer(
         doc_nu    with ``detail``: row idx of a document's posterior covariance
         doc_phi   with ``detail``: expected topic counts of term idx in a document
 
-    Topics up to ``topic_bytes`` go to every task as one array; larger ones are joined to
-    the documents' terms.
+    Topics up to ``topic_bytes`` go to every task as one array, ``shared`` if the caller
+    made it by ``share_topics``; larger ones are joined to the documents' terms.
     """
-    spark = documents.sparkSession
     columns = ["doc_id", "aspect", "term_ids", "counts", "eta", "mu"]
     columns += [c for c in documents.columns if c == "x"]
-    if topics.bytes <= topic_bytes:
-        shared = spark.sparkContext.broadcast(topics.array())
-        rows = documents.select(*columns)
-    else:
-        shared = None
-        rows = _with_slices(documents.select(*columns), topics)
+    shared = shared or share_topics(topics, topic_bytes)
+    rows = documents.select(*columns)
+    if shared is None:
+        rows = _with_slices(rows, topics)
     dense = 8 * aspects * topics.terms * topics.topics <= topic_bytes
     task = _Task(shared, topics.topics, topics.terms, topics.aspects, prior, dense, detail)
     return rows.mapInArrow(task, RESULT)

@@ -52,17 +52,32 @@ def derivatives(topics, counts, eta, mu, precision):
     return slope, curve[:, :-1, :-1] + precision, phi
 
 
-def _step(curve: np.ndarray, slope: np.ndarray) -> np.ndarray:
-    """Newton step; where the curvature is not positive, its absolute value is used."""
+def _step(curve: np.ndarray, slope: np.ndarray, eta: np.ndarray, length: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    """Newton step. Where the curvature is not positive definite, its concave part, that of the
+    documents' mixture terms, is left out: what remains always is."""
+    good = _positive(curve)
+    if not good.all():
+        e = _exponentials(eta[~good])
+        theta = (e / e.sum(axis=1, keepdims=True))[:, :-1]
+        even = length[~good, None] * theta
+        convex = precision - even[:, :, None] * theta[:, None, :]
+        diagonal = np.arange(convex.shape[1])
+        convex[:, diagonal, diagonal] += even
+        curve = curve.copy()
+        curve[~good] = convex
+    return np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+
+
+def _positive(matrices: np.ndarray) -> np.ndarray:
+    """Which matrices are positive definite."""
     try:
-        np.linalg.cholesky(curve)
-        return np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+        np.linalg.cholesky(matrices)
+        return np.ones(len(matrices), dtype=bool)
     except np.linalg.LinAlgError:
-        values, vectors = np.linalg.eigh(curve)
-        values = np.abs(values)
-        values = np.maximum(values, 1e-8 * values.max(axis=1, keepdims=True))
-        along = np.matmul(vectors.transpose(0, 2, 1), slope[:, :, None])[:, :, 0] / values
-        return np.matmul(vectors, along[:, :, None])[:, :, 0]
+        if len(matrices) == 1:
+            return np.zeros(1, dtype=bool)
+        half = len(matrices) // 2
+        return np.concatenate([_positive(matrices[:half]), _positive(matrices[half:])])
 
 
 def map_logits(topics, counts, eta, mu, precision) -> np.ndarray:
@@ -78,7 +93,7 @@ def map_logits(topics, counts, eta, mu, precision) -> np.ndarray:
     for _ in range(NEWTON_ROUNDS):
         value = objective(topics, counts, eta, mu, precision)
         slope, curve, _ = derivatives(topics, counts, eta, mu, precision)
-        step = _step(curve, slope)
+        step = _step(curve, slope, eta, counts.sum(axis=1), precision)
         gain = (slope * step).sum(axis=1)
         scale = 1.0 + np.abs(value)
         length = np.ones(len(eta))

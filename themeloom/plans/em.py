@@ -9,7 +9,7 @@ from themeloom.functions import linear_map, number_array
 from themeloom.operators.aggregate import moment_sum, nu_sum, phi_by_aspect, small_matrix, total_bound
 from themeloom.operators.control import verdict
 from themeloom.operators.corpus import check_dimensions
-from themeloom.operators.estep import Prior, Topics, infer
+from themeloom.operators.estep import Prior, Topics, infer, share_topics
 from themeloom.operators.mstep import (
     Moments,
     prior_covariance,
@@ -65,12 +65,19 @@ def fit_corpus(
     history: list[tuple[int, float, float | None]] = []
     while True:
         number = len(bounds) + 1
+        shared = share_topics(topics)
         inferred = infer(
-            with_state(corpus.rows, result, gamma, size), topics, Prior.of(sigma), params.aspects
+            with_state(corpus.rows, result, gamma, size),
+            topics,
+            Prior.of(sigma),
+            params.aspects,
+            shared=shared,
         )
         result = space.bucketed(
             inferred, f"inferred_{number}", "doc_id", corpus.buckets, split_by="kind"
         )
+        if shared is not None:
+            shared.destroy()
         bounds.append(total_bound(result).first()["bound"])
         moments = Moments.of(
             small_matrix(moment_sum(result, width), width), corpus.covariates, corpus.documents
