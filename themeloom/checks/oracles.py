@@ -268,7 +268,7 @@ FINAL: dict[str, str] = {
     "s3_matrix": f"select topic as i, term_id as j, {M.format('prob')} as value from topic4",
     "s4_saved_counts": "select word, count(*) as cnt from spaced group by word",
     "s5_distribute": """select d.doc_id, aspect::bigint as aspect, coalesce(sum(cnt), 0)::bigint as n,
-        count(t.term_id) as n_terms, min(t.term_id) as first_term
+        count(t.term_id) as n_terms, coalesce(min(t.term_id), -1) as first_term
         from aspect_of d left join trip t using (doc_id) group by d.doc_id, aspect""",
     "c1_tokens": "select doc_id, word, count(*) as cnt from spaced group by doc_id, word",
     "c2_word_count": "select word, count(*) as cnt from spaced group by word",

@@ -102,7 +102,7 @@ def s5_distribute(g: Given) -> DataFrame:
         whole("aspect"),
         whole("n"),
         F.size("term_ids").cast("bigint").alias("n_terms"),
-        F.get("term_ids", F.lit(0)).cast("bigint").alias("first_term"),
+        F.coalesce(F.get("term_ids", F.lit(0)), F.lit(-1)).cast("bigint").alias("first_term"),
     )
 
 
