@@ -12,6 +12,9 @@ from themeloom.functions import dot, number_array
 from themeloom.lookup import lookup_join
 from themeloom.workspace import Workspace
 
+CELLS_PER_PART = 1 << 18
+MOST_PARTS = 16384
+
 
 def row_norms(cells: DataFrame) -> DataFrame:
     """(i, r): squared length of every row."""
@@ -65,9 +68,11 @@ def find_anchors(space: Workspace, cells: DataFrame, topics: int, terms: int) ->
     which row comes next: only that row's few coordinates reach the driver.
     """
     space = space.part()
-    # Every round groups by i again: partition and cache once. In order, so that reading
-    # one row skips the cached batches without it.
-    rows = cells.repartition("i").sortWithinPartitions("i").persist()
+    # Every round groups by i again: partition and cache once, by the size of the matrix and
+    # not by the session's usual number. In order, so that reading one row skips the cached
+    # batches without it.
+    parts = max(1, min(MOST_PARTS, terms * terms // CELLS_PER_PART))
+    rows = cells.repartition(parts, "i").sortWithinPartitions("i").persist()
     try:
         start = row_norms(rows).select(
             "i",
@@ -93,7 +98,7 @@ def find_anchors(space: Workspace, cells: DataFrame, topics: int, terms: int) ->
             )
             state, best = _stored(
                 space,
-                state.join(products, "i", "left")
+                lookup_join(state, products, "i", 16 * terms, spread="i", how="left")
                 .withColumn("product", F.coalesce("product", F.lit(0.0)))
                 .withColumn("coordinate", coordinate)
                 .select(
