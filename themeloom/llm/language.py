@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from themeloom.llm.words import text_batches
+
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -67,7 +69,7 @@ class LanguageModel:
                 if rows:
                     found = self.gram_logs[rows].mean(axis=0)
                     break
-            if len(self.seen) >= 100_000:
+            if len(self.seen) >= 50_000:
                 self.seen.clear()
             if len(word) <= 64:
                 self.seen[word] = found
@@ -91,7 +93,7 @@ class LanguageModel:
 
 def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, entry, n) of the words of all texts."""
-    given = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    given = text_batches(docs).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,12 +171,14 @@ def _logs(rows: list, languages: list[str], smoothing: float, kind) -> tuple[dic
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``row`` (a struct of the kept columns), ``lang_pred`` and ``score`` for every row; see
     ``LanguageModel.predict`` for null and letterless texts."""
-    given = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
+    own = [] if text in keep else [F.col(text).alias("text")]  # else it is read from the row
+    given = text_batches(docs).select(F.struct(*keep).alias("row"), *own)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(value) for value in batch.column("text").to_pylist()]
+            texts = batch.column("text") if own else batch.column("row").field(text)
+            found = [shared.value.predict(value) for value in texts.to_pylist()]
             names, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), names, scores], ["row", "lang_pred", "score"])
 

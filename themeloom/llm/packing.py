@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_CACHE = 400_000
+from themeloom.llm.words import text_batches
+
+_CACHE = 200_000
 # Characters whose normal form is themselves and whose lower case is the same everywhere.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 # Fixed value: the tokenizer's pattern, for plain characters in lower case.
@@ -166,7 +168,7 @@ def pack(docs: DataFrame, params: PackParams, key: str = "doc_id", text: str = "
     """
     from pyspark import TaskContext
 
-    given = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    given = text_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     end = np.array([params.end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

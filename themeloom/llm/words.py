@@ -7,6 +7,7 @@ carriage return: exactly what ``bytes.split`` yields. ``bytes.lower`` changes A-
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
 SPACES = " \t\n\r\x0b\x0c"
@@ -14,6 +15,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Rows that a task holds at once where whole texts go through Python.
+TEXT_BATCH = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``TEXT_BATCH`` rows: long texts in batches
+    of the usual 10,000 rows would fill the memory of workers."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_BATCH:
+        spark.conf.set(_BATCH, str(TEXT_BATCH))
+    return df
+
+
 def lower_words(text: bytes | None) -> list[bytes]:
     """Words with A-Z in lower case; null has none."""
     return text.lower().split() if text else []
