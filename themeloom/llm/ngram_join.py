@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
 from themeloom.llm.components import components
-from themeloom.llm.words import hash_words, lower_words, signed, window_hashes
+from themeloom.llm.words import hash_words, lower_words, signed, text_batches, window_hashes
 from themeloom.workspace import Workspace
 
 _RANGES = 64          # hash ranges that the suffix filter compares
@@ -58,18 +58,21 @@ def _sets(docs: DataFrame, params: JoinParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(cells, np.uint32)
+        held: list[np.ndarray] = []
         for batch in batches:
             sizes, same, ranges = [], [], []
             for value in batch.column("text").to_pylist():
                 found = ngram_set(value, width)
-                seen_here = (found % np.uint64(cells)).astype(np.int64)
-                seen += np.bincount(seen_here, minlength=cells).astype(np.uint32) if len(found) * 20 > cells else 0
-                if len(found) * 20 <= cells:
-                    np.add.at(seen, seen_here, 1)
+                held.append((found % np.uint64(cells)).astype(np.int32))
                 sizes.append(len(found))
                 same.append(xxh3_128_digest(found.tobytes()))
                 ranges.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=_RANGES).astype(np.int32))
             yield _batch(doc_id=batch.column("doc_id"), n=sizes, same=same, ranges=ranges)
+            if sum(map(len, held)) >= cells // 4:
+                seen += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
+                held = []
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
         size = cells // _SLICES
         packed = [(k, part) for k in range(_SLICES) if (part := seen[k * size : (k + 1) * size]).any()]
         yield _batch(slice=[k for k, _ in packed], counts=[zlib.compress(part.tobytes(), 1) for _, part in packed])
@@ -183,7 +186,7 @@ def ngram_join(
     result; an empty table gives none. Texts are never cut.
     """
     space = space.part()
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    docs = text_batches(docs).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     sets = space.table(_sets(docs, params), "sets")
     facts = sets.where("slice is null").drop("slice", "counts")
     linked = facts.where("n > 0 and doc_id is not null")
