@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from themeloom.llm.chat import END, SPLIT, START
+from themeloom.llm.licenses import CUE, RULES, SENTENCES
+
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -112,3 +115,73 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and left_words >= 20 and 100 * left_words >= 20 * n_words as kept
 from figures
 """
+
+ORACLES["op3_near_vectors"] = f"""
+with recursive vectors as (
+    select vec_id as doc_id, label, embedding::double[] as e,
+        label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            and len(list_filter(embedding, lambda x: x <> 0)) > 0 as sound
+    from embeddings
+), links as (
+    select x.doc_id as a, y.doc_id as b from vectors x join vectors y
+    on x.label = y.label and x.doc_id <> y.doc_id and x.sound and y.sound
+    where list_cosine_similarity(x.e, y.e) >= 0.93
+), {_COMPONENT.format(nodes="vectors")}, numbers as (
+    select a, count(*) as n from links group by 1
+)
+select r.doc_id as vec_id, coalesce(any_value(n), 0) as n_links, min(root) as component_id, min(root) = r.doc_id as kept
+from reach r left join numbers on a = r.doc_id group by r.doc_id
+"""
+
+
+def _license_sql() -> str:
+    """The same fixed sentences and rules, with SQL's own functions."""
+    quoted = lambda value: "'" + value.replace("'", "''") + "'"
+    names = " ".join(f"when regexp_full_match(s, {quoted(pattern)}) then '{name}'" for name, pattern in SENTENCES)
+    steps, found, left = [], [], "' ' || array_to_string(ids, '  ') || ' '"
+    for k, (name, needed) in enumerate(RULES):
+        part = "' " + "  ".join(needed) + " '"
+        steps.append(f"r{k} as (select *, {left} as left{k}, {left} like '%' || {part} || '%' as hit{k} from {f'r{k - 1}' if k else 'named'})")
+        found.append(f"case when hit{k} then '{name}' end")
+        left = f"replace(left{k}, {part}, '  ')"
+    return f"""
+with cut as (
+    select doc_id, list_filter(
+        regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\r]+', '\\1\n', 'g'), '\\n+'),
+        lambda s: regexp_matches(s, {quoted(CUE)})) as said
+    from documents
+), plain as (
+    select doc_id, list_transform(said, lambda s:
+        regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .-]+|[ .-]+$', '', 'g')) as said from cut
+), named as (
+    select doc_id, list_filter(list_transform(said, lambda s: case {names} end), lambda x: x is not null) as ids from plain
+), {", ".join(steps)}, ended as (
+    select doc_id, ids, list_filter([{", ".join(found)}], lambda x: x is not null) as every, {left} as rest from r{len(RULES) - 1}
+), distincts as (
+    select *, list_filter(every, lambda x, i: list_position(every, x) = i) as licenses from ended
+)
+select doc_id, array_to_string(ids, ' ') as sentences, array_to_string(licenses, ' ') as licenses,
+    trim(regexp_replace(rest, ' +', ' ', 'g')) as unmatched,
+    case when len(licenses) > 1 then 'several' when len(licenses) = 1 then 'known' when len(ids) > 0 then 'partial' else 'none' end as verdict
+from distincts
+"""
+
+
+ORACLES["op7_license_scan"] = _license_sql()
+
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, chr(92), ''))" + "".join(
+    f" + (length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in (START, SPLIT, END)
+)
+ORACLES["op8_chat_format"] = f"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, md5(text))) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, md5(text)) filter (role = 'assistant'), '')) as loss_sha256,
+    sum({len(START) + len(SPLIT) + len(END)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::bigint as formatted_chars
+from turns group by conv_id
+"""

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from themeloom.llm.chat import ChatParams, format_turns, read_back
 from themeloom.llm.language import fit_languages, held_out, predict_languages
+from themeloom.llm.licenses import scan_licenses
+from themeloom.llm.lm import lm_scores
 from themeloom.llm.mixing import mix
+from themeloom.llm.near_vectors import near_vectors
 from themeloom.llm.ngram_join import ngram_join
 from themeloom.llm.packing import PackParams, pack
 from themeloom.llm.quality import quality_rules
+from themeloom.llm.url_rules import filter_urls
 from themeloom.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +74,52 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page. A page has the labels of the document with its id: bad ones are
+    those of low quality and toxic ones."""
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
+    )
+    judged = filter_urls(Workspace(spark), table(spark, folder, "pages"), labels)
+    return judged.withColumn("mined_rule", F.array_join("mined_rule", " "))
+
+
+@query
+def op3_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of a label at a cosine of 0.93."""
+    return near_vectors(Workspace(spark), table(spark, folder, "embeddings"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence statements in every document."""
+    found = scan_licenses(table(spark, folder, "documents"))
+    joined = [F.array_join(c, " ").alias(c) for c in ("sentences", "licenses")]
+    return found.select("doc_id", *joined, "unmatched", "verdict")
+
+
+#: A conversation whose texts hold the strings of a template.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation and one with control strings, read back from its tokens."""
+    import public_tokenizers
+
+    params = ChatParams(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(-7, k, role, CONTROL_TEXT) for k, role in enumerate(("user", "assistant"))]
+    every = turns.unionByName(spark.createDataFrame(odd, "conv_id BIGINT, turn BIGINT, role STRING, text STRING"))
+    return read_back(format_turns(every, params), params)
+
+
+@query
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document under a model of the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    found = lm_scores(Workspace(spark), docs, ~held_out("doc_id", 7, 2))
+    return found.withColumn("held_out", held_out("doc_id", 7, 2))
