@@ -28,13 +28,14 @@ UNKNOWN = "und"
 class LanguageParams:
     """``sample`` bounds the labelled documents per language that the model is fitted on, taken
     by a hash of their text's id; ``words`` and ``grams`` bound what it holds, the most frequent
-    first, in all languages together. ``smoothing`` is added to each count."""
+    first, in all languages together. Every language gets ``smoothing`` entries more of each kind,
+    divided as all languages' entries are, so one with few texts gains nothing by that."""
 
     sample: int = 2000
     words: int = 100_000
     grams: int = 50_000
     longest: int = 5
-    smoothing: float = 0.5
+    smoothing: float = 10.0
 
 
 def words_of(text: str) -> list[str]:
@@ -159,25 +160,27 @@ def fit_languages(
 
 def _logs(rows: list, languages: list[str], smoothing: float, kind) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies among the entries of one kind and language."""
-    table = np.array([[r["by"].get(name, 0) for name in languages] for r in rows], float).reshape(-1, len(languages))
+    table = np.array([[r["by"].get(name, 0) for name in languages] for r in rows], float).reshape(len(rows), len(languages))
     kinds = np.array([kind(r) for r in rows], int)
     logs = np.zeros_like(table)
     for k in np.unique(kinds):
-        part = table[kinds == k] + smoothing
-        logs[kinds == k] = np.log(part / part.sum(axis=0))
+        part = table[kinds == k]
+        every = part.sum(axis=1, keepdims=True) / part.sum()
+        logs[kinds == k] = np.log((part + smoothing * every) / (part.sum(axis=0) + smoothing))
     return {r["entry"]: i for i, r in enumerate(rows)}, logs
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``row`` (a struct of the kept columns), ``lang_pred`` and ``score`` for every row; see
     ``LanguageModel.predict`` for null and letterless texts."""
-    own = [] if text in keep else [F.col(text).alias("text")]  # else it is read from the row
+    apart = text not in keep  # else it is read from the row
+    own = [F.col(text).alias("text")] if apart else []
     given = text_batches(docs).select(F.struct(*keep).alias("row"), *own)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text") if own else batch.column("row").field(text)
+            texts = batch.column("text") if apart else batch.column("row").field(text)
             found = [shared.value.predict(value) for value in texts.to_pylist()]
             names, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), names, scores], ["row", "lang_pred", "score"])

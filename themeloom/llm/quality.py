@@ -79,14 +79,15 @@ def measure(docs: DataFrame, text: str, host: str, keep: list[str], params: Qual
     """Columns ``row`` (a struct of the kept columns), the figures, ``host`` and ``content``
     (hashes) and ``lines`` (key of host and normalised line, words), in the text's order; lines
     without a word are left out."""
-    own = [] if text in keep else [F.col(text).alias("text")]  # else it is read from the row
+    apart = text not in keep  # else it is read from the row
+    own = [F.col(text).alias("text")] if apart else []
     given = text_batches(docs).select(F.struct(*keep).alias("row"), *own, F.col(host).cast("string").alias("host"))
     row = given.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             figures, hosts, contents, keys, counts, ends = [], [], [], [], [], [0]
-            texts = batch.column("text") if own else batch.column("row").field(text)
+            texts = batch.column("text") if apart else batch.column("row").field(text)
             for value, name in zip(texts.to_pylist(), batch.column("host").to_pylist()):
                 value = value or ""
                 figures.append(text_figures(value, params.window))
