@@ -333,6 +333,7 @@ def lm_scores(
     schema = f"doc_id {kind}, n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, tail ARRAY<STRUCT<word: BIGINT, m: BIGINT>>"
     scored = docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id())
     scored = space.table(scored, "scored")
+    shared.destroy()
     rare = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.m").join(words, "word", "left")
     count = F.coalesce("n", F.lit(0))
     rest = rare.groupBy("rid").agg(

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from themeloom.llm.blocks import into_blocks, per_block, smallest_linked
 from themeloom.llm.components import components
 from themeloom.llm.words import mixed, signed
 from themeloom.workspace import Workspace
@@ -137,12 +138,7 @@ def _block_links(rows: pa.Table, params: VectorParams) -> list[tuple[int, int, i
     met[row[smaller], place] = 1
     close &= (met[:, met.sum(axis=0) > 1] @ met[:, met.sum(axis=0) > 1].T) == 0
     ids, weight = rows.column("id").to_numpy(), rows.column("w").to_numpy()
-    links, root = close @ weight, ids.copy()
-    while True:  # the smallest id spreads along the block's links
-        spread = np.minimum(root, np.where(close, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (spread == root).all():
-            break
-        root = spread
+    links, root = close @ weight, smallest_linked(close, ids)
     return [(int(ids[i]), int(root[i]), int(links[i])) for i in np.flatnonzero(links)]
 
 
@@ -151,30 +147,6 @@ def _matrix_of_keys(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _block_results(blocks: DataFrame, params: VectorParams) -> DataFrame:
-    """Links of every block; a task holds one block at a time, besides its Arrow batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            names = np.stack([table.column(c).to_numpy() for c in ("key", "first", "second")])
-            borders = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1), len(table)]
-            found = [x for a, b in zip(borders[:-2], borders[1:-1]) if b - a > 1 for x in _block_links(table.slice(a, b - a), params)]
-            rest = table.slice(borders[-2])
-            yield _links(found)
-        if rest is not None and len(rest) > 1:
-            yield _links(_block_links(rest, params))
-
-    return blocks.mapInArrow(run, "a BIGINT, b BIGINT, links BIGINT")
-
-
-def _links(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = zip(*found) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
-
-
 def near_vectors(
     space: Workspace,
     vectors: DataFrame,
@@ -205,13 +177,9 @@ def near_vectors(
     entries = filed.select("id", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = entries.join(space.table(sizes, "sizes"), "key")
-    parts = F.ceil(F.col("n") / F.lit(params.block)).cast("int")
-    met = met.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    met = met.select("id", "key", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    met = met.select("id", "key", "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
-    blocks = met.join(classes.select("id", "w", "vector"), "id").join(filed, "id")
-    dealt = blocks.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
-    found = space.table(_block_results(dealt, params), "found")
+    blocks = into_blocks(met, "id", "n", params.block).join(classes.select("id", "w", "vector"), "id").join(filed, "id")
+    columns = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+    found = space.table(per_block(blocks, "key", lambda rows: _block_links(rows, params), columns), "found")
 
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     edges = found.select("a", "b").where("a != b").distinct()

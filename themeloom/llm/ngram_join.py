@@ -7,9 +7,9 @@
 3. Two sets as similar as asked share one of the first n - ceil(t n) + 1 n-grams in that order.
    Pairs meet there and pass the length, the positional and the suffix filter, then their texts
    are compared once.
-4. First each class meets the smallest class it shares a prefix n-gram with. Pairs inside a
-   component found so need no look; all pairs across components are checked. So a group of near
-   copies costs its size, not its square, and no link between components is lost.
+4. Classes that share an n-gram few others have are compared in pairs. Those of an n-gram that
+   many have are compared block by block inside tasks, which return who is joined with whom, not
+   the pairs. So a large group of near copies emits its size, not its square, and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
+from themeloom.llm.blocks import into_blocks, per_block, smallest_linked
 from themeloom.llm.components import components
 from themeloom.llm.words import hash_words, lower_words, signed, text_batches, window_hashes
 from themeloom.workspace import Workspace
@@ -34,11 +36,14 @@ _SLICES = 64          # parts of the table of frequencies
 @dataclass(frozen=True)
 class JoinParams:
     """Sets of ``width`` words link at ``percent`` of Jaccard similarity. ``cells`` is the size of
-    the frequency table: four bytes each on every worker, whatever the corpus."""
+    the frequency table: four bytes each on every worker, whatever the corpus. An n-gram of more
+    than ``few`` prefixes is compared in blocks of ``block`` classes."""
 
     width: int = 3
     percent: int = 90
-    cells: int = 1 << 22
+    cells: int = 1 << 23
+    few: int = 32
+    block: int = 256
 
 
 def ngram_set(text: bytes | None, width: int) -> np.ndarray:
@@ -57,29 +62,39 @@ def _sets(docs: DataFrame, params: JoinParams) -> DataFrame:
     width, cells = params.width, params.cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(cells, np.uint32)
-        held: list[np.ndarray] = []
+        seen, one = np.zeros(cells, np.uint32), np.uint32(1)
         for batch in batches:
             sizes, same, ranges = [], [], []
             for value in batch.column("text").to_pylist():
                 found = ngram_set(value, width)
-                held.append((found % np.uint64(cells)).astype(np.int32))
+                np.add.at(seen, (found % np.uint64(cells)).astype(np.intp), one)
                 sizes.append(len(found))
                 same.append(xxh3_128_digest(found.tobytes()))
                 ranges.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=_RANGES).astype(np.int32))
             yield _batch(doc_id=batch.column("doc_id"), n=sizes, same=same, ranges=ranges)
-            if sum(map(len, held)) >= cells // 4:
-                seen += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
-                held = []
-        if held:
-            seen += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
         size = cells // _SLICES
         packed = [(k, part) for k in range(_SLICES) if (part := seen[k * size : (k + 1) * size]).any()]
-        yield _batch(slice=[k for k, _ in packed], counts=[zlib.compress(part.tobytes(), 1) for _, part in packed])
+        yield _batch(slice=[k for k, _ in packed], counts=[_packed(part) for _, part in packed])
 
     return docs.mapInArrow(run, "doc_id BIGINT, n INT, same BINARY, ranges ARRAY<INT>, slice INT, counts BINARY")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a slice: as they are, or places and counts where few are not zero."""
+    places = np.flatnonzero(counts).astype(np.uint32)
+    if 4 * len(places) < len(counts):
+        return b"s" + zlib.compress(places.tobytes() + counts[places].tobytes(), 1)
+    return b"d" + zlib.compress(counts.tobytes(), 1)
+
+
+def _add_packed(total: np.ndarray, packed: bytes) -> None:
+    found = np.frombuffer(zlib.decompress(packed[1:]), np.uint32)
+    if packed[:1] == b"d":
+        total += found
+    else:
+        total[found[: len(found) // 2]] += found[len(found) // 2 :]
+
+
 def _batch(doc_id=None, n=None, same=None, ranges=None, slice=None, counts=None) -> pa.RecordBatch:
     rows = len(n) if n is not None else len(slice)
     column = lambda values, kind: pa.nulls(rows, kind) if values is None else pa.array(values, kind)
@@ -107,21 +122,21 @@ def _frequencies(sets: DataFrame, cells: int) -> np.ndarray:
         for batch in batches:
             for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
                 slice = k
-                total += np.frombuffer(zlib.decompress(packed), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([slice], pa.int32()), pa.array([total.tobytes()])], ["slice", "total"])
+                _add_packed(total, packed)
+        top = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([slice], pa.int32()), pa.array([top.tobytes()])], ["slice", "total"])
 
     parts = sets.where("slice is not null").select("slice", "counts")
     added = parts.groupBy("slice").applyInArrow(add, "slice INT, total BINARY")
-    found = np.zeros(cells, np.uint64)
+    found = np.zeros(cells, np.uint32)
     size = cells // _SLICES
     for row in added.collect():
-        found[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["total"], np.uint64)
-    return np.minimum(found, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        found[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["total"], np.uint32)
+    return found
 
 
-def _prefixes(docs: DataFrame, frequencies: np.ndarray, params: JoinParams) -> DataFrame:
+def _prefixes(docs: DataFrame, shared: Broadcast, params: JoinParams) -> DataFrame:
     """(doc_id, n, prefix): the rarest n-grams of each document, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
     width, percent = params.width, params.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +187,8 @@ def _similar_ranges(pairs: DataFrame, classes: DataFrame, params: JoinParams) ->
         pairs = pairs.join(facts, side)
     apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     both = F.col("n_a") + F.col("n_b")
-    return pairs.where(apart <= both - 2 * _needed(F.col("n_a"), F.col("n_b"), params.percent)).select("a", "b").distinct()
+    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * params.percent
+    return pairs.where(close & (apart <= both - 2 * _needed(F.col("n_a"), F.col("n_b"), params.percent))).select("a", "b").distinct()
 
 
 def ngram_join(
@@ -193,29 +209,21 @@ def ngram_join(
     least = linked.groupBy("same", "n").agg(F.min("doc_id").alias("doc_id"), F.first("ranges").alias("ranges"))
     classes = space.table(least, "classes")
 
-    prefixes = _prefixes(docs, _frequencies(sets, params.cells), params)
+    frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(sets, params.cells))
+    prefixes = _prefixes(docs, frequencies, params)
     ids = classes.select("doc_id").distinct()
     posted = prefixes.join(ids, "doc_id").select("doc_id", "n", F.posexplode("prefix").alias("place", "gram"))
     posted = space.table(posted.distinct(), "posted")
-    hubs = posted.groupBy("gram").agg(F.min(F.struct("n", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("docs"))
-    hubs = space.table(hubs.where("docs > 1").select("gram", "hub.*"), "hubs")
-    shared = space.table(
-        posted.join(hubs.select("gram", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), "gram"), "shared"
-    )
-
-    enough = F.col("hub_n") * 100 >= F.col("n") * params.percent
-    stars = shared.where((F.col("hub") != F.col("doc_id")) & enough).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    tried = space.table(_similar_ranges(stars.distinct(), classes, params), "tried")
-    found = space.table(_verified(tried, docs, params), "found")
-    parts = space.table(components(space, found), "parts")
+    frequencies.destroy()  # the table of prefixes is written: nothing needs them again
+    often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    shared = space.table(posted.join(space.table(often, "often"), "gram"), "shared")
 
-    across = _across(shared, parts, params)
-    rest = _similar_ranges(across, classes, params).join(tried, ["a", "b"], "left_anti")
-    rest = rest.join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = space.table(_verified(space.table(rest, "rest"), docs, params), "more")
+    pairs = _close_pairs(shared.where(F.col("docs") <= params.few), params)
+    pairs = space.table(_similar_ranges(pairs, classes, params), "pairs")
+    found = space.table(_verified(pairs, docs, params), "found")
+    every = found.unionByName(space.table(_block_edges(space, shared.where(F.col("docs") > params.few), docs, params), "edges"))
 
     # Classes that share an id are one node already; copies hang on their class.
-    every = found.unionByName(more)
     named = linked.join(classes.select("same", "n", F.col("doc_id").alias("class")), ["same", "n"])
     twice = named.where("doc_id != class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     several = linked.select("doc_id", "same").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
@@ -229,23 +237,50 @@ def ngram_join(
     return both.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
 
 
-def _across(shared: DataFrame, parts: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs of different components that share a prefix n-gram and pass the length and the
-    positional filter: after a common n-gram at these places, not more than the shorter rest
-    of the two sets can be common, besides what came before."""
-    labelled = shared.select("gram", "doc_id", "n", "place").join(
-        parts.withColumnRenamed("id", "doc_id"), "doc_id", "left"
-    ).withColumn("component", F.coalesce("component", "doc_id"))
-    several = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    labelled = labelled.join(several.where("low != high").select("gram"), "gram", "left_semi")
-    x, y = labelled.alias("x"), labelled.alias("y")
+def _close_pairs(shared: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs that share a prefix n-gram and pass the length and the positional filter: after a
+    common n-gram at these places, not more than the shorter rest of the two sets can be common,
+    besides what came before."""
+    x, y = shared.alias("x"), shared.alias("y")
     longest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
     close = (
         (F.col("x.gram") == F.col("y.gram"))
         & (F.col("x.doc_id") < F.col("y.doc_id"))
-        & (F.col("x.component") != F.col("y.component"))
         & (F.col("x.n") * 100 >= F.col("y.n") * params.percent)
         & (F.col("y.n") * 100 >= F.col("x.n") * params.percent)
         & (longest >= _needed(F.col("x.n"), F.col("y.n"), params.percent))
     )
     return x.join(y, close).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
+
+
+def _block_edges(space: Workspace, shared: DataFrame, docs: DataFrame, params: JoinParams) -> DataFrame:
+    """(a, b): each class with the smallest it is joined with in a block of a frequent n-gram."""
+    width, percent = params.width, params.percent
+    ids = space.table(shared.select("doc_id").distinct(), "frequent_ids")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signed(ngram_set(value, width)) for value in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+    held = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id BIGINT, grams ARRAY<BIGINT>")
+    held = space.table(held, "frequent_sets")
+
+    def joined(rows: pa.Table) -> list[tuple]:
+        names, grams = rows.column("doc_id").to_numpy(), rows.column("grams").combine_chunks()
+        sizes = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        _, place, often = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        several = often[place] > 1  # what only one set has is in no intersection
+        kept, column = np.unique(place[several], return_inverse=True)
+        held = np.zeros((len(sizes), len(kept)), np.float32)
+        held[row[several], column] = 1
+        common = held @ held.T
+        close = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        np.fill_diagonal(close, False)
+        root = smallest_linked(close, names)
+        return [(int(a), int(b)) for a, b in zip(names, root) if a != b]
+
+    dealt = into_blocks(shared.select("gram", "doc_id", "docs"), "doc_id", "docs", params.block)
+    rows = dealt.join(held, "doc_id").select("gram", "first", "second", "doc_id", "grams")
+    return per_block(rows, "gram", joined, pa.schema([("a", pa.int64()), ("b", pa.int64())])).distinct()
