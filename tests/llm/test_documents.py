@@ -16,11 +16,12 @@ from themeloom.llm.licenses import scan_licenses
 from themeloom.llm.lm import Filter, LmParams, levels, lm_scores
 from themeloom.llm.mixing import MixParams, mix
 from themeloom.llm.ngram_join import JoinParams, ngram_join
-from themeloom.llm.packing import Bins, cuts, encoder, pack
+from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
 from themeloom.llm.quality import quality_rules, repeat_words, without_lines
 from themeloom.llm.queries import word_tokenizer
 
 LONG = " ".join(f"w{i}x{i * i % 97}" for i in range(30_000))
+_ENCODER = WordEncoder(word_tokenizer().tokenizer)
 PROSE = " ".join(f"word{i}" for i in range(60))
 ROWS = [
     (1, None, "en", "a"), (2, "", None, None), (3, " \n\t ", "en", "a"), (4, LONG, "en", "a"), (5, PROSE, "en", None),
@@ -174,7 +175,7 @@ def test_bins(lengths):
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("aZ'é ß\n.,-<|>0Σİ²\u0301\x1c\t"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_encoder_equals_tokenizer(text):
-    own = encoder(word_tokenizer().tokenizer)
+    own = _ENCODER
     assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 

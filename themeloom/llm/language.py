@@ -176,12 +176,15 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], te
     apart = text not in keep  # else it is read from the row
     own = [F.col(text).alias("text")] if apart else []
     given = text_batches(docs).select(F.struct(*keep).alias("row"), *own)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain data: workers need no copy of this package to read it.
+    parts = (model.languages, model.words, model.word_logs, model.grams, model.gram_logs, model.longest)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_model = LanguageModel(*shared.value)
         for batch in batches:
             texts = batch.column("text") if apart else batch.column("row").field(text)
-            found = [shared.value.predict(value) for value in texts.to_pylist()]
+            found = [own_model.predict(value) for value in texts.to_pylist()]
             names, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), names, scores], ["row", "lang_pred", "score"])
 

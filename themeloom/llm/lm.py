@@ -294,10 +294,14 @@ def lm_scores(
     space = space.part()
     docs = text_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), training.alias("train"))
     model, words = train(space, docs.where("train").select("text"), params)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain data: workers need no copy of this package to read it.
+    held = model.filter
+    parts = (held.bits, held.hashes, held.lowest), (model.frequent, model.counts, model.tokens, model.types, model.prior)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    total, known_types = model.tokens, model.types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = shared.value
+        lm = LanguageModel(Filter(*shared.value[0]), *shared.value[1])
         for batch in batches:
             stream, starts = tokens(batch.column("text").to_pylist())
             ends = starts[:-1]
@@ -338,13 +342,13 @@ def lm_scores(
     count = F.coalesce("n", F.lit(0))
     rest = rare.groupBy("rid").agg(
         F.sum(F.when(count > 0, F.col("m")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("m") * F.log10((count + 1) / F.lit(float(model.tokens + model.types + 1)))).alias("more_base"),
+        F.sum(F.col("m") * F.log10((count + 1) / F.lit(float(total + known_types + 1)))).alias("more_base"),
     )
     return scored.drop("tail").join(rest, "rid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         "score",
     )

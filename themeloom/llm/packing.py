@@ -93,16 +93,6 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process: what it has looked up serves its next tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def cuts(length: int, capacity: int, waste: float) -> list[int]:
     """Lengths of the pieces of a document, in order."""
     pieces = [capacity] * (length // capacity)
@@ -172,7 +162,7 @@ def pack(docs: DataFrame, params: PackParams, key: str = "doc_id", text: str = "
     end = np.array([params.end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(params.tokenizer).encode
+        encode = WordEncoder(params.tokenizer).encode
         bins = Bins(params.capacity, TaskContext.get().partitionId() << 32)
         for batch in batches:
             placed: list[tuple] = []
