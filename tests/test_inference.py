@@ -180,6 +180,14 @@ def test_results_do_not_depend_on_layout(spark, case, planted):
     assert_same(summary(infer(rows, split, prior, 3, topic_bytes=0), planted.topics), wanted)
 
 
+def test_terms_without_topics_count_the_same_either_way(spark, case, planted):
+    _, rows, topics, covariance = case
+    fewer = Topics(topics.table.where("term_id <> 3"), topics.topics, topics.terms)
+    wanted = summary(infer(rows, fewer, Prior.of(covariance), 3), planted.topics)
+    joined = summary(infer(rows, fewer, Prior.of(covariance), 3, topic_bytes=0), planted.topics)
+    assert_same(joined, wanted)
+
+
 def test_score_of_new_documents(spark, space, case, planted):
     _, _, topics, covariance = case
     triplets = spark.createDataFrame([(5, 3, 2.0), (5, 40, 1.0)], "doc_id BIGINT, term_id INT, cnt DOUBLE")

@@ -40,9 +40,11 @@ def parameter_lookup(documents: DataFrame, eta: DataFrame, mu: DataFrame) -> Dat
 
 def topic_slice(triplets: DataFrame, topics: Topics) -> DataFrame:
     """Triplets with the topic probabilities ``b`` of their term. With topics per aspect
-    the triplets need an ``aspect`` column."""
+    the triplets need an ``aspect`` column. A term without topics has probability 0 in each, as
+    where the topics are sent whole: its entries count, and inference floors them."""
     keys = ["aspect", "term_id"] if topics.aspects > 1 else ["term_id"]
-    return lookup_join(triplets, topics.table, keys, topics.bytes, spread="doc_id")
+    sliced = lookup_join(triplets, topics.table, keys, topics.bytes, spread="doc_id", how="left")
+    return sliced.withColumn("b", F.coalesce("b", number_array([0.0] * topics.topics)))
 
 
 def proportions(eta: DataFrame) -> DataFrame:
@@ -280,7 +282,8 @@ class _Task:
                             phi[aspect] = np.zeros((self.terms, self.topics))
                         phi[aspect][terms] += sums
                     else:
-                        yield _rows("phi", terms, sums, aspect=aspect)
+                        some = sums.any(axis=1)  # as below: a term without topics has no row
+                        yield _rows("phi", terms[some], sums[some], aspect=aspect)
                 if self.detail:
                     yield _rows("doc_phi", ids, counts, doc_id=doc_ids[rows][at[0]])
                     index = np.tile(np.arange(size), len(rows))
@@ -314,7 +317,8 @@ class _Task:
         at = 0
         while at < len(order):
             # Lengths rise along the order: the last document of a chunk is its longest.
-            width = np.maximum(lengths[order[at:]], 1)
+            # Besides terms x topics a document needs topics x topics for its curvature.
+            width = np.maximum(lengths[order[at:]], self.topics)
             fits = width * np.arange(1, len(width) + 1) * self.topics <= CHUNK_CELLS
             rows = order[at : at + max(1, int(np.count_nonzero(fits)))]
             at += len(rows)
