@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom import FitParams, Workspace, fit, fit_corpus, initialise, load, score_corpus, store_corpus
+from themeloom import FitParams, Workspace, fit, fit_corpus, initialise, load, score_corpus, score_texts, store_corpus
 from themeloom.operators import aggregate, control, mstep
 from themeloom.operators.estep import RESULT, infer
 from themeloom.plans.em import with_state
@@ -235,3 +235,20 @@ def test_fit_from_texts(spark, space):
     assert {"sea", "ship", "sail"} >= groups[0] or {"rock", "hill", "peak"} >= groups[0]
     with pytest.raises(ValueError, match="vocabulary"):
         fit(docs, FitParams(8, min_doc_share=0.1), space=Workspace(spark, space.folder))
+
+
+def test_texts_scored_by_a_loaded_model(spark, space, tmp_path):
+    """Terms are matched by their string, whatever the ids of the new texts' own vocabulary."""
+    words = ["river boat water fish", "tax bank money loan"]
+    docs = spark.createDataFrame([(i, " ".join([words[i % 2]] * (2 + i % 3)) + f" x{i % 5}") for i in range(40)], "doc_id BIGINT, text STRING")
+    docs = spark.createDataFrame([(r["doc_id"], "".join(c for c in r["text"] if not c.isdigit())) for r in docs.collect()], docs.schema)
+    model = fit(docs, FitParams(2, max_iterations=3), space=space)
+    model.save(str(tmp_path / "model"))
+    back = load(spark, str(tmp_path / "model"))
+    own = {r["doc_id"]: r["bound"] for r in score_texts(Workspace(spark, space.folder), docs, back).collect()}
+    fewer = docs.where("doc_id in (3, 8)").union(spark.createDataFrame([(99, "unseen words only")], docs.schema))
+    found = {r["doc_id"]: r["bound"] for r in score_texts(Workspace(spark, space.folder), fewer, back).collect()}
+    assert found[3] == pytest.approx(own[3]) and found[8] == pytest.approx(own[8]) and found[99] == pytest.approx(0.0, abs=1e-6)
+    wide = docs.select("doc_id", F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    with pytest.raises(ValueError, match="covariates"):
+        score_texts(Workspace(spark, space.folder), docs, back, wide)

@@ -10,7 +10,7 @@ from themeloom.plans.corpus import Corpus, build_corpus, store_corpus
 from themeloom.plans.em import fit, fit_corpus
 from themeloom.plans.initialise import initialise
 from themeloom.plans.model import Model, load
-from themeloom.plans.score import score, score_corpus, scored_documents
+from themeloom.plans.score import score, score_corpus, score_texts, scored_documents
 from themeloom.workspace import Workspace
 
 # Functions that run in tasks travel with the job: executors need no copy of this package.
@@ -30,6 +30,7 @@ __all__ = [
     "load",
     "score",
     "score_corpus",
+    "score_texts",
     "scored_documents",
     "store_corpus",
 ]

@@ -71,12 +71,12 @@ def doc_terms(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 @dataclass(frozen=True)
 class Vocabulary:
     """Stored table (term_id, term, df, total) with its measured size. ``entries`` is the
-    number of (document, term) pairs, the sum of the document frequencies."""
+    number of (document, term) pairs, the sum of the document frequencies, where it is known."""
 
     table: DataFrame
     terms: int
     bytes: int
-    entries: int
+    entries: int | None
 
 
 def vocabulary(

@@ -61,7 +61,7 @@ def build_corpus(
     terms = space.table(doc_terms(documents), "terms")
     if vocab is None:
         vocab = vocabulary(space, terms, documents.count(), min_doc_share)
-    buckets = partitions or bucket_count(terms, vocab.entries)
+    buckets = partitions or bucket_count(terms, terms.count() if vocab.entries is None else vocab.entries)
     triplets = document_term(terms, vocab)
     built = store_corpus(space, triplets, documents, vocab.terms, covariates, aspects, buckets, vocab)
     space.drop("terms")

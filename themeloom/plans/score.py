@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from themeloom.functions import linear_map, number_array, softmax_with_reference
 from themeloom.operators.estep import Prior, Topics, infer
-from themeloom.plans.corpus import Corpus
+from themeloom.operators.corpus import Vocabulary
+from themeloom.plans.corpus import Corpus, build_corpus
 from themeloom.plans.model import Model
+from themeloom.workspace import Workspace
 
 
 def score(
@@ -43,8 +45,24 @@ def scored_documents(result: DataFrame) -> DataFrame:
     )
 
 
+def score_texts(
+    space: Workspace, documents: DataFrame, model: Model, covariates: DataFrame | None = None
+) -> DataFrame:
+    """New texts (doc_id, text) under a fitted or loaded model. Terms are matched by their string
+    with the model's vocabulary, others are ignored; covariates (doc_id, x) must be those of the fit."""
+    if model.vocab is None:
+        raise ValueError("the model has no vocabulary to match the texts with")
+    terms = model.vocab.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+    vocab = Vocabulary(model.vocab, model.topics.terms, terms, None)
+    return score_corpus(build_corpus(space, documents, 0.0, covariates, vocab=vocab), model)
+
+
 def score_corpus(corpus: Corpus, model: Model) -> DataFrame:
     """Documents of a corpus under a fitted model, with the model's coefficients applied to
-    their covariates."""
+    their covariates. The corpus must be built with the model's vocabulary; see ``score_texts``."""
+    if corpus.covariates != model.gamma.shape[0]:
+        raise ValueError(f"the model has {model.gamma.shape[0]} covariates, the corpus {corpus.covariates}")
+    if corpus.terms != model.topics.terms:
+        raise ValueError(f"the model has {model.topics.terms} terms, the corpus {corpus.terms}")
     rows = corpus.rows.withColumn("mu", linear_map(F.col("x"), model.gamma.T.tolist()))
     return scored_documents(score(rows, model.topics, model.prior))
