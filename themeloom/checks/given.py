@@ -35,6 +35,7 @@ from themeloom.workspace import Workspace
 SMOOTHING = 0.01
 PRECISION_DIAGONAL, PRECISION_OTHER = 0.05, 0.01
 ANCHORS = 3
+CHECK_SHARE = 0.02  # the vocabulary that the queries of the model are checked on
 
 
 def precision(size: int) -> np.ndarray:
@@ -49,7 +50,7 @@ class Given:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.space = Workspace(spark)
-        self.params = FitParams(topics=4)
+        self.params = FitParams(topics=4, min_doc_share=CHECK_SHARE)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -85,6 +86,14 @@ class Given:
         parts = self.spark.sparkContext.defaultParallelism
         return self.space.table(corpus_rows(self.all_triplets, self.described, parts), "all_rows")
 
+    @cached_property
+    def foreign_sums(self) -> DataFrame:
+        foreign = self.documents.where(F.col("lang") != "en").select("doc_id")
+        entries = self.all_triplets.join(foreign, "doc_id", "left_semi")
+        described = foreign.withColumn("aspect", F.lit(0)).withColumn("x", F.array(F.lit(1.0)))
+        rows = corpus_rows(entries, described, self.spark.sparkContext.defaultParallelism)
+        return self.space.table(gram_row_sums(rows), "foreign_sums")
+
     # The model's vocabulary.
 
     @cached_property

@@ -17,6 +17,8 @@ PARTS: dict[str, str] = {
     "len_all": "select doc_id, sum(cnt) as n from trip_all group by doc_id",
     "sum_all": """select term_id, sum(cnt::double / n) as s from trip_all join len_all using (doc_id)
         where n >= 2 group by term_id""",
+    "sum_foreign": """select term_id, sum(cnt::double / n) as s from trip_all join len_all using (doc_id)
+        join documents using (doc_id) where n >= 2 and lang <> 'en' group by term_id""",
     "vocab": "select * from words where df >= 2e-2 * (select count(*) from documents)",
     "trip": "select doc_id, term_id, cnt::double as cnt from terms join vocab using (term)",
     "len": "select doc_id, sum(cnt) as n from trip group by doc_id",
@@ -278,10 +280,11 @@ FINAL: dict[str, str] = {
     "c6_word_prob": f"select term_id, {M.format('total / (select sum(total) from words)::double')} as prob from words",
     "c7_doc_length": "select doc_id, n::bigint as n from len_all",
     "c8_min_length_docs": "select doc_id, n::bigint as n from len_all where n >= 2",
-    "c9_zero_terms": "select term_id from words where term_id not in (select term_id from sum_all)",
-    "c10_kept_terms": "select term_id from words where term_id in (select term_id from sum_all)",
+    "c9_zero_terms": """select term_id from words w where not exists (
+        select 1 from sum_foreign s where s.term_id = w.term_id)""",
+    "c10_kept_terms": "select term_id from words join sum_foreign using (term_id)",
     "c11_drop_terms": """select term_id, total::bigint as total from words
-        where term_id in (select term_id from sum_all)""",
+        join sum_foreign using (term_id)""",
     "c11_drop_cells": f"""with english as (select distinct term_id from trip join documents using (doc_id) where lang = 'en')
         select i, j, {M.format('q')} as q from gram
         where i in (select term_id from english) and j in (select term_id from english)""",

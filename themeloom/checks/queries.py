@@ -155,18 +155,19 @@ def c8_min_length_docs(g: Given) -> DataFrame:
 
 @query
 def c9_zero_terms(g: Given) -> DataFrame:
-    return corpus.zero_terms(g.words.table, gram.gram_row_sums(g.all_rows)).select(whole("term_id"))
+    """Words without a co-occurrence in the documents that are not English."""
+    return corpus.zero_terms(g.words.table, g.foreign_sums).select(whole("term_id"))
 
 
 @query
 def c10_kept_terms(g: Given) -> DataFrame:
-    dropped = corpus.zero_terms(g.words.table, gram.gram_row_sums(g.all_rows))
+    dropped = corpus.zero_terms(g.words.table, g.foreign_sums)
     return corpus.index_difference(g.words.table, dropped, "term_id").select(whole("term_id"))
 
 
 @query
 def c11_drop_terms(g: Given) -> DataFrame:
-    dropped = corpus.zero_terms(g.words.table, gram.gram_row_sums(g.all_rows))
+    dropped = corpus.zero_terms(g.words.table, g.foreign_sums)
     kept = corpus.drop_terms(corpus.term_totals(g.all_triplets), dropped, "term_id")
     return kept.select(whole("term_id"), whole("total"))
 
