@@ -57,7 +57,7 @@ def main() -> None:
     timed("word_count", lambda: run(corpus.word_counts(corpus.split_words(lines, "line"))))
     timed("doc_terms", lambda: run(corpus.doc_terms(texts)))
     covariates = timed("design", lambda: design(documents, ["lang"], {"length": F.log1p("n_chars")})).table
-    params = FitParams(TOPICS, max_iterations=ITERATIONS, threshold=-1.0)
+    params = FitParams(TOPICS, min_doc_share=0.02, max_iterations=ITERATIONS, threshold=-1.0)
     built = timed("build_corpus", lambda: build_corpus(space, texts, params.min_doc_share, covariates))
     timed("term_totals", lambda: run(corpus.term_totals(corpus.corpus_entries(built.rows))))
     sums = timed("gram_row_sums", lambda: space.table(gram_row_sums(built.rows), "bench_sums"))

@@ -15,8 +15,8 @@ class FitParams:
     threshold       relative gain of the bound below which the fit has converged
     sigma_shrink    0 keeps the full prior covariance, 1 only its diagonal
     min_doc_share   a term enters the vocabulary when at least this share of the
-                    documents has it. With L distinct terms in the average document
-                    at most L / min_doc_share terms pass, whatever the corpus size.
+                    documents has it; 0 keeps all. With L distinct terms in the average
+                    document at most L / min_doc_share terms pass, whatever the corpus size.
     partitions      partitions of the corpus; None takes the shuffle setting
     """
 
@@ -25,7 +25,7 @@ class FitParams:
     max_iterations: int = 50
     threshold: float = 1e-5
     sigma_shrink: float = 0.0
-    min_doc_share: float = 0.02
+    min_doc_share: float = 0.0
     partitions: int | None = None
 
     def __post_init__(self) -> None:
