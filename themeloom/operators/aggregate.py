@@ -72,7 +72,7 @@ def cross_products(df: DataFrame, column: str, width: int) -> DataFrame:
 def small_matrix(rows: DataFrame, size: int, index: str = "i") -> np.ndarray:
     """A size x size result (topics and covariates squared, never documents or terms)."""
     matrix = np.zeros((size, size))
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         matrix[row[index]] = row["vec"]
     return matrix
 

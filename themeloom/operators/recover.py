@@ -55,7 +55,7 @@ def simplex_weights(products: DataFrame, picks: list[int]) -> DataFrame:
     """
     topics = len(picks)
     cross = np.zeros((topics, topics))
-    for cell in anchor_cross(products, picks).toLocalIterator():
+    for cell in anchor_cross(products, picks).collect():
         cross[cell["k1"], cell["k2"]] = cell["v"]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
