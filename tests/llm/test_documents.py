@@ -118,7 +118,7 @@ def test_ngram_join_against_brute_force(space, documents):
             for b in range(a):
                 if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
-    found = ngram_join(space, docs, params=JoinParams(cells=1 << 12, few=6, block=16))
+    found = ngram_join(space, docs, params=JoinParams(cells=1 << 12, few=6, block=16, strip=8))
     assert rows(found, "doc_id", "component_id") == list(enumerate(root))
 
 

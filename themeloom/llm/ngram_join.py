@@ -37,13 +37,15 @@ _SLICES = 64          # parts of the table of frequencies
 class JoinParams:
     """Sets of ``width`` words link at ``percent`` of Jaccard similarity. ``cells`` is the size of
     the frequency table: four bytes each on every worker, whatever the corpus. An n-gram of more
-    than ``few`` prefixes is compared in blocks of ``block`` classes."""
+    than ``few`` prefixes is compared in blocks of ``block`` classes, ``strip``
+    n-grams at a time."""
 
     width: int = 3
     percent: int = 90
     cells: int = 1 << 23
     few: int = 32
     block: int = 256
+    strip: int = 1 << 14
 
 
 def ngram_set(text: bytes | None, width: int) -> np.ndarray:
@@ -255,7 +257,7 @@ def _close_pairs(shared: DataFrame, params: JoinParams) -> DataFrame:
 
 def _block_edges(space: Workspace, shared: DataFrame, docs: DataFrame, params: JoinParams) -> DataFrame:
     """(a, b): each class with the smallest it is joined with in a block of a frequent n-gram."""
-    width, percent = params.width, params.percent
+    width, percent, strip = params.width, params.percent, params.strip
     ids = space.table(shared.select("doc_id").distinct(), "frequent_ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +275,16 @@ def _block_edges(space: Workspace, shared: DataFrame, docs: DataFrame, params: J
         _, place, often = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
         several = often[place] > 1  # what only one set has is in no intersection
         kept, column = np.unique(place[several], return_inverse=True)
-        held = np.zeros((len(sizes), len(kept)), np.float32)
-        held[row[several], column] = 1
-        common = held @ held.T
+        row = row[several]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        # Columns go by strips: memory must not follow the length of the texts.
+        common = np.zeros((len(sizes), len(sizes)), np.float32)
+        for at in range(0, len(kept), strip):
+            part = slice(*np.searchsorted(column, [at, at + strip]))
+            held = np.zeros((len(sizes), min(strip, len(kept) - at)), np.float32)
+            held[row[part], column[part] - at] = 1
+            common += held @ held.T
         close = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
         np.fill_diagonal(close, False)
         root = smallest_linked(close, names)
