@@ -3,7 +3,7 @@
 The parameters (topics, logits, prior means) are simple functions of the tables, so SQL can
 state them too:
 
-    topics      share of a term among the vocabulary tokens of a group of documents, each
+    topics      share of a term among the tokens of a group of documents, each
                 count raised by 0.01; groups are the four languages, or English, German and
                 the rest
     covariates  intercept, language indicators, log length centred and scaled (z)
@@ -35,7 +35,7 @@ from themeloom.workspace import Workspace
 SMOOTHING = 0.01
 PRECISION_DIAGONAL, PRECISION_OTHER = 0.05, 0.01
 ANCHORS = 3
-CHECK_SHARE = 0.02  # the vocabulary that the queries of the model are checked on
+CHECK_SHARE = 0.02  # of the documents: terms whose pairs the co-occurrence queries are checked on
 
 
 def precision(size: int) -> np.ndarray:
@@ -50,7 +50,6 @@ class Given:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.space = Workspace(spark)
-        self.params = FitParams(topics=4, min_doc_share=CHECK_SHARE)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -94,17 +93,18 @@ class Given:
         rows = corpus_rows(entries, described, self.spark.sparkContext.defaultParallelism)
         return self.space.table(gram_row_sums(rows), "foreign_sums")
 
-    # The model's vocabulary.
+    # The model's documents, with all words.
+
+    def build(self, share: float) -> Corpus:
+        return build_corpus(self.space, self.documents.select("doc_id", "text"), share, self.design.table, self.aspects)
+
+    def entries(self, corpus: Corpus, name: str) -> DataFrame:
+        found = document_term(self.terms, corpus.vocab)
+        return self.space.table(found.withColumn("cnt", F.col("cnt").cast("double")), name)
 
     @cached_property
     def corpus(self) -> Corpus:
-        return build_corpus(
-            self.space,
-            self.documents.select("doc_id", "text"),
-            self.params.min_doc_share,
-            self.design.table,
-            self.aspects,
-        )
+        return self.build(0.0)
 
     @property
     def vocab(self) -> DataFrame:
@@ -112,23 +112,36 @@ class Given:
 
     @cached_property
     def triplets(self) -> DataFrame:
-        found = document_term(self.terms, self.corpus.vocab)
-        return self.space.table(found.withColumn("cnt", F.col("cnt").cast("double")), "triplets")
+        return self.entries(self.corpus, "triplets")
+
+    # The same, with the terms that enough documents hold.
+
+    @cached_property
+    def pair_corpus(self) -> Corpus:
+        return self.build(CHECK_SHARE)
+
+    @property
+    def pair_vocab(self) -> DataFrame:
+        return self.pair_corpus.vocab.table
+
+    @cached_property
+    def pair_triplets(self) -> DataFrame:
+        return self.entries(self.pair_corpus, "pair_triplets")
 
     # Co-occurrences.
 
     @cached_property
     def gram(self) -> DataFrame:
-        return self.space.table(gram(self.corpus.rows, self.corpus.terms), "gram")
+        return self.space.table(gram(self.pair_corpus.rows, self.pair_corpus.terms), "gram")
 
     @cached_property
     def gram_normalised(self) -> DataFrame:
-        cells = normalised_gram(self.gram, gram_row_sums(self.corpus.rows), self.corpus.terms)
+        cells = normalised_gram(self.gram, gram_row_sums(self.pair_corpus.rows), self.pair_corpus.terms)
         return self.space.table(cells, "gram_normalised")
 
     @cached_property
     def anchors(self) -> Anchors:
-        return find_anchors(self.space, self.gram_normalised, ANCHORS, self.corpus.terms)
+        return find_anchors(self.space, self.gram_normalised, ANCHORS, self.pair_corpus.terms)
 
     @cached_property
     def weights(self) -> DataFrame:

@@ -19,9 +19,12 @@ PARTS: dict[str, str] = {
         where n >= 2 group by term_id""",
     "sum_foreign": """select term_id, sum(cnt::double / n) as s from trip_all join len_all using (doc_id)
         join documents using (doc_id) where n >= 2 and lang <> 'en' group by term_id""",
-    "vocab": "select * from words where df >= 2e-2 * (select count(*) from documents)",
-    "trip": "select doc_id, term_id, cnt::double as cnt from terms join vocab using (term)",
+    "trip": "select doc_id, term_id, cnt::double as cnt from trip_all",
     "len": "select doc_id, sum(cnt) as n from trip group by doc_id",
+    # Terms that documents share, for pairs of terms.
+    "pair_vocab": "select * from words where df >= 2e-2 * (select count(*) from documents)",
+    "pair_trip": "select doc_id, term_id, cnt::double as cnt from terms join pair_vocab using (term)",
+    "pair_len": "select doc_id, sum(cnt) as n from pair_trip group by doc_id",
     "aspect_of": """select d.doc_id, coalesce(l.quality + 1, 0) as aspect
         from documents d left join labels l using (doc_id)""",
     "cov": """select doc_id, lang, (lang = 'de')::int::double as x1, (lang = 'en')::int::double as x2,
@@ -31,9 +34,9 @@ PARTS: dict[str, str] = {
     # Co-occurrences.
     "gram": """select a.term_id as i, b.term_id as j,
         sum(case when a.term_id = b.term_id then a.cnt * (a.cnt - 1) else a.cnt * b.cnt end / (n * (n - 1))) as q
-        from trip a join trip b using (doc_id) join len using (doc_id) where n >= 2
+        from pair_trip a join pair_trip b using (doc_id) join pair_len using (doc_id) where n >= 2
         group by a.term_id, b.term_id having q <> 0""",
-    "row_sum": """select term_id, sum(cnt / n) as s from trip join len using (doc_id)
+    "row_sum": """select term_id, sum(cnt / n) as s from pair_trip join pair_len using (doc_id)
         where n >= 2 group by term_id""",
     "gn": "select i, j, q / s as q from gram join row_sum on i = term_id",
     "norms": "select i, sum(q * q) as r from gn group by i",
@@ -94,14 +97,14 @@ PARTS: dict[str, str] = {
     "weight": """select term_id, 0 as topic, w0 as weight from settled union all select term_id, 1, w1 from settled
         union all select term_id, 2, w2 from settled union all
         select a.term_id, k.rank - 1, (a.rank = k.rank)::int::double from anch a, anch k""",
-    "probs": "select term_id, total / (select sum(total) from vocab)::double as p from vocab",
+    "probs": "select term_id, total / (select sum(total) from pair_vocab)::double as p from pair_vocab",
     "recovered": """select topic, term_id, weight * p / sum(weight * p) over (partition by topic) as prob
         from weight join probs using (term_id)""",
     # Given parameters.
     "count4": """select lang, term_id, sum(cnt) as c from trip join documents using (doc_id) group by lang, term_id""",
     "langs": """select lang, row_number() over (order by lang) - 1 as topic from (select distinct lang from documents)""",
-    "topic4": """select topic, v.term_id, (coalesce(c, 0) + 1e-2) / (sum(coalesce(c, 0)) over (partition by topic) + 1e-2 * (select count(*) from vocab)) as prob
-        from langs cross join vocab v left join count4 on count4.lang = langs.lang and count4.term_id = v.term_id""",
+    "topic4": """select topic, v.term_id, (coalesce(c, 0) + 1e-2) / (sum(coalesce(c, 0)) over (partition by topic) + 1e-2 * (select count(*) from words)) as prob
+        from langs cross join words v left join count4 on count4.lang = langs.lang and count4.term_id = v.term_id""",
     "eta4": """select doc_id, 0 as k, 8e-1 * x1 - 2e-1 + 1e-1 * z as eta, 5e-1 * x1 as mu from cov
         union all select doc_id, 1, 8e-1 * x2 - 2e-1 + 2e-1 * z, 5e-1 * x2 from cov
         union all select doc_id, 2, 8e-1 * x3 - 2e-1 + 3e-1 * z, 5e-1 * x3 from cov""",
@@ -131,7 +134,7 @@ PARTS: dict[str, str] = {
     "new_tok": r"select item_id as doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as term from benchmark",
     "new_doc": "select item_id as doc_id, 0e0 as m0, 0e0 as m1 from benchmark",
     "new_trip": """select doc_id, term_id, count(*)::double as cnt, any_value(b0) as b0, any_value(b1) as b1, any_value(b2) as b2
-        from new_tok join vocab using (term) join topic3 using (term_id) group by doc_id, term_id""",
+        from new_tok join words using (term) join topic3 using (term_id) group by doc_id, term_id""",
 }
 
 
@@ -285,10 +288,10 @@ FINAL: dict[str, str] = {
     "c10_kept_terms": "select term_id from words join sum_foreign using (term_id)",
     "c11_drop_terms": """select term_id, total::bigint as total from words
         join sum_foreign using (term_id)""",
-    "c11_drop_cells": f"""with english as (select distinct term_id from trip join documents using (doc_id) where lang = 'en')
+    "c11_drop_cells": f"""with english as (select distinct term_id from pair_trip join documents using (doc_id) where lang = 'en')
         select i, j, {M.format('q')} as q from gram
         where i in (select term_id from english) and j in (select term_id from english)""",
-    "c12_dimensions": """select (select count(*) from documents) as documents, (select count(*) from vocab) as terms,
+    "c12_dimensions": """select (select count(*) from documents) as documents, (select count(*) from words) as terms,
         (select sum(cnt) from trip)::bigint as tokens""",
     "g1_gram": f"select i, j, {M.format('q')} as q from gram",
     "g2_gram_row_sums": "select term_id, round(s, 6) as s from sum_all",
@@ -301,7 +304,7 @@ FINAL: dict[str, str] = {
     "r3_weights": "select term_id, topic::bigint as topic, round(weight, 6) as weight from weight",
     "r4_anchor_one_hot": """select v.term_id, k.rank::bigint - 1 as topic,
         round(case when a.rank is null then 1e0 / 3 when a.rank = k.rank then 1e0 else 0e0 end, 6) as weight
-        from vocab v cross join anch k left join anch a on a.term_id = v.term_id""",
+        from pair_vocab v cross join anch k left join anch a on a.term_id = v.term_id""",
     "r5_recover_topics": f"select topic::bigint as topic, term_id, {M.format('prob')} as prob from recovered",
     "r6_refill": f"""select topic::bigint as topic, term_id, prob > 0 and prob < 1e-300 as is_floor, {M.format('prob')} as prob
         from (select topic, term_id, p / sum(p) over (partition by topic) as prob
@@ -364,7 +367,7 @@ FINAL: dict[str, str] = {
             coalesce(gain < 1e-2, false) or iteration >= 7 as stop from told""",
     "p1_top_words": f"""select topic, rank, term_id, term, {M.format('prob')} as prob
         from (select *, row_number() over (partition by topic order by prob desc, term_id) as rank from topic4)
-        join vocab using (term_id) where rank <= 5""",
+        join words using (term_id) where rank <= 5""",
     "p2_l1": """select round(sum(abs(a.prob)), 6) as size_a, round(sum(abs(b.prob)), 6) as size_b,
         round(sum(abs(a.prob - b.prob)), 6) as difference from topic4 a join beta4 b using (topic, term_id)""",
     "p3_anchor_compare": """select a.rank::bigint as rank, a.term_id as a, n.i as b from anch a
@@ -382,7 +385,7 @@ FINAL: dict[str, str] = {
         union all select 'covariance', 1, 0, s01 from em2_moment union all select 'covariance', 1, 1, s11 from em2_moment)""",
     "p5_output": """select 'doc_topics' as table_name, count(*) as rows from documents
         union all select 'prior_mean', count(*) from documents
-        union all select 'topics', count(*) from vocab union all select 'vocabulary', count(*) from vocab
+        union all select 'topics', count(*) from pair_vocab union all select 'vocabulary', count(*) from pair_vocab
         union all select 'gamma', 15 union all select 'sigma', 9 union all select 'history', 2""",
 }
 

@@ -175,8 +175,8 @@ def c11_drop_terms(g: Given) -> DataFrame:
 @query
 def c11_drop_cells(g: Given) -> DataFrame:
     english = g.documents.where(F.col("lang") == "en").select("doc_id")
-    spoken = g.triplets.join(english, "doc_id", "left_semi").select("term_id").distinct()
-    foreign = corpus.index_difference(g.vocab, spoken, "term_id")
+    spoken = g.pair_triplets.join(english, "doc_id", "left_semi").select("term_id").distinct()
+    foreign = corpus.index_difference(g.pair_vocab, spoken, "term_id")
     return corpus.drop_terms(g.gram, foreign, "i", "j").select(whole("i"), whole("j"), tiny("q"))
 
 
@@ -195,7 +195,7 @@ def c12_dimensions(g: Given) -> DataFrame:
 
 @query
 def g1_gram(g: Given) -> DataFrame:
-    cells = gram.gram(g.corpus.rows, g.corpus.terms)
+    cells = gram.gram(g.pair_corpus.rows, g.pair_corpus.terms)
     return cells.select(whole("i"), whole("j"), tiny("q"))
 
 
@@ -206,7 +206,7 @@ def g2_gram_row_sums(g: Given) -> DataFrame:
 
 @query
 def g3_gram_normalised(g: Given) -> DataFrame:
-    cells = gram.normalised_gram(g.gram, gram.gram_row_sums(g.corpus.rows), g.corpus.terms)
+    cells = gram.normalised_gram(g.gram, gram.gram_row_sums(g.pair_corpus.rows), g.pair_corpus.terms)
     return cells.select(whole("i"), whole("j"), tiny("q"))
 
 
@@ -223,20 +223,20 @@ def a2_argmax_row(g: Given) -> DataFrame:
 
 @query
 def a3_anchors(g: Given) -> DataFrame:
-    found = anchors.find_anchors(g.space, g.gram_normalised, ANCHORS, g.corpus.terms)
+    found = anchors.find_anchors(g.space, g.gram_normalised, ANCHORS, g.pair_corpus.terms)
     return found.table().select(whole("rank"), whole("term_id"))
 
 
 @query
 def r1_anchor_cross(g: Given) -> DataFrame:
-    products = recover.row_by_anchor(g.gram_normalised, g.anchors.picks, g.corpus.terms)
+    products = recover.row_by_anchor(g.gram_normalised, g.anchors.picks, g.pair_corpus.terms)
     cross = recover.anchor_cross(products, g.anchors.picks)
     return cross.select(whole("k1"), whole("k2"), tiny("v"))
 
 
 @query
 def r2_row_by_anchor(g: Given) -> DataFrame:
-    products = recover.row_by_anchor(g.gram_normalised, g.anchors.picks, g.corpus.terms)
+    products = recover.row_by_anchor(g.gram_normalised, g.anchors.picks, g.pair_corpus.terms)
     return long(products, "products", "k", "v").select(whole("term_id"), whole("k"), tiny("v"))
 
 
@@ -251,15 +251,15 @@ def r3_weights(g: Given) -> DataFrame:
 @query
 def r4_anchor_one_hot(g: Given) -> DataFrame:
     even = F.array(*[F.lit(1.0 / ANCHORS)] * ANCHORS)
-    weights = recover.anchor_one_hot(g.vocab.select("term_id", even.alias("weights")), g.anchors.picks)
+    weights = recover.anchor_one_hot(g.pair_vocab.select("term_id", even.alias("weights")), g.anchors.picks)
     return long(weights, "weights", "topic", "weight").select(
         whole("term_id"), whole("topic"), rounded("weight")
     )
 
 
 def _recovered(g: Given) -> DataFrame:
-    probability = corpus.word_probability(corpus.term_totals(g.triplets))
-    return recover.recover_topics(g.weights, probability, ANCHORS, g.corpus.terms)
+    probability = corpus.word_probability(corpus.term_totals(g.pair_triplets))
+    return recover.recover_topics(g.weights, probability, ANCHORS, g.pair_corpus.terms)
 
 
 @query
@@ -291,7 +291,7 @@ def i1_topics_per_aspect(g: Given) -> DataFrame:
 
 @query
 def i2_initialise(g: Given) -> DataFrame:
-    start = initialise(g.space, g.corpus, ANCHORS)
+    start = initialise(g.space, g.pair_corpus, ANCHORS)
     cells = recover.long_topics(start.topics.table)
     return cells.select(whole("topic"), whole("term_id"), tiny("prob"))
 
@@ -522,8 +522,8 @@ def p4_score(g: Given) -> DataFrame:
 
 
 def _fitted(g: Given, iterations: int = 4):
-    start = initialise(g.space, g.corpus, 4)
-    return fit_corpus(g.space, g.corpus, start.topics, FitParams(topics=4, aspects=3, max_iterations=iterations))
+    start = initialise(g.space, g.pair_corpus, 4)
+    return fit_corpus(g.space, g.pair_corpus, start.topics, FitParams(topics=4, aspects=3, max_iterations=iterations))
 
 
 @query
