@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom import FitParams, Workspace, fit, fit_corpus, initialise, load, score_corpus, score_texts, store_corpus
+from themeloom import FitParams, Workspace, fit, fit_corpus, initialise, load, resume, score_corpus, score_texts, store_corpus
+from themeloom.functions import linear_map, number_array
 from themeloom.operators import aggregate, control, mstep
 from themeloom.operators.estep import RESULT, infer
-from themeloom.plans.em import with_state
+from themeloom.plans.em import document_logits, with_state
 from test_start import aligned
 
 
@@ -179,16 +180,45 @@ def test_fit_does_not_depend_on_partitions(spark, tmp_path, planted):
         np.testing.assert_allclose(other.sigma, models[0].sigma, atol=1e-7)
 
 
-def test_fit_refreshes_everything_each_iteration(spark, space, planted):
-    """Two single iterations, each started from the other's result, equal two in a row."""
-    built = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, partitions=3)
+def test_fit_goes_on_where_it_stopped(spark, space, tmp_path, planted):
+    """Two single iterations, each started from the other's saved result, equal two in a row."""
+    built = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, planted.covariates(spark), partitions=3)
     start = initialise(space, built, 3).topics
     two = fit_corpus(space, built, start, FitParams(3, max_iterations=2, threshold=-1.0))
     one = fit_corpus(Workspace(spark, space.folder), built, start, FitParams(3, max_iterations=1))
     assert len(one.history) == 1 and one.history[0][1] == pytest.approx(two.history[0][1])
-    assert two.history[1][1] > two.history[0][1]
     assert not np.allclose(one.sigma, two.sigma) and not np.allclose(one.gamma, two.gamma)
-    assert not np.allclose(one.topics.array(), two.topics.array())
+    one.save(str(tmp_path / "one"))
+    more = resume(space, built, load(spark, str(tmp_path / "one")), FitParams(3, max_iterations=2, threshold=-1.0))
+    assert [i for i, _, _ in more.history] == [1, 2]
+    assert more.history[1][1] > more.history[0][1]
+    assert [b for _, b, _ in more.history] == pytest.approx([b for _, b, _ in two.history])
+    for name in ("gamma", "sigma"):
+        np.testing.assert_allclose(getattr(more, name), getattr(two, name), atol=1e-8)
+    np.testing.assert_allclose(more.topics.array(), two.topics.array(), atol=1e-9)
+    a, b = ({r["doc_id"]: r["eta"] for r in m.logits.collect()} for m in (more, two))
+    assert set(a) == set(b) and all(np.allclose(a[d], b[d], atol=1e-7) for d in a)
+    # Documents without logits start at 0.
+    some = one.logits.where("doc_id % 2 = 0")
+    part = fit_corpus(space, built, start, FitParams(3, max_iterations=1), logits=some)
+    assert part.logits.count() == planted.documents
+    narrow = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, partitions=2)
+    with pytest.raises(ValueError, match="covariates"):
+        resume(space, narrow, one, FitParams(3))
+    with pytest.raises(ValueError, match="start topics"):
+        fit_corpus(space, built, start, FitParams(4))
+
+
+def test_coefficients_take_one_constant_in_the_plan(spark):
+    rng = np.random.default_rng(0)
+    gamma = rng.normal(size=(200, 74))
+    x = spark.createDataFrame([(rng.normal(size=200).tolist(),)], "x ARRAY<DOUBLE>")
+    found = x.select("x", linear_map(F.col("x"), gamma.T.tolist()).alias("mu"))
+    row = found.first()
+    np.testing.assert_allclose(row["mu"], np.array(row["x"]) @ gamma, atol=1e-12)
+    odd = [0.1, -1e-300, 1e17, float("inf"), 5e-324]
+    assert spark.range(1).select(number_array(odd).alias("v")).first()["v"] == odd
+    assert spark.range(1).select(number_array([]).alias("v")).first()["v"] == []
 
 
 def test_iterations_join_without_a_shuffle(spark, space, fitted, planted):
@@ -196,7 +226,7 @@ def test_iterations_join_without_a_shuffle(spark, space, fitted, planted):
     size = planted.topics - 1
     first = infer(with_state(built.rows, None, model.gamma, size), start.topics, model.prior)
     stored = space.bucketed(first, "inferred", "doc_id", built.buckets, split_by="kind")
-    second = infer(with_state(built.rows, stored, model.gamma, size), start.topics, model.prior)
+    second = infer(with_state(built.rows, document_logits(stored), model.gamma, size), start.topics, model.prior)
     assert "Exchange" not in second._jdf.queryExecution().executedPlan().toString()
     again = {r["doc_id"]: r["vec"] for r in second.where("kind = 'doc'").collect()}
     before = {r["doc_id"]: r["vec"] for r in stored.where("kind = 'doc'").collect()}

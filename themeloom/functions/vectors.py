@@ -8,8 +8,11 @@ from pyspark.sql import Column, functions as F
 
 
 def number_array(values: Sequence[float]) -> Column:
-    """Literal ARRAY<DOUBLE>."""
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
+    """Literal ARRAY<DOUBLE>. It is written as one string, which Spark folds into one constant: a
+    literal for each number would take seconds to plan where there are thousands."""
+    if not len(values):
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def total(vector: Column) -> Column:

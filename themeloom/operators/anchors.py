@@ -68,10 +68,10 @@ def find_anchors(space: Workspace, cells: DataFrame, topics: int, terms: int) ->
     which row comes next: only that row's few coordinates reach the driver.
     """
     space = space.part()
-    # Every round groups by i again: partition and cache once, by the size of the matrix and
+    # Every round groups by i again: partition and cache once, by the number of stored cells and
     # not by the session's usual number. In order, so that reading one row skips the cached
     # batches without it.
-    parts = max(1, min(MOST_PARTS, terms * terms // CELLS_PER_PART))
+    parts = max(1, min(MOST_PARTS, cells.count() // CELLS_PER_PART))
     rows = cells.repartition(parts, "i").sortWithinPartitions("i").persist()
     try:
         start = row_norms(rows).select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,11 +44,34 @@ def fit(
     return fit_corpus(space, corpus, start.topics, params)
 
 
+def resume(space: Workspace, corpus: Corpus, model: Model, params: FitParams) -> Model:
+    """Go on with a fitted or loaded model on the corpus it was fitted to, or on one of the same terms
+    and covariates; the bounds of both fits form one history. ``max_iterations`` counts all of them,
+    and at least one more is done."""
+    if corpus.covariates != model.gamma.shape[0]:
+        raise ValueError(f"the model has {model.gamma.shape[0]} covariates, the corpus {corpus.covariates}")
+    if model.topics.terms > corpus.terms:
+        raise ValueError(f"the model has {model.topics.terms} terms, the corpus {corpus.terms}")
+    # A saved model knows terms only up to the last one that has topics.
+    topics = replace(model.topics, terms=corpus.terms)
+    return fit_corpus(space, corpus, topics, params, model.sigma, model.gamma, model.logits, model.history)
+
+
 def fit_corpus(
-    space: Workspace, corpus: Corpus, start: Topics, params: FitParams, sigma: np.ndarray | None = None
+    space: Workspace,
+    corpus: Corpus,
+    start: Topics,
+    params: FitParams,
+    sigma: np.ndarray | None = None,
+    gamma: np.ndarray | None = None,
+    logits: DataFrame | None = None,
+    history: Sequence[tuple[int, float, float | None]] = (),
 ) -> Model:
     """Variational EM from starting topics.
 
+    Coefficients and logits (doc_id, eta; one row per document) start at 0 where not given, also for
+    documents without a row. ``history`` is that of the iterations before.
+
     An iteration is one job over the documents, whose result is stored once, and small sums
     over that. Corpus and logits are bucketed alike by document, so their join needs no
     shuffle. Prior means follow from covariates and coefficients and are never stored; sums
@@ -53,21 +79,25 @@ def fit_corpus(
     pass of its own. Covariates, topics and prior are refreshed before every iteration.
     """
     check_dimensions(params.topics, corpus.terms)
+    if (start.topics, start.terms) != (params.topics, corpus.terms):
+        raise ValueError(
+            f"start topics are {start.topics} of {start.terms} terms, not {params.topics} of {corpus.terms}"
+        )
     if corpus.aspects > params.aspects:
         raise ValueError(f"the corpus has {corpus.aspects} aspects, the settings {params.aspects}")
     space = space.part()
     topics, size = start, params.topics - 1
     width = corpus.covariates + size
     sigma = initial_covariance(params.topics) if sigma is None else sigma
-    gamma = np.zeros((corpus.covariates, size))
-    result: DataFrame | None = None
-    bounds: list[float] = []
-    history: list[tuple[int, float, float | None]] = []
+    gamma = np.zeros((corpus.covariates, size)) if gamma is None else gamma
+    history = list(history)
+    bounds = [bound for _, bound, _ in history]
+    first = len(bounds) + 1
     while True:
         number = len(bounds) + 1
         shared = share_topics(topics)
         inferred = infer(
-            with_state(corpus.rows, result, gamma, size),
+            with_state(corpus.rows, logits, gamma, size),
             topics,
             Prior.of(sigma),
             params.aspects,
@@ -78,6 +108,7 @@ def fit_corpus(
         )
         if shared is not None:
             shared.destroy()
+        logits = document_logits(result)
         bounds.append(total_bound(result).first()["bound"])
         moments = Moments.of(
             small_matrix(moment_sum(result, width), width), corpus.covariates, corpus.documents
@@ -93,17 +124,16 @@ def fit_corpus(
         topics = Topics(updated, params.topics, corpus.terms)
         state = verdict(bounds, params.threshold, params.max_iterations)
         history.append((number, bounds[-1], state.gain))
-        if number > 1:
+        if number > first:
             space.drop(f"inferred_{number - 1}")
             space.drop(f"topics_{number - 1}")
         if state.stop:
             break
-    docs = result.where(F.col("kind") == "doc")
     return Model(
         topics=topics,
         gamma=gamma,
         sigma=sigma,
-        logits=docs.select("doc_id", F.col("vec").alias("eta"), "bound"),
+        logits=logits,
         prior_means=corpus.rows.select("doc_id", linear_map(F.col("x"), gamma.T.tolist()).alias("mu")),
         history=history,
         converged=state.converged,
@@ -111,11 +141,17 @@ def fit_corpus(
     )
 
 
-def with_state(rows: DataFrame, result: DataFrame | None, gamma: np.ndarray, size: int) -> DataFrame:
+def document_logits(result: DataFrame) -> DataFrame:
+    """(doc_id, eta, bound) of a stored result of inference."""
+    return result.where(F.col("kind") == "doc").select("doc_id", F.col("vec").alias("eta"), "bound")
+
+
+def with_state(rows: DataFrame, logits: DataFrame | None, gamma: np.ndarray, size: int) -> DataFrame:
     """Corpus rows with start logits and prior mean."""
     with_mean = rows.withColumn("mu", linear_map(F.col("x"), gamma.T.tolist()))
-    if result is None:
-        return with_mean.withColumn("eta", number_array([0.0] * size))
-    logits = result.where(F.col("kind") == "doc").select("doc_id", F.col("vec").alias("eta"))
+    zeros = number_array([0.0] * size)
+    if logits is None:
+        return with_mean.withColumn("eta", zeros)
     # Hash join per bucket: the wide corpus side is streamed, not sorted.
-    return with_mean.join(logits.hint("shuffle_hash"), "doc_id")
+    joined = with_mean.join(logits.select("doc_id", "eta").hint("shuffle_hash"), "doc_id", "left")
+    return joined.withColumn("eta", F.coalesce("eta", zeros))
