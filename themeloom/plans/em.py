@@ -118,9 +118,10 @@ def fit_corpus(
         sigma = prior_covariance(
             scatter_from_moments(moments, gamma), nu, corpus.documents, params.sigma_shrink
         )
-        updated = space.table(
-            topic_update(phi_by_aspect(result, params.topics), params.topics), f"topics_{number}"
-        )
+        # Stored first: scaling reads the sums twice, and they are one read of all documents' results.
+        phi = space.table(phi_by_aspect(result, params.topics), f"phi_{number}")
+        updated = space.table(topic_update(phi, params.topics), f"topics_{number}")
+        space.drop(f"phi_{number}")
         topics = Topics(updated, params.topics, corpus.terms)
         state = verdict(bounds, params.threshold, params.max_iterations)
         history.append((number, bounds[-1], state.gain))
