@@ -39,6 +39,16 @@ def test_rules_are_mined(spark, space):
     assert filter_urls(space, pages.limit(0), labels).count() == 0
 
 
+def test_rules_on_few_pages_are_noise(spark, space):
+    """Five of eight pages of a host are blocked, as a quarter of all are: no rule. All of nine are one."""
+    hosts = [("odd", 8, 5), ("farm", 9, 9), ("fine", 83, 11)]
+    rows = [(f"http://{h}.info/", k < blocked) for h, pages, blocked in hosts for k in range(pages)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id BIGINT, url STRING")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "page_id BIGINT, blocked BOOLEAN")
+    found = filter_urls(space, pages, labels, UrlParams(given=())).collect()
+    assert {r["host"] for r in found if r["verdict"] == "block"} == {"farm.info"}
+
+
 def brute(vectors, labels, cosine=0.93):
     links = [set() for _ in vectors]
     for a in range(len(vectors)):

@@ -30,12 +30,14 @@ GIVEN = (
 @dataclass(frozen=True)
 class UrlParams:
     """A rule needs ``support`` as a share of the labelled pages, ``least`` of them in any case;
-    ``confidence`` is the share of blocked ones among those that hold its tokens. The share bounds the
-    rules: at most one over it times the tokens of a page are frequent tokens."""
+    ``confidence`` is the share of blocked ones among those that hold its tokens. It must exceed the share
+    among all by chance's reach: so many standard deviations (``certainty``, a Wilson bound), or a rule on
+    few pages would be noise. The share bounds the rules: at most one over it times the tokens of a page are frequent tokens."""
 
     support: float = 0.005
     least: int = 5
     confidence: float = 0.5
+    certainty: float = 3.0
     most_tokens: int = 3
     given: tuple[tuple[str, str, str], ...] = GIVEN
 
@@ -81,6 +83,10 @@ def mine_rules(space: Workspace, labelled: DataFrame, params: UrlParams) -> Data
     share = min(1.0, max(params.support, params.least / max(labels, 1)))
     model = FPGrowth(minSupport=share, minConfidence=params.confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BLOCKED))
+    # Pages with the tokens, and the lower end of what share of them may be blocked in truth.
+    p, n, z = F.col("confidence"), F.col("support") * labels / F.col("confidence"), params.certainty
+    lower = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    rules = rules.where(lower > p / F.col("lift"))
     rules = rules.where(F.size("antecedent") <= params.most_tokens).select(
         F.sort_array("antecedent").alias("tokens"), "confidence"
     )
