@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from corpus_pipeline import STAGES
 from themeloom.llm.components import components
 from themeloom.llm.language import LanguageParams, fit_languages, predict_languages
 from themeloom.llm.licenses import scan_licenses
-from themeloom.llm.lm import Filter, LmParams, levels, lm_scores
+from themeloom.llm.lm import Filter, LmParams, levels, lm_scores, typical
 from themeloom.llm.mixing import MixParams, mix
 from themeloom.llm.ngram_join import JoinParams, ngram_join
 from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
@@ -186,6 +187,24 @@ def test_scores(space, odd):
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in nothing)
 
 
+def test_scores_know_what_was_seen_once(space, documents):
+    """More text than one range of the filter holds: words and pairs seen once still count."""
+    texts = {k: [f"w{k}x{i}" for i in range(200)] + ["the", "end"] for k in range(60)}
+    params = LmParams(bits=1 << 12, frequent=4)
+    found = lm_scores(space, documents([(k, " ".join(t), "en", "a") for k, t in texts.items()]), F.lit(True), params).collect()
+    every = [[None, *t, None] for t in texts.values()]
+    words = Counter(w for t in every for w in t[1:])
+    pairs = Counter(p for t in every for p in zip(t, t[1:]))
+    middle = lambda n: float(typical(levels(np.array([n])))[0])
+    total = sum(words.values()) + len(words) + 1
+    wanted = 0.0
+    for (a, b), n in pairs.items():
+        both, own = middle(n), (middle(words[b]) + 1) / total
+        wanted += n * np.log10((both + params.prior * own) / (max(middle(words[a]), both) + params.prior))
+    # A false entry raises a level of some of the words and pairs.
+    assert sum(r["score"] for r in found) == pytest.approx(wanted, rel=0.05)
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     names = rng.integers(0, 2**64, 20_000, np.uint64)

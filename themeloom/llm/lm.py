@@ -2,9 +2,13 @@
 
 Counts of words and word pairs are taken over all training documents and quantised to levels, a
 level for each doubling. The filter holds one entry per n-gram and level up to its own, so a
-count is read by probing level after level until one misses. The filter has a fixed number of
-bits and goes to every worker. How far down the levels it reaches follows from the counts:
-it starts at the lowest level from which all entries fit.
+count is read by probing level after level until one misses. All n-grams are in it, down to
+those seen once: it is cut into ranges of hashes, each as large as its entries need, and more
+text makes more ranges, not larger ones.
+
+The filter goes to no worker as a whole. A chunk of rows sends each of its n-grams once, with its
+number in training texts, to the range it falls in; there the numbers are summed, the range's
+filter is built and read, and the levels come back to the chunk.
 
 The exact word counts that the base score needs stay in a table. The frequent ones are sent
 along, all others are joined.
@@ -20,19 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.words import hash_words, lower_words, mixed, signed, text_batches
+from themeloom.llm.words import TEXT_BATCH, hash_words, lower_words, mixed, signed, text_batches
 from themeloom.workspace import Workspace
 
 _END = np.uint64(0xE2D0F4C7A5B39186)   # stands for the end of a document, also before its first word
-_PARTS = 64                            # the filter is built in parts, by the first bits of the hash
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LEVELS = 64                           # above the level of any count
+_SENT = 5                              # bytes of a hash that are sent, besides its range
 
 
 @dataclass(frozen=True)
 class LmParams:
-    """``bits`` bounds the filter, ``frequent`` the exact counts sent to workers. ``hashes`` bits
-    are set per entry. ``prior`` is the weight of the word's own probability against its count after
-    the word before. Pairs are merged in groups of about ``group_bytes`` of text each."""
+    """``bits`` bounds one range of the filter, ``frequent`` the exact counts sent to workers.
+    ``hashes`` bits are set per entry. ``prior`` is the weight of the word's own probability against
+    its count after the word before. A range holds the n-grams of about ``group_bytes`` of text."""
 
     bits: int = 1 << 27
     hashes: int = 4
@@ -80,26 +85,30 @@ class Filter:
     hashes: int
     lowest: int
 
-    def places(self, hashes: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        """Bits of an entry: the part follows from the first bits of the hash."""
-        size = np.uint64(len(self.bits) * 8 // _PARTS)
-        first = mixed(hashes + _step(level))
-        second = mixed(first) | np.uint64(1)
-        part = (hashes >> np.uint64(58)) * size
-        for _ in range(self.hashes):
-            yield part + first % size
-            first = first + second
+    @classmethod
+    def of(cls, names: np.ndarray, level: np.ndarray, hashes: int) -> Filter:
+        """The filter of all levels from 1, with as many bits as its entries need."""
+        size = max(1, math.ceil(int(level.sum()) * hashes / math.log(2) / 8))
+        whole = cls(np.zeros(size, np.uint8), hashes, 1)
+        whole.insert(names, level)
+        return whole
 
     def insert(self, hashes: np.ndarray, level: np.ndarray) -> None:
+        size = np.uint64(len(self.bits) * 8)
+        flags = np.zeros(int(size), bool)
         for j in range(self.lowest, int(level.max(initial=0)) + 1):
-            for place in self.places(hashes[level >= j], j):
-                np.bitwise_or.at(self.bits, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+            first = mixed(hashes[level >= j] + _step(j))
+            second = mixed(first) | np.uint64(1)
+            for _ in range(self.hashes):
+                flags[first % size] = True
+                first = first + second
+        np.bitwise_or(self.bits, np.packbits(flags, bitorder="little"), out=self.bits)
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """The last of the unbroken run of levels that the filter holds; 0 if it holds none."""
         found = np.zeros(len(hashes), np.int64)
         alive, j = np.arange(len(hashes)), self.lowest
-        while len(alive):
+        while len(alive) and j < _LEVELS:
             alive = self._holding(hashes, alive, j)
             found[alive] = j
             j += 1
@@ -107,14 +116,13 @@ class Filter:
 
     def _holding(self, hashes: np.ndarray, alive: np.ndarray, level: int) -> np.ndarray:
         """Those of ``alive`` whose entry of a level has all its bits set; a missing bit ends the search."""
-        size = np.uint64(len(self.bits) * 8 // _PARTS)
+        size = np.uint64(len(self.bits) * 8)
         first = mixed(hashes[alive] + _step(level))
         second = mixed(first) | np.uint64(1)
-        part = (hashes[alive] >> np.uint64(58)) * size
         for _ in range(self.hashes):
-            place = part + first % size
+            place = first % size
             keep = ((self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            alive, first, second, part = alive[keep], first[keep] + second[keep], second[keep], part[keep]
+            alive, first, second = alive[keep], first[keep] + second[keep], second[keep]
         return alive
 
 
@@ -147,125 +155,78 @@ def _counted(names: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 _BLOB = "bucket INT, names BINARY, counts BINARY"
 
 
-def _blobs(names: np.ndarray, counts: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Sorted hashes and their counts, cut by the first bits of the hash."""
-    shift = np.uint64(64 - groups.bit_length() + 1)
-    bucket = (names >> shift).astype(np.int64) if groups > 1 else np.zeros(len(names), np.int64)
-    ends = np.searchsorted(bucket, np.arange(groups + 1))
-    full = [g for g in range(groups) if ends[g + 1] > ends[g]]
-    cut = lambda values: pa.array([values[ends[g] : ends[g + 1]].tobytes() for g in full], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(names), cut(counts.astype("<u4"))], ["bucket", "names", "counts"])
+def asked(stream: np.ndarray) -> np.ndarray:
+    """Hashes of a stream's words, of its pairs, and of the end, which is before the first word."""
+    return np.concatenate([word_hashes(stream), pair_hashes(stream), word_hashes(np.full(1, _END))])
 
 
-def count_pairs(docs: DataFrame, groups: int) -> DataFrame:
-    """(bucket, names, counts): hashes of the pairs of a bucket in order, and their numbers. A task
-    sends one packed row per bucket, so frequent pairs weigh no more than others."""
+def find_levels(chunks: DataFrame, groups: int, hashes: int) -> DataFrame:
+    """(chunk, bucket, levels): the levels of a chunk's n-grams in a range of hashes, in the order
+    of the hashes, as bytes. Counts are those of the rows with ``train``."""
+    shift = np.uint64(64 - groups.bit_length() + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(pair_hashes(tokens(batch.column("text").to_pylist())[0]))
-            size += len(held[-1])
-            if size > 2_000_000:
-                yield _blobs(*np.unique(np.concatenate(held), return_counts=True), groups)
-                held, size = [], 0
-        if size:
-            yield _blobs(*np.unique(np.concatenate(held), return_counts=True), groups)
-
-    def add(table: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("names")]
+    def send(table: pa.Table) -> pa.Table:
+        stream, starts = tokens(table.column("text").to_pylist())
+        trained = np.repeat(table.column("train").to_numpy().astype(bool), np.diff(starts))
+        names, place = np.unique(asked(stream), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([trained, trained, [False]]), len(names)).astype("<u4")
+        ends = np.searchsorted(names >> shift, np.arange(groups + 1, dtype=np.uint64))
+        full = [g for g in range(groups) if ends[g + 1] > ends[g]]
+        short = np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT])
+        cut = lambda values: pa.array([values[ends[g] : ends[g + 1]].tobytes() for g in full], pa.binary())
+        chunk = pa.array([table.column("chunk")[0].as_py()] * len(full), pa.int64())
+        return pa.table([chunk, pa.array(full, pa.int32()), cut(short), cut(counts)], names=["chunk", "bucket", "names", "counts"])
+
+    def look(table: pa.Table) -> pa.Table:
         counts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")]
-        found, n = _merged(names, counts)
-        columns = [table.column("bucket").slice(0, 1).combine_chunks(), pa.array([found.tobytes()]), pa.array([np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes()])]
-        return pa.table(columns, names=["bucket", "names", "counts"])
-
-    return docs.select("text").mapInArrow(run, _BLOB).groupBy("bucket").applyInArrow(add, _BLOB)
-
+        ends = np.cumsum([0, *map(len, counts)])
+        names = np.zeros((ends[-1], 8), np.uint8)
+        for k, blob in enumerate(table.column("names")):
+            names[ends[k] : ends[k + 1], :_SENT] = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, _SENT)
+        found, place = np.unique(names.view("<u8").ravel(), return_inverse=True)
+        n = np.bincount(place, np.concatenate(counts), len(found))
+        own = Filter.of(found[n > 0], levels(n[n > 0]), hashes)
+        level = own.level(found).astype(np.uint8)[place]
+        blobs = pa.array([level[ends[k] : ends[k + 1]].tobytes() for k in range(len(counts))], pa.binary())
+        return pa.table([table.column("chunk"), table.column("bucket"), blobs], names=["chunk", "bucket", "levels"])
 
-def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and levels, of packed pairs or of rows of words."""
-    if "word" in batch.schema.names:
-        words = batch.column("word").to_numpy(zero_copy_only=False).view(np.uint64)
-        yield word_hashes(words), levels(batch.column("n").to_numpy(zero_copy_only=False))
-        return
-    for names, counts in zip(batch.column("names"), batch.column("counts")):
-        yield np.frombuffer(names.as_buffer(), "<u8"), levels(np.frombuffer(counts.as_buffer(), "<u4"))
-
-
-def build_filter(words: DataFrame, pairs: DataFrame, params: LmParams) -> Filter:
-    """The filter of all counts whose level is high enough to fit. The driver receives its bits."""
-
-    def heights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(72, np.int64)
-        for batch in batches:
-            for _, level in _arrays(batch):
-                total += np.bincount(level, minlength=72)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(72)), pa.array(total)], ["level", "n"])
-
-    found = [df.mapInArrow(heights, "level BIGINT, n BIGINT").groupBy("level").agg(F.sum("n").alias("n")) for df in (words, pairs)]
-    n_of = np.zeros(72, np.int64)
-    for row in found[0].unionByName(found[1]).collect():
-        n_of[row["level"]] += row["n"]
-    above = np.cumsum(n_of[::-1])[::-1]            # n-grams of a level or higher
-    entries = np.cumsum(above[::-1])[::-1]         # entries if the filter starts at that level
-    room = params.bits * math.log(2) / params.hashes
-    lowest = next(j for j in range(1, 72) if entries[j] <= room)
-    bits, hashes = params.bits, params.hashes
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(np.zeros(bits // 8, np.uint8), hashes, lowest)
-        for batch in batches:
-            for names, level in _arrays(batch):
-                own.insert(names[level >= lowest], level[level >= lowest])
-        size = bits // 8 // _PARTS
-        full = [k for k in range(_PARTS) if own.bits[k * size : (k + 1) * size].any()]
-        parts = pa.array([own.bits[k * size : (k + 1) * size].tobytes() for k in full], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), parts], ["part", "bits"])
-
-    def either(table: pa.Table) -> pa.Table:
-        both = np.zeros(bits // 8 // _PARTS, np.uint8)
-        for part in table.column("bits"):
-            both |= np.frombuffer(part.as_buffer(), np.uint8)
-        return pa.table([table.column("part").slice(0, 1).combine_chunks(), pa.array([both.tobytes()])], names=["part", "bits"])
-
-    schema = "part INT, bits BINARY"
-    filled = words.mapInArrow(fill, schema).unionByName(pairs.mapInArrow(fill, schema))
-    whole = Filter(np.zeros(bits // 8, np.uint8), hashes, lowest)
-    size = bits // 8 // _PARTS
-    for row in filled.groupBy("part").applyInArrow(either, schema).collect():
-        whole.bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return whole
+    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk BIGINT, bucket INT, names BINARY, counts BINARY")
+    return sent.groupBy("bucket").applyInArrow(look, "chunk BIGINT, bucket INT, levels BINARY")
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """The filter, and the exact ``counts`` of the ``frequent`` words (sorted hashes)."""
+    """The exact ``counts`` of the ``frequent`` words (sorted hashes), and what all words sum to."""
 
-    filter: Filter
     frequent: np.ndarray
     counts: np.ndarray
     tokens: int
     types: int
     prior: float
 
-    def probabilities(self, stream: np.ndarray) -> np.ndarray:
+    def probabilities(self, stream: np.ndarray, level: np.ndarray) -> np.ndarray:
         """log10 probability of every token after the one before it: its count there and its own
-        probability, weighed by how often the word before was seen. All counts come from the filter."""
-        names, place = np.unique(np.concatenate([[_END], stream]), return_inverse=True)
-        seen = typical(self.filter.level(word_hashes(names)))[place]
+        probability, weighed by how often the word before was seen. All counts come from the
+        filter: ``level`` has those of what the stream asked for."""
+        names = np.unique(asked(stream))
+        count = typical(level)
+        seen = count[np.searchsorted(names, word_hashes(np.concatenate([[_END], stream])))]
         own = (seen[1:] + 1) / (self.tokens + self.types + 1)
-        both = typical(self.filter.level(pair_hashes(stream)))
+        both = count[np.searchsorted(names, pair_hashes(stream))]
         before = np.maximum(seen[:-1], both)
         return np.log10((both + self.prior * own) / (before + self.prior))
 
 
-def train(space: Workspace, docs: DataFrame, params: LmParams) -> tuple[LanguageModel, DataFrame]:
-    """The model of the texts (a binary column ``text``), and the table (word, n) of exact counts."""
-    words = space.table(count_words(docs), "words")
+def train(space: Workspace, docs: DataFrame, params: LmParams) -> tuple[LanguageModel, DataFrame, int]:
+    """The model of the training rows (binary ``text``, ``train``), the table (word, n) of exact
+    counts, and the number of ranges of the filter."""
+    words = space.table(count_words(docs.where("train")), "words")
     facts = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = 1 << max(2, math.ceil(math.log2(max(1, size / params.group_bytes))))
-    pairs = space.table(count_pairs(docs, groups), "pairs")
+    total = facts[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # of all texts: they are looked up too
+    # An n-gram has no more levels than its count, so a token makes two entries at most.
+    most = 2 * total * params.hashes / math.log(2)
+    groups = 1 << max(2, math.ceil(math.log2(max(1, size / params.group_bytes, most / params.bits))))
     # Exact counts from the lowest level that leaves no more than ``frequent`` words.
     level = F.length(F.bin("n"))
     n_of = {r["level"]: r["n"] for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -273,10 +234,8 @@ def train(space: Workspace, docs: DataFrame, params: LmParams) -> tuple[Language
     head = words.where(level >= least).toPandas()
     names = head["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
-    model = LanguageModel(
-        build_filter(words, pairs, params), names[order], head["n"].to_numpy(np.int64)[order], facts[0] or 0, facts[1], params.prior
-    )
-    return model, words
+    model = LanguageModel(names[order], head["n"].to_numpy(np.int64)[order], total, facts[1], params.prior)
+    return model, words, groups
 
 
 _TAIL = pa.struct([("word", pa.int64()), ("m", pa.int64())])
@@ -293,49 +252,56 @@ def lm_scores(
     """
     space = space.part()
     docs = text_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), training.alias("train"))
-    model, words = train(space, docs.where("train").select("text"), params)
+    model, words, groups = train(space, docs, params)
     # Plain data: workers need no copy of this package to read it.
-    held = model.filter
-    parts = (held.bits, held.hashes, held.lowest), (model.frequent, model.counts, model.tokens, model.types, model.prior)
+    parts = model.frequent, model.counts, model.tokens, model.types, model.prior
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     total, known_types = model.tokens, model.types
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = LanguageModel(Filter(*shared.value[0]), *shared.value[1])
-        for batch in batches:
-            stream, starts = tokens(batch.column("text").to_pylist())
-            ends = starts[:-1]
-            found = np.searchsorted(lm.frequent, stream)
-            found[found == len(lm.frequent)] = 0
-            known = lm.frequent[found] == stream if len(lm.frequent) else np.zeros(len(stream), bool)
-            counts = lm.counts[found[known]] if len(lm.frequent) else np.zeros(0)
-            base = np.zeros(len(stream))
-            base[known] = np.log10((counts + 1) / (lm.tokens + lm.types + 1))
-            doc = np.repeat(np.arange(len(ends)), np.diff(starts))[~known]
-            order = np.lexsort((stream[~known], doc))
-            doc, rest = doc[order], stream[~known][order]
-            new = np.ones(len(rest), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rest)))
-            tail = pa.StructArray.from_arrays([pa.array(signed(rest[first])), pa.array(times.astype(np.int64))], fields=list(_TAIL))
-            cuts = np.searchsorted(doc[first], np.arange(len(ends) + 1))
-            add = lambda values: np.add.reduceat(values, ends) if len(ends) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(starts)),
-                    pa.array(add(known.astype(np.int64)).astype(np.int64)),
-                    pa.array(add(base)),
-                    pa.array(add(lm.probabilities(stream))),
-                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), tail),
-                ],
-                ["doc_id", "n_tokens", "n_known", "base", "score", "tail"],
-            )
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        lm = LanguageModel(*shared.value)
+        stream, starts = tokens(texts.column("text").to_pylist())
+        ends = starts[:-1]
+        answers = answers.sort_by("bucket")
+        level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
+        found = np.searchsorted(lm.frequent, stream)
+        found[found == len(lm.frequent)] = 0
+        known = lm.frequent[found] == stream if len(lm.frequent) else np.zeros(len(stream), bool)
+        counts = lm.counts[found[known]] if len(lm.frequent) else np.zeros(0)
+        base = np.zeros(len(stream))
+        base[known] = np.log10((counts + 1) / (lm.tokens + lm.types + 1))
+        doc = np.repeat(np.arange(len(ends)), np.diff(starts))[~known]
+        order = np.lexsort((stream[~known], doc))
+        doc, rest = doc[order], stream[~known][order]
+        new = np.ones(len(rest), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(rest)))
+        tail = pa.StructArray.from_arrays([pa.array(signed(rest[first])), pa.array(times.astype(np.int64))], fields=list(_TAIL))
+        cuts = np.searchsorted(doc[first], np.arange(len(ends) + 1))
+        add = lambda values: np.add.reduceat(values, ends) if len(ends) else np.zeros(0)
+        return pa.table(
+            [
+                texts.column("doc_id"),
+                texts.column("rid"),
+                pa.array(np.diff(starts)),
+                pa.array(add(known.astype(np.int64)).astype(np.int64)),
+                pa.array(add(base)),
+                pa.array(add(lm.probabilities(stream, level))),
+                pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), tail),
+            ],
+            names=["doc_id", "rid", "n_tokens", "n_known", "base", "score", "tail"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, tail ARRAY<STRUCT<word: BIGINT, m: BIGINT>>"
-    scored = docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id())
+    schema = f"doc_id {kind}, rid BIGINT, n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, tail ARRAY<STRUCT<word: BIGINT, m: BIGINT>>"
+    # A chunk is TEXT_BATCH rows of one task. Both uses read one exchange.
+    rid = F.col("rid")
+    chunk = rid - rid.bitwiseAND(F.lit((1 << 33) - 1)) % TEXT_BATCH
+    chunks = docs.withColumn("train", F.coalesce("train", F.lit(False))).withColumn("rid", F.monotonically_increasing_id())
+    chunks = chunks.withColumn("chunk", chunk)
+    answers = find_levels(chunks, groups, params.hashes)
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
     scored = space.table(scored, "scored")
     shared.destroy()
     rare = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.m").join(words, "word", "left")
