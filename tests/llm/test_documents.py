@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import STAGES
 from themeloom.llm.components import components
 from themeloom.llm.language import LanguageParams, fit_languages, predict_languages
-from themeloom.llm.licenses import scan_licenses
+from themeloom.llm.licenses import SENTENCES, scan_licenses
 from themeloom.llm.lm import Filter, LmParams, levels, lm_scores, typical
 from themeloom.llm.mixing import MixParams, mix
 from themeloom.llm.ngram_join import JoinParams, ngram_join
@@ -235,6 +235,34 @@ def test_licenses(documents):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def branches(parsed):
+    """A sentence for every way through a parsed pattern."""
+    ways = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "SUBPATTERN":
+            more = branches(value[-1])
+        elif kind == "BRANCH":
+            more = [w for part in value[1] for w in branches(part)]
+        else:  # optional parts, and runs of any or of listed characters
+            inside = value[2]
+            more = ["x y"] if str(inside[0][0]) == "ANY" else ["4.0"] if str(inside[0][0]) == "IN" else ["", *branches(inside)]
+        ways = [w + m for w in ways for m in more]
+    return ways
+
+
+def test_every_branch_of_licenses(documents):
+    patterns = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+    said = sorted({w.strip() for _, p in SENTENCES for w in branches(re._parser.parse(p))})
+    wanted = {w: next((name for name, p in patterns if p.fullmatch(w)), None) for w in said}
+    texts = [f"Some prose. {w.replace(' ', '  ').capitalize()}." for w in said]
+    found = scan_licenses(documents([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {said[r["doc_id"]]: [*r["sentences"], None][0] for r in found} == wanted
+    assert sum(w is not None for w in wanted.values()) > 500
+
+
 def test_empty_tables_and_stages(spark, documents, odd):
     """Every stage of the pipeline, on no rows and on odd ones."""
     for name, stage in STAGES:

@@ -58,8 +58,10 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("All-Rights-Reserved", ("AllRights",)),
 )
 
-#: A sentence without one of these can't be a known one: it is not normalised at all.
+#: Words that the SQL of the check looks for; they miss some known sentences.
 CUE = "(?i)licen[sc]e|permission|redistribution|endorse|warrant|rights reserved|public domain|cc0|mozilla"
+#: Every known sentence has one of these, whatever stands between its words: others are not normalised.
+NEEDED = r"(?i)licen[sc]e|permission|redistribution|endorse|warrant|reserved|domain|cc0|mozilla|commons|cc[^a-z0-9.+-]+by"
 #: Sentences end at a line's end, or at a mark followed by white space or the end of the text.
 BREAK = r"\n+|(?<=[.!?;:])[ \t\r]+"
 
@@ -71,7 +73,7 @@ def normalised(sentence: Column) -> Column:
 
 def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    said = F.filter(F.split(text, BREAK), lambda s: s.rlike(CUE))
+    said = F.filter(F.split(text, BREAK), lambda s: s.rlike(NEEDED))
 
     def name(sentence: Column) -> Column:
         found = F.lit(None).cast("string")
@@ -102,7 +104,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     A null or empty text has no sentences. Repeated rows repeat; an empty table gives no rows.
     """
     read = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    named = read.select("doc_id", F.when(F.col("text").rlike(CUE), sentence_ids(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("sentences"))
+    named = read.select("doc_id", F.when(F.col("text").rlike(NEEDED), sentence_ids(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("sentences"))
     found, left = licenses_of(F.col("sentences"))
     named = named.select("doc_id", "sentences", found.alias("licenses"), left.alias("unmatched"))
     verdict = (
