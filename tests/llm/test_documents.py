@@ -263,6 +263,27 @@ def test_every_branch_of_licenses(documents):
     assert sum(w is not None for w in wanted.values()) > 500
 
 
+def test_wrapped_licenses(documents):
+    """Sentences over several lines, as in files, with comment marks and Windows line ends."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files, to deal\nin it."
+    bsd = (
+        "Redistributions of source code must retain\nthe above copyright notice.\nRedistributions in binary form must\nreproduce the above copyright notice.\n"
+        "Neither the name of the owner nor its contributors\nmay be used to endorse or promote\nproducts."
+    )
+    gpl = "Some title\nThis program is licensed under the GNU General Public\nLicense, version 3\n\nMore"
+    texts = [
+        mit, bsd, gpl, mit.replace("\n", "\n * "), "# " + bsd.replace("\n", "\n# "), ";; " + gpl.replace("\n", "\r\n;; "),
+        "Licensed under the MIT\n\nLicense", "All rights reserved\nLicensed under CC\nBY 4.0\nAll rights reserved", "Licensed under the MIT License and more",
+        "This file is released under the GNU General Public License, version 2\nor any later version.", mit.replace("to deal\nin it.", "etc") + "\nAll rights reserved",
+    ]
+    found = scan_licenses(documents([(i, t, "en", "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [list(r["licenses"]) for r in found] == [
+        ["MIT"], ["BSD-3-Clause"], ["GPL-3.0"], ["MIT"], ["BSD-3-Clause"], ["GPL-3.0"],
+        [], ["CC-BY", "All-Rights-Reserved"], [], ["GPL-2.0-or-later"], ["MIT", "All-Rights-Reserved"],
+    ]
+    assert list(found[7]["sentences"]) == ["AllRights", "CCBY", "AllRights"]
+
+
 def test_empty_tables_and_stages(spark, documents, odd):
     """Every stage of the pipeline, on no rows and on odd ones."""
     for name, stage in STAGES:

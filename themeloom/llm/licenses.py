@@ -1,7 +1,8 @@
 """Licence statements by known sentences and ordered rules.
 
-A text is cut into sentences, which are normalised and looked up among the known licence
-sentences. What remains of a text is the sequence of their identifiers; licence rules, in order,
+A text is normalised, with its line feeds and the ends of its sentences kept, and searched for the
+known licence sentences. One begins and ends with a line or a sentence, and may go on over single
+line feeds, as in wrapped files; comment marks before a line don't count. What remains of a text is the sequence of their identifiers; licence rules, in order,
 match parts of that sequence and use them up. Only SQL functions run here, inside each row: there
 is no exchange at all.
 """
@@ -62,18 +63,24 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 CUE = "(?i)licen[sc]e|permission|redistribution|endorse|warrant|rights reserved|public domain|cc0|mozilla"
 #: Every known sentence has one of these, whatever stands between its words: others are not normalised.
 NEEDED = r"(?i)licen[sc]e|permission|redistribution|endorse|warrant|reserved|domain|cc0|mozilla|commons|cc[^a-z0-9.+-]+by"
-#: Sentences end at a line's end, or at a mark followed by white space or the end of the text.
-BREAK = r"\n+|(?<=[.!?;:])[ \t\r]+"
+#: What a line may begin with besides words: comment marks, white space.
+_MARGIN = r"(?m)^[^A-Za-z0-9+\n]+"
+#: A sentence ends at a mark followed by white space, or at an empty line.
+_END = r"(?<=[.!?;:])[ \t\r\n]+|\n(?:[ \t\r]*\n)+"
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+-]+", " ")
-    return F.regexp_replace(plain, r"^[ .-]+|[ .-]+$", "")
+def normalised(text: Column) -> Column:
+    """Lower case, other characters as one space; a line feed where a line ends, a form feed where a
+    sentence does."""
+    plain = F.regexp_replace(F.translate(text, "\f", " "), _MARGIN, "")
+    plain = F.regexp_replace(F.lower(F.regexp_replace(plain, _END, "\f")), r"[^a-z0-9.+\n\f-]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"[ .-]*([\n\f])[ .-]*", "$1"), r"^[ .-]+|[ .-]+$", "")
 
 
 def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    said = F.filter(F.split(text, BREAK), lambda s: s.rlike(NEEDED))
+    wrapped = "|".join(pattern.replace(".*", r"[^\f]*?").replace(" ", r"[ \n]") for _, pattern in sentences)
+    said = F.regexp_extract_all(normalised(text), F.lit(rf"(?<![^\n\f])(?:{wrapped})(?![^\n\f])"), F.lit(0))
 
     def name(sentence: Column) -> Column:
         found = F.lit(None).cast("string")
@@ -81,7 +88,7 @@ def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCE
             found = F.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(identifier)).otherwise(found)
         return found
 
-    named = F.transform(F.transform(said, normalised), name)
+    named = F.transform(F.transform(said, lambda s: F.translate(s, "\n", " ")), name)
     return F.coalesce(F.filter(named, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
