@@ -249,6 +249,7 @@ def lm_scores(
     ``training`` is the condition that training rows meet. A null or empty text is its end alone.
     Repeated rows are scored, and counted, each. An empty table gives no rows; without training rows
     nothing is known and every count is 0.
+    ``docs`` is read more than once: store it first if its rows change from one reading to the next.
     """
     space = space.part()
     docs = text_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), training.alias("train"))
