@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import gram_of, matrix_of
+from helpers import gram_of, matrix_of
 from pyspark.sql import functions as F
 
 from themeloom import initialise, store_corpus
