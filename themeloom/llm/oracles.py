@@ -185,3 +185,104 @@ select conv_id, count(*) as n_turns,
     sum({len(START) + len(SPLIT) + len(END)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::bigint as formatted_chars
 from turns group by conv_id
 """
+
+# Windows are compared as texts of 13 words: a word holds no space.
+ORACLES["op11_repeated_passages"] = f"""
+with words as (
+    select doc_id, {_WORDS} as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from words, unnest(range(1, len(w) - 11)) as r(i)
+), firsts as (
+    select g, min(doc_id) as first from windows group by g
+), gone as (
+    select distinct doc_id, unnest(range(i, i + 13)) as place from windows join firsts using (g) where doc_id > first
+), places as (
+    select doc_id, list(place) as gone from gone group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
+    sha256(coalesce(array_to_string(list_transform(
+        list_filter(range(1, len(w) + 1), lambda k: not list_contains(coalesce(gone, []), k)), lambda k: w[k]), ' '), '')) as kept_sha256
+from words left join places using (doc_id)
+"""
+
+ORACLES["op12_source_divergence"] = f"""
+with docs as (
+    select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(
+        {_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w,
+        row_number() over () as rid from documents
+), tokens as (
+    select lang, source, rid, unnest(w) as term from docs
+), kept as (
+    select lang, term, count(*)::hugeint as total from tokens group by 1, 2 having count(distinct rid) >= 3
+), langs as (
+    select lang, count(*) as v, sum(total)::hugeint as n from kept group by 1
+), found as (
+    select lang, source, term, count(*)::hugeint as c from tokens semi join kept using (lang, term) group by 1, 2, 3
+), sums as (
+    select lang, source, sum(c)::hugeint as n from found group by 1, 2
+), sources as (
+    select distinct lang, source from docs
+), shares as (
+    select lang, s.source, k.term, coalesce(f.c, 0) as c,
+        1 + (1000000000 * (coalesce(f.c, 0) + 1)) // (coalesce(u.n, 0) + l.v) as p
+    from sources s join kept k using (lang) join langs l using (lang)
+    left join found f on f.lang = s.lang and f.source = s.source and f.term = k.term
+    left join sums u on u.lang = s.lang and u.source = s.source
+), base as (
+    select lang, term, 1 + (1000000000 * (total + 1)) // (n + v) as q from kept join langs using (lang)
+), pairs as (
+    select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+    from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3
+), parts as (
+    select s.lang, s.source, 'pair' as part, t.source as item, coalesce(p.value, 0) as value
+    from sources s join sources t on s.lang = t.lang and s.source <> t.source
+    left join pairs p on p.lang = s.lang and p.source = s.source and p.item = t.source
+    union all
+    select lang, source, 'term', term, ((p - q) * (p - q)) // q from shares join base using (lang, term) where c > 0 and p > q
+), ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+ORACLES["op13_filter_audit"] = f"""
+with judged as (
+    select d.doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {_WORDS} as w,
+        coalesce(l.good, 0) as good, coalesce(l.toxic, 0) as toxic
+    from documents d left join (
+        select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1) l using (doc_id)
+), failed as (
+    select part, good, toxic, [
+        len(w) < 50,
+        100 * len(list_distinct(w)) < 65 * len(w),
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) over (partition by t), false)] as f
+    from judged
+), cases as (
+    select part, f, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by part, f
+), letters as (
+    select unnest([1, 2, 3, 4, 5]) as i
+), orders as (
+    select [a.i, b.i, c.i, d.i, e.i] as o from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps as (
+    select array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') as filter_order, s.i as step, o[s.i] as i, o[1:s.i - 1] as before
+    from orders, letters s
+), told as (
+    select part, filter_order, step, i, n, good, toxic, f[i] as fails, len(list_filter(before, lambda k: f[k])) > 0 as gone,
+        len(list_filter(f, lambda x: x)) = 1 as alone
+    from cases, steps
+), audited as (
+    select part, filter_order, step, i,
+        sum(n) filter (not gone and not fails) as kept, sum(n) filter (fails and not gone) as removed,
+        sum(n) filter (fails and gone) as redundant, sum(n) filter (fails and alone) as unique_fails,
+        sum(good) filter (fails and not gone) as good_lost, sum(toxic) filter (fails and not gone) as toxic_lost
+    from told group by 1, 2, 3, 4
+)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+    coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+    coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+    sum(coalesce(removed, 0)) over (partition by part, i)::bigint as shapley
+from audited
+"""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.llm.chat import ChatParams, format_turns, read_back
+from themeloom.llm.divergence import audit_divergence
+from themeloom.llm.filter_audit import audit_filters
 from themeloom.llm.language import fit_languages, held_out, predict_languages
 from themeloom.llm.licenses import scan_licenses
 from themeloom.llm.lm import lm_scores
@@ -15,6 +17,7 @@ from themeloom.llm.near_vectors import near_vectors
 from themeloom.llm.ngram_join import ngram_join
 from themeloom.llm.packing import PackParams, pack
 from themeloom.llm.quality import quality_rules
+from themeloom.llm.repeats import remove_repeats
 from themeloom.llm.url_rules import filter_urls
 from themeloom.workspace import Workspace
 
@@ -123,3 +126,22 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = lm_scores(Workspace(spark), docs, ~held_out("doc_id", 7, 2))
     return found.withColumn("held_out", held_out("doc_id", 7, 2))
+
+
+@query
+def op11_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of windows that an earlier document has."""
+    left = remove_repeats(table(spark, folder, "documents"), ["doc_id"])
+    return left.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How every source differs from the others of its language, and its most telling terms."""
+    return audit_divergence(Workspace(spark), table(spark, folder, "documents"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters do to every source in all their orders."""
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
