@@ -39,7 +39,7 @@ class RepeatParams:
 
     window: int = 13
     block_bytes: int = 8 << 20
-    bucket_bytes: int = 24 << 20
+    bucket_bytes: int = 12 << 20
     phrase: int = 64
     automaton_words: int = 1 << 19
     piece_bytes: int = 1 << 20
@@ -100,22 +100,24 @@ def _numbers(raw: bytes, dtype, count: int) -> np.ndarray:
 
 
 def _packed(hashes: np.ndarray, docs: np.ndarray) -> bytes:
-    """Ascending hashes as differences, and the number of each one's document."""
-    steps = np.diff(hashes, prepend=np.uint64(0))
-    return zstandard.compress(_planes(steps) + _planes(docs.astype(np.uint16)), 1)
+    """Ascending hashes and each one's document; numbers that rise are kept as differences. Documents are
+    numbered within the message, so a message never holds more than its windows call for."""
+    ids, place = np.unique(docs, return_inverse=True)
+    steps = np.diff(hashes, prepend=np.uint64(0)), np.diff(ids, prepend=0), place.astype(np.uint16)
+    return zstandard.compress(b"".join(map(_planes, steps)), 1)
 
 
 def _unpacked(raw: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
     plain = zstandard.decompress(raw)
-    steps = _numbers(plain[: 8 * count], np.uint64, count)
-    return np.cumsum(steps, dtype=np.uint64), _numbers(plain[8 * count :], np.uint16, count)
+    steps, ids, place = plain[: 8 * count], plain[8 * count : -2 * count], plain[-2 * count :]
+    ids = np.cumsum(_numbers(ids, np.int64, len(ids) // 8))
+    return np.cumsum(_numbers(steps, np.uint64, count), dtype=np.uint64), ids[_numbers(place, np.uint16, count)]
 
 
 def _messages(block: int, docs: list[int], words: _Words, texts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """A row per bucket: each different window of these documents with its smallest document."""
-    ids, place = np.unique(np.array(docs, np.int64), return_inverse=True)
     hashes, size = words.windows(texts)
-    owner = np.repeat(place, size)
+    owner = np.repeat(np.array(docs, np.int64), size)
     order = np.lexsort((owner, hashes))
     hashes, owner = hashes[order], owner[order]
     first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
@@ -130,9 +132,8 @@ def _messages(block: int, docs: list[int], words: _Words, texts: list[np.ndarray
             pa.array([block] * len(rows), pa.int32()),
             pa.array([len(part) for _, part in rows], pa.int32()),
             pa.array([_packed(hashes[part], owner[part]) for _, part in rows], pa.binary()),
-            pa.array([ids.tobytes()] * len(rows), pa.binary()),
         ],
-        ["bucket", "block", "n", "windows", "docs"],
+        ["bucket", "block", "n", "windows"],
     )
 
 
@@ -167,10 +168,10 @@ def _sender(params: RepeatParams, buckets: int):
 def _earlier(table: pa.Table) -> pa.Table:
     """For a bucket: the windows of each block that an earlier document of another block has."""
     hashes, docs, blocks = [], [], []
-    for block, count, raw, ids in zip(*(table.column(c).to_pylist() for c in ("block", "n", "windows", "docs"))):
-        some, place = _unpacked(raw, count)
+    for block, count, raw in zip(*(table.column(c).to_pylist() for c in ("block", "n", "windows"))):
+        some, owner = _unpacked(raw, count)
         hashes.append(some)
-        docs.append(np.frombuffer(ids, np.int64)[place])
+        docs.append(owner)
         blocks.append(np.full(count, block, np.int32))
     hashes, docs, blocks = map(np.concatenate, (hashes, docs, blocks))
     order = np.argsort(hashes, kind="stable")
@@ -316,7 +317,7 @@ def remove_repeats(
     )
     # Both uses read the same columns, so that Spark sends the texts once.
     dealt = dealt.repartition(blocks, "block")
-    sent = dealt.mapInArrow(_sender(params, buckets), "bucket INT, block INT, n INT, windows BINARY, docs BINARY")
+    sent = dealt.mapInArrow(_sender(params, buckets), "bucket INT, block INT, n INT, windows BINARY")
     told = sent.groupBy("bucket").applyInArrow(_earlier, "block INT, windows BINARY")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     found = StructType.fromDDL("n_words BIGINT, n_removed BIGINT, spans ARRAY<STRUCT<start: INT, end: INT>>, kept_text STRING")
