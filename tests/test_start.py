@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from themeloom import initialise, store_corpus
 from themeloom.constants import SMALLEST_DOUBLE
 from themeloom.operators import anchors, recover
-from themeloom.operators.gram import gram, gram_row_sums, gram_upper, mirrored, term_sums
+from themeloom.operators.gram import gram, gram_profile, gram_row_sums, gram_upper, mirrored, normalised_norms, profile_of, term_sums
+from themeloom.operators.products import NormalisedGram
 
 
 @pytest.fixture
@@ -24,11 +25,49 @@ def test_gram_by_definition_in_every_layout(built, planted):
     wanted = gram_of(planted.counts)
     np.testing.assert_allclose(matrix_of(gram(built.rows, planted.terms), planted.terms), wanted, atol=1e-13)
     for cells in (50, 5000, 1 << 22):
-        sparse = mirrored(gram_upper(built.rows, planted.terms, dense_cells=0, sparse_cells=cells))
+        sparse = mirrored(gram_upper(built.rows, planted.terms, sparse_cells=cells))
         np.testing.assert_allclose(matrix_of(sparse, planted.terms), wanted, atol=1e-13)
     assert gram(built.rows, planted.terms).where("q = 0").count() == 0
 
 
+@pytest.mark.parametrize("stripe, hot", [(None, None), (1 << 23, 1 << 28), (1 << 19, 1 << 28), (1 << 19, 40000), (1 << 19, 1)])
+def test_profile_needs_no_gram(built, planted, stripe, hot):
+    wanted = gram_of(planted.counts)
+    profile = gram_profile(built.rows, planted.terms, stripe, hot, 0) if stripe else gram_profile(built.rows, planted.terms)
+    found = {r["i"]: r for r in profile.collect()}
+    assert len(found) == planted.terms
+    rows = [found[i] for i in range(planted.terms)]
+    np.testing.assert_array_equal([r["cells"] for r in rows], (wanted != 0).sum(axis=1))
+    np.testing.assert_allclose([r["s"] for r in rows], wanted.sum(axis=1), atol=1e-12)
+    np.testing.assert_allclose([r["r"] for r in rows], np.square(wanted).sum(axis=1), atol=1e-12)
+    same = {r["i"]: r for r in profile_of(gram(built.rows, planted.terms)).collect()}
+    np.testing.assert_allclose([same[i]["r"] for i in range(planted.terms)], [r["r"] for r in rows], atol=1e-12)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_products_need_no_gram(built, planted, limit):
+    """By a broadcast vector and by joins."""
+    q = gram_of(planted.counts)
+    q /= q.sum(axis=1, keepdims=True)
+    matrix = NormalisedGram(built.rows, gram_row_sums(built.rows), planted.terms, limit)
+    picks = [3, 50, 7]
+    np.testing.assert_allclose(matrix.dense_rows(picks), q[picks].T, atol=1e-13)
+    found = {r["term_id"]: r["products"] for r in matrix.row_by_anchor(picks).collect()}
+    np.testing.assert_allclose([found[i] for i in range(planted.terms)], q @ q[picks].T, atol=1e-13)
+
+
+@pytest.mark.parametrize("ahead", [1, 3, 32])
+def test_anchors_without_the_matrix(spark, space, built, planted, ahead):
+    sums = gram_row_sums(built.rows)
+    norms = normalised_norms(gram_profile(built.rows, planted.terms))
+    found = anchors.find_corpus_anchors(space, NormalisedGram(built.rows, sums, planted.terms), norms, 8, ahead)
+    q = gram_of(planted.counts)
+    q /= q.sum(axis=1, keepdims=True)
+    assert found.picks == deflated_picks(q, 8)
+    got = {r["term_id"]: r["products"] for r in found.products.collect()}
+    np.testing.assert_allclose([got[i] for i in range(planted.terms)], q @ q[found.picks].T, atol=1e-13)
+
+
 def test_gram_row_sums_need_no_gram(built, planted):
     wanted = gram_of(planted.counts).sum(axis=1)
     found = np.zeros(planted.terms)

@@ -1,7 +1,12 @@
-"""Term co-occurrence (Gram) matrix as cells (i, j, q); cells equal to 0 are absent."""
+"""Term co-occurrence (Gram) matrix as cells (i, j, q); cells equal to 0 are absent.
+
+``gram`` gives the cells. ``gram_profile`` gives number, sum and squared length of every row and keeps no
+cell; with the products of ``operators.products`` that is all that the search for anchors needs.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,29 +20,44 @@ from themeloom.operators.ragged import ragged
 
 DENSE_CELLS = 1 << 24   # cells of a task's dense sum: 128 MB
 SPARSE_CELLS = 1 << 22  # cells a task holds at most when the matrix is larger
+STRIP_CELLS = 1 << 18   # cells of a dense matrix that cross the network as one row
+STRIPE_PAIRS = 1 << 23  # pairs of terms that one stripe of columns adds up
+HOT_PAIRS = 1 << 28     # pairs of a column that is summed in many tasks
+DENSE_ROWS = 1024       # documents multiplied at once
 BATCH_ROWS = 1 << 16
 
 
-def gram_upper(
-    corpus: DataFrame,
-    terms: int,
-    tasks: int | None = None,
-    dense_cells: int = DENSE_CELLS,
-    sparse_cells: int = SPARSE_CELLS,
-) -> DataFrame:
-    """Cells with i <= j.
+def usable(corpus: DataFrame) -> DataFrame:
+    """Documents that add co-occurrences."""
+    return corpus.where(F.col("n") >= MIN_DOCUMENT_LENGTH).select("n", "term_ids", "counts")
+
+
+def gram(corpus: DataFrame, terms: int, tasks: int | None = None, dense_cells: int = DENSE_CELLS) -> DataFrame:
+    """All cells (i, j, q).
 
     Over documents of n >= 2 tokens: sum of c_i c_j / (n (n - 1)) off the diagonal and of
     c_i (c_i - 1) / (n (n - 1)) on it. Every task adds its documents into one partial
-    matrix and emits only its cells, so the shuffle carries one cell per task and term
-    pair at most, not one row per pair and document. Tasks stream their documents, so they
-    may be long: ``tasks`` caps their number and with it the number of partial cells. By
-    default there is one per core.
+    matrix and emits that, so the shuffle never carries one row per pair and document.
+    Tasks stream their documents, so they may be long: ``tasks`` caps their number and with it
+    what crosses the network. By default there is one per core.
     """
     tasks = tasks or corpus.sparkSession.sparkContext.defaultParallelism
-    usable = corpus.where(F.col("n") >= MIN_DOCUMENT_LENGTH).select("n", "term_ids", "counts")
-    add = _dense_partial(terms) if terms * terms <= dense_cells else _sparse_partial(terms, sparse_cells)
-    partial = usable.coalesce(tasks).mapInArrow(add, "i INT, j INT, q DOUBLE")
+    if terms * terms > dense_cells:
+        return mirrored(gram_upper(corpus, terms, tasks))
+    return _strips(corpus, terms, tasks).mapInArrow(_added_strips(terms, _strip_cells), "i INT, j INT, q DOUBLE")
+
+
+def _strips(corpus: DataFrame, terms: int, tasks: int) -> DataFrame:
+    """Every task's dense matrix in strips of rows; strips of the same rows lie together."""
+    strips = usable(corpus).coalesce(tasks).mapInArrow(_dense_partial(terms), "first INT, cells BINARY")
+    return strips.repartition("first").sortWithinPartitions("first")
+
+
+def gram_upper(corpus: DataFrame, terms: int, tasks: int | None = None, sparse_cells: int = SPARSE_CELLS) -> DataFrame:
+    """Cells with i <= j, for vocabularies whose matrix does not fit a task: the shuffle carries one
+    cell per task and term pair at most."""
+    tasks = tasks or corpus.sparkSession.sparkContext.defaultParallelism
+    partial = usable(corpus).coalesce(tasks).mapInArrow(_sparse_partial(terms, sparse_cells), "i INT, j INT, q DOUBLE")
     return partial.groupBy("i", "j").agg(F.sum("q").alias("q"))
 
 
@@ -49,8 +69,60 @@ def mirrored(upper: DataFrame) -> DataFrame:
     return upper.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def gram(corpus: DataFrame, terms: int, tasks: int | None = None) -> DataFrame:
-    return mirrored(gram_upper(corpus, terms, tasks))
+def gram_profile(
+    corpus: DataFrame,
+    terms: int,
+    stripe_pairs: int = STRIPE_PAIRS,
+    hot_pairs: int = HOT_PAIRS,
+    dense_cells: int = DENSE_CELLS,
+) -> DataFrame:
+    """(i, cells, s, r): number, sum and squared length of the cells of every row that has any. A matrix of up
+    to ``dense_cells`` is added up as in ``gram``. A larger one is never there as a whole:
+
+    The matrix is symmetric, so rows are columns. Columns are dealt to stripes by their term id, and a
+    document goes once to every stripe it has a term of. A task adds up one stripe at a time, as
+    sorted cells, hands on its three numbers per column and drops it: no cell crosses the network and
+    none is stored. Stripes grow in number with the pairs of terms, not in size.
+
+    A term that so many documents hold that its column alone has more than ``hot_pairs`` pairs is summed
+    where the documents are, and only the cells of those columns are shuffled.
+    """
+    schema = "i INT, cells BIGINT, s DOUBLE, r DOUBLE"
+    if terms * terms <= dense_cells:
+        tasks = corpus.sparkSession.sparkContext.defaultParallelism
+        return _strips(corpus, terms, tasks).mapInArrow(_added_strips(terms, _strip_profile), schema)
+    counted = usable(corpus).agg(F.sum(F.size("term_ids").cast("double") * F.size("term_ids"))).first()[0] or 0.0
+    hot: list[int] = []
+    if counted > hot_pairs:
+        width = F.transform("term_ids", lambda t: F.struct(t.alias("i"), F.size("term_ids").alias("w")))
+        loads = usable(corpus).select(F.inline(width)).groupBy("i").agg(F.sum("w").alias("w"))
+        hot = sorted(r["i"] for r in loads.where(F.col("w") > hot_pairs).select("i").collect())
+    stripes = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(counted / stripe_pairs))
+    stripe = F.explode(F.array_distinct(F.transform("term_ids", lambda t: t % F.lit(stripes))))
+    dealt = usable(corpus).select(stripe.alias("stripe"), "n", "term_ids", "counts")
+    dealt = dealt.repartition(stripes, "stripe").sortWithinPartitions("stripe")
+    profile = dealt.mapInArrow(_stripe_profiles(terms, stripes, hot), schema)
+    if not hot:
+        return profile
+    return profile.unionByName(profile_of(gram_rows(corpus, terms, hot)))
+
+
+def gram_rows(corpus: DataFrame, terms: int, picks: list[int]) -> DataFrame:
+    """The cells (i, j, q) of some rows: tasks add up their documents' first."""
+    partial = usable(corpus).mapInArrow(_some_rows(terms, picks), "i INT, j INT, q DOUBLE")
+    return partial.groupBy("i", "j").agg(F.sum("q").alias("q"))
+
+
+def profile_of(cells: DataFrame) -> DataFrame:
+    """The same from cells that are there already."""
+    return cells.groupBy("i").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("q").alias("s"), F.sum(F.col("q") * F.col("q")).alias("r")
+    )
+
+
+def normalised_norms(profile: DataFrame) -> DataFrame:
+    """(i, r): squared length of the rows divided by their sums."""
+    return profile.select("i", (F.col("r") / (F.col("s") * F.col("s"))).alias("r"))
 
 
 def gram_row_sums(corpus: DataFrame) -> DataFrame:
@@ -84,89 +156,202 @@ def normalised_gram(cells: DataFrame, row_sums: DataFrame, terms: int) -> DataFr
 Partial = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    for batch in batches:
+class Documents:
+    """Documents of a batch, their entries one after the other: ``ids``, ``counts``, ``doc`` (row of
+    each entry), ``starts`` and ``pairs`` = n (n - 1) per document."""
+
+    def __init__(self, batch: pa.RecordBatch):
         ids, starts = ragged(batch.column("term_ids"))
         counts, _ = ragged(batch.column("counts"))
-        lengths = batch.column("n").to_numpy()
-        for row, n in enumerate(lengths):
-            part = slice(starts[row], starts[row + 1])
-            yield ids[part], counts[part], n * (n - 1.0)
-
-
-def _cells(i: np.ndarray, j: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(q), BATCH_ROWS):
+        n = batch.column("n").to_numpy()
+        self.ids, self.counts = ids[starts[0] : starts[-1]].astype(np.int64), counts[starts[0] : starts[-1]]
+        self.starts, self.pairs = (starts - starts[0]).astype(np.int64), n * (n - 1.0)
+        self.doc = np.repeat(np.arange(len(n)), np.diff(self.starts))
+
+    def cells(self, ours: np.ndarray, terms: int, upper: bool, most: int = SPARSE_CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Key i terms + j and value of the pairs of the entries at the places ``ours`` with all entries of
+        their documents (``upper``: with those from their own on), ``most`` at a time or one entry's."""
+        first = ours if upper else self.starts[self.doc[ours]]
+        size = self.starts[self.doc[ours] + 1] - first
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(ours):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            part = size[at:stop]
+            left = np.repeat(ours[at:stop], part)
+            right = np.arange(len(left)) - np.repeat(ends[at:stop] - part - done, part) + np.repeat(first[at:stop], part)
+            value = self.counts[left] * (self.counts[right] - (left == right)) / self.pairs[self.doc[left]]
+            yield self.ids[left] * terms + self.ids[right], value
+            at = stop
+
+
+class _Sums:
+    """Cells summed so far, sorted by key; new ones wait until there are ``limit``."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.empty(0, np.int64), np.empty(0)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.new.append((keys, values))
+        self.waiting += len(keys)
+        if self.waiting >= self.limit:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, values = (np.concatenate(c) for c in zip((self.keys, self.values), *self.new))
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        sums = np.add.reduceat(values, first) if len(first) else values
+        kept = sums != 0.0
+        self.keys, self.values = keys[first][kept], sums[kept]
+        self.new, self.waiting = [], 0
+
+
+def _cells(keys: np.ndarray, values: np.ndarray, terms: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(values), BATCH_ROWS):
         part = slice(at, at + BATCH_ROWS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(i[part], pa.int32()), pa.array(j[part], pa.int32()), pa.array(q[part], pa.float64())],
+            [pa.array((keys[part] // terms).astype(np.int32)), pa.array((keys[part] % terms).astype(np.int32)), pa.array(values[part])],
             names=["i", "j", "q"],
         )
 
 
 def _dense_partial(terms: int) -> Partial:
+    """The task's matrix, in strips of rows."""
+    rows = max(1, STRIP_CELLS // terms)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, diagonal, seen = np.zeros((terms, terms)), np.zeros(terms), False
+        for batch in batches:
+            for at in range(0, batch.num_rows, DENSE_ROWS):
+                docs, seen = Documents(batch.slice(at, DENSE_ROWS)), True
+                dense = np.zeros((len(docs.pairs), terms))
+                dense[docs.doc, docs.ids] = docs.counts
+                total += dense.T @ (dense / docs.pairs[:, None])
+                # Apart, so that what cancels is exactly 0.
+                own = docs.counts * (docs.counts - 1.0) / docs.pairs[docs.doc]
+                diagonal += np.bincount(docs.ids, own, minlength=terms)
+        np.fill_diagonal(total, diagonal)
+        for at in range(0, terms if seen else 0, rows):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int32()), pa.array([total[at : at + rows].tobytes()], pa.binary())], names=["first", "cells"]
+            )
+
+    return add
+
+
+def _added_strips(terms: int, out: Callable[[int, np.ndarray, int], Iterator[pa.RecordBatch]]) -> Partial:
+    """What ``out`` makes of each strip, added up over the tasks."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((terms, terms))
-        for ids, counts, pairs in _documents(batches):
-            block = np.outer(counts / pairs, counts)
-            np.fill_diagonal(block, counts * (counts - 1.0) / pairs)
-            total[np.ix_(ids, ids)] += block
-        for i in range(terms):
-            j = i + np.flatnonzero(total[i, i:])
-            yield from _cells(np.full(len(j), i), j, total[i, j])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows of the matrix are short: hand them on in larger batches.
-        held, rows = [], 0
-        for batch in add(batches):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= BATCH_ROWS:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return merged
+        open_strip, total = -1, np.empty(0)
+        for batch in batches:
+            for first, raw in zip(batch.column("first").to_pylist(), batch.column("cells")):
+                values = np.frombuffer(raw.as_buffer())
+                if first == open_strip:
+                    total = total + values
+                    continue
+                yield from out(open_strip, total, terms)
+                open_strip, total = first, values
+        yield from out(open_strip, total, terms)
+
+    return add
+
+
+def _strip_cells(first: int, total: np.ndarray, terms: int) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(total)
+    yield from _cells(first * terms + at, total[at], terms)
+
+
+def _strip_profile(first: int, total: np.ndarray, terms: int) -> Iterator[pa.RecordBatch]:
+    rows = total.reshape(-1, terms)
+    cells = np.count_nonzero(rows, axis=1)
+    some = np.flatnonzero(cells)
+    columns = (first + some).astype(np.int32), cells[some], rows.sum(axis=1)[some], np.square(rows).sum(axis=1)[some]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "cells", "s", "r"])
 
 
 def _sparse_partial(terms: int, limit: int) -> Partial:
-    """For vocabularies whose matrix does not fit a task: sorted cells, merged with every
-    group of documents and emitted whenever ``limit`` of them are held."""
+    """Sorted cells, merged with every group of documents and emitted whenever ``limit`` of them are held."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(limit)
+        for batch in batches:
+            docs = Documents(batch)
+            for keys, values in docs.cells(np.arange(len(docs.ids)), terms, True, limit):
+                sums.add(keys, values)
+                if len(sums.keys) >= limit:
+                    yield from _cells(sums.keys, sums.values, terms)
+                    sums.clear()
+        sums.merge()
+        yield from _cells(sums.keys, sums.values, terms)
+
+    return add
+
+
+def _some_rows(terms: int, picks: list[int]) -> Partial:
+    """Partial cells of some rows."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.empty(0, np.int64), np.empty(0)
-        new_keys, new_sums, waiting = [], [], 0
-        for ids, counts, pairs in _documents(batches):
-            # Term ids are sorted inside a document. A document with many terms is taken
-            # in stripes of rows, so its pairs never stand in memory at once.
-            stripe = max(1, limit // max(1, len(ids)))
-            for at in range(0, len(ids), stripe):
-                rows = np.arange(at, min(at + stripe, len(ids)))
-                a, b = np.nonzero(rows[:, None] <= np.arange(len(ids))[None, :])
-                a = rows[a]
-                value = np.where(a == b, counts[a] * (counts[a] - 1.0), counts[a] * counts[b]) / pairs
-                new_keys.append(ids[a].astype(np.int64) * terms + ids[b])
-                new_sums.append(value)
-                waiting += len(value)
-                if waiting >= limit:
-                    keys, sums = _merge([keys, *new_keys], [sums, *new_sums])
-                    new_keys, new_sums, waiting = [], [], 0
-                    if len(keys) >= limit:
-                        yield from _cells(keys // terms, keys % terms, sums)
-                        keys, sums = np.empty(0, np.int64), np.empty(0)
-        keys, sums = _merge([keys, *new_keys], [sums, *new_sums])
-        yield from _cells(keys // terms, keys % terms, sums)
+        sums = _Sums(SPARSE_CELLS)
+        for batch in batches:
+            docs = Documents(batch)
+            for keys, values in docs.cells(np.flatnonzero(np.isin(docs.ids, picks)), terms, False):
+                sums.add(keys, values)
+                if len(sums.keys) >= SPARSE_CELLS:
+                    yield from _cells(sums.keys, sums.values, terms)
+                    sums.clear()
+        sums.merge()
+        yield from _cells(sums.keys, sums.values, terms)
 
     return add
 
 
-def _merge(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    all_keys, all_sums = np.concatenate(keys), np.concatenate(sums)
-    order = np.argsort(all_keys, kind="stable")
-    all_keys, all_sums = all_keys[order], all_sums[order]
-    first = np.flatnonzero(np.diff(all_keys, prepend=-1))
-    if not len(first):
-        return all_keys, all_sums
-    merged = np.add.reduceat(all_sums, first)
-    kept = merged != 0.0
-    return all_keys[first][kept], merged[kept]
+def _stripe_profiles(terms: int, stripes: int, hot: list[int]) -> Partial:
+    """Documents come by stripe; the columns of one stripe are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, open_stripe = _Sums(SPARSE_CELLS), -1
+        for batch in batches:
+            names = batch.column("stripe").to_numpy()
+            borders = [0, *(np.flatnonzero(np.diff(names)) + 1), len(names)]
+            for start, stop in zip(borders[:-1], borders[1:]):
+                if start == stop:
+                    continue
+                if names[start] != open_stripe:
+                    yield _column_profiles(sums, terms)
+                    sums.clear()
+                    open_stripe = names[start]
+                docs = Documents(batch.slice(start, stop - start))
+                ours = docs.ids % stripes == open_stripe
+                if hot:
+                    ours &= ~np.isin(docs.ids, hot)
+                for keys, values in docs.cells(np.flatnonzero(ours), terms, False):
+                    sums.add(keys, values)
+        yield _column_profiles(sums, terms)
+
+    return run
+
+
+def _column_profiles(sums: _Sums, terms: int) -> pa.RecordBatch:
+    sums.merge()
+    column, values = sums.keys // terms, sums.values
+    first = np.flatnonzero(np.diff(column, prepend=-1))
+    some = len(first) > 0
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(column[first].astype(np.int32)),
+            pa.array(np.diff(first, append=len(column)).astype(np.int64)),
+            pa.array(np.add.reduceat(values, first) if some else values),
+            pa.array(np.add.reduceat(values * values, first) if some else values),
+        ],
+        names=["i", "cells", "s", "r"],
+    )
