@@ -20,11 +20,12 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from themeloom.operators.anchors import Anchors, find_anchors
+from themeloom.operators.anchors import Anchors, find_corpus_anchors
 from themeloom.operators.corpus import corpus_rows, doc_terms, document_term, vocabulary
 from themeloom.operators.covariates import Design, design
 from themeloom.operators.estep import Prior, Topics, infer
-from themeloom.operators.gram import gram, gram_row_sums, normalised_gram
+from themeloom.operators.gram import gram_profile, gram_row_sums, normalised_norms
+from themeloom.operators.products import NormalisedGram
 from themeloom.operators.recover import simplex_weights
 from themeloom.params import FitParams
 from themeloom.plans.corpus import Corpus, build_corpus
@@ -35,7 +36,6 @@ from themeloom.workspace import Workspace
 SMOOTHING = 0.01
 PRECISION_DIAGONAL, PRECISION_OTHER = 0.05, 0.01
 ANCHORS = 3
-CHECK_SHARE = 0.02  # of the documents: terms whose pairs the co-occurrence queries are checked on
 
 
 def precision(size: int) -> np.ndarray:
@@ -95,17 +95,14 @@ class Given:
 
     # The model's documents, with all words.
 
-    def build(self, share: float) -> Corpus:
-        return build_corpus(self.space, self.documents.select("doc_id", "text"), share, self.design.table, self.aspects)
+    @cached_property
+    def corpus(self) -> Corpus:
+        return build_corpus(self.space, self.documents.select("doc_id", "text"), 0.0, self.design.table, self.aspects)
 
     def entries(self, corpus: Corpus, name: str) -> DataFrame:
         found = document_term(self.terms, corpus.vocab)
         return self.space.table(found.withColumn("cnt", F.col("cnt").cast("double")), name)
 
-    @cached_property
-    def corpus(self) -> Corpus:
-        return self.build(0.0)
-
     @property
     def vocab(self) -> DataFrame:
         return self.corpus.vocab.table
@@ -114,34 +111,24 @@ class Given:
     def triplets(self) -> DataFrame:
         return self.entries(self.corpus, "triplets")
 
-    # The same, with the terms that enough documents hold.
-
-    @cached_property
-    def pair_corpus(self) -> Corpus:
-        return self.build(CHECK_SHARE)
-
-    @property
-    def pair_vocab(self) -> DataFrame:
-        return self.pair_corpus.vocab.table
+    # Co-occurrences.
 
     @cached_property
-    def pair_triplets(self) -> DataFrame:
-        return self.entries(self.pair_corpus, "pair_triplets")
-
-    # Co-occurrences.
+    def profile(self) -> DataFrame:
+        return self.space.table(gram_profile(self.corpus.rows, self.corpus.terms), "profile")
 
     @cached_property
-    def gram(self) -> DataFrame:
-        return self.space.table(gram(self.pair_corpus.rows, self.pair_corpus.terms), "gram")
+    def matrix(self) -> NormalisedGram:
+        sums = self.space.table(gram_row_sums(self.corpus.rows), "row_sums")
+        return NormalisedGram(self.corpus.rows, sums, self.corpus.terms)
 
     @cached_property
-    def gram_normalised(self) -> DataFrame:
-        cells = normalised_gram(self.gram, gram_row_sums(self.pair_corpus.rows), self.pair_corpus.terms)
-        return self.space.table(cells, "gram_normalised")
+    def norms(self) -> DataFrame:
+        return self.space.table(normalised_norms(self.profile), "norms")
 
     @cached_property
     def anchors(self) -> Anchors:
-        return find_anchors(self.space, self.gram_normalised, ANCHORS, self.pair_corpus.terms)
+        return find_corpus_anchors(self.space, self.matrix, self.norms, ANCHORS)
 
     @cached_property
     def weights(self) -> DataFrame:

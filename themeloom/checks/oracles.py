@@ -4,6 +4,21 @@ from __future__ import annotations
 
 import re
 
+
+def _row(pick: str) -> str:
+    """The picked row of the normalised matrix."""
+    return f"""select u.term_id as j, sum(p.cnt * (u.cnt - (u.term_id = p.term_id)::int) * u.w) / any_value(s) as v
+        from usable p join usable u using (doc_id) join row_sum on row_sum.term_id = p.term_id
+        where p.term_id = (select i from {pick}) group by u.term_id"""
+
+
+def _product(vector: str, entry: str, name: str) -> str:
+    """Products of all rows of the normalised matrix with a vector over the terms j."""
+    return f"""select u.term_id as i, sum(u.w * u.cnt * (t - coalesce({entry}, 0))) / any_value(s) as {name}
+        from usable u join (select doc_id, sum(cnt * {entry}) as t from usable join {vector} on j = term_id group by doc_id) using (doc_id)
+        left join {vector} on j = u.term_id join row_sum on row_sum.term_id = u.term_id group by u.term_id"""
+
+
 # Named parts, in the order in which they may refer to each other.
 PARTS: dict[str, str] = {
     "lines": "select doc_id, unnest(string_split(text, chr(10))) as line from documents",
@@ -21,57 +36,58 @@ PARTS: dict[str, str] = {
         join documents using (doc_id) where n >= 2 and lang <> 'en' group by term_id""",
     "trip": "select doc_id, term_id, cnt::double as cnt from trip_all",
     "len": "select doc_id, sum(cnt) as n from trip group by doc_id",
-    # Terms that documents share, for pairs of terms.
-    "pair_vocab": "select * from words where df >= 2e-2 * (select count(*) from documents)",
-    "pair_trip": "select doc_id, term_id, cnt::double as cnt from terms join pair_vocab using (term)",
-    "pair_len": "select doc_id, sum(cnt) as n from pair_trip group by doc_id",
     "aspect_of": """select d.doc_id, coalesce(l.quality + 1, 0) as aspect
         from documents d left join labels l using (doc_id)""",
     "cov": """select doc_id, lang, (lang = 'de')::int::double as x1, (lang = 'en')::int::double as x2,
         (lang = 'es')::int::double as x3,
         (ln(1 + n_chars) - avg(ln(1 + n_chars)) over ()) / stddev_pop(ln(1 + n_chars)) over () as z
         from documents""",
-    # Co-occurrences.
-    "gram": """select a.term_id as i, b.term_id as j,
-        sum(case when a.term_id = b.term_id then a.cnt * (a.cnt - 1) else a.cnt * b.cnt end / (n * (n - 1))) as q
-        from pair_trip a join pair_trip b using (doc_id) join pair_len using (doc_id) where n >= 2
-        group by a.term_id, b.term_id having q <> 0""",
-    "row_sum": """select term_id, sum(cnt / n) as s from pair_trip join pair_len using (doc_id)
+    # Co-occurrences: cells are added up where they are summarised, the whole matrix is not kept.
+    "usable": "select doc_id, term_id, cnt, 1 / (n * (n - 1)) as w from trip join len using (doc_id) where n >= 2",
+    "profile": """select i, count(*) as cells, sum(q) as s, sum(q * q) as r from (
+        select a.term_id as i, sum(a.cnt * (b.cnt - (a.term_id = b.term_id)::int) * a.w) as q
+        from usable a join usable b using (doc_id) group by a.term_id, b.term_id having q <> 0) group by i""",
+    "row_sum": """select term_id, sum(cnt / n) as s from trip join len using (doc_id)
         where n >= 2 group by term_id""",
-    "gn": "select i, j, q / s as q from gram join row_sum on i = term_id",
-    "norms": "select i, sum(q * q) as r from gn group by i",
-    # Three anchors by orthogonal directions.
+    "norms": "select i, r / (row_sum.s * row_sum.s) as r from profile join row_sum on i = term_id",
+    # Three anchors by orthogonal directions. A row comes from the documents that hold its term, a product with
+    # a vector from one inner product per document.
     "pick1": "select i, r from norms order by round(r, 12) desc, i limit 1",
-    "row1": "select j, q as v from gn where i = (select i from pick1)",
+    "row1": _row("pick1"),
     "dir1": "select j, v / sqrt((select sum(v * v) from row1)) as b from row1",
-    "in1": "select i, sum(q * b) as c from gn join dir1 using (j) group by i",
+    "in1": _product("dir1", "b", "c"),
     "left1": """select i, r - coalesce(c, 0) * coalesce(c, 0) as r from norms left join in1 using (i)
         where i not in (select i from pick1)""",
     "pick2": "select i, r from left1 order by round(r, 12) desc, i limit 1",
+    "plain2": _row("pick2"),
     "row2": """select j, coalesce(q, 0) - coalesce((select c from in1 where i = (select i from pick2)), 0) * coalesce(b, 0) as v
-        from (select j, q from gn where i = (select i from pick2)) full join dir1 using (j)""",
+        from (select j, v as q from plain2) full join dir1 using (j)""",
     "dir2": "select j, v / sqrt((select sum(v * v) from row2)) as b from row2",
-    "in2": "select i, sum(q * b) as c from gn join dir2 using (j) group by i",
+    "in2": _product("dir2", "b", "c"),
     "left2": """select i, r - coalesce(c, 0) * coalesce(c, 0) as r from left1 left join in2 using (i)
         where i not in (select i from pick2)""",
     "pick3": "select i, r from left2 order by round(r, 12) desc, i limit 1",
     "anch": """select 1 as rank, i as term_id from pick1 union all select 2, i from pick2
         union all select 3, i from pick3""",
-    "anch_row": "select rank - 1 as k, j, q from gn join anch on i = term_id",
-    "prod": """select t.term_id, k.k, coalesce(p.v, 0) as v
-        from (select distinct i as term_id from gn) t, (select rank - 1 as k from anch) k
-        left join (select g.i, x.k, sum(g.q * x.q) as v from gn g join anch_row x using (j) group by g.i, x.k) p
-        on p.i = t.term_id and p.k = k.k""",
+    "plain3": _row("pick3"),
+    "prod0": _product("row1", "v", "v"),
+    "prod1": _product("plain2", "v", "v"),
+    "prod2": _product("plain3", "v", "v"),
+    "prod": """select t.i as term_id, k.k, coalesce(p.v, 0) as v from norms t cross join (select unnest(range(3)) as k) k
+        left join (select 0 as k, i, v from prod0 union all select 1, i, v from prod1 union all select 2, i, v from prod2) p
+        on p.i = t.i and p.k = k.k""",
     "crossed": "select a.rank - 1 as k1, p.k as k2, p.v from prod p join anch a using (term_id)",
     "target": """select term_id, sum(v) filter (k = 0) as y0, sum(v) filter (k = 1) as y1, sum(v) filter (k = 2) as y2
         from prod where term_id not in (select term_id from anch) group by term_id""",
+    # Terms with the same products have the same weights: each is sought once.
+    "aim": "select row_number() over () as aim_id, y0, y1, y2 from (select distinct y0, y1, y2 from target)",
     "xx": """select sum(v) filter (k1 = 0 and k2 = 0) as x00, sum(v) filter (k1 = 0 and k2 = 1) as x01,
         sum(v) filter (k1 = 0 and k2 = 2) as x02, sum(v) filter (k1 = 1 and k2 = 1) as x11,
         sum(v) filter (k1 = 1 and k2 = 2) as x12, sum(v) filter (k1 = 2 and k2 = 2) as x22 from crossed""",
-    "climb": """select term_id, 0 as it, 1e0 / 3 as w0, 1e0 / 3 as w1, 1e0 / 3 as w2, 200e0 as step,
-            'infinity'::double as size, false as done from target
+    "climb": """select aim_id, 0 as it, 1e0 / 3 as w0, 1e0 / 3 as w1, 1e0 / 3 as w2, 200e0 as step,
+            'infinity'::double as size, false as done from aim
         union all
-        select term_id, it + 1, case when taken then n0 else w0 end, case when taken then n1 else w1 end,
+        select aim_id, it + 1, case when taken then n0 else w0 end, case when taken then n1 else w1 end,
             case when taken then n2 else w2 end, case when taken then step else step / 2 end,
             case when taken then now else size end, taken and abs(size - now) < 1e-27
         from (
@@ -90,14 +106,14 @@ PARTS: dict[str, str] = {
                                 y0 - (w0 * x00 + w1 * x01 + w2 * x02) as g0,
                                 y1 - (w0 * x01 + w1 * x11 + w2 * x12) as g1,
                                 y2 - (w0 * x02 + w1 * x12 + w2 * x22) as g2
-                            from climb c join target using (term_id) cross join xx
+                            from climb c join aim using (aim_id) cross join xx
                             where it < 499 and not done)))))""",
-    "settled": """select term_id, arg_max(w0, it) as w0, arg_max(w1, it) as w1, arg_max(w2, it) as w2
-        from climb group by term_id""",
+    "settled": """select term_id, w0, w1, w2 from target join aim using (y0, y1, y2) join (
+            select aim_id, arg_max(w0, it) as w0, arg_max(w1, it) as w1, arg_max(w2, it) as w2 from climb group by aim_id) using (aim_id)""",
     "weight": """select term_id, 0 as topic, w0 as weight from settled union all select term_id, 1, w1 from settled
         union all select term_id, 2, w2 from settled union all
         select a.term_id, k.rank - 1, (a.rank = k.rank)::int::double from anch a, anch k""",
-    "probs": "select term_id, total / (select sum(total) from pair_vocab)::double as p from pair_vocab",
+    "probs": "select term_id, total / (select sum(total) from words)::double as p from words",
     "recovered": """select topic, term_id, weight * p / sum(weight * p) over (partition by topic) as prob
         from weight join probs using (term_id)""",
     # Given parameters.
@@ -265,6 +281,8 @@ PARTS |= {
 }
 
 M = "round({} * 1e6, 4)"  # in millionths
+# Lengths of rows are often short binary fractions, which lie on the border of decimal rounding: in units of 7e-6.
+S = "round({} * 1e6 / 7, 4)"
 
 FINAL: dict[str, str] = {
     "s1_triplets_nested": """select doc_id, count(*) as n_terms, min(term_id) as first_term, sum(cnt)::bigint as total
@@ -288,23 +306,27 @@ FINAL: dict[str, str] = {
     "c10_kept_terms": "select term_id from words join sum_foreign using (term_id)",
     "c11_drop_terms": """select term_id, total::bigint as total from words
         join sum_foreign using (term_id)""",
-    "c11_drop_cells": f"""with english as (select distinct term_id from pair_trip join documents using (doc_id) where lang = 'en')
-        select i, j, {M.format('q')} as q from gram
-        where i in (select term_id from english) and j in (select term_id from english)""",
+    "c11_drop_cells": f"""with kept as (select term_id from words join sum_foreign using (term_id) where df >= 2)
+        select i, count(*) as cells, {M.format('sum(q)')} as s from (
+            select a.term_id as i, sum(a.cnt * (b.cnt - (a.term_id = b.term_id)::int) * a.w) as q
+            from usable a join usable b using (doc_id)
+            where a.term_id in (select term_id from kept) and b.term_id in (select term_id from kept)
+            group by a.term_id, b.term_id having q <> 0) group by i""",
     "c12_dimensions": """select (select count(*) from documents) as documents, (select count(*) from words) as terms,
         (select sum(cnt) from trip)::bigint as tokens""",
-    "g1_gram": f"select i, j, {M.format('q')} as q from gram",
+    "g1_gram": f"select i, cells, {M.format('s')} as s, {S.format('r')} as r from profile",
     "g2_gram_row_sums": "select term_id, round(s, 6) as s from sum_all",
-    "g3_gram_normalised": f"select i, j, {M.format('q')} as q from gn",
-    "a1_row_norms": f"select i, {M.format('r')} as r from norms",
-    "a2_argmax_row": f"select i, {M.format('r')} as r from pick1",
+    "g3_gram_normalised": f"""select i, cells, {M.format('profile.s / row_sum.s')} as s, {S.format('r / (row_sum.s * row_sum.s)')} as r
+        from profile join row_sum on i = term_id""",
+    "a1_row_norms": f"select i, {S.format('r')} as r from norms",
+    "a2_argmax_row": f"select i, {S.format('r')} as r from pick1",
     "a3_anchors": "select rank::bigint as rank, term_id from anch",
     "r1_anchor_cross": f"select k1::bigint as k1, k2::bigint as k2, {M.format('v')} as v from crossed",
     "r2_row_by_anchor": f"select term_id, k::bigint as k, {M.format('v')} as v from prod",
     "r3_weights": "select term_id, topic::bigint as topic, round(weight, 6) as weight from weight",
     "r4_anchor_one_hot": """select v.term_id, k.rank::bigint - 1 as topic,
         round(case when a.rank is null then 1e0 / 3 when a.rank = k.rank then 1e0 else 0e0 end, 6) as weight
-        from pair_vocab v cross join anch k left join anch a on a.term_id = v.term_id""",
+        from words v cross join anch k left join anch a on a.term_id = v.term_id""",
     "r5_recover_topics": f"select topic::bigint as topic, term_id, {M.format('prob')} as prob from recovered",
     "r6_refill": f"""select topic::bigint as topic, term_id, prob > 0 and prob < 1e-300 as is_floor, {M.format('prob')} as prob
         from (select topic, term_id, p / sum(p) over (partition by topic) as prob
@@ -314,7 +336,9 @@ FINAL: dict[str, str] = {
     "i1_initial_state": "select doc_id, unnest(range(3)) as k, 0e0 as eta, 0e0 as mu from documents",
     "i1_topics_per_aspect": f"""select a.aspect, topic, term_id, {M.format('prob')} as prob
         from topic4 cross join (select unnest(range(3)) as aspect) a""",
-    "i2_initialise": f"select topic::bigint as topic, term_id, {M.format('prob')} as prob from recovered",
+    "i2_initialise": f"""select k.topic::bigint as topic, w.term_id, {M.format('coalesce(r.prob, 0)')} as prob
+        from words w cross join (select distinct topic from recovered) k
+        left join recovered r on r.term_id = w.term_id and r.topic = k.topic""",
     "e1_param_lookup": """select doc_id, aspect::bigint as aspect, k::bigint as k, round(eta, 6) as eta, round(mu, 6) as mu
         from eta4 join aspect_of using (doc_id)""",
     "e2_topic_slice": f"""select doc_id, term_id, cnt::bigint as cnt, topic, {M.format('prob')} as prob
@@ -385,7 +409,7 @@ FINAL: dict[str, str] = {
         union all select 'covariance', 1, 0, s01 from em2_moment union all select 'covariance', 1, 1, s11 from em2_moment)""",
     "p5_output": """select 'doc_topics' as table_name, count(*) as rows from documents
         union all select 'prior_mean', count(*) from documents
-        union all select 'topics', count(*) from pair_vocab union all select 'vocabulary', count(*) from pair_vocab
+        union all select 'topics', count(*) from words union all select 'vocabulary', count(*) from words
         union all select 'gamma', 15 union all select 'sigma', 9 union all select 'history', 2""",
 }
 

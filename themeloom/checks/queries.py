@@ -44,6 +44,12 @@ def tiny(name: str, source: str | None = None) -> Column:
     return rounded(name, 4, 1e6, source)
 
 
+def length(name: str) -> Column:
+    """Squared lengths of rows are often short binary fractions, which lie on the border of decimal rounding:
+    in units of 7e-6."""
+    return rounded(name, 4, 1e6 / 7)
+
+
 def long(df: DataFrame, vector: str, index: str, value: str) -> DataFrame:
     keep = [c for c in df.columns if c != vector]
     return df.select(*keep, F.posexplode(vector).alias(index, value))
@@ -174,10 +180,11 @@ def c11_drop_terms(g: Given) -> DataFrame:
 
 @query
 def c11_drop_cells(g: Given) -> DataFrame:
-    english = g.documents.where(F.col("lang") == "en").select("doc_id")
-    spoken = g.pair_triplets.join(english, "doc_id", "left_semi").select("term_id").distinct()
-    foreign = corpus.index_difference(g.pair_vocab, spoken, "term_id")
-    return corpus.drop_terms(g.gram, foreign, "i", "j").select(whole("i"), whole("j"), tiny("q"))
+    """The matrix without the terms of a single document and those of English alone: what is left of every row."""
+    kept = g.words.table.where("df >= 2").join(g.foreign_sums.select("term_id"), "term_id", "left_semi")
+    dropped = corpus.index_difference(g.words.table, kept, "term_id")
+    cells = corpus.drop_terms(gram.gram(g.corpus.rows, g.corpus.terms), dropped, "i", "j")
+    return gram.profile_of(cells).select(whole("i"), "cells", tiny("s"))
 
 
 @query
@@ -195,8 +202,9 @@ def c12_dimensions(g: Given) -> DataFrame:
 
 @query
 def g1_gram(g: Given) -> DataFrame:
-    cells = gram.gram(g.pair_corpus.rows, g.pair_corpus.terms)
-    return cells.select(whole("i"), whole("j"), tiny("q"))
+    """Every row of the matrix over all words by number, sum and squared length of its cells."""
+    found = gram.gram_profile(g.corpus.rows, g.corpus.terms)
+    return found.select(whole("i"), "cells", tiny("s"), length("r"))
 
 
 @query
@@ -206,37 +214,37 @@ def g2_gram_row_sums(g: Given) -> DataFrame:
 
 @query
 def g3_gram_normalised(g: Given) -> DataFrame:
-    cells = gram.normalised_gram(g.gram, gram.gram_row_sums(g.pair_corpus.rows), g.pair_corpus.terms)
-    return cells.select(whole("i"), whole("j"), tiny("q"))
+    """The same of the normalised matrix, whose cells are divided by their row's sum."""
+    sums = g.matrix.sums.select(F.col("term_id").alias("i"), F.col("s").alias("total"))
+    rows = g.profile.join(sums, "i").withColumns({"s": F.col("s") / F.col("total"), "r": F.col("r") / F.col("total") / F.col("total")})
+    return rows.select(whole("i"), "cells", tiny("s"), length("r"))
 
 
 @query
 def a1_row_norms(g: Given) -> DataFrame:
-    return anchors.row_norms(g.gram_normalised).select(whole("i"), tiny("r"))
+    return gram.normalised_norms(g.profile).select(whole("i"), length("r"))
 
 
 @query
 def a2_argmax_row(g: Given) -> DataFrame:
-    best = anchors.argmax_row(anchors.row_norms(g.gram_normalised))
-    return best.select(whole("i"), tiny("r"))
+    return anchors.argmax_row(g.norms).select(whole("i"), length("r"))
 
 
 @query
 def a3_anchors(g: Given) -> DataFrame:
-    found = anchors.find_anchors(g.space, g.gram_normalised, ANCHORS, g.pair_corpus.terms)
+    found = anchors.find_corpus_anchors(g.space, g.matrix, g.norms, ANCHORS)
     return found.table().select(whole("rank"), whole("term_id"))
 
 
 @query
 def r1_anchor_cross(g: Given) -> DataFrame:
-    products = recover.row_by_anchor(g.gram_normalised, g.anchors.picks, g.pair_corpus.terms)
-    cross = recover.anchor_cross(products, g.anchors.picks)
+    cross = recover.anchor_cross(g.matrix.row_by_anchor(g.anchors.picks), g.anchors.picks)
     return cross.select(whole("k1"), whole("k2"), tiny("v"))
 
 
 @query
 def r2_row_by_anchor(g: Given) -> DataFrame:
-    products = recover.row_by_anchor(g.gram_normalised, g.anchors.picks, g.pair_corpus.terms)
+    products = g.matrix.row_by_anchor(g.anchors.picks)
     return long(products, "products", "k", "v").select(whole("term_id"), whole("k"), tiny("v"))
 
 
@@ -251,15 +259,15 @@ def r3_weights(g: Given) -> DataFrame:
 @query
 def r4_anchor_one_hot(g: Given) -> DataFrame:
     even = F.array(*[F.lit(1.0 / ANCHORS)] * ANCHORS)
-    weights = recover.anchor_one_hot(g.pair_vocab.select("term_id", even.alias("weights")), g.anchors.picks)
+    weights = recover.anchor_one_hot(g.words.table.select("term_id", even.alias("weights")), g.anchors.picks)
     return long(weights, "weights", "topic", "weight").select(
         whole("term_id"), whole("topic"), rounded("weight")
     )
 
 
 def _recovered(g: Given) -> DataFrame:
-    probability = corpus.word_probability(corpus.term_totals(g.pair_triplets))
-    return recover.recover_topics(g.weights, probability, ANCHORS, g.pair_corpus.terms)
+    probability = corpus.word_probability(corpus.term_totals(g.triplets))
+    return recover.recover_topics(g.weights, probability, ANCHORS, g.corpus.terms)
 
 
 @query
@@ -291,7 +299,7 @@ def i1_topics_per_aspect(g: Given) -> DataFrame:
 
 @query
 def i2_initialise(g: Given) -> DataFrame:
-    start = initialise(g.space, g.pair_corpus, ANCHORS)
+    start = initialise(g.space, g.corpus, ANCHORS)
     cells = recover.long_topics(start.topics.table)
     return cells.select(whole("topic"), whole("term_id"), tiny("prob"))
 
@@ -498,7 +506,7 @@ def p2_l1(g: Given) -> DataFrame:
 @query
 def p3_anchor_compare(g: Given) -> DataFrame:
     """Anchors beside the rows that are largest before any direction is removed."""
-    largest = anchors.largest_rows(anchors.row_norms(g.gram_normalised), ANCHORS)
+    largest = anchors.largest_rows(g.norms, ANCHORS)
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round("r", TIE_DIGITS)), "i")
     largest = largest.select(F.row_number().over(order).alias("rank"), F.col("i").alias("term_id"))
     pairs = control.pair_by_rank(g.anchors.table(), largest)
@@ -522,8 +530,8 @@ def p4_score(g: Given) -> DataFrame:
 
 
 def _fitted(g: Given, iterations: int = 4):
-    start = initialise(g.space, g.pair_corpus, 4)
-    return fit_corpus(g.space, g.pair_corpus, start.topics, FitParams(topics=4, aspects=3, max_iterations=iterations))
+    start = initialise(g.space, g.corpus, 4)
+    return fit_corpus(g.space, g.corpus, start.topics, FitParams(topics=4, aspects=3, max_iterations=iterations))
 
 
 @query
