@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom import score, scored_documents, store_corpus
-from themeloom.operators import aggregate, newton
+from themeloom.operators import aggregate, estep, newton
 from themeloom.operators.estep import Prior, Topics, infer
 from themeloom.operators.recover import per_aspect
 
@@ -209,3 +209,102 @@ def test_underflowing_topics_stay_finite():
     eta = newton.map_logits(beta, counts, zeros, zeros, precision)
     result = newton.evaluate(beta, counts, eta, zeros, precision, 0.0)
     assert np.isfinite(eta).all() and np.isfinite(result.bound).all() and np.isfinite(result.nu).all()
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 5000, 100])
+def test_expected_counts_within_a_limit(limit):
+    """Whole arrays, some of them, or sorted terms that are handed on as they grow."""
+    rng = np.random.default_rng(8)
+    terms, topics = 50, 4
+    wanted = np.zeros((3, terms, topics))
+    held, rows = estep._Counts(terms, topics, limit), []
+    for _ in range(20):
+        aspect, term = rng.integers(0, 3, 60), rng.integers(0, terms - 1, 60)
+        counts = rng.random((60, topics))
+        np.add.at(wanted, (aspect, term), counts)
+        rows += held.add(aspect, term, counts)
+        assert 8 * topics * (len(held.keys) + held.waiting) <= max(limit, 8 * topics * 60)
+    rows += held.rows()
+    found = np.zeros_like(wanted)
+    for batch in rows:
+        for r in batch.to_pylist():
+            found[r["aspect"], r["idx"]] += r["vec"]
+    np.testing.assert_allclose(found, wanted)
+    assert (len(rows) > 3) == (limit == 100)
+
+
+def test_topics_go_once_per_block_and_term(spark, case, planted, monkeypatch):
+    """Large topics: what is shuffled has no factor of topics per entry, and many blocks give the same."""
+    _, rows, topics, covariance = case
+    prior = Prior.of(covariance)
+    wanted = summary(infer(rows, topics, prior, 3), planted.topics)
+    monkeypatch.setattr(estep._blocks, "__defaults__", (40_000,))
+    placed, dictionary = estep._blocks(rows, topics)
+    blocks = placed.select("block").distinct().count()
+    entries = rows.agg(F.sum(F.size("term_ids"))).first()[0]
+    assert blocks > 10
+    assert dictionary.count() == dictionary.select("block", "term_id").distinct().count() < entries
+    assert_same(summary(infer(rows, topics, prior, 3, topic_bytes=0), planted.topics), wanted)
+
+
+def test_bounds_without_sums(case, planted):
+    _, rows, topics, covariance = case
+    full = {r["doc_id"]: r for r in infer(rows, topics, Prior.of(covariance), 3).where("kind = 'doc'").collect()}
+    found = infer(rows, topics, Prior.of(covariance), 3, sums=False).collect()
+    assert {r["kind"] for r in found} == {"doc"} and len(found) == planted.documents
+    for r in found:
+        np.testing.assert_array_equal(r["vec"], full[r["doc_id"]]["vec"])
+        assert r["bound"] == full[r["doc_id"]]["bound"]
+
+
+def large_case(topics, documents=40, terms=80):
+    rng = np.random.default_rng(topics)
+    beta = rng.dirichlet(np.full(400, 0.05), topics).T
+    ids = np.array([rng.choice(400, terms, replace=False) for _ in range(documents)])
+    counts = rng.integers(1, 9, (documents, terms)).astype(float)
+    counts[3] = 0.0
+    root = rng.normal(size=(topics - 1, topics - 1)) / np.sqrt(topics)
+    precision = np.linalg.inv(root @ root.T + np.eye(topics - 1))
+    return beta[ids], counts, np.zeros((documents, topics - 1)), rng.normal(size=(documents, topics - 1)), precision
+
+
+def test_slope_alone_is_the_same():
+    values, counts, eta, mu, precision = large_case(7)
+    np.testing.assert_allclose(
+        newton.gradient(values, counts, mu, eta, precision), newton.derivatives(values, counts, mu, eta, precision)[0], atol=1e-9
+    )
+
+
+@pytest.mark.parametrize("topics", [3, 10, 30])
+def test_limited_memory_finds_the_newton_optimum(topics):
+    given = large_case(topics)
+    wanted, all_settled = newton.newton_steps(*given)
+    found, settled = newton.limited_memory(*given)
+    assert all_settled.all() and settled.all()
+    np.testing.assert_allclose(found, wanted, atol=1e-5)
+    best, value = newton.objective(*given[:2], wanted, *given[3:]), newton.objective(*given[:2], found, *given[3:])
+    np.testing.assert_allclose(value, best, rtol=1e-12, atol=1e-12)
+
+
+def test_many_topics_settle():
+    given = large_case(200)
+    found, settled = newton.search(*given)
+    assert settled.all()
+    assert np.abs(newton.gradient(*given[:2], found, *given[3:])).max() < 1e-4
+    np.testing.assert_allclose(found[3], given[3][3], atol=1e-6)  # without terms: the prior mean
+    again, _ = newton.newton_steps(*given[:2], found, *given[3:])
+    np.testing.assert_allclose(found, again, atol=1e-5)
+
+
+def test_documents_that_run_out_of_steps_are_told(spark, case, planted, monkeypatch):
+    values, counts, eta, mu, precision = large_case(10)
+    for name, steps in (("NEWTON_ROUNDS", newton.newton_steps), ("LIMITED_ROUNDS", newton.limited_memory)):
+        monkeypatch.setattr(newton, name, 2)
+        assert not steps(values, counts, eta, mu, precision)[1].all()
+    _, rows, topics, covariance = case
+    monkeypatch.setattr(newton, "NEWTON_ROUNDS", 1)
+    task = estep._Task(None, topics.topics, topics.terms, 1, Prior.of(covariance), False, True)
+    batch = rows.drop("x").limit(5).toArrow().combine_chunks().to_batches()[0]
+    cells = topics.array()[0]
+    found = [r for b in task._solved([batch], lambda _, terms: cells[terms]) for r in b.to_pylist()]
+    assert sorted(r["doc_id"] for r in found if r["kind"] == "unsettled") == sorted(batch.column("doc_id").to_pylist())

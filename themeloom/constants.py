@@ -14,4 +14,7 @@ SIMPLEX_SLACK = 1e-16          # rise of the squared error taken for rounding
 TIE_DIGITS = 12                # norms equal to this many decimals count as equal
 RIDGE_ROUNDS = 1000            # cap on the coefficient updates; reaching it warns
 SMALLEST_NORMAL = 2.2250738585072014e-308  # floor for a probability before log or division
-NEWTON_ROUNDS = 100            # cap on Newton steps per document
+NEWTON_ROUNDS = 100            # cap on Newton steps per document; one that reaches it is reported
+LARGE_TOPICS = 50              # with more topics logits are found by a limited memory of past steps
+LIMITED_MEMORY = 8             # past steps remembered
+LIMITED_ROUNDS = 1000          # cap on these steps; a document that reaches it is reported

@@ -8,7 +8,8 @@ at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +20,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from themeloom.constants import SMALLEST_NORMAL
 from themeloom.functions import dot, linear_map, number_array, quadratic_form, softmax_with_reference
 from themeloom.lookup import lookup_join
-from themeloom.operators.newton import evaluate, map_logits
+from themeloom.operators.newton import evaluate, search
 from themeloom.operators.ragged import list_column, ragged, square
 
 TOPIC_BYTES = 256 * 1024 * 1024   # topics up to this size are sent whole to every task
 CHUNK_CELLS = 1 << 19             # terms x topics solved together
+PHI_BYTES = 256 * 1024 * 1024     # expected counts a task holds at most before it hands them on
+BLOCK_BYTES = 64 * 1024 * 1024    # topics of the terms that a block of documents may bring together
 
 RESULT = "kind STRING, doc_id BIGINT, aspect INT, idx INT, vec ARRAY<DOUBLE>, bound DOUBLE"
+_SCHEMA = pa.schema(
+    [
+        ("kind", pa.string()),
+        ("doc_id", pa.int64()),
+        ("aspect", pa.int32()),
+        ("idx", pa.int32()),
+        ("vec", pa.list_(pa.float64())),
+        ("bound", pa.float64()),
+    ]
+)
 
 
 # --- pieces with given logits ----------------------------------------------------
@@ -203,65 +216,83 @@ def infer(
     detail: bool = False,
     topic_bytes: int = TOPIC_BYTES,
     shared: Broadcast | None = None,
+    sums: bool = True,
 ) -> DataFrame:
     """Most probable logits of every document, with what the M-step needs.
 
     ``documents``: doc_id, aspect, term_ids, counts, eta (start) and mu; with a column x
     also the sums of products of (x, eta). Result rows by ``kind``:
 
-        doc       doc_id, aspect, vec = eta, bound
-        nu        row idx of the summed posterior covariances, one sum per task
-        phi       expected topic counts of term idx under an aspect, summed per task
-        moment    row idx of the summed products of (x, eta), one sum per task
-        doc_nu    with ``detail``: row idx of a document's posterior covariance
-        doc_phi   with ``detail``: expected topic counts of term idx in a document
-
-    Topics up to ``topic_bytes`` go to every task as one array, ``shared`` if the caller
-    made it by ``share_topics``; larger ones are joined to the documents' terms.
+        doc        doc_id, aspect, vec = eta, bound
+        unsettled  doc_id of a document whose search ran out of steps
+        nu         row idx of the summed posterior covariances, one sum per task
+        phi        expected topic counts of term idx under an aspect, summed per task
+        moment     row idx of the summed products of (x, eta), one sum per task
+        doc_nu     with ``detail``: row idx of a document's posterior covariance
+        doc_phi    with ``detail``: expected topic counts of term idx in a document
+
+    Without ``sums`` only rows of the first two kinds are worked out. Topics up to ``topic_bytes`` go to every task
+    as one array, ``shared`` if the caller made it by ``share_topics``. Larger ones go where they are needed: each
+    block of documents gets the topics of its own terms, once per term and block.
     """
     columns = ["doc_id", "aspect", "term_ids", "counts", "eta", "mu"]
-    columns += [c for c in documents.columns if c == "x"]
+    columns += [c for c in documents.columns if c == "x" and sums]
     shared = shared or share_topics(topics, topic_bytes)
     rows = documents.select(*columns)
-    if shared is None:
-        rows = _with_slices(rows, topics)
-    dense = 8 * aspects * topics.terms * topics.topics <= topic_bytes
-    task = _Task(shared, topics.topics, topics.terms, topics.aspects, prior, dense, detail)
-    return rows.mapInArrow(task, RESULT)
-
-
-def _with_slices(documents: DataFrame, topics: Topics) -> DataFrame:
-    entries = F.arrays_zip(F.col("term_ids").alias("term_id"), F.col("counts").alias("cnt"))
-    triplets = documents.select("doc_id", "aspect", F.explode(entries).alias("e")).select(
-        "doc_id", "aspect", "e.term_id", "e.cnt"
-    )
-    entry = F.struct("term_id", "cnt", "b")
-    nested = topic_slice(triplets, topics).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(entry)).alias("entries")
-    )
-    joined = documents.drop("term_ids", "counts").join(nested, "doc_id", "left")
-    empty = F.array().cast("array<struct<term_id:int,cnt:double,b:array<double>>>")
-    joined = joined.withColumn("entries", F.coalesce("entries", empty))
-    return joined.select(
-        "*",
-        F.col("entries.term_id").alias("term_ids"),
-        F.col("entries.cnt").alias("counts"),
-        F.flatten("entries.b").alias("slices"),
-    ).drop("entries")
+    task = _Task(shared, topics.topics, topics.terms, topics.aspects, prior, detail and sums, sums)
+    if shared is not None:
+        return rows.mapInArrow(task, RESULT)
+    placed, dictionary = _blocks(rows, topics)
+    return placed.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(lambda left, right: task.block(left, right), RESULT)
+
+
+def _blocks(documents: DataFrame, topics: Topics, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The documents with their block, and (block, [aspect,] term_id, b) of every term of a block. Documents are
+    shuffled as they are, without topics; blocks are as many as keep the topics of one below ``block_bytes``."""
+    entries = documents.agg(F.sum(F.size("term_ids"))).first()[0] or 0
+    blocks = max(1, math.ceil(entries * 8 * topics.topics / block_bytes))
+    dealt = documents.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = dealt.repartition(blocks, "block")
+    keys = ["aspect", "term_id"] if topics.aspects > 1 else ["term_id"]
+    found = dealt.select("block", *keys[:-1], F.explode("term_ids").alias("term_id")).distinct()
+    known = lookup_join(found, topics.table, keys, topics.bytes, spread="block")
+    # Columns of their own: the two sides come from one table.
+    return dealt, known.select(*(F.col(c).alias(c) for c in ("block", *keys)), "b")
 
 
 class _Task:
     """The work of one task: solve its documents in chunks, keep the sums."""
 
-    def __init__(self, shared, topics, terms, aspects, prior, dense, detail):
+    def __init__(self, shared, topics, terms, aspects, prior, detail, sums):
         self.shared, self.topics, self.terms, self.aspects = shared, topics, terms, aspects
-        self.prior, self.dense, self.detail = prior, dense, detail
+        self.prior, self.detail, self.sums = prior, detail, sums
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return self._solved(batches, lambda aspect, terms: self.shared.value[aspect, terms])
+
+    def block(self, documents: pa.Table, dictionary: pa.Table) -> pa.Table:
+        """A block of documents with the topics of its terms; a term without topics has probability 0."""
+        dictionary = dictionary.combine_chunks()
+        aspect = dictionary.column("aspect").to_numpy() if self.aspects > 1 else 0
+        key = aspect * self.terms + dictionary.column("term_id").to_numpy().astype(np.int64)
+        order = np.argsort(key)
+        known = np.append(key[order], np.iinfo(np.int64).max)
+        cells = np.zeros((len(known), self.topics))
+        if len(order):
+            cells[:-1] = square(dictionary.column("b").combine_chunks())[order]
+
+        def values(aspect: np.ndarray | int, terms: np.ndarray) -> np.ndarray:
+            wanted = aspect * self.terms + terms.astype(np.int64)
+            place = np.searchsorted(known, wanted)
+            return cells[np.where(known[place] == wanted, place, len(known) - 1)]
+
+        return pa.Table.from_batches(self._solved(documents.combine_chunks().to_batches(), values), _SCHEMA)
+
+    def _solved(self, batches: Iterator[pa.RecordBatch], values: Callable) -> Iterator[pa.RecordBatch]:
         size = self.topics - 1
         nu_sum = np.zeros((size, size))
         moment = None
-        phi: dict[int, np.ndarray] = {}
+        phi = _Counts(self.terms, self.topics, BLOCK_BYTES if self.shared is None else PHI_BYTES)
         seen = False
         for batch in batches:
             if not batch.num_rows:
@@ -270,20 +301,14 @@ class _Task:
             doc_ids = batch.column("doc_id").to_numpy()
             aspects = batch.column("aspect").to_numpy()
             eta, bound = np.empty((len(doc_ids), size)), np.empty(len(doc_ids))
-            for rows, ids, at, result in self._chunks(batch, aspects):
-                eta[rows], bound[rows] = result.eta, result.bound
+            settled = np.empty(len(doc_ids), bool)
+            for rows, ids, at, done, result in self._chunks(batch, aspects, values):
+                eta[rows], bound[rows], settled[rows] = result.eta, result.bound, done
+                if not self.sums:
+                    continue
                 nu_sum += result.nu.sum(axis=0)
                 counts = result.phi[at]
-                for aspect in np.unique(aspects[rows]):
-                    ours = aspects[rows][at[0]] == aspect
-                    terms, sums = _sum_by(ids[ours], counts[ours])
-                    if self.dense:
-                        if aspect not in phi:
-                            phi[aspect] = np.zeros((self.terms, self.topics))
-                        phi[aspect][terms] += sums
-                    else:
-                        some = sums.any(axis=1)  # as below: a term without topics has no row
-                        yield _rows("phi", terms[some], sums[some], aspect=aspect)
+                yield from phi.add(aspects[rows][at[0]], ids, counts)
                 if self.detail:
                     yield _rows("doc_phi", ids, counts, doc_id=doc_ids[rows][at[0]])
                     index = np.tile(np.arange(size), len(rows))
@@ -291,27 +316,23 @@ class _Task:
                         "doc_nu", index, result.nu.reshape(-1, size), doc_id=np.repeat(doc_ids[rows], size)
                     )
             yield _rows("doc", None, eta, doc_id=doc_ids, aspect=aspects, bound=bound)
+            if not settled.all():
+                yield _rows("unsettled", None, eta[~settled], doc_id=doc_ids[~settled], aspect=aspects[~settled])
             if "x" in batch.schema.names:
                 both = np.hstack([square(batch.column("x")), eta])
                 moment = both.T @ both if moment is None else moment + both.T @ both
-        if seen:
+        if seen and self.sums:
             yield _rows("nu", np.arange(size), nu_sum)
         if moment is not None:
             yield _rows("moment", np.arange(len(moment)), moment)
-        for aspect, sums in phi.items():
-            terms = np.flatnonzero(sums.any(axis=1))
-            yield _rows("phi", terms, sums[terms], aspect=aspect)
+        yield from phi.rows()
 
-    def _chunks(self, batch: pa.RecordBatch, aspects: np.ndarray):
+    def _chunks(self, batch: pa.RecordBatch, aspects: np.ndarray, values: Callable):
         """Documents of similar length together, padded to the longest. Yields the rows of
-        a chunk, its term ids, their places in the padded arrays, and the solution."""
+        a chunk, its term ids, their places in the padded arrays, which rows settled, and the solution."""
         ids, starts = ragged(batch.column("term_ids"))
         counts, _ = ragged(batch.column("counts"))
         eta, mu = square(batch.column("eta")), square(batch.column("mu"))
-        slices = None
-        if self.shared is None:
-            flat, flat_starts = ragged(batch.column("slices"))
-            slices = flat[flat_starts[0] : flat_starts[-1]].reshape(-1, self.topics)
         lengths = np.diff(starts)
         order = np.argsort(lengths, kind="stable")
         at = 0
@@ -327,18 +348,66 @@ class _Task:
             place = np.arange(len(doc)) - np.repeat(np.cumsum(long) - long, long)
             source = np.repeat(starts[rows], long) + place
             terms = ids[source]
-            if slices is None:
-                aspect = aspects[rows][doc] if self.aspects > 1 else 0
-                values = self.shared.value[aspect, terms]
-            else:
-                values = slices[source - starts[0]]
             padded = np.zeros((len(rows), max(1, long.max()), self.topics))
-            padded[doc, place] = values
+            padded[doc, place] = values(aspects[rows][doc].astype(np.int64) if self.aspects > 1 else 0, terms)
             weight = np.zeros(padded.shape[:2])
             weight[doc, place] = counts[source]
-            best = map_logits(padded, weight, eta[rows], mu[rows], self.prior.precision)
-            result = evaluate(padded, weight, best, mu[rows], self.prior.precision, self.prior.entropy)
-            yield rows, terms, (doc, place), result
+            best, settled = search(padded, weight, eta[rows], mu[rows], self.prior.precision)
+            result = evaluate(padded, weight, best, mu[rows], self.prior.precision, self.prior.entropy, self.sums)
+            yield rows, terms, (doc, place), settled, result
+
+
+class _Counts:
+    """Expected topic counts by aspect and term, summed in the task. Whole arrays where they fit ``limit``;
+    else the terms met so far, sorted, handed on when they have grown to it."""
+
+    def __init__(self, terms: int, topics: int, limit: int):
+        self.terms, self.topics, self.limit = terms, topics, limit
+        self.dense: dict[int, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.sums = np.empty(0, np.int64), np.empty((0, self.topics))
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, aspects: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(terms):
+            return
+        keys, sums = _sum_by(aspects.astype(np.int64) * self.terms + terms, counts)
+        for aspect in np.unique(keys // self.terms).tolist():
+            if 8 * self.terms * self.topics * (len(self.dense) + (aspect not in self.dense)) <= self.limit:
+                self.dense.setdefault(aspect, np.zeros((self.terms, self.topics)))
+        whole = np.isin(keys // self.terms, list(self.dense))
+        for aspect, table in self.dense.items():
+            ours = keys // self.terms == aspect
+            table[keys[ours] % self.terms] += sums[ours]
+        if not whole.all():
+            self.new.append((keys[~whole], sums[~whole]))
+            self.waiting += int((~whole).sum())
+            if 8 * self.topics * self.waiting >= self.limit // 4:
+                self._merge()
+                if 8 * self.topics * len(self.keys) >= self.limit // 2:
+                    yield from self._sparse_rows()
+
+    def _merge(self) -> None:
+        keys, sums = zip((self.keys, self.sums), *self.new)
+        self.keys, self.sums = _sum_by(np.concatenate(keys), np.concatenate(sums))
+        self.new, self.waiting = [], 0
+
+    def _sparse_rows(self) -> Iterator[pa.RecordBatch]:
+        some = self.sums.any(axis=1)  # as below: a term without topics has no row
+        keys = self.keys[some]
+        yield _rows("phi", keys % self.terms, self.sums[some], aspect=keys // self.terms)
+        self.clear()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for aspect, sums in self.dense.items():
+            terms = np.flatnonzero(sums.any(axis=1))
+            yield _rows("phi", terms, sums[terms], aspect=aspect)
+        self._merge()
+        if len(self.keys):
+            yield from self._sparse_rows()
 
 
 def _sum_by(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,5 +436,5 @@ def _rows(kind, index, vectors, doc_id=None, aspect=None, bound=None) -> pa.Reco
             list_column(vectors),
             column(bound, pa.float64()),
         ],
-        names=["kind", "doc_id", "aspect", "idx", "vec", "bound"],
+        schema=_SCHEMA,
     )

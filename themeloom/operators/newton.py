@@ -1,4 +1,5 @@
-"""Newton search for the logits of many documents at once, and what follows from them.
+"""Search for the logits of many documents at once, and what follows from them: by Newton steps, or where there
+are many topics by a limited memory of past steps, which needs no topics x topics matrix per step.
 
 Shapes: b documents, n terms (padded with count 0), K topics. ``topics`` is b x n x K,
 ``counts`` b x n, ``eta`` and ``mu`` b x (K-1).
@@ -10,15 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from themeloom.constants import NEWTON_ROUNDS, SMALLEST_NORMAL
+from themeloom.constants import LARGE_TOPICS, LIMITED_MEMORY, LIMITED_ROUNDS, NEWTON_ROUNDS, SMALLEST_NORMAL
 
 
 @dataclass(frozen=True)
 class Inferred:
     eta: np.ndarray    # b x (K-1)
     bound: np.ndarray  # b
-    nu: np.ndarray     # b x (K-1) x (K-1)
-    phi: np.ndarray    # b x n x K
+    nu: np.ndarray | None   # b x (K-1) x (K-1)
+    phi: np.ndarray | None  # b x n x K
 
 
 def _exponentials(eta: np.ndarray) -> np.ndarray:
@@ -80,14 +81,45 @@ def _positive(matrices: np.ndarray) -> np.ndarray:
         return np.concatenate([_positive(matrices[:half]), _positive(matrices[half:])])
 
 
-def map_logits(topics, counts, eta, mu, precision) -> np.ndarray:
-    """Logits that minimise the objective, starting from ``eta``.
+def gradient(topics, counts, eta, mu, precision) -> np.ndarray:
+    """The slope alone: expected counts are summed over the terms without being kept."""
+    e = _exponentials(eta)
+    weight = counts / _mix(topics, e)
+    per_topic = np.matmul(weight[:, None, :], topics)[:, 0, :] * e
+    even = counts.sum(axis=1)[:, None] * e / e.sum(axis=1, keepdims=True)
+    return (eta - mu) @ precision - (per_topic - even)[:, :-1]
+
 
-    Far from the minimum steps are halved until the objective falls enough. Close to it,
-    where rounding hides the fall, full steps are taken; a document is done when the
-    expected gain of a step is negligible.
-    """
-    result = np.array(eta, dtype=float)
+def map_logits(topics, counts, eta, mu, precision) -> np.ndarray:
+    """Logits that minimise the objective, starting from ``eta``."""
+    return search(topics, counts, eta, mu, precision)[0]
+
+
+def search(topics, counts, eta, mu, precision) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and which documents settled before the steps ran out."""
+    if topics.shape[2] > LARGE_TOPICS:
+        return limited_memory(topics, counts, eta, mu, precision)
+    return newton_steps(topics, counts, eta, mu, precision)
+
+
+def _taken(topics, counts, eta, mu, precision, step, gain, value, scale) -> np.ndarray:
+    """How much of each step is taken: halved until the objective falls enough. Close to the minimum,
+    where rounding hides the fall, all of it."""
+    length = np.ones(len(eta))
+    check = gain > 1e-9 * scale
+    while check.any():
+        trial = objective(topics[check], counts[check], eta[check] - length[check, None] * step[check], mu[check], precision)
+        low = trial > value[check] - 1e-4 * length[check] * gain[check]
+        halved = np.flatnonzero(check)[low]
+        length[halved] *= 0.5
+        check[:] = False
+        check[halved[length[halved] > 1e-12]] = True
+    return length
+
+
+def newton_steps(topics, counts, eta, mu, precision) -> tuple[np.ndarray, np.ndarray]:
+    """A document is done when the expected gain of a step is negligible."""
+    result, settled = np.array(eta, dtype=float), np.zeros(len(eta), bool)
     open_rows = np.arange(len(result))
     eta = result.copy()
     for _ in range(NEWTON_ROUNDS):
@@ -96,27 +128,65 @@ def map_logits(topics, counts, eta, mu, precision) -> np.ndarray:
         step = _step(curve, slope, eta, counts.sum(axis=1), precision)
         gain = (slope * step).sum(axis=1)
         scale = 1.0 + np.abs(value)
-        length = np.ones(len(eta))
-        check = gain > 1e-9 * scale
-        while check.any():
-            trial = objective(topics[check], counts[check], eta[check] - length[check, None] * step[check], mu[check], precision)
-            low = trial > value[check] - 1e-4 * length[check] * gain[check]
-            halved = np.flatnonzero(check)[low]
-            length[halved] *= 0.5
-            check[:] = False
-            check[halved[length[halved] > 1e-12]] = True
+        length = _taken(topics, counts, eta, mu, precision, step, gain, value, scale)
         eta = eta - length[:, None] * step
         result[open_rows] = eta
         going = gain > 1e-16 * scale
+        settled[open_rows] = ~going
         if not going.any():
             break
         if np.count_nonzero(going) <= 0.75 * len(going):
             topics, counts, eta, mu = topics[going], counts[going], eta[going], mu[going]
             open_rows = open_rows[going]
-    return result
+    return result, settled
+
+
+def limited_memory(topics, counts, eta, mu, precision) -> tuple[np.ndarray, np.ndarray]:
+    """Quasi-Newton steps from the last ``LIMITED_MEMORY`` steps and changes of the slope, for all documents
+    at once. The first guess of the curvature is the prior's and the proportions' diagonal."""
+    result, settled = np.array(eta, dtype=float), np.zeros(len(eta), bool)
+    open_rows = np.arange(len(result))
+    eta = result.copy()
+    slope = gradient(topics, counts, eta, mu, precision)
+    past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # step, change of slope, 1 / their product or 0
+    for _ in range(LIMITED_ROUNDS):
+        value = objective(topics, counts, eta, mu, precision)
+        e = _exponentials(eta)
+        theta = (e / e.sum(axis=1, keepdims=True))[:, :-1]
+        diagonal = np.diag(precision) + counts.sum(axis=1)[:, None] * theta * (1.0 - theta)
+        step, shares = slope.copy(), []
+        for s, y, inverse in reversed(past):
+            share = inverse * (s * step).sum(axis=1)
+            step -= share[:, None] * y
+            shares.append(share)
+        step /= diagonal
+        for (s, y, inverse), share in zip(past, reversed(shares)):
+            step += (share - inverse * (y * step).sum(axis=1))[:, None] * s
+        gain = (slope * step).sum(axis=1)
+        scale = 1.0 + np.abs(value)
+        length = _taken(topics, counts, eta, mu, precision, step, gain, value, scale)
+        moved = -length[:, None] * step
+        eta = eta + moved
+        result[open_rows] = eta
+        after = gradient(topics, counts, eta, mu, precision)
+        change, slope = after - slope, after
+        bend = (moved * change).sum(axis=1)
+        # A pair without positive curvature is left out for its document.
+        usable = bend > 1e-12 * np.sqrt(np.square(moved).sum(axis=1) * np.square(change).sum(axis=1))
+        past.append((moved, change, np.where(usable, 1.0 / np.where(usable, bend, 1.0), 0.0)))
+        past = past[-LIMITED_MEMORY:]
+        going = gain > 1e-19 * scale
+        settled[open_rows] = ~going
+        if not going.any():
+            break
+        if np.count_nonzero(going) <= 0.75 * len(going):
+            topics, counts, eta, mu, slope = topics[going], counts[going], eta[going], mu[going], slope[going]
+            past = [(s[going], y[going], inverse[going]) for s, y, inverse in past]
+            open_rows = open_rows[going]
+    return result, settled
 
 
-def inverse_curvature(curve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def inverse_curvature(curve: np.ndarray, inverse: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
     """Inverse of each matrix and half the log of its determinant. A matrix that is not
     positive definite gets a dominant diagonal first: the larger of each entry and the sum
     of the other magnitudes in its row, and a little more."""
@@ -124,8 +194,8 @@ def inverse_curvature(curve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lower = np.linalg.cholesky(curve)
     except np.linalg.LinAlgError:
         if len(curve) > 1:
-            parts = [inverse_curvature(one[None]) for one in curve]
-            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            parts = [inverse_curvature(one[None], inverse) for one in curve]
+            return np.concatenate([p[0] for p in parts]) if inverse else None, np.concatenate([p[1] for p in parts])
         matrix = curve[0].copy()
         diagonal = np.diag(matrix)
         others = np.abs(matrix).sum(axis=1) - np.abs(diagonal)
@@ -134,12 +204,12 @@ def inverse_curvature(curve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         curve = matrix[None]
         lower = np.linalg.cholesky(curve)
     half = np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(axis=1)
-    return np.linalg.inv(curve), half
+    return np.linalg.inv(curve) if inverse else None, half
 
 
-def evaluate(topics, counts, eta, mu, precision, entropy) -> Inferred:
-    """Posterior covariance, expected counts and bound at ``eta``."""
+def evaluate(topics, counts, eta, mu, precision, entropy, sums: bool = True) -> Inferred:
+    """Posterior covariance, expected counts and bound at ``eta``; without ``sums`` the bound alone."""
     _, curve, phi = derivatives(topics, counts, eta, mu, precision)
-    nu, half_log = inverse_curvature(curve)
+    nu, half_log = inverse_curvature(curve, sums)
     bound = -objective(topics, counts, eta, mu, precision) - half_log - entropy
-    return Inferred(eta, bound, nu, phi)
+    return Inferred(eta, bound, nu, phi if sums else None)
