@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom import FitParams, Workspace, fit, fit_corpus, initialise, load, resume, score_corpus, score_texts, store_corpus
+from themeloom import FitParams, Workspace, continue_fit, fit, fit_corpus, initialise, load, resume, score_corpus, score_texts, store_corpus
 from themeloom.functions import linear_map, number_array
 from themeloom.operators import aggregate, control, mstep
 from themeloom.operators.estep import RESULT, infer
@@ -282,3 +286,91 @@ def test_texts_scored_by_a_loaded_model(spark, space, tmp_path):
     wide = docs.select("doc_id", F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
     with pytest.raises(ValueError, match="covariates"):
         score_texts(Workspace(spark, space.folder), docs, back, wide)
+
+
+def test_bounds_do_not_depend_on_partitions(spark, planted, tmp_path):
+    """Bit for bit: the stop must not either."""
+    found = []
+    for parts in (1, 2, 8):
+        space = Workspace(spark, str(tmp_path / f"b{parts}"))
+        built = store_corpus(space, planted.triplets(spark).orderBy(F.rand(parts)), planted.docs(spark), planted.terms, planted.covariates(spark), partitions=parts)
+        model = fit_corpus(space, built, initialise(space, built, 3).topics, FitParams(3, max_iterations=3, threshold=-1.0))
+        found.append([b for _, b, _ in model.history])
+    assert found[0] == found[1] == found[2]
+
+
+def test_sums_in_one_job_equal_those_apart(spark, fitted, planted):
+    built, start, model = fitted
+    size = planted.topics - 1
+    result = infer(with_state(built.rows, None, model.gamma, size), start.topics, model.prior).persist()
+    width = 2 + size
+    sums = aggregate.iteration_sums(result, size, width)
+    total = aggregate.total_bound(result).first()
+    assert (sums.documents, sums.unsettled, sums.bound) == (total["documents"], 0, total["bound"])
+    np.testing.assert_allclose(sums.nu, aggregate.small_matrix(aggregate.nu_sum(result, size), size), rtol=1e-12)
+    np.testing.assert_allclose(sums.moment, aggregate.small_matrix(aggregate.moment_sum(result, width), width), rtol=1e-12)
+    phi = aggregate.phi_by_aspect(result, planted.topics)
+    wanted = {r["term_id"]: r["b"] for r in mstep.topic_update(phi, planted.topics).collect()}
+    found = {r["term_id"]: r["b"] for r in mstep.topic_update(phi, planted.topics, sums.weight.tolist()).collect()}
+    assert set(found) == set(wanted)
+    np.testing.assert_allclose([found[t] for t in sorted(found)], [wanted[t] for t in sorted(wanted)], rtol=1e-11)
+    assert model.unsettled == [0] * len(model.history)
+    result.unpersist()
+
+
+DRIVER = """
+import os, sys
+sys.path[:0] = [{root!r}, {tests!r}]
+from pyspark.sql import SparkSession
+from conftest import Planted
+from themeloom import FitParams, Workspace, fit_corpus, initialise, store_corpus
+from themeloom.plans.journal import Journal
+
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").getOrCreate()
+planted, space = Planted(), Workspace(spark, {folder!r}, "fit")
+built = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, planted.covariates(spark), partitions=3)
+start = initialise(space, built, 3).topics
+whole = Journal.commit
+
+def commit(self, number, *rest):
+    whole(self, number, *rest)
+    if number == 2:
+        os._exit(7)
+
+Journal.commit = commit
+fit_corpus(space, built, start, FitParams(3, max_iterations=4, threshold=-1.0))
+"""
+
+
+def test_fit_goes_on_after_its_driver_ended(spark, tmp_path, planted):
+    """From the folder alone; the result is that of an uninterrupted fit."""
+    tests = os.path.dirname(os.path.abspath(__file__))
+    script = DRIVER.format(root=os.path.dirname(tests), tests=tests, folder=str(tmp_path))
+    ended = subprocess.run([sys.executable, "-c", script], capture_output=True, timeout=300, cwd=tmp_path)
+    assert ended.returncode == 7, ended.stderr[-2000:]
+    space = Workspace(spark, str(tmp_path / "other"))
+    found = continue_fit(space, str(tmp_path / "fit"))
+    plain = Workspace(spark, str(tmp_path / "plain"))
+    built = store_corpus(plain, planted.triplets(spark), planted.docs(spark), planted.terms, planted.covariates(spark), partitions=3)
+    wanted = fit_corpus(plain, built, initialise(plain, built, 3).topics, FitParams(3, max_iterations=4, threshold=-1.0))
+    assert [i for i, _, _ in found.history] == [1, 2, 3, 4]
+    assert [b for _, b, _ in found.history] == pytest.approx([b for _, b, _ in wanted.history], abs=1e-5)
+    np.testing.assert_allclose(found.topics.array(), wanted.topics.array(), atol=1e-9)
+    np.testing.assert_allclose(found.gamma, wanted.gamma, atol=1e-7)
+    np.testing.assert_allclose(found.sigma, wanted.sigma, atol=1e-7)
+    assert found.logits.count() == planted.documents
+    # The fit that went on left records of its own: its end is found again as it is.
+    again = continue_fit(Workspace(spark, str(tmp_path / "more")), space.folder)
+    assert again.history == found.history
+    np.testing.assert_array_equal(again.topics.array(), found.topics.array())
+    with pytest.raises(FileNotFoundError):
+        continue_fit(space, str(tmp_path / "nothing"))
+
+
+def test_a_fit_of_its_own_workspace_is_closed(spark):
+    docs = spark.createDataFrame([(d, "sea ship sail" if d % 2 else "rock hill peak") for d in range(20)], "doc_id BIGINT, text STRING")
+    model = fit(docs, FitParams(2, max_iterations=1))
+    folder = model.space.folder
+    assert os.path.exists(folder)
+    model.close()
+    assert not os.path.exists(folder)

@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from themeloom.operators.covariates import Design, design
 from themeloom.params import FitParams
 from themeloom.plans.corpus import Corpus, build_corpus, store_corpus
-from themeloom.plans.em import fit, fit_corpus, resume
+from themeloom.plans.em import continue_fit, fit, fit_corpus, resume
 from themeloom.plans.initialise import initialise
 from themeloom.plans.model import Model, load
 from themeloom.plans.score import score, score_corpus, score_texts, scored_documents
@@ -23,6 +23,7 @@ __all__ = [
     "Model",
     "Workspace",
     "build_corpus",
+    "continue_fit",
     "design",
     "fit",
     "fit_corpus",

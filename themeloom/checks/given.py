@@ -196,7 +196,7 @@ class Given:
     @cached_property
     def two_iterations(self) -> Model:
         rows = self.corpus.rows.withColumn("x", F.array(F.lit(1.0)))
-        plain = replace(self.corpus, rows=rows, covariates=1)
+        plain = replace(self.corpus, rows=rows, covariates=1, path=None)
         params = FitParams(topics=3, aspects=3, max_iterations=2, threshold=-1.0)
         return fit_corpus(self.space, plain, self.topics3, params)
 

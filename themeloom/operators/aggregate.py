@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from themeloom.functions import sum_vectors
-from themeloom.operators.ragged import list_column, square
+from themeloom.operators.ragged import list_column, ragged, square
+
+BOUND_UNITS = 1 << 20
+MERGE_TASKS = 64
 
 
 def _row_sums(result: DataFrame, kind: str, size: int) -> DataFrame:
@@ -36,12 +41,71 @@ def stacked_logits(result: DataFrame) -> DataFrame:
 
 
 def total_bound(result: DataFrame) -> DataFrame:
-    """(documents, bound)."""
+    """(documents, bound). Bounds are added as multiples of 2^-20, which is exact: the sum does not depend on the
+    order of the documents."""
+    whole = F.rint(F.col("bound") * F.lit(float(BOUND_UNITS))).cast("decimal(38,0)")
     return result.where(F.col("kind") == "doc").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("bound").alias("bound")
+        F.count(F.lit(1)).alias("documents"), (F.sum(whole).cast("double") / BOUND_UNITS).alias("bound")
     )
 
 
+@dataclass(frozen=True)
+class IterationSums:
+    """What the M-step needs of all documents, in one place: nothing here grows with them."""
+
+    documents: int
+    unsettled: int
+    bound: float
+    nu: np.ndarray      # (K-1) x (K-1)
+    moment: np.ndarray  # of (x, eta)
+    weight: np.ndarray  # K
+
+
+def iteration_sums(result: DataFrame, size: int, width: int) -> IterationSums:
+    """All sums of a stored result of inference in one job. Tasks add the partial sums they read to one typed
+    row each, ``MERGE_TASKS`` of them at most, and the driver adds those. Of the documents only bounds
+    are read, and they are added as ``total_bound`` does."""
+    def part(kinds: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+        given = result.where(F.col("kind").isin(*kinds))
+        none = {c: F.lit(None).cast(result.schema[c].dataType) for c in ("idx", "vec", "bound") if c not in columns}
+        return given.select("kind", *[none.get(c, F.col(c)).alias(c) for c in ("idx", "vec", "bound")])
+
+    rows = part(("doc", "unsettled"), ("bound",)).unionByName(part(("nu", "moment", "weight"), ("idx", "vec")))
+    sizes = {"nu": (size, size), "moment": (width, width), "weight": (1, size + 1)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {kind: np.zeros(shape) for kind, shape in sizes.items()}
+        count, bound = Counter(), 0
+        for batch in batches:
+            kinds = np.array(batch.column("kind").to_pylist(), object)
+            count.update(kinds.tolist())
+            bound += _whole_sum(batch.column("bound").drop_null().to_numpy())
+            for kind, total in sums.items():
+                ours = pa.array(kinds == kind)
+                if count[kind] and ours.true_count:
+                    index = batch.column("idx").filter(ours).fill_null(0).to_numpy()
+                    vectors, starts = ragged(batch.column("vec").filter(ours))
+                    np.add.at(total, index, vectors[starts[0] : starts[-1]].reshape(-1, total.shape[1]))
+        values = [count["doc"], count["unsettled"], str(bound), *[t.tobytes() for t in sums.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["documents", "unsettled", "bound", *sizes])
+
+    schema = "documents BIGINT, unsettled BIGINT, bound STRING, nu BINARY, moment BINARY, weight BINARY"
+    found = rows.coalesce(MERGE_TASKS).mapInArrow(add, schema).collect()
+
+    def total(kind: str) -> np.ndarray:
+        return sum((np.frombuffer(r[kind]).reshape(sizes[kind]) for r in found), np.zeros(sizes[kind]))
+
+    bound = sum(int(r["bound"]) for r in found) / BOUND_UNITS
+    counts = (sum(r[c] for r in found) for c in ("documents", "unsettled"))
+    return IterationSums(*counts, bound, total("nu"), total("moment"), total("weight")[0])
+
+
+def _whole_sum(bounds: np.ndarray) -> int:
+    """Exact sum of the bounds in units: halves of the numbers are added apart, so that neither overflows."""
+    whole = np.rint(bounds * BOUND_UNITS).astype(np.int64)
+    return (int((whole >> 32).sum()) << 32) + int((whole & 0xFFFFFFFF).sum())
+
+
 def phi_by_aspect(result: DataFrame, topics: int) -> DataFrame:
     """(aspect, term_id, phi): expected topic counts."""
     return (

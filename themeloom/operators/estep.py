@@ -227,6 +227,7 @@ def infer(
         unsettled  doc_id of a document whose search ran out of steps
         nu         row idx of the summed posterior covariances, one sum per task
         phi        expected topic counts of term idx under an aspect, summed per task
+        weight     expected topic counts of all terms together, one sum per task
         moment     row idx of the summed products of (x, eta), one sum per task
         doc_nu     with ``detail``: row idx of a document's posterior covariance
         doc_phi    with ``detail``: expected topic counts of term idx in a document
@@ -290,7 +291,7 @@ class _Task:
 
     def _solved(self, batches: Iterator[pa.RecordBatch], values: Callable) -> Iterator[pa.RecordBatch]:
         size = self.topics - 1
-        nu_sum = np.zeros((size, size))
+        nu_sum, weight = np.zeros((size, size)), np.zeros((1, self.topics))
         moment = None
         phi = _Counts(self.terms, self.topics, BLOCK_BYTES if self.shared is None else PHI_BYTES)
         seen = False
@@ -308,6 +309,7 @@ class _Task:
                     continue
                 nu_sum += result.nu.sum(axis=0)
                 counts = result.phi[at]
+                weight += counts.sum(axis=0)
                 yield from phi.add(aspects[rows][at[0]], ids, counts)
                 if self.detail:
                     yield _rows("doc_phi", ids, counts, doc_id=doc_ids[rows][at[0]])
@@ -323,6 +325,7 @@ class _Task:
                 moment = both.T @ both if moment is None else moment + both.T @ both
         if seen and self.sums:
             yield _rows("nu", np.arange(size), nu_sum)
+            yield _rows("weight", None, weight)
         if moment is not None:
             yield _rows("moment", np.arange(len(moment)), moment)
         yield from phi.rows()

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from themeloom.constants import RIDGE_ROUNDS, RIDGE_TOLERANCE
-from themeloom.functions import linear_map, sum_vectors
+from themeloom.functions import linear_map, number_array, sum_vectors
 from themeloom.operators.aggregate import cross_products, small_matrix
 from themeloom.operators.recover import topic_normalised
 
@@ -111,7 +112,10 @@ def prior_covariance_table(scatter: DataFrame, nu: DataFrame, documents: int, sh
     return cells.select("i", "j", kept.alias("v"))
 
 
-def topic_update(phi: DataFrame, topics: int) -> DataFrame:
-    """(term_id, b): expected counts summed over the aspects, every topic scaled to 1."""
+def topic_update(phi: DataFrame, topics: int, totals: Sequence[float] | None = None) -> DataFrame:
+    """(term_id, b): expected counts summed over the aspects, every topic scaled to 1. With the ``totals``
+    of the topics the counts are read once."""
     summed = phi.groupBy("term_id").agg(sum_vectors("phi", topics).alias("phi"))
-    return topic_normalised(summed, "phi", topics)
+    if totals is None:
+        return topic_normalised(summed, "phi", topics)
+    return summed.select("term_id", F.zip_with("phi", number_array(totals), lambda v, t: v / t).alias("b"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from themeloom.functions import linear_map
 from themeloom.operators.corpus import (
     Vocabulary,
     corpus_rows,
@@ -24,7 +26,8 @@ MOST_BUCKETS = 65536              # Spark itself allows 100,000
 @dataclass(frozen=True)
 class Corpus:
     """Stored rows (doc_id, aspect, x, n, term_ids, counts), bucketed by doc_id. ``aspects``
-    is the largest aspect plus 1, ``covariates`` the length of x."""
+    is the largest aspect plus 1, ``covariates`` the length of x, ``path`` the folder of the rows
+    where they are just as stored."""
 
     rows: DataFrame
     buckets: int
@@ -33,6 +36,11 @@ class Corpus:
     covariates: int
     aspects: int = 1
     vocab: Vocabulary | None = None
+    path: str | None = None
+
+    def prior_means(self, gamma: np.ndarray) -> DataFrame:
+        """(doc_id, mu) under coefficients."""
+        return self.rows.select("doc_id", linear_map(F.col("x"), gamma.T.tolist()).alias("mu"))
 
 
 def bucket_count(df: DataFrame, entries: int) -> int:
@@ -90,7 +98,8 @@ def store_corpus(
         described = described.join(aspects.select("doc_id", "aspect"), "doc_id", "left")
         described = described.withColumn("aspect", F.coalesce(F.col("aspect").cast("int"), F.lit(0)))
     buckets = partitions or bucket_count(triplets, triplets.count())
-    rows = space.part().bucketed(corpus_rows(triplets, described, buckets), "corpus", "doc_id", buckets)
+    space = space.part()
+    rows = space.bucketed(corpus_rows(triplets, described, buckets), "corpus", "doc_id", buckets)
     facts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.size("x")).alias("d"),
@@ -102,4 +111,4 @@ def store_corpus(
         raise ValueError(f"{facts['n'] - facts['x']} documents have no covariates or are not named")
     if facts["n"] and (facts["d"] != facts["e"] or facts["d"] < 1):
         raise ValueError("every document needs covariates of the same length")
-    return Corpus(rows, buckets, facts["n"], terms, facts["d"] or 1, (facts["a"] or 0) + 1, vocab)
+    return Corpus(rows, buckets, facts["n"], terms, facts["d"] or 1, (facts["a"] or 0) + 1, vocab, space.path("corpus"))

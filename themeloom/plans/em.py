@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from themeloom.functions import linear_map, number_array
-from themeloom.operators.aggregate import moment_sum, nu_sum, phi_by_aspect, small_matrix, total_bound
+from themeloom.operators.aggregate import iteration_sums, phi_by_aspect
 from themeloom.operators.control import verdict
 from themeloom.operators.corpus import check_dimensions
 from themeloom.operators.estep import Prior, Topics, infer, share_topics
@@ -24,6 +24,7 @@ from themeloom.operators.recover import initial_covariance
 from themeloom.params import FitParams
 from themeloom.plans.corpus import Corpus, build_corpus
 from themeloom.plans.initialise import initialise
+from themeloom.plans.journal import Journal, last_saved
 from themeloom.plans.model import Model
 from themeloom.workspace import Workspace
 
@@ -35,13 +36,26 @@ def fit(
     aspects: DataFrame | None = None,
     space: Workspace | None = None,
 ) -> Model:
-    """Fit topics to texts (doc_id, text); see ``build_corpus`` and ``fit_corpus``."""
-    space = space or Workspace(documents.sparkSession)
+    """Fit topics to texts (doc_id, text); see ``build_corpus`` and ``fit_corpus``. Without ``space`` the tables are in a
+    workspace of the model, which its ``close`` removes."""
+    own = None if space else Workspace(documents.sparkSession)
+    space = space or own
     corpus = build_corpus(
         space, documents, params.min_doc_share, covariates, aspects, params.partitions
     )
     start = initialise(space, corpus, params.topics)
-    return fit_corpus(space, corpus, start.topics, params)
+    return replace(fit_corpus(space, corpus, start.topics, params), space=own)
+
+
+def continue_fit(space: Workspace, folder: str, params: FitParams | None = None) -> Model:
+    """Go on with a fit whose driver ended, from the folder of its workspace alone: after the last iteration that it
+    completed, with its settings or others. A fit that had ended is returned as it was."""
+    saved = last_saved(space.spark, space.part(), folder)
+    params = params or saved.params
+    done = [bound for _, bound, _ in saved.model.history]
+    if verdict(done, params.threshold, params.max_iterations).stop:
+        return saved.model
+    return resume(space, saved.corpus, saved.model, params)
 
 
 def resume(space: Workspace, corpus: Corpus, model: Model, params: FitParams) -> Model:
@@ -54,7 +68,7 @@ def resume(space: Workspace, corpus: Corpus, model: Model, params: FitParams) ->
         raise ValueError(f"the model has {model.topics.terms} terms, the corpus {corpus.terms}")
     # A saved model knows terms only up to the last one that has topics.
     topics = replace(model.topics, terms=corpus.terms)
-    return fit_corpus(space, corpus, topics, params, model.sigma, model.gamma, model.logits, model.history)
+    return fit_corpus(space, corpus, topics, params, model.sigma, model.gamma, model.logits, model.history, model.unsettled)
 
 
 def fit_corpus(
@@ -66,17 +80,19 @@ def fit_corpus(
     gamma: np.ndarray | None = None,
     logits: DataFrame | None = None,
     history: Sequence[tuple[int, float, float | None]] = (),
+    unsettled: Sequence[int] = (),
 ) -> Model:
     """Variational EM from starting topics.
 
     Coefficients and logits (doc_id, eta; one row per document) start at 0 where not given, also for
     documents without a row. ``history`` is that of the iterations before.
 
-    An iteration is one job over the documents, whose result is stored once, and small sums
-    over that. Corpus and logits are bucketed alike by document, so their join needs no
-    shuffle. Prior means follow from covariates and coefficients and are never stored; sums
+    An iteration is one job over the documents, whose result is stored once, one that adds up what tasks
+    summed, and one that scales the topics. Corpus and logits are bucketed alike by document, so their join
+    needs no shuffle. Prior means follow from covariates and coefficients and are never stored; sums
     of products over (x, eta) leave the job with the rest, so updating the prior takes no
-    pass of its own. Covariates, topics and prior are refreshed before every iteration.
+    pass of its own. Covariates, topics and prior are refreshed before every iteration. After it a record is
+    written from which ``continue_fit`` can go on should the driver end.
     """
     check_dimensions(params.topics, corpus.terms)
     if (start.topics, start.terms) != (params.topics, corpus.terms):
@@ -90,7 +106,8 @@ def fit_corpus(
     width = corpus.covariates + size
     sigma = initial_covariance(params.topics) if sigma is None else sigma
     gamma = np.zeros((corpus.covariates, size)) if gamma is None else gamma
-    history = list(history)
+    history, unsettled = list(history), list(unsettled)
+    journal = Journal(space, corpus, params)
     bounds = [bound for _, bound, _ in history]
     first = len(bounds) + 1
     while True:
@@ -109,37 +126,36 @@ def fit_corpus(
         if shared is not None:
             shared.destroy()
         logits = document_logits(result)
-        bounds.append(total_bound(result).first()["bound"])
-        moments = Moments.of(
-            small_matrix(moment_sum(result, width), width), corpus.covariates, corpus.documents
-        )
+        sums = iteration_sums(result, size, width)
+        bounds.append(sums.bound)
+        unsettled.append(sums.unsettled)
+        moments = Moments.of(sums.moment, corpus.covariates, corpus.documents)
         gamma = ridge_coefficients(moments)
-        nu = small_matrix(nu_sum(result, size), size)
         sigma = prior_covariance(
-            scatter_from_moments(moments, gamma), nu, corpus.documents, params.sigma_shrink
+            scatter_from_moments(moments, gamma), sums.nu, corpus.documents, params.sigma_shrink
         )
-        # Stored first: scaling reads the sums twice, and they are one read of all documents' results.
-        phi = space.table(phi_by_aspect(result, params.topics), f"phi_{number}")
-        updated = space.table(topic_update(phi, params.topics), f"topics_{number}")
-        space.drop(f"phi_{number}")
+        phi = phi_by_aspect(result, params.topics)
+        updated = space.table(topic_update(phi, params.topics, sums.weight.tolist()), f"topics_{number}")
         topics = Topics(updated, params.topics, corpus.terms)
         state = verdict(bounds, params.threshold, params.max_iterations)
         history.append((number, bounds[-1], state.gain))
+        model = Model(
+            topics=topics,
+            gamma=gamma,
+            sigma=sigma,
+            logits=logits,
+            prior_means=corpus.prior_means(gamma),
+            history=list(history),
+            converged=state.converged,
+            vocab=corpus.vocab.table.select("term_id", "term") if corpus.vocab else None,
+            unsettled=list(unsettled),
+        )
+        journal.commit(number, space.path(f"topics_{number}"), space.path(f"inferred_{number}"), model)
         if number > first:
             space.drop(f"inferred_{number - 1}")
             space.drop(f"topics_{number - 1}")
         if state.stop:
-            break
-    return Model(
-        topics=topics,
-        gamma=gamma,
-        sigma=sigma,
-        logits=logits,
-        prior_means=corpus.rows.select("doc_id", linear_map(F.col("x"), gamma.T.tolist()).alias("mu")),
-        history=history,
-        converged=state.converged,
-        vocab=corpus.vocab.table.select("term_id", "term") if corpus.vocab else None,
-    )
+            return model
 
 
 def document_logits(result: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from themeloom.operators.control import top_words
 from themeloom.operators.estep import Prior, Topics
 from themeloom.operators.recover import long_topics
 from themeloom.sources.tables import save_tables
+from themeloom.workspace import Workspace
 
 TABLES = ("topics", "doc_topics", "prior_mean", "gamma", "sigma", "history", "vocabulary")
 
@@ -26,6 +28,13 @@ class Model:
     history: list[tuple[int, float, float | None]] = field(default_factory=list)
     converged: bool = False
     vocab: DataFrame | None = None  # term_id, term
+    unsettled: list[int] = field(default_factory=list)  # documents that ran out of steps, per iteration
+    space: Workspace | None = None  # holds the tables of a fit that made its own
+
+    def close(self) -> None:
+        """Remove the tables that the fit wrote in a workspace of its own; ``save`` the model before."""
+        if self.space is not None:
+            self.space.close()
 
     @property
     def prior(self) -> Prior:
@@ -52,8 +61,8 @@ class Model:
             "gamma": spark.createDataFrame(gamma, "covariate INT, topic INT, coef DOUBLE"),
             "sigma": spark.createDataFrame(sigma, "i INT, j INT, value DOUBLE"),
             "history": spark.createDataFrame(
-                [(*row, self.converged) for row in self.history],
-                "iteration INT, bound DOUBLE, gain DOUBLE, converged BOOLEAN",
+                [(*row, self.converged, open_) for row, open_ in zip_longest(self.history, self.unsettled)],
+                "iteration INT, bound DOUBLE, gain DOUBLE, converged BOOLEAN, unsettled BIGINT",
             ),
         }
         if self.vocab is not None:
@@ -86,6 +95,7 @@ def load(spark: SparkSession, folder: str) -> Model:
         history=[(r["iteration"], r["bound"], r["gain"]) for r in history],
         converged=bool(history) and history[-1]["converged"],
         vocab=read("vocabulary") if has_vocab else None,
+        unsettled=[r["unsettled"] for r in history if r["unsettled"] is not None],
     )
 
 

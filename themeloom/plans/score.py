@@ -20,8 +20,9 @@ def score(
     start: DataFrame | None = None,
     aspects: int = 1,
     detail: bool = False,
+    sums: bool = True,
 ) -> DataFrame:
-    """Result rows of ``infer`` for corpus rows. Prior means (doc_id, mu) and start logits
+    """Result rows of ``infer`` for corpus rows; without ``sums`` those of documents alone. Prior means (doc_id, mu) and start logits
     (doc_id, eta) are 0 where neither given nor columns of the rows. Terms outside the vocabulary are not in the rows;
     a document left without terms gets its prior mean."""
     zeros = number_array([0.0] * (topics.topics - 1))
@@ -31,7 +32,7 @@ def score(
         elif given is not None:
             rows = rows.join(given.select("doc_id", name), "doc_id", "left")
             rows = rows.withColumn(name, F.coalesce(name, zeros))
-    return infer(rows.drop("x"), topics, prior, aspects, detail)
+    return infer(rows.drop("x"), topics, prior, aspects, detail, sums=sums)
 
 
 def scored_documents(result: DataFrame) -> DataFrame:
@@ -65,4 +66,4 @@ def score_corpus(corpus: Corpus, model: Model) -> DataFrame:
     if corpus.terms != model.topics.terms:
         raise ValueError(f"the model has {model.topics.terms} terms, the corpus {corpus.terms}")
     rows = corpus.rows.withColumn("mu", linear_map(F.col("x"), model.gamma.T.tolist()))
-    return scored_documents(score(rows, model.topics, model.prior))
+    return scored_documents(score(rows, model.topics, model.prior, sums=False))

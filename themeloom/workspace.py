@@ -62,6 +62,15 @@ class Workspace:
         writer.bucketBy(buckets, key).saveAsTable(f"{self.run}_{name}")
         return self.spark.table(f"{self.run}_{name}")
 
+    def reopened(self, path: str, name: str, key: str, buckets: int) -> DataFrame:
+        """A table that ``bucketed`` wrote in an earlier session, bucketed as it is."""
+        columns = self.spark.read.parquet(path).schema.toDDL()
+        self.spark.sql(
+            f"CREATE TABLE {self.run}_{name} ({columns}) USING parquet"
+            f" CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(f"{self.run}_{name}")
+
     def drop(self, name: str) -> None:
         """Remove one table of this run."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.run}_{name}")
@@ -78,3 +87,27 @@ class Workspace:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all: it is renamed when it is written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, draft = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(text.encode())
+    out.close()
+    if not files.rename(draft, target):
+        raise RuntimeError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def newest(spark: SparkSession, pattern: str) -> str | None:
+    """The file written last of those that match."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+    files = [(f.getModificationTime(), f.getPath().toString()) for f in found]
+    return max(files)[1] if files else None
