@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themeloom import FitParams, Workspace, continue_fit, fit, fit_corpus, initialise, load, resume, score_corpus, score_texts, store_corpus
+from themeloom import FitParams, Workspace, continue_fit, design, fit, fit_corpus, initialise, load, resume, score_corpus, score_texts, store_corpus
 from themeloom.functions import linear_map, number_array
 from themeloom.operators import aggregate, control, mstep
 from themeloom.operators.estep import RESULT, infer
@@ -374,3 +374,70 @@ def test_a_fit_of_its_own_workspace_is_closed(spark):
     assert os.path.exists(folder)
     model.close()
     assert not os.path.exists(folder)
+
+
+def test_sparse_regression_equals_the_dense_one(spark):
+    """Two categorical columns, whose levels do occur together, and a number."""
+    rng = np.random.default_rng(11)
+    rows = [(i, f"a{rng.integers(0, 9)}", f"b{rng.integers(0, 6)}", float(rng.normal())) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, a STRING, b STRING, v DOUBLE")
+    docs = docs.withColumn("a", F.when(F.col("doc_id") % 17 > 0, F.col("a")))  # some levels miss
+    dense = design(docs, ["a", "b"], {"v": F.col("v")})
+    sparse = design(docs, ["a", "b"], {"v": F.col("v")}, sparse=True)
+    assert dense.names == sparse.names
+    width = len(dense.names)
+    x = {r["doc_id"]: np.array(r["x"]) for r in dense.table.collect()}
+    for r in sparse.table.collect():
+        filled = np.zeros(width)
+        filled[r["x"]["at"]] = r["x"]["v"]
+        np.testing.assert_array_equal(filled, x[r["doc_id"]])
+    x = np.array([x[i] for i in range(400)])
+    y = x @ rng.normal(size=(width, 3)) + rng.normal(0, 0.5, (400, 3))
+    sums = mstep.sparse_moments(mstep.sparse_products(sparse.table), x.T @ y, y.T @ y, 400)
+    gamma = mstep.sparse_ridge_coefficients(sums)
+    np.testing.assert_allclose(gamma, mstep.ridge_coefficients(mstep.Moments(x.T @ x, x.T @ y, y.T @ y, 400)), atol=1e-9)
+    np.testing.assert_allclose(sums.xx_times(gamma), x.T @ x @ gamma, atol=1e-9)
+    off = y - x @ gamma
+    np.testing.assert_allclose(mstep.scatter_from_moments(sums, gamma), off.T @ off, atol=1e-8)
+    mu = {r["doc_id"]: r["mu"] for r in mstep.prior_mean(sparse.table, gamma).collect()}
+    np.testing.assert_allclose([mu[i] for i in range(400)], x @ gamma, atol=1e-12)
+
+
+def test_ten_thousand_levels(spark):
+    """One level in two documents each: the square of the covariates is never there as a matrix."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.format_string("g%05d", F.col("id") % 10_000).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    found = design(docs, ["g"], {"v": F.col("v")})
+    assert len(found.names) == 10_001
+    at = np.arange(20_000) % 10_000
+    v = np.arange(20_000) % 7 - 3.0
+    y = np.column_stack([np.sin(at) + 0.1 * v, 0.5 * v])
+    xy = np.zeros((10_001, 2))
+    np.add.at(xy, at[at < 9999] + 1, y[at < 9999])
+    scaled = (v - v.mean()) / v.std()
+    xy[0], xy[10_000] = y.sum(axis=0), scaled @ y
+    sums = mstep.sparse_moments(mstep.sparse_products(found.table), xy, y.T @ y, 20_000)
+    assert len(sums.v) < 4 * 10_001
+    gamma = mstep.sparse_ridge_coefficients(sums)
+    means = gamma[0] + scaled[:, None] * gamma[-1]
+    means[at < 9999] += gamma[at[at < 9999] + 1]
+    assert np.abs(means[:, 1] - y[:, 1]).max() < 0.02  # a number explains it all
+    assert np.corrcoef(means[:, 0], y[:, 0])[0, 1] > 0.97
+
+
+def test_fit_with_sparse_covariates_equals_the_dense_one(spark, space, planted):
+    kinds = planted.docs(spark).select("doc_id", F.format_string("k%d", F.col("doc_id") % 7).alias("kind"))
+    models = []
+    for sparse in (False, True):
+        x = design(kinds, ["kind"], {"n": (F.col("doc_id") % 5).cast("double")}, sparse=sparse).table
+        built = store_corpus(space, planted.triplets(spark), planted.docs(spark), planted.terms, x, partitions=3)
+        assert built.covariates == 8
+        start = initialise(space, built, 3)
+        models.append((built, fit_corpus(space, built, start.topics, FitParams(3, max_iterations=3, threshold=-1.0))))
+    (_, a), (built, b) = models
+    np.testing.assert_allclose(b.gamma, a.gamma, atol=1e-6)
+    np.testing.assert_allclose(b.sigma, a.sigma, atol=1e-6)
+    np.testing.assert_allclose(b.topics.array(), a.topics.array(), atol=1e-8)
+    left = {r["doc_id"]: r["mu"] for r in a.prior_means.collect()}
+    right = {r["doc_id"]: r["mu"] for r in b.prior_means.collect()}
+    np.testing.assert_allclose([right[i] for i in range(600)], [left[i] for i in range(600)], atol=1e-6)
+    assert score_corpus(built, b).count() == planted.documents

@@ -35,6 +35,14 @@ def moment_sum(result: DataFrame, width: int) -> DataFrame:
     return _row_sums(result, "moment", width)
 
 
+def crossed(result: DataFrame, covariates: int, size: int) -> np.ndarray:
+    """Summed products of sparse covariates with logits: as many numbers as coefficients."""
+    found = np.zeros((covariates, size))
+    for batch in _row_sums(result, "cross", size).toArrow().combine_chunks().to_batches():
+        found[batch.column("i").to_numpy()] = square(batch.column("vec"))
+    return found
+
+
 def stacked_logits(result: DataFrame) -> DataFrame:
     """(doc_id, eta): stays a distributed table, told apart by id and not by order."""
     return result.where(F.col("kind") == "doc").select("doc_id", F.col("vec").alias("eta"))

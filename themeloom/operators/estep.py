@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from themeloom.constants import SMALLEST_NORMAL
 from themeloom.functions import dot, linear_map, number_array, quadratic_form, softmax_with_reference
 from themeloom.lookup import lookup_join
+from themeloom.operators.covariates import Vectors
 from themeloom.operators.newton import evaluate, search
 from themeloom.operators.ragged import list_column, ragged, square
 
@@ -217,18 +218,21 @@ def infer(
     topic_bytes: int = TOPIC_BYTES,
     shared: Broadcast | None = None,
     sums: bool = True,
+    gamma: np.ndarray | None = None,
 ) -> DataFrame:
     """Most probable logits of every document, with what the M-step needs.
 
     ``documents``: doc_id, aspect, term_ids, counts, eta (start) and mu; with a column x
-    also the sums of products of (x, eta). Result rows by ``kind``:
+    also the sums of products of (x, eta). With ``gamma`` the tasks take mu as x times these
+    coefficients instead. Result rows by ``kind``:
 
         doc        doc_id, aspect, vec = eta, bound
         unsettled  doc_id of a document whose search ran out of steps
         nu         row idx of the summed posterior covariances, one sum per task
         phi        expected topic counts of term idx under an aspect, summed per task
         weight     expected topic counts of all terms together, one sum per task
-        moment     row idx of the summed products of (x, eta), one sum per task
+        moment     row idx of the summed products of (x, eta), one sum per task; of eta alone where x is sparse
+        cross      where x is sparse: row idx of the summed products of x with eta, one sum per task
         doc_nu     with ``detail``: row idx of a document's posterior covariance
         doc_phi    with ``detail``: expected topic counts of term idx in a document
 
@@ -236,11 +240,14 @@ def infer(
     as one array, ``shared`` if the caller made it by ``share_topics``. Larger ones go where they are needed: each
     block of documents gets the topics of its own terms, once per term and block.
     """
-    columns = ["doc_id", "aspect", "term_ids", "counts", "eta", "mu"]
-    columns += [c for c in documents.columns if c == "x" and sums]
+    columns = ["doc_id", "aspect", "term_ids", "counts", "eta"]
+    columns += [c for c in documents.columns if c == "x" and (sums or gamma is not None)]
+    columns += ["mu"] if gamma is None else []
     shared = shared or share_topics(topics, topic_bytes)
     rows = documents.select(*columns)
     task = _Task(shared, topics.topics, topics.terms, topics.aspects, prior, detail and sums, sums)
+    if gamma is not None:
+        task.gamma = documents.sparkSession.sparkContext.broadcast(np.ascontiguousarray(gamma))
     if shared is not None:
         return rows.mapInArrow(task, RESULT)
     placed, dictionary = _blocks(rows, topics)
@@ -267,6 +274,7 @@ class _Task:
     def __init__(self, shared, topics, terms, aspects, prior, detail, sums):
         self.shared, self.topics, self.terms, self.aspects = shared, topics, terms, aspects
         self.prior, self.detail, self.sums = prior, detail, sums
+        self.gamma: Broadcast | None = None
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return self._solved(batches, lambda aspect, terms: self.shared.value[aspect, terms])
@@ -292,7 +300,7 @@ class _Task:
     def _solved(self, batches: Iterator[pa.RecordBatch], values: Callable) -> Iterator[pa.RecordBatch]:
         size = self.topics - 1
         nu_sum, weight = np.zeros((size, size)), np.zeros((1, self.topics))
-        moment = None
+        moment = cross = None
         phi = _Counts(self.terms, self.topics, BLOCK_BYTES if self.shared is None else PHI_BYTES)
         seen = False
         for batch in batches:
@@ -303,7 +311,9 @@ class _Task:
             aspects = batch.column("aspect").to_numpy()
             eta, bound = np.empty((len(doc_ids), size)), np.empty(len(doc_ids))
             settled = np.empty(len(doc_ids), bool)
-            for rows, ids, at, done, result in self._chunks(batch, aspects, values):
+            x = Vectors(batch.column("x")) if "x" in batch.schema.names else None
+            mu = square(batch.column("mu")) if self.gamma is None else x.times(self.gamma.value)
+            for rows, ids, at, done, result in self._chunks(batch, aspects, mu, values):
                 eta[rows], bound[rows], settled[rows] = result.eta, result.bound, done
                 if not self.sums:
                     continue
@@ -320,22 +330,28 @@ class _Task:
             yield _rows("doc", None, eta, doc_id=doc_ids, aspect=aspects, bound=bound)
             if not settled.all():
                 yield _rows("unsettled", None, eta[~settled], doc_id=doc_ids[~settled], aspect=aspects[~settled])
-            if "x" in batch.schema.names:
-                both = np.hstack([square(batch.column("x")), eta])
+            if x is not None and self.sums:
+                both = eta if x.dense is None else np.hstack([x.dense, eta])
                 moment = both.T @ both if moment is None else moment + both.T @ both
+                if x.dense is None:
+                    cross = _grown(cross, 1 + int(x.at.max(initial=0)), size)
+                    x.add_crossed(cross, eta)
         if seen and self.sums:
             yield _rows("nu", np.arange(size), nu_sum)
             yield _rows("weight", None, weight)
         if moment is not None:
             yield _rows("moment", np.arange(len(moment)), moment)
+        if cross is not None:
+            some = np.flatnonzero(cross.any(axis=1))
+            yield _rows("cross", some, cross[some])
         yield from phi.rows()
 
-    def _chunks(self, batch: pa.RecordBatch, aspects: np.ndarray, values: Callable):
+    def _chunks(self, batch: pa.RecordBatch, aspects: np.ndarray, mu: np.ndarray, values: Callable):
         """Documents of similar length together, padded to the longest. Yields the rows of
         a chunk, its term ids, their places in the padded arrays, which rows settled, and the solution."""
         ids, starts = ragged(batch.column("term_ids"))
         counts, _ = ragged(batch.column("counts"))
-        eta, mu = square(batch.column("eta")), square(batch.column("mu"))
+        eta = square(batch.column("eta"))
         lengths = np.diff(starts)
         order = np.argsort(lengths, kind="stable")
         at = 0
@@ -360,6 +376,13 @@ class _Task:
             yield rows, terms, (doc, place), settled, result
 
 
+def _grown(rows: np.ndarray | None, height: int, width: int) -> np.ndarray:
+    """The array with at least so many rows."""
+    if rows is None:
+        return np.zeros((height, width))
+    return rows if len(rows) >= height else np.vstack([rows, np.zeros((max(height, 2 * len(rows)) - len(rows), width))])
+
+
 class _Counts:
     """Expected topic counts by aspect and term, summed in the task. Whole arrays where they fit ``limit``;
     else the terms met so far, sorted, handed on when they have grown to it."""

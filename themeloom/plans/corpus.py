@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.functions import linear_map
 from themeloom.operators.corpus import (
     Vocabulary,
     corpus_rows,
@@ -16,6 +15,8 @@ from themeloom.operators.corpus import (
     document_term,
     vocabulary,
 )
+from themeloom.operators.covariates import is_sparse, width
+from themeloom.operators.mstep import prior_mean
 from themeloom.workspace import Workspace
 
 ENTRY_BYTES = 16                  # one term of one document
@@ -26,7 +27,7 @@ MOST_BUCKETS = 65536              # Spark itself allows 100,000
 @dataclass(frozen=True)
 class Corpus:
     """Stored rows (doc_id, aspect, x, n, term_ids, counts), bucketed by doc_id. ``aspects``
-    is the largest aspect plus 1, ``covariates`` the length of x, ``path`` the folder of the rows
+    is the largest aspect plus 1, ``covariates`` the length of x (an array, or sparse: see ``design``), ``path`` the folder of the rows
     where they are just as stored."""
 
     rows: DataFrame
@@ -40,7 +41,7 @@ class Corpus:
 
     def prior_means(self, gamma: np.ndarray) -> DataFrame:
         """(doc_id, mu) under coefficients."""
-        return self.rows.select("doc_id", linear_map(F.col("x"), gamma.T.tolist()).alias("mu"))
+        return prior_mean(self.rows, gamma)
 
 
 def bucket_count(df: DataFrame, entries: int) -> int:
@@ -100,15 +101,16 @@ def store_corpus(
     buckets = partitions or bucket_count(triplets, triplets.count())
     space = space.part()
     rows = space.bucketed(corpus_rows(triplets, described, buckets), "corpus", "doc_id", buckets)
+    sparse = is_sparse(rows)
     facts = rows.agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.size("x")).alias("d"),
-        F.min(F.size("x")).alias("e"),
+        F.max(width(F.col("x"), sparse)).alias("d"),
+        F.min(width(F.col("x"), sparse)).alias("e"),
         F.max("aspect").alias("a"),
         F.count("x").alias("x"),
     ).first()
     if facts["x"] < facts["n"]:
         raise ValueError(f"{facts['n'] - facts['x']} documents have no covariates or are not named")
-    if facts["n"] and (facts["d"] != facts["e"] or facts["d"] < 1):
+    if facts["n"] and (facts["d"] < 1 or (facts["d"] != facts["e"] and not sparse)):
         raise ValueError("every document needs covariates of the same length")
     return Corpus(rows, buckets, facts["n"], terms, facts["d"] or 1, (facts["a"] or 0) + 1, vocab, space.path("corpus"))

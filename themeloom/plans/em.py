@@ -9,15 +9,19 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from themeloom.functions import linear_map, number_array
-from themeloom.operators.aggregate import iteration_sums, phi_by_aspect
+from themeloom.operators.aggregate import crossed, iteration_sums, phi_by_aspect
 from themeloom.operators.control import verdict
 from themeloom.operators.corpus import check_dimensions
+from themeloom.operators.covariates import is_sparse
 from themeloom.operators.estep import Prior, Topics, infer, share_topics
 from themeloom.operators.mstep import (
     Moments,
     prior_covariance,
     ridge_coefficients,
     scatter_from_moments,
+    sparse_moments,
+    sparse_products,
+    sparse_ridge_coefficients,
     topic_update,
 )
 from themeloom.operators.recover import initial_covariance
@@ -103,7 +107,9 @@ def fit_corpus(
         raise ValueError(f"the corpus has {corpus.aspects} aspects, the settings {params.aspects}")
     space = space.part()
     topics, size = start, params.topics - 1
-    width = corpus.covariates + size
+    sparse = is_sparse(corpus.rows)
+    width = size if sparse else corpus.covariates + size
+    cells = space.table(sparse_products(corpus.rows), "products") if sparse else None
     sigma = initial_covariance(params.topics) if sigma is None else sigma
     gamma = np.zeros((corpus.covariates, size)) if gamma is None else gamma
     history, unsettled = list(history), list(unsettled)
@@ -114,11 +120,12 @@ def fit_corpus(
         number = len(bounds) + 1
         shared = share_topics(topics)
         inferred = infer(
-            with_state(corpus.rows, logits, gamma, size),
+            with_logits(corpus.rows, logits, size),
             topics,
             Prior.of(sigma),
             params.aspects,
             shared=shared,
+            gamma=gamma,
         )
         result = space.bucketed(
             inferred, f"inferred_{number}", "doc_id", corpus.buckets, split_by="kind"
@@ -129,8 +136,12 @@ def fit_corpus(
         sums = iteration_sums(result, size, width)
         bounds.append(sums.bound)
         unsettled.append(sums.unsettled)
-        moments = Moments.of(sums.moment, corpus.covariates, corpus.documents)
-        gamma = ridge_coefficients(moments)
+        if sparse:
+            moments = sparse_moments(cells, crossed(result, corpus.covariates, size), sums.moment, corpus.documents)
+            gamma = sparse_ridge_coefficients(moments)
+        else:
+            moments = Moments.of(sums.moment, corpus.covariates, corpus.documents)
+            gamma = ridge_coefficients(moments)
         sigma = prior_covariance(
             scatter_from_moments(moments, gamma), sums.nu, corpus.documents, params.sigma_shrink
         )
@@ -165,10 +176,14 @@ def document_logits(result: DataFrame) -> DataFrame:
 
 def with_state(rows: DataFrame, logits: DataFrame | None, gamma: np.ndarray, size: int) -> DataFrame:
     """Corpus rows with start logits and prior mean."""
-    with_mean = rows.withColumn("mu", linear_map(F.col("x"), gamma.T.tolist()))
+    return with_logits(rows.withColumn("mu", linear_map(F.col("x"), gamma.T.tolist())), logits, size)
+
+
+def with_logits(rows: DataFrame, logits: DataFrame | None, size: int) -> DataFrame:
+    """Rows with start logits, 0 where there are none."""
     zeros = number_array([0.0] * size)
     if logits is None:
-        return with_mean.withColumn("eta", zeros)
+        return rows.withColumn("eta", zeros)
     # Hash join per bucket: the wide corpus side is streamed, not sorted.
-    joined = with_mean.join(logits.select("doc_id", "eta").hint("shuffle_hash"), "doc_id", "left")
+    joined = rows.join(logits.select("doc_id", "eta").hint("shuffle_hash"), "doc_id", "left")
     return joined.withColumn("eta", F.coalesce("eta", zeros))
