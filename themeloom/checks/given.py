@@ -193,6 +193,19 @@ class Given:
         start = rows.withColumn("eta", F.array(F.lit(0.0), F.lit(0.0)))
         return self.space.table(infer(start, self.topics3, self.prior3, 3, detail=True), "inferred3")
 
+    @cached_property
+    def inferred_blocks(self) -> DataFrame:
+        """The same with the topics sent to blocks of documents."""
+        rows = self.corpus.rows.drop("x").join(self.mu3, "doc_id")
+        start = rows.withColumn("eta", F.array(F.lit(0.0), F.lit(0.0)))
+        return self.space.table(infer(start, self.topics3, self.prior3, 3, topic_bytes=0), "inferred_blocks")
+
+    @cached_property
+    def covariate_iterations(self) -> Model:
+        """Two iterations with all covariates and aspects."""
+        params = FitParams(topics=3, aspects=3, max_iterations=2, threshold=-1.0)
+        return fit_corpus(self.space, self.corpus, self.topics3, params)
+
     @cached_property
     def two_iterations(self) -> Model:
         rows = self.corpus.rows.withColumn("x", F.array(F.lit(1.0)))

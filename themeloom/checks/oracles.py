@@ -217,6 +217,53 @@ def _inverse(covariance: str) -> str:
         s00 / (s00 * s11 - s01 * s01) as p11, ln(s00 * s11 - s01 * s01) / 2 as entropy from {covariance}"""
 
 
+LEVELS = (1, 2, 3)  # indicators x1 to x3; never two in a document
+
+
+def _sum(text: str) -> str:
+    return " + ".join(f"({text.format(l=l)})" for l in LEVELS)
+
+
+def _each(text: str) -> str:
+    return ", ".join(text.format(l=l) for l in LEVELS)
+
+
+def _ridge(name: str, logits: str) -> dict[str, str]:
+    """Regression of ``logits`` (doc_id, k, eta) on the intercept, the indicators and the length. The indicators are
+    eliminated, which leaves two unknowns: v00, v01 and v11 are the inverse of their matrix."""
+    return {
+        f"{name}_sum": f"""select k, count(*)::double as n, sum(z) as sz, sum(z * z) as szz, sum(eta) as sy, sum(z * eta) as szy,
+            sum(eta * eta) as syy, {_each("sum(x{l}) as n{l}, sum(x{l} * z) as z{l}, sum(x{l} * eta) as y{l}")}
+            from {logits} join cov using (doc_id) group by k""",
+        f"{name}_step": f"""select k, 0 as it, 0e0 as w0, 0e0 as wz, {_each("0e0 as w{l}")}, 5e0 as ea, 1e0 as ba, 1e0 as pr, 1e3 as moved from {name}_sum
+            union all
+            select k, it + 1, u0, uz, {_each("u{l}")}, 5 / (4 / (ea + 1) + uz * uz + v11 + {_sum("u{l} * u{l} + v{l}")}),
+                1 / (npr + 1), npr, abs(u0 - w0) + abs(uz - wz) + {_sum("abs(u{l} - w{l})")}
+            from (
+                select *, ((1 + n) / 2) / ((syy - 2 * (u0 * sy + uz * szy + {_sum("u{l} * y{l}")})
+                    + u0 * u0 * n + uz * uz * szz + 2 * u0 * uz * sz + {_sum("u{l} * (u{l} * n{l} + 2 * u0 * n{l} + 2 * uz * z{l})")}
+                    + (5 - ea * (v11 + {_sum("v{l}")})) / pr) / 2 + ba) as npr
+                from (
+                    select *, {_each("(pr * y{l} - pr * n{l} * u0 - pr * z{l} * uz) / d{l} as u{l}")},
+                        {_each("1 / d{l} + pr * pr * (n{l} * n{l} * v00 + 2 * n{l} * z{l} * v01 + z{l} * z{l} * v11) / (d{l} * d{l}) as v{l}")}
+                    from (
+                        select *, v00 * r0 + v01 * rz as u0, v01 * r0 + v11 * rz as uz
+                        from (
+                            select *, s11 / (s00 * s11 - s01 * s01) as v00, -s01 / (s00 * s11 - s01 * s01) as v01, s00 / (s00 * s11 - s01 * s01) as v11
+                            from (
+                                select *, pr * n - ({_sum("pr * n{l} * pr * n{l} / d{l}")}) as s00,
+                                    pr * sz - ({_sum("pr * n{l} * pr * z{l} / d{l}")}) as s01,
+                                    ea + pr * szz - ({_sum("pr * z{l} * pr * z{l} / d{l}")}) as s11,
+                                    pr * sy - ({_sum("pr * n{l} * pr * y{l} / d{l}")}) as r0,
+                                    pr * szy - ({_sum("pr * z{l} * pr * y{l} / d{l}")}) as rz
+                                from (select r.*, s.* exclude (k), {_each("ea + pr * n{l} as d{l}")}
+                                    from {name}_step r join {name}_sum s using (k) where moved > 1e-4))))))""",
+        f"{name}_coef": f"""select k, arg_max(w0, it) as w0, arg_max(wz, it) as wz, {_each("arg_max(w{l}, it) as w{l}")} from {name}_step group by k""",
+        f"{name}_mean": f"""select doc_id, k, w0 + wz * z + {_sum("w{l} * x{l}")} as mu from cov cross join {name}_coef""",
+    }
+
+
+PARTS |= _ridge("four", "eta4")
 PARTS["prior3"] = "select 5e-2 as p00, 1e-2 as p01, 5e-2 as p11, -ln(24e-4) / 2 as entropy"
 PARTS |= _search("best3", "doc3", "trip3", "prior3")
 PARTS |= _search("best_new", "new_doc", "new_trip", "prior3")
@@ -241,6 +288,23 @@ PARTS |= {
     "em2_topic": _normalised("em2_count"),
     "em2_moment": _moments("em2"),
 }
+# The same with all covariates: prior means follow from the coefficients.
+for before, now in (("em1", "cm1"), ("cm2", "cm2")):
+    if now == "cm2":
+        PARTS |= {
+            "cm2_doc": """select doc_id, max(mu) filter (k = 0) as m0, max(mu) filter (k = 1) as m1 from cm1_mean group by doc_id""",
+            "cm2_prior": _inverse("cm1_moment"),
+        }
+        PARTS |= _search("cm2", "cm2_doc", "em2_trip", "cm2_prior")
+    PARTS[f"{now}_eta"] = f"select doc_id, 0 as k, e0 as eta from {before} union all select doc_id, 1, e1 from {before}"
+    PARTS |= _ridge(now, f"{now}_eta")
+    PARTS[f"{now}_moment"] = f"""select avg((e0 - m0) * (e0 - m0) + h11 / det) as s00, avg((e0 - m0) * (e1 - m1) - h01 / det) as s01,
+        avg((e1 - m1) * (e1 - m1) + h00 / det) as s11
+        from {before} join (select doc_id, max(mu) filter (k = 0) as m0, max(mu) filter (k = 1) as m1 from {now}_mean group by doc_id) using (doc_id)"""
+PARTS |= {
+    "cm2_count": _counts("em2_trip", "cm2"),
+    "cm2_topic": _normalised("cm2_count"),
+}
 PARTS |= {
     "nu3": """select doc_id, 0 as k1, 0 as k2, h11 / det as value from best3
         union all select doc_id, 0, 1, -h01 / det from best3 union all select doc_id, 1, 0, -h01 / det from best3
@@ -249,24 +313,6 @@ PARTS |= {
         sum(cnt * b2 * (1 - t0 - t1) / w) as c2
         from (select *, b0 * t0 + b1 * t1 + b2 * (1 - t0 - t1) as w from trip3 join best3 using (doc_id))
         join aspect_of using (doc_id) group by aspect, term_id""",
-    # Regression on intercept and length.
-    "sums2": """select k, count(*)::double as n, sum(z) as sz, sum(z * z) as szz, sum(eta) as sy,
-        sum(z * eta) as szy, sum(eta * eta) as syy from eta4 join cov using (doc_id) group by k""",
-    "ridge": """select k, 0 as it, 0e0 as w0, 0e0 as w1, 2e0 as ea, 1e0 as ba, 1e0 as pr, 1e3 as moved from sums2
-        union all
-        select k, it + 1, nw0, nw1, 2 / (4 / (ea + 1) + nw1 * nw1 + v11), 1 / (npr + 1), npr, abs(nw0 - w0) + abs(nw1 - w1)
-        from (
-            select *, ((1 + n) / 2) / ((syy - 2 * (nw0 * sy + nw1 * szy) + nw0 * nw0 * n + 2 * nw0 * nw1 * sz + nw1 * nw1 * szz
-                + n * v00 + 2 * sz * v01 + szz * v11) / 2 + ba) as npr
-            from (
-                select *, pr * (v00 * sy + v01 * szy) as nw0, pr * (v01 * sy + v11 * szy) as nw1
-                from (
-                    select r.*, n, sz, szz, sy, szy, syy,
-                        (ea + pr * szz) / (pr * n * (ea + pr * szz) - pr * sz * pr * sz) as v00,
-                        -pr * sz / (pr * n * (ea + pr * szz) - pr * sz * pr * sz) as v01,
-                        pr * n / (pr * n * (ea + pr * szz) - pr * sz * pr * sz) as v11
-                    from ridge r join sums2 using (k) where moved > 1e-4)))""",
-    "coef": "select k, arg_max(w0, it) as w0, arg_max(w1, it) as w1 from ridge group by k",
     "both4": """select doc_id, 0 as i, 1e0 as v from cov union all select doc_id, 1, x1 from cov
         union all select doc_id, 2, x2 from cov union all select doc_id, 3, x3 from cov
         union all select doc_id, 4, z from cov union all select doc_id, 5 + k, eta from eta4""",
@@ -375,9 +421,10 @@ FINAL: dict[str, str] = {
     "b4_phi_by_aspect": "select aspect::bigint as aspect, topic, term_id, round(value, 5) as value from phi4",
     "m1_suffstats": """select a.i::bigint as i, b.i::bigint as j, round(sum(a.v * b.v), 4) as v
         from both4 a join both4 b using (doc_id) group by a.i, b.i""",
-    "m1_vbreg": """select k::bigint as topic, 0::bigint as covariate, round(w0, 6) as coef from coef
-        union all select k, 1, round(w1, 6) from coef""",
-    "m2_mu": "select doc_id, k::bigint as k, round(w0 + w1 * z, 6) as mu from cov cross join coef",
+    "m1_vbreg": """select k::bigint as topic, 0::bigint as covariate, round(w0, 6) as coef from four_coef
+        union all select k, 1, round(w1, 6) from four_coef union all select k, 2, round(w2, 6) from four_coef
+        union all select k, 3, round(w3, 6) from four_coef union all select k, 4, round(wz, 6) from four_coef""",
+    "m2_mu": "select doc_id, k::bigint as k, round(mu, 6) as mu from four_mean",
     "m3_sigma": """with off as (select doc_id, e0 - m0 as d0, e1 - m1 as d1 from best3 join doc3 using (doc_id)),
         cells as (select k1, k2, value from nu3 union all select 0, 0, d0 * d0 from off union all select 0, 1, d0 * d1 from off
             union all select 1, 0, d0 * d1 from off union all select 1, 1, d1 * d1 from off)
@@ -407,6 +454,18 @@ FINAL: dict[str, str] = {
         union all select 'mean', 0, 0, m0 from em2_moment union all select 'mean', 0, 1, m1 from em2_moment
         union all select 'covariance', 0, 0, s00 from em2_moment union all select 'covariance', 0, 1, s01 from em2_moment
         union all select 'covariance', 1, 0, s01 from em2_moment union all select 'covariance', 1, 1, s11 from em2_moment)""",
+    "f2_covariate_topics": f"""select topic::bigint as topic, term_id, {M.format('prob')} as prob
+        from (select 0 as topic, term_id, b0 as prob from cm2_topic union all select 1, term_id, b1 from cm2_topic
+            union all select 2, term_id, b2 from cm2_topic)""",
+    "f2_covariates": """select what, i::bigint as i, j::bigint as j, round(value, 3) as value from (
+        select 'bound' as what, 1 as i, 0 as j, sum(bound) as value from em1_bound
+        union all select 'bound', 2, 0, sum(bound) from cm2_bound
+        union all select 'coefficient', 0, k, w0 from cm2_coef union all select 'coefficient', 1, k, w1 from cm2_coef
+        union all select 'coefficient', 2, k, w2 from cm2_coef union all select 'coefficient', 3, k, w3 from cm2_coef
+        union all select 'coefficient', 4, k, wz from cm2_coef
+        union all select 'covariance', 0, 0, s00 from cm2_moment union all select 'covariance', 0, 1, s01 from cm2_moment
+        union all select 'covariance', 1, 0, s01 from cm2_moment union all select 'covariance', 1, 1, s11 from cm2_moment
+        union all select 'unsettled', 1, 0, 0 union all select 'unsettled', 2, 0, 0)""",
     "p5_output": """select 'doc_topics' as table_name, count(*) as rows from documents
         union all select 'prior_mean', count(*) from documents
         union all select 'topics', count(*) from words union all select 'vocabulary', count(*) from words
@@ -440,4 +499,7 @@ def _recursive(name: str) -> bool:
     return bool(re.search(rf"\b{name}\b", PARTS[name]))
 
 
+# The same results by topics that are joined to blocks of documents.
+FINAL |= {f"{name}_blocks": FINAL[name] for name in ("e6_map_eta", "e11_accumulate")}
+
 ORACLES: dict[str, str] = {name: statement(name) for name in FINAL}

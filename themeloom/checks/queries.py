@@ -17,9 +17,8 @@ from themeloom.operators import aggregate, anchors, control, corpus, estep, gram
 from themeloom.params import FitParams
 from themeloom.plans.em import fit_corpus
 from themeloom.plans.initialise import initialise
-from themeloom.plans.model import load
-from themeloom.plans.corpus import store_corpus
-from themeloom.plans.score import score, scored_documents
+from themeloom.plans.model import Model, load
+from themeloom.plans.score import score_texts
 from themeloom.sources import nested_documents, read_lines, read_matrix, read_triplets, save_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,7 +351,17 @@ def e5_gradient(g: Given) -> DataFrame:
 
 @query
 def e6_map_eta(g: Given) -> DataFrame:
-    docs = g.inferred3.where(F.col("kind") == "doc").select("doc_id", "vec")
+    return _logits(g.inferred3)
+
+
+@query
+def e6_map_eta_blocks(g: Given) -> DataFrame:
+    """With topics that are too large to send whole."""
+    return _logits(g.inferred_blocks)
+
+
+def _logits(result: DataFrame) -> DataFrame:
+    docs = result.where(F.col("kind") == "doc").select("doc_id", "vec")
     return long(docs, "vec", "k", "eta").select("doc_id", whole("k"), rounded("eta", 5))
 
 
@@ -385,10 +394,20 @@ def e10_bound(g: Given) -> DataFrame:
 @query
 def e11_accumulate(g: Given) -> DataFrame:
     """What the tasks emit, summed: expected counts per aspect and posterior covariances."""
-    phi = aggregate.phi_by_aspect(g.inferred3, 3).select(
+    return _accumulated(g.inferred3)
+
+
+@query
+def e11_accumulate_blocks(g: Given) -> DataFrame:
+    """With topics that are too large to send whole."""
+    return _accumulated(g.inferred_blocks)
+
+
+def _accumulated(result: DataFrame) -> DataFrame:
+    phi = aggregate.phi_by_aspect(result, 3).select(
         F.lit("phi").alias("kind"), "aspect", F.col("term_id").alias("idx"), F.col("phi").alias("vec")
     )
-    nu = aggregate.nu_sum(g.inferred3, 2).select(
+    nu = aggregate.nu_sum(result, 2).select(
         F.lit("nu").alias("kind"), F.lit(-1).alias("aspect"), F.col("i").alias("idx"), "vec"
     )
     cells = long(phi.unionByName(nu), "vec", "at", "value")
@@ -432,12 +451,8 @@ def m1_suffstats(g: Given) -> DataFrame:
     return aggregate.long_matrix(table).select(whole("i"), whole("j"), rounded("v", 4))
 
 
-def _length_only(g: Given) -> DataFrame:
-    return g.design.table.select("doc_id", F.array(F.get("x", F.lit(0)), F.get("x", F.lit(4))).alias("x"))
-
-
 def _coefficients(g: Given) -> np.ndarray:
-    return mstep.ridge_coefficients(mstep.moments(_length_only(g), g.eta, 2, 4))
+    return mstep.ridge_coefficients(mstep.moments(g.design.table, g.eta, 5, 4))
 
 
 @query
@@ -449,7 +464,7 @@ def m1_vbreg(g: Given) -> DataFrame:
 
 @query
 def m2_mu(g: Given) -> DataFrame:
-    means = mstep.prior_mean(_length_only(g), _coefficients(g))
+    means = mstep.prior_mean(g.design.table, _coefficients(g))
     return long(means, "mu", "k", "mu").select("doc_id", whole("k"), rounded("mu"))
 
 
@@ -515,11 +530,15 @@ def p3_anchor_compare(g: Given) -> DataFrame:
 
 @query
 def p4_score(g: Given) -> DataFrame:
-    """New documents, the benchmark texts, under the three given topics."""
+    """New documents, the benchmark texts, under the three given topics: a model with these is saved, loaded, and
+    scores the texts."""
+    docs = g.inferred3.where(F.col("kind") == "doc").select("doc_id", F.col("vec").alias("eta"), "bound")
+    vocab = g.vocab.select("term_id", "term")
+    model = Model(g.topics3, np.zeros((1, 2)), np.linalg.inv(precision(2)), docs, g.mu3, vocab=vocab)
+    folder = g.space.path("given_model")
+    model.save(folder, mode="overwrite")
     new = g.read("benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    triplets = corpus.document_term(corpus.doc_terms(new), g.corpus.vocab)
-    rows = store_corpus(g.space, triplets, new, g.corpus.terms).rows
-    found = scored_documents(score(rows, g.topics3, g.prior3))
+    found = score_texts(g.space, new, load(g.spark, folder))
     return found.select(
         "doc_id",
         F.round(F.get("eta", F.lit(0)), 5).alias("eta0"),
@@ -553,6 +572,26 @@ def f2_bounds(g: Given) -> DataFrame:
     return table.select("what", "i", "j", rounded("value", 3))
 
 
+@query
+def f2_covariate_topics(g: Given) -> DataFrame:
+    """Topics after two iterations with all covariates and three aspects."""
+    return recover.long_topics(g.covariate_iterations.topics.table).select(
+        whole("topic"), whole("term_id"), tiny("prob")
+    )
+
+
+@query
+def f2_covariates(g: Given) -> DataFrame:
+    """Bounds of these iterations, the prior they end with, and the documents that ran out of steps."""
+    model = g.covariate_iterations
+    rows = [("bound", i, 0, float(b)) for i, b, _ in model.history]
+    rows += [("coefficient", d, k, float(v)) for (d, k), v in np.ndenumerate(model.gamma)]
+    rows += [("covariance", i, j, float(v)) for (i, j), v in np.ndenumerate(model.sigma)]
+    rows += [("unsettled", i, 0, float(n)) for i, n in enumerate(model.unsettled, 1)]
+    table = g.spark.createDataFrame(rows, "what STRING, i BIGINT, j BIGINT, value DOUBLE")
+    return table.select("what", "i", "j", rounded("value", 3))
+
+
 @query
 def f2_fit(g: Given) -> DataFrame:
     return _fitted(g).top_words(5).select(
