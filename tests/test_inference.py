@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -308,3 +310,22 @@ def test_documents_that_run_out_of_steps_are_told(spark, case, planted, monkeypa
     cells = topics.array()[0]
     found = [r for b in task._solved([batch], lambda _, terms: cells[terms]) for r in b.to_pylist()]
     assert sorted(r["doc_id"] for r in found if r["kind"] == "unsettled") == sorted(batch.column("doc_id").to_pylist())
+
+
+def test_curvature_with_many_topics(spark):
+    """75 topics: half of the matrix is added up, and the plan stays small."""
+    values, counts, _, eta, precision = large_case(75, 6, 30)
+    rows = [(d, t, float(counts[d, t]), values[d, t].tolist()) for d in range(6) for t in range(30) if counts[d, t]]
+    sliced = spark.createDataFrame(rows, "doc_id BIGINT, term_id INT, cnt DOUBLE, b ARRAY<DOUBLE>")
+    logits = spark.createDataFrame([(d, eta[d].tolist()) for d in range(6)], "doc_id BIGINT, eta ARRAY<DOUBLE>")
+    start = time.perf_counter()
+    found = estep.hessian(sliced, logits, precision)
+    found._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - start < 1.0
+    _, curve, _ = newton.derivatives(values, counts, eta, eta, precision)
+    got = np.full(curve.shape, np.nan)
+    for r in found.collect():
+        got[r["doc_id"], r["k1"], r["k2"]] = r["value"]
+    used = counts.any(axis=1)
+    np.testing.assert_allclose(got[used], curve[used], atol=1e-8)
+    assert np.isnan(got[~used]).all()

@@ -10,6 +10,8 @@ from themeloom.sources import (
     nested_documents,
     read_lines,
     read_matrix,
+    read_matrix_rows,
+    write_matrix_rows,
     read_triplets,
     read_vector,
     save_tables,
@@ -55,3 +57,14 @@ def test_saved_tables(spark, tmp_path):
         assert sorted(back.collect()) == sorted(frame.collect())
     with pytest.raises(ValueError):
         save_tables({"t": frame}, str(tmp_path / "x"), "xml")
+
+
+def test_matrix_rows_in_records(spark, tmp_path):
+    """Stretches of rows as records of their own; whole rows written by others are read too."""
+    path = str(tmp_path / "rows")
+    cells = [(i, j, i + j / 8) for i in range(3) for j in range(25) if (i + j) % 4]
+    write_matrix_rows(spark.createDataFrame(cells, "i BIGINT, j BIGINT, value DOUBLE"), path, 10)
+    assert spark.read.json(path).count() == 9
+    assert sorted(tuple(r) for r in read_matrix_rows(spark, path).collect()) == cells
+    (tmp_path / "plain.json").write_text('{"i": 1, "row": [0.5, null, 2]}\n{"i": 0, "row": []}\n')
+    assert [tuple(r) for r in read_matrix_rows(spark, str(tmp_path / "plain.json")).collect()] == [(1, 0, 0.5), (1, 2, 2.0)]

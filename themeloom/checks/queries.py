@@ -19,7 +19,7 @@ from themeloom.plans.em import fit_corpus
 from themeloom.plans.initialise import initialise
 from themeloom.plans.model import Model, load
 from themeloom.plans.score import score_texts
-from themeloom.sources import nested_documents, read_lines, read_matrix, read_triplets, save_tables
+from themeloom.sources import nested_documents, read_lines, read_matrix_rows, read_triplets, save_tables, write_matrix_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,17 +80,10 @@ def s2_lines(g: Given) -> DataFrame:
 
 @query
 def s3_matrix(g: Given) -> DataFrame:
-    path = g.space.path("matrix_json")
-    per_topic = recover.long_topics(g.topics4.table).groupBy("topic").agg(
-        F.sort_array(F.collect_list(F.struct("term_id", "prob"))).alias("cells")
-    )
-    matrix = per_topic.agg(
-        F.sort_array(F.collect_list(F.struct("topic", F.col("cells.prob").alias("row")))).alias("rows")
-    )
-    inner = F.struct(F.col("rows.row").alias("beta")).alias("inputs")
-    matrix.select(inner).write.mode("overwrite").json(path)
-    cells = read_matrix(g.spark, path, "inputs.beta")
-    return cells.select(whole("i"), whole("j"), tiny("value"))
+    path = g.space.path("matrix_rows")
+    cells = recover.long_topics(g.topics4.table)
+    write_matrix_rows(cells.select(F.col("topic").alias("i"), F.col("term_id").alias("j"), F.col("prob").alias("value")), path)
+    return read_matrix_rows(g.spark, path).select("i", "j", tiny("value"))
 
 
 @query

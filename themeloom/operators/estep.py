@@ -124,29 +124,56 @@ def gradient(sliced: DataFrame, state: DataFrame, precision: np.ndarray) -> Data
 
 def hessian(sliced: DataFrame, eta: DataFrame, precision: np.ndarray) -> DataFrame:
     """(doc_id, k1, k2, value): second derivatives of the objective, for documents that
-    have terms. One sum per pair of topics: for many topics use the ``doc_nu`` rows of
-    ``infer``, which hold the inverse."""
+    have terms.
+
+    A document's entries come together in its row, and its outer products are added up in one packed vector
+    of K (K - 1) / 2 numbers, half of the symmetric matrix; cells are written out last."""
     size = len(precision)
-    theta = proportions(eta)
-    per_pair = [
-        F.sum(F.col("cnt") * F.get("p", F.lit(a)) * F.get("p", F.lit(b)))
-        for a in range(size)
-        for b in range(size)
-    ]
-    per_topic = [F.sum(F.col("cnt") * F.get("p", F.lit(a))) for a in range(size)]
-    sums = (
-        _explained(sliced, theta)
-        .groupBy("doc_id")
-        .agg(F.sum("cnt").alias("n"), F.array(*per_pair).alias("pairs"), F.array(*per_topic).alias("counts"))
-        .join(theta, "doc_id")
-    )
-    flat = number_array(precision.ravel().tolist())
-    cells = sums.select("doc_id", "n", "counts", "theta", F.posexplode("pairs").alias("at", "pair"))
-    k1, k2 = (F.col("at") / size).cast("int"), F.col("at") % size
-    first, second = F.get("theta", k1), F.get("theta", k2)
-    diagonal = F.when(k1 == k2, F.get("counts", k1) - F.col("n") * first).otherwise(0.0)
-    value = F.col("pair") - F.col("n") * first * second - diagonal + F.get(flat, F.col("at"))
-    return cells.select("doc_id", k1.alias("k1"), k2.alias("k2"), value.alias("value"))
+    entry = F.struct(F.col("cnt").cast("double").alias("cnt"), "b")
+    rows = sliced.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_list(entry).alias("entries"))
+    rows = rows.join(eta.select(F.col("doc_id").cast("bigint").alias("doc_id"), "eta"), "doc_id")
+    flat = rows.select("doc_id", "eta", F.col("entries.cnt").alias("counts"), F.flatten("entries.b").alias("topics"))
+    first, second = np.triu_indices(size)
+    place = np.zeros((size, size), np.int64)
+    place[first, second] = place[second, first] = np.arange(len(first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                counts, starts = ragged(one.column("counts"))
+                topics, edges = ragged(one.column("topics"))
+                counts, topics = counts[starts[0] : starts[-1]], topics[edges[0] : edges[-1]].reshape(-1, size + 1)
+                packed = _packed_curvature(counts, topics, square(one.column("eta"))[0], precision, first, second)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(size * size, one.column("doc_id")[0].as_py())),
+                        pa.array(np.repeat(np.arange(size, dtype=np.int32), size)),
+                        pa.array(np.tile(np.arange(size, dtype=np.int32), size)),
+                        pa.array(packed[place].ravel()),
+                    ],
+                    names=["doc_id", "k1", "k2", "value"],
+                )
+
+    return flat.mapInArrow(run, "doc_id BIGINT, k1 INT, k2 INT, value DOUBLE")
+
+
+def _packed_curvature(
+    counts: np.ndarray, topics: np.ndarray, eta: np.ndarray, precision: np.ndarray, first: np.ndarray, second: np.ndarray
+) -> np.ndarray:
+    """Upper half of a document's curvature, row by row. Terms are taken in parts of a bounded size."""
+    logits = np.append(eta, 0.0)
+    e = np.exp(logits - logits.max())
+    theta = e / e.sum()
+    share = topics * theta / np.maximum(topics @ theta, SMALLEST_NORMAL)[:, None]
+    packed = np.zeros(len(first))
+    step = max(1, CHUNK_CELLS // max(1, len(first)))
+    for at in range(0, len(counts), step):
+        part = share[at : at + step]
+        packed += counts[at : at + step] @ (part[:, first] * part[:, second])
+    even = counts.sum() * theta
+    diagonal = np.where(first == second, (counts @ share - even)[first], 0.0)
+    return packed - even[first] * theta[second] - diagonal + precision[first, second]
 
 
 def expected_counts(sliced: DataFrame, theta: DataFrame, by: list[str], topics: int) -> DataFrame:
