@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from themeloom.llm.words import text_batches
@@ -33,7 +34,8 @@ class ChatParams:
     pattern: str
     first_free: int = 50_257
     loss_roles: tuple[str, ...] = ("assistant",)
-    #: Longest stretch that is encoded at once; a longer text is encoded in parts.
+    #: About how much is encoded at once. A longer text is cut after words where the pattern splits it anyway, which
+    #: gives the ids of the whole; a longer piece of the pattern is encoded as one.
     part: int = 1 << 16
 
 
@@ -60,6 +62,7 @@ class Codec:
         with open(self.params.ranks, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.coder = tiktoken.Encoding("chat", pat_str=self.params.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(self.params.pattern)
         first = self.params.first_free
         self.start, self.split, self.end = first, first + 1, first + 2
 
@@ -67,8 +70,13 @@ class Codec:
         segment, size = escape(segment), self.params.part
         if len(segment) <= size:
             return self.coder.encode_ordinary(segment)
-        parts = self.coder.encode_ordinary_batch([segment[i : i + size] for i in range(0, len(segment), size)], num_threads=1)
-        return [x for ids in parts for x in ids]
+        cuts = [0]
+        for piece in self.pieces.finditer(segment):
+            # Not after white space: how the pattern splits that depends on what follows.
+            if piece.end() - cuts[-1] >= size and not segment[piece.end() - 1].isspace():
+                cuts.append(piece.end())
+        parts = (segment[a:b] for a, b in zip(cuts, [*cuts[1:], len(segment)]) if b > a)
+        return [x for part in parts for x in self.coder.encode_ordinary(part)]
 
     def decode(self, ids: list[int]) -> str:
         return self.coder.decode_bytes(ids).decode()
