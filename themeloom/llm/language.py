@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from themeloom.llm.words import text_batches
 
@@ -27,13 +27,13 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageParams:
     """``sample`` bounds the labelled documents per language that the model is fitted on, taken
-    by a hash of their text's id; ``words`` and ``grams`` bound what it holds, the most frequent
-    first, in all languages together. Every language gets ``smoothing`` entries more of each kind,
+    by a hash of their text's id; ``words`` and ``grams`` are the entries that every language brings in, its most
+    frequent ones, so that none takes another's place. Every language gets ``smoothing`` entries more of each kind,
     divided as all languages' entries are, so one with few texts gains nothing by that."""
 
     sample: int = 2000
-    words: int = 100_000
-    grams: int = 50_000
+    words: int = 50_000
+    grams: int = 25_000
     longest: int = 5
     smoothing: float = 10.0
 
@@ -134,8 +134,8 @@ def _rows(kind: int, lang: str, counts: Counter) -> pa.RecordBatch:
 def fit_languages(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", params: LanguageParams = LanguageParams()
 ) -> LanguageModel:
-    """Fit on a bounded sample of the documents with text and label. The driver receives at
-    most ``params.words + params.grams`` entries, each with its counts by language."""
+    """Fit on a bounded sample of the documents with text and label. The driver receives at most
+    ``params.words + params.grams`` entries for each language, with their counts by language."""
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     totals = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(totals)
@@ -145,12 +145,9 @@ def fit_languages(
     for name in languages:
         chosen = chosen | ((F.col(lang) == name) & (share < min(1.0, params.sample / totals[name])))
     counted = count_words(labelled.where(chosen), text, lang).persist()
-    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-    order = [F.desc("all"), F.asc("entry")]
     try:
-        words = counted.groupBy("entry").agg(F.sum("n").alias("all"), by).orderBy(*order).limit(params.words).collect()
-        grams = count_grams(counted, params.longest).groupBy("kind", "entry").agg(F.sum("n").alias("all"), by)
-        grams = grams.orderBy(*order, "kind").limit(params.grams).collect()
+        words = _most_frequent(counted, ["entry"], params.words).collect()
+        grams = _most_frequent(count_grams(counted, params.longest), ["kind", "entry"], params.grams).collect()
     finally:
         counted.unpersist()
     word_rows, word_logs = _logs(words, languages, params.smoothing, lambda r: 0)
@@ -158,6 +155,14 @@ def fit_languages(
     return LanguageModel(languages, word_rows, word_logs, gram_rows, gram_logs, params.longest)
 
 
+def _most_frequent(counted: DataFrame, entry: list[str], most: int) -> DataFrame:
+    """(entry, by): the entries that are among the ``most`` frequent of a language, with all their counts."""
+    own = Window.partitionBy("lang").orderBy(F.desc("n"), *entry)
+    top = counted.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= most).select(*entry).distinct()
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+    return counted.join(top, entry, "left_semi").groupBy(*entry).agg(by).orderBy(*entry)
+
+
 def _logs(rows: list, languages: list[str], smoothing: float, kind) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies among the entries of one kind and language."""
     table = np.array([[r["by"].get(name, 0) for name in languages] for r in rows], float).reshape(len(rows), len(languages))
