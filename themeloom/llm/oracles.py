@@ -98,7 +98,7 @@ with docs as (
     )
 ), often as (
     select source, line from lines group by 1, 2
-    having count(distinct text) > 10 and 100 * count(distinct text) > (
+    having count(distinct text) > 100 or count(distinct text) > 10 and 100 * count(distinct text) > (
         select count(distinct d.text) from docs d where d.source is not distinct from lines.source)
 ), cut as (
     select rid, sum(n) as n from lines l join often o on o.line = l.line and o.source is not distinct from l.source group by 1

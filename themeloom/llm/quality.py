@@ -30,8 +30,9 @@ _FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 @dataclass(frozen=True)
 class QualityParams:
     """A text fails with fewer words than ``min_words``, or with more than ``repeat_percent``
-    of its words in repeated windows. A line goes when it is in more than ``line_docs`` and in
-    more than ``line_percent`` of the distinct texts of its host. A document is depleted when
+    of its words in repeated windows. A line goes when more than ``line_docs`` and more than
+    ``line_percent`` of the distinct texts of its host hold it, and whenever more than ``line_most`` do,
+    however large the host is. A document is depleted when
     fewer than ``left_words`` words or less than ``left_percent`` of them remain."""
 
     min_words: int = 50
@@ -39,6 +40,7 @@ class QualityParams:
     window: int = 3
     line_docs: int = 10
     line_percent: int = 1
+    line_most: int = 100
     left_words: int = 20
     left_percent: int = 20
 
@@ -127,7 +129,7 @@ def frequent_lines(space: Workspace, measured: DataFrame, params: QualityParams)
     often = space.table(often, "often")
     texts = measured.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     above = often.join(space.table(texts, "texts"), "host").where(
-        F.col("n") * 100 > F.col("texts") * params.line_percent
+        (F.col("n") * 100 > F.col("texts") * params.line_percent) | (F.col("n") > params.line_most)
     )
     return space.table(above.select("key").distinct(), "frequent")
 
