@@ -18,7 +18,7 @@ from themeloom.llm.lm import Filter, LmParams, levels, lm_scores, typical
 from themeloom.llm.mixing import MixParams, mix
 from themeloom.llm.ngram_join import JoinParams, ngram_join
 from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
-from themeloom.llm.quality import quality_rules, repeat_words, without_lines
+from themeloom.llm.quality import QualityParams, quality_rules, repeat_words, without_lines
 from themeloom.llm.queries import word_tokenizer
 
 LONG = " ".join(f"w{i}x{i * i % 97}" for i in range(30_000))
@@ -68,6 +68,27 @@ def test_quality_lines(space, documents):
     assert got[300]["left"] == f"{head}\n{own(300)}"
 
 
+def test_lines_of_a_large_host(space, documents):
+    """However large the host is, a line in more than the most texts goes; one in fewer than its share stays."""
+    own = lambda k: " ".join(["".join(chr(97 + int(c)) for c in str(k))] * 60)
+    rows = [(k, ("everywhere\n" if k < 21 else "in a few\n" if k < 40 else "") + own(k), "en", "hot") for k in range(2100)]
+    params = QualityParams(line_most=20)
+    found = {r["row"]["doc_id"]: r["cut_lines"] for r in quality_rules(space, documents(rows), ["doc_id"], params).collect()}
+    assert all(found[k] == [0] for k in range(21)) and not any(found[k] for k in range(21, 2100))
+    usual = {r["row"]["doc_id"]: r["cut_lines"] for r in quality_rules(space, documents(rows), ["doc_id"]).collect()}
+    assert not any(usual.values())  # 21 are 1 % of them, and fewer than 100
+
+
+def test_every_language_brings_in_its_words(spark):
+    """A language with few texts keeps its entries beside one with many."""
+    docs = [(k, " ".join(f"{c}{k % 50}x" for c in "abcdefgh"), "big") for k in range(400)]
+    docs += [(1000 + k, "qua quo qui", "small") for k in range(3)]
+    docs = [(i, re.sub(r"\d+", lambda m: "z" * (int(m[0]) % 7 + 1) + "y" * (int(m[0]) // 7 + 1), t), lang) for i, t, lang in docs]
+    model = fit_languages(spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING"), params=LanguageParams(words=40, grams=30))
+    assert {"qua", "quo", "qui"} <= set(model.words) and 40 <= len(model.words) <= 80
+    assert model.predict("qui quo")[0] == "small" and model.predict("azy")[0] == "big"
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=14))
 def test_repeat_words(words):

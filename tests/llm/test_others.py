@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from dataclasses import replace
+from itertools import combinations
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from themeloom.llm.chat import ChatParams, escape, format_turns, read_back, unescape
+from themeloom.llm.chat import ChatParams, Codec, escape, format_turns, read_back, unescape
 from themeloom.llm.near_vectors import VectorParams, bucket_keys, near_vectors
-from themeloom.llm.url_rules import UrlParams, filter_urls
+from themeloom.llm.url_rules import UrlParams, filter_urls, mine_rules
 
 
 def test_urls(spark, space):
@@ -102,6 +105,55 @@ def params():
     return ChatParams(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, part=50)
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.sampled_from(["a", "B ", "  ", "\n", " \n ", "1", "23", "'s", "'", "é", "日本", "😀", "\t", " word", "don't", "...", "</turn>", "\\"]), max_size=100),
+    st.integers(1, 60),
+)
+def test_texts_in_parts_have_the_ids_of_the_whole(params, pieces, part):
+    text = "".join(pieces)
+    whole, cut = Codec(replace(params, part=1 << 40)), Codec(replace(params, part=part))
+    assert cut.encode(text) == whole.encode(text)
+
+
+def test_very_long_texts_have_the_ids_of_the_whole(params):
+    whole, usual = Codec(replace(params, part=1 << 40)), Codec(replace(params, part=1 << 16))
+    for text in ("a" * 150_000, " " * 150_000, "word \n\n 12's " * 20_000):
+        assert usual.encode(text) == whole.encode(text)
+
+
+def brute_rules(pages, support, least, confidence, most):
+    """Rules by counting every combination of tokens."""
+    together, blocked = Counter(), Counter()
+    for tokens, bad in pages:
+        for size in range(1, most + 1):
+            for some in combinations(sorted(tokens), size):
+                together[some] += 1
+                blocked[some] += bad
+    fewest = max(support * len(pages), least)
+    share = sum(bad for _, bad in pages) / len(pages)
+    rules = {s: blocked[s] / n for s, n in together.items() if blocked[s] >= fewest and blocked[s] / n >= confidence and blocked[s] / n > share}
+    return {s: c for s, c in rules.items() if not any(rules.get(p, -1) >= c for k in range(1, len(s)) for p in combinations(s, k))}
+
+
+def test_mined_rules_against_counts(spark, space):
+    rng = np.random.default_rng(5)
+    pages = []
+    for _ in range(300):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.45]
+        odds = 0.15 + 0.6 * ("a" in tokens and "b" in tokens) + 0.3 * ("g" in tokens)
+        pages.append((tokens, bool(rng.random() < odds)))
+    labelled = spark.createDataFrame(pages, "tokens ARRAY<STRING>, blocked BOOLEAN")
+    params = UrlParams(support=0.05, confidence=0.6, certainty=0.0)
+    found = {tuple(r["tokens"]): (r["confidence"], r["index"]) for r in mine_rules(space, labelled, params).collect()}
+    wanted = brute_rules(pages, 0.05, 5, 0.6, 3)
+    assert found.keys() == wanted.keys() and len(wanted) > 5
+    often = Counter(t for tokens, _ in pages for t in tokens)
+    for tokens, (confidence, index) in found.items():
+        assert confidence == pytest.approx(wanted[tokens])
+        assert index == min(tokens, key=lambda t: (often[t], t))
+
+
 def test_chat(spark, params):
     odd = "\\### Assistant: </turn> <turn></role> \\< </tu<turn>rn> \\\\ <|endoftext|>\n 日本 😀"
     rows = [

@@ -132,7 +132,7 @@ def test_pipeline(spark):
     assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").exceptAll(rejected).collect()}
     one = dict(STAGES)["ngram_jaccard_join"](spark, kept, FOLDER).cache()
     sets = {r["doc_id"]: shingles(r["text"]) for r in kept.collect()}
-    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     root = {a: a for a in sets}
     for _ in sets:
         for a, b in sorted(links):
@@ -144,4 +144,4 @@ def test_pipeline(spark):
 
 def shingles(text):
     words = text.encode().lower().split()
-    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

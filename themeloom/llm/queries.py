@@ -18,7 +18,7 @@ from themeloom.llm.ngram_join import ngram_join
 from themeloom.llm.packing import PackParams, pack
 from themeloom.llm.quality import quality_rules
 from themeloom.llm.repeats import remove_repeats
-from themeloom.llm.url_rules import filter_urls
+from themeloom.llm.url_rules import UrlParams, filter_urls
 from themeloom.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +72,7 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Figures and verdict of every document."""
+    """Figures and verdict of every document. Lines are counted by distinct texts of a source: copies count once."""
     found = quality_rules(Workspace(spark), table(spark, folder, "documents"), ["doc_id"])
     return found.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -86,7 +86,7 @@ def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select(
         F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
     )
-    judged = filter_urls(Workspace(spark), table(spark, folder, "pages"), labels)
+    judged = filter_urls(Workspace(spark), table(spark, folder, "pages"), labels, UrlParams(certainty=0.0))
     return judged.withColumn("mined_rule", F.array_join("mined_rule", " "))
 
 

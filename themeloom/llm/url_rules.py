@@ -30,9 +30,9 @@ GIVEN = (
 @dataclass(frozen=True)
 class UrlParams:
     """A rule needs ``support`` as a share of the labelled pages, ``least`` of them in any case;
-    ``confidence`` is the share of blocked ones among those that hold its tokens. It must exceed the share
-    among all by chance's reach: so many standard deviations (``certainty``, a Wilson bound), or a rule on
-    few pages would be noise. The share bounds the rules: at most one over it times the tokens of a page are frequent tokens."""
+    ``confidence`` is the share of blocked ones among those that hold its tokens, and must be above that among
+    all. With a ``certainty`` above 0 it must be so by chance's reach: so many standard deviations, by a Wilson
+    bound. The share of support bounds the rules: at most one over it times the tokens of a page are frequent tokens."""
 
     support: float = 0.005
     least: int = 5
