@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.llm.language import UNKNOWN, fit_languages, predict_languages
 from themeloom.llm.mixing import mix
-from themeloom.llm.ngram_join import ngram_join
+from themeloom.llm.ngram_join import JoinParams, ngram_join
 from themeloom.llm.packing import pack
 from themeloom.llm.quality import quality_rules, without_lines
 from themeloom.llm.queries import word_tokenizer
@@ -37,8 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows without id stay."""
-    groups = ngram_join(Workspace(spark), docs)
+    """The document with the smallest id of each group of near copies (five words, 80 %); rows without id stay."""
+    groups = ngram_join(Workspace(spark), docs, params=JoinParams(width=5, percent=80))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null")).select(COLUMNS)
