@@ -15,7 +15,7 @@ from themeloom.llm.components import components
 from themeloom.llm.language import LanguageParams, fit_languages, predict_languages
 from themeloom.llm.licenses import SENTENCES, scan_licenses
 from themeloom.llm.lm import Filter, LmParams, levels, lm_scores, typical
-from themeloom.llm.mixing import MixParams, mix
+from themeloom.llm.mixing import MixParams, expected_copies, mix, word_count
 from themeloom.llm.ngram_join import JoinParams, ngram_join
 from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
 from themeloom.llm.quality import QualityParams, quality_rules, repeat_words, without_lines
@@ -165,6 +165,30 @@ def test_mix(space, odd, documents):
     assert rows(mixed, "row.doc_id", "taken") == rows(again, "row.doc_id", "taken")
 
 
+def test_unequal_odds(spark, space):
+    """Two sizes of a source are taken at the stated rates over many seeds; the largest get certain copies."""
+    rows = [(k, "w " * (4 if k % 2 else 1), "en", "a") for k in range(60)] + [(100, "w " * 400, "en", "a")]
+    docs = spark.createDataFrame([r[:2] + r[3:] for r in rows], "doc_id BIGINT, text STRING, source STRING").cache()
+    sized = docs.select("source", word_count("text").alias("size"))
+    targets = spark.createDataFrame([("a", 550, 875.0)], "source STRING, source_size BIGINT, target DOUBLE")
+    params = MixParams(weights=(1,), share_percent=100)
+    each = {r["size"]: r for r in expected_copies(sized, targets, params).collect()}
+    assert each[400]["whole"] == 2 and each[400]["rest"] == 0
+    factor = 75 / (30 * 1 * 1 + 30 * 4 * 2)
+    assert each[1]["whole"] + each[1]["rest"] == pytest.approx(factor) and each[4]["whole"] + each[4]["rest"] == pytest.approx(2 * factor)
+    assert each[1]["open"] == pytest.approx(75)
+    taken, seeds = Counter(), 120
+    many = docs.where("doc_id < 100").crossJoin(spark.range(seeds).withColumnRenamed("id", "seed"))
+    # A source per seed: the ranks differ, the odds do not.
+    many = many.select((F.col("doc_id") + 1000 * F.col("seed")).alias("doc_id"), "text", F.format_string("s%03d", "seed").alias("source"), (F.col("doc_id") % 2).alias("long"))
+    found = mix(space, many, ["source", "long"], MixParams(weights=(1,), share_percent=40))
+    for r in found.groupBy("row.source", "row.long").agg(F.sum("copies").alias("c"), F.sum("taken").alias("t"), F.max("target").alias("target")).collect():
+        taken[r["long"]] += r["c"]
+    factor = 0.4 * 150 / (30 + 30 * 4 * 2)
+    assert taken[0] / (30 * seeds) == pytest.approx(factor, rel=0.1)
+    assert taken[1] / (30 * seeds) == pytest.approx(2 * factor, rel=0.1)
+
+
 def test_pack_cases(odd):
     found = pack(odd, word_tokenizer()).collect()
     assert sum(p["length"] for p in found if p["doc_id"] in (1, 2, 3)) == 3  # the end id alone

@@ -1,7 +1,8 @@
 """Mix sources to target weights by Pareto order sampling.
 
-A source's target divided by its size is the number of copies expected of its documents. Its
-whole part is given to each of them; the rest is the inclusion probability of one more copy.
+The copies expected of a document are in proportion to the square root of its size, up to the most that
+is allowed, and a source's sum up to its target: a longer text is worth more copies than a short one, but not in
+proportion. Their whole part is certain; the rest is the inclusion probability of one more copy.
 Documents are ranked by the odds of a random number divided by the odds of inclusion, and the
 lowest ranks are taken until the source's target is reached. The random number is a hash of
 the document's id, so a rerun takes the same documents.
@@ -70,6 +71,33 @@ def source_targets(space: Workspace, sized: DataFrame, params: MixParams) -> Dat
     return space.table(table.select("source", "source_size", target.alias("target")), "targets")
 
 
+def expected_copies(sized: DataFrame, targets: DataFrame, params: MixParams) -> DataFrame:
+    """(source, size, whole, rest, open, even): what every size of a source is expected to give, as certain copies and a
+    probability of one more; the words left ``open`` by the certain ones, and their share of all that may give them.
+
+    With the largest k sizes at the most copies, the others' factor c follows from what is left of the target. The
+    right k is the first at which the next size stays below the most. One row per size, not per document."""
+    mass = F.col("size") * F.col("n") * F.sqrt("size")
+    sizes = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    known = sizes.join(targets.select(F.col("source").alias("s"), "target"), same).drop("s")
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    above = F.coalesce(F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(mass).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    factor = (F.col("target") - params.most * above) / below
+    trial = known.withColumn("factor", factor).where(F.col("factor") * F.sqrt("size") <= params.most * (1 + 1e-9))
+    chosen = trial.groupBy(F.col("source").alias("s")).agg(F.max_by("factor", "size").alias("factor"))
+    copies = F.col("factor") * F.sqrt("size")
+    full = copies >= params.most * (1 - 1e-9)
+    each = known.join(chosen, same).drop("s").withColumn("copies", F.when(full, F.lit(float(params.most))).otherwise(copies))
+    each = each.withColumn("whole", F.floor("copies")).withColumn("rest", F.col("copies") - F.col("whole"))
+    every = Window.partitionBy("source")
+    words = F.col("size") * F.col("n")
+    open_ = F.col("target") - F.sum(words * F.col("whole")).over(every)
+    even = F.try_divide(open_, F.sum(F.when(F.col("rest") > 0, words)).over(every))
+    return each.select("source", "size", "whole", "rest", open_.alias("open"), even.alias("even"))
+
+
 def mix(
     space: Workspace,
     docs: DataFrame,
@@ -85,29 +113,36 @@ def mix(
     The words that a source's ranked documents still need are found by sums over ranges of the
     rank, refined twice; only the documents of the last range are put in order. Null texts have
     size 0 and are never copied; a null source is a source of its own and the last; rows with equal
-    ids have equal ranks and follow each other; an empty table gives no rows.
+    ids and sizes have equal ranks and follow each other, by their text; an empty table gives no rows.
     """
     space = space.part()
-    docs = docs.select(F.struct(*keep).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
+    docs = docs.select(
+        F.struct(*keep).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"),
+        word_count(text).alias("size"), F.xxhash64(text).alias("digest"),
+    )
     sized = space.table(docs.withColumn("rid", F.monotonically_increasing_id()), "sized")
     targets = source_targets(space, sized, params)
-    # A source without words has no share; its documents have nothing to give either.
-    per_word = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    whole, rest = F.floor(per_word), per_word - F.floor(per_word)
+    expected = space.table(expected_copies(sized, targets, params), "expected")
+    own = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sizes = expected.withColumnsRenamed({"source": "s", "size": "z"})
+    joined = own.join(sizes, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").drop("s", "z")
     # The odds' ratio q as q / (1 + q), which lies between 0 and 1.
-    u = uniform(F.col("key"), params.seed)
+    u, rest = uniform(F.col("key"), params.seed), F.col("rest")
     rank = u * (1 - rest) / (u * (1 - rest) + (1 - u) * rest)
-    joined = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranked = joined.select(
-        "row", "key", "rid", "source", "size", "source_size", "target",
-        whole.alias("whole"),
-        (F.col("target") - whole * F.col("source_size")).alias("open"),
-        F.when((rest > 0) & (F.col("size") > 0), rank).alias("rank"),
+        "row", "key", "rid", "digest", "source", "size", "source_size", "target", "open", "even",
+        F.coalesce("whole", F.lit(0)).alias("whole"),
+        F.when(rest > 0, rank).alias("rank"),
     )
+    # Ranges are cut on a number that rises with the rank and is spread evenly where all odds are alike.
+    odds = F.col("rank") * F.col("even")
+    spread = odds / (odds + (1 - F.col("rank")) * F.greatest(1 - F.col("even"), F.lit(1e-9)))
+    place = F.least(F.floor(spread * _CELLS * _CELLS), F.lit(_CELLS * _CELLS - 1))
     ranked = space.table(
-        ranked.withColumn("cell", F.floor(F.col("rank") * _CELLS)).withColumn(
-            "part", F.floor(F.col("rank") * _CELLS * _CELLS) - F.floor(F.col("rank") * _CELLS) * _CELLS
-        ),
+        ranked.withColumn("place", place)
+        .withColumn("cell", F.floor(F.col("place") / _CELLS))
+        .withColumn("part", F.col("place") % _CELLS)
+        .drop("place", "even"),
         "ranked",
     )
     before = space.table(_last_cell(ranked.where("rank is not null"), ["source"], "cell", F.lit(0)), "cells")
@@ -116,7 +151,7 @@ def mix(
     last = _matching(inside.drop("taken_before"), finer, ["source", "cell", "part"])
     # Only the documents of the last range are ordered; one is in when at least half of it fits.
     so_far = F.sum("size").over(
-        Window.partitionBy("source").orderBy("rank", "key", "rid").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("source").orderBy("rank", "key", "size", "digest", "rid").rowsBetween(Window.unboundedPreceding, -1)
     )
     reached = F.col("taken_before") + F.coalesce(so_far, F.lit(0)) + F.col("size") / 2 <= F.col("open")
     chosen = space.table(last.select("rid", reached.alias("in")).where("in").select("rid"), "chosen")

@@ -62,9 +62,23 @@ with sized as (
     select source, s, case when (b - given) * w / (shares - gone) > 2 * s then (2 * s)::double
         else (b - given::double) * w / (shares - gone)::double end as target
     from sources, choice
+), counted as (
+    select source, size, count(*) as n, any_value(s) as s, any_value(target) as target
+    from (select z.source, size, s, target from sized z join targets t on z.source is not distinct from t.source where size > 0) group by 1, 2
+), tried as (
+    select *, (target - 2 * coalesce(sum(size * n) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0))
+        / sum(size * n * sqrt(size)) over (partition by source order by size desc rows between current row and unbounded following) as factor
+    from counted
+), factors as (
+    select source, max_by(factor, size) as factor from tried where factor * sqrt(size) <= 2 * (1 + 1e-9) group by 1
+), expected as (
+    select c.source, size, case when f.factor * sqrt(size) >= 2 * (1 - 1e-9) then 2e0 else f.factor * sqrt(size) end as copies
+    from counted c join factors f on c.source is not distinct from f.source
 ), ranked as (
-    select z.*, t.s, t.target, floor(t.target / t.s) as whole, t.target / t.s - floor(t.target / t.s) as rest
+    select z.*, t.s, t.target, coalesce(floor(e.copies), 0) as whole, coalesce(e.copies - floor(e.copies), 0) as rest,
+        sum(z.size * coalesce(floor(e.copies), 0)) over (partition by z.source) as certain
     from sized z join targets t on z.source is not distinct from t.source
+    left join expected e on e.source is not distinct from z.source and e.size = z.size
 ), ordered as (
     select *, u * (1 - rest) / (u * (1 - rest) + (1 - u) * rest) as rank from ranked
 ), summed as (
@@ -73,7 +87,7 @@ with sized as (
     from ordered
 )
 select doc_id, size, s as source_size, target,
-    (size * (whole + case when rest > 0 and before + size / 2 <= target - whole * s then 1 else 0 end))::bigint as taken
+    (size * (whole + case when rest > 0 and before + size / 2 <= target - certain then 1 else 0 end))::bigint as taken
 from summed
 """
 

@@ -82,7 +82,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page. A page has the labels of the document with its id: bad ones are
-    those of low quality and toxic ones."""
+    those of low quality and toxic ones. Rules are pruned by support and confidence alone."""
     labels = table(spark, folder, "labels").select(
         F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
     )
