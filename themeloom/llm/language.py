@@ -146,33 +146,34 @@ def fit_languages(
         chosen = chosen | ((F.col(lang) == name) & (share < min(1.0, params.sample / totals[name])))
     counted = count_words(labelled.where(chosen), text, lang).persist()
     try:
-        words = _most_frequent(counted, ["entry"], params.words).collect()
-        grams = _most_frequent(count_grams(counted, params.longest), ["kind", "entry"], params.grams).collect()
+        words = _most_frequent(counted, ["entry"], params.words, languages).toArrow()
+        grams = _most_frequent(count_grams(counted, params.longest), ["kind", "entry"], params.grams, languages).toArrow()
     finally:
         counted.unpersist()
-    word_rows, word_logs = _logs(words, languages, params.smoothing, lambda r: 0)
-    gram_rows, gram_logs = _logs(grams, languages, params.smoothing, lambda r: r["kind"])
+    word_rows, word_logs = _logs(words, languages, params.smoothing)
+    gram_rows, gram_logs = _logs(grams, languages, params.smoothing)
     return LanguageModel(languages, word_rows, word_logs, gram_rows, gram_logs, params.longest)
 
 
-def _most_frequent(counted: DataFrame, entry: list[str], most: int) -> DataFrame:
-    """(entry, by): the entries that are among the ``most`` frequent of a language, with all their counts."""
+def _most_frequent(counted: DataFrame, entry: list[str], most: int, languages: list[str]) -> DataFrame:
+    """(entry, n0, n1, ...): the entries that are among the ``most`` frequent of a language, with their counts in all."""
     own = Window.partitionBy("lang").orderBy(F.desc("n"), *entry)
     top = counted.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= most).select(*entry).distinct()
-    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-    return counted.join(top, entry, "left_semi").groupBy(*entry).agg(by).orderBy(*entry)
+    counts = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{k}") for k, name in enumerate(languages)]
+    return counted.join(top, entry, "left_semi").groupBy(*entry).agg(*(counts or [F.count("n").alias("n")])).orderBy(*entry)
 
 
-def _logs(rows: list, languages: list[str], smoothing: float, kind) -> tuple[dict[str, int], np.ndarray]:
+def _logs(found: pa.Table, languages: list[str], smoothing: float) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies among the entries of one kind and language."""
-    table = np.array([[r["by"].get(name, 0) for name in languages] for r in rows], float).reshape(len(rows), len(languages))
-    kinds = np.array([kind(r) for r in rows], int)
+    rows = found.num_rows
+    table = np.array([found.column(f"n{k}").to_numpy() for k in range(len(languages))], float).T.reshape(rows, len(languages))
+    kinds = found.column("kind").to_numpy() if "kind" in found.column_names else np.zeros(rows, int)
     logs = np.zeros_like(table)
     for k in np.unique(kinds):
         part = table[kinds == k]
         every = part.sum(axis=1, keepdims=True) / part.sum()
         logs[kinds == k] = np.log((part + smoothing * every) / (part.sum(axis=0) + smoothing))
-    return {r["entry"]: i for i, r in enumerate(rows)}, logs
+    return {entry: i for i, entry in enumerate(found.column("entry").to_pylist())}, logs
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
