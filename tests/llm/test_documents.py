@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -11,10 +12,11 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES
+from counted import exact_scores
 from themeloom.llm.components import components
 from themeloom.llm.language import LanguageParams, fit_languages, predict_languages
 from themeloom.llm.licenses import SENTENCES, scan_licenses
-from themeloom.llm.lm import Filter, LmParams, levels, lm_scores, typical
+from themeloom.llm.lm import Filter, LmParams, levels, lm_scores
 from themeloom.llm.mixing import MixParams, expected_copies, mix, word_count
 from themeloom.llm.ngram_join import JoinParams, ngram_join
 from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
@@ -232,22 +234,25 @@ def test_scores(space, odd):
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in nothing)
 
 
-def test_scores_know_what_was_seen_once(space, documents):
-    """More text than one range of the filter holds: words and pairs seen once still count."""
-    texts = {k: [f"w{k}x{i}" for i in range(200)] + ["the", "end"] for k in range(60)}
-    params = LmParams(bits=1 << 12, frequent=4)
-    found = lm_scores(space, documents([(k, " ".join(t), "en", "a") for k, t in texts.items()]), F.lit(True), params).collect()
-    every = [[None, *t, None] for t in texts.values()]
-    words = Counter(w for t in every for w in t[1:])
-    pairs = Counter(p for t in every for p in zip(t, t[1:]))
-    middle = lambda n: float(typical(levels(np.array([n])))[0])
-    total = sum(words.values()) + len(words) + 1
-    wanted = 0.0
-    for (a, b), n in pairs.items():
-        both, own = middle(n), (middle(words[b]) + 1) / total
-        wanted += n * np.log10((both + params.prior * own) / (max(middle(words[a]), both) + params.prior))
-    # A false entry raises a level of some of the words and pairs.
-    assert sum(r["score"] for r in found) == pytest.approx(wanted, rel=0.05)
+def test_scores_by_counts(space, documents):
+    """More text than one range of the filter holds, read both ways: with so many hashes that no false
+    entry occurs, the scores are those of the counts, down to words and pairs seen once."""
+    texts = {k: [f"w{k}x{i}" for i in range(200)] + ["the", "end"] * (k % 7) + [f"c{k % 3}", "x"] for k in range(60)}
+    table = documents([(k, " ".join(t), "en", "a") for k, t in texts.items()])
+    params = LmParams(bits=1 << 12, hashes=24, frequent=4)
+    wanted = exact_scores(texts, [k for k in texts if k % 5], params.prior)
+    sent = {r["doc_id"]: r for r in lm_scores(space, table, F.expr("doc_id % 5 != 0"), params).collect()}
+    joined = lm_scores(space, table, F.expr("doc_id % 5 != 0"), replace(params, broadcast_bytes=0)).collect()
+    assert {k: r["score"] for k, r in sent.items()} == pytest.approx(wanted, rel=1e-9)
+    assert {r["doc_id"]: r for r in joined} == sent
+
+
+def test_both_ways_of_scores_on_odd_rows(space, odd):
+    ways = [lm_scores(space, odd, F.col("doc_id") > 2, LmParams(bits=1 << 16, frequent=4, broadcast_bytes=b)) for b in (0, 1 << 26)]
+    joined, sent = (sorted(map(str, w.collect())) for w in ways)
+    assert joined == sent and len(sent) == len(ROWS)
+    for most in (0, 1 << 26):
+        assert lm_scores(space, odd.limit(0), F.lit(True), LmParams(broadcast_bytes=most)).count() == 0
 
 
 def test_filter_levels():
@@ -259,6 +264,9 @@ def test_filter_levels():
     found = own.level(names)
     assert (found >= levels(counts)).all() and (found == levels(counts)).mean() > 0.9
     assert (own.level(rng.integers(0, 2**64, 20_000, np.uint64)) > 0).mean() < 0.1
+    # As many bits as the entries need: an absent entry is found with a chance of 2 ** -hashes.
+    fitted = Filter.of(names, levels(counts), 8)
+    assert (fitted.level(rng.integers(0, 2**64, 200_000, np.uint64)) > 0).mean() == pytest.approx(2**-8, rel=0.2)
 
 
 def test_licenses(documents):

@@ -3,12 +3,17 @@
 Counts of words and word pairs are taken over all training documents and quantised to levels, a
 level for each doubling. The filter holds one entry per n-gram and level up to its own, so a
 count is read by probing level after level until one misses. All n-grams are in it, down to
-those seen once: it is cut into ranges of hashes, each as large as its entries need, and more
-text makes more ranges, not larger ones.
+those seen once. It is built once, from training counts alone, in ranges of hashes: each has the
+bits that its entries need, and more text makes more ranges, not larger ones.
 
-The filter goes to no worker as a whole. A chunk of rows sends each of its n-grams once, with its
-number in training texts, to the range it falls in; there the numbers are summed, the range's
-filter is built and read, and the levels come back to the chunk.
+While all ranges together are within ``broadcast_bytes``, by their measured size, they go to the
+workers, and a document is scored where it is read. Beyond that a chunk of rows sends its distinct
+n-grams to their ranges, is told their levels, and is scored with them. Both ways probe the same
+filter, so the scores are the same.
+
+A level stands for the mean count of its words, or its pairs, in training. So the words' own
+probabilities sum to 1 over all words and the unseen one. A pair counts no more than either of
+its words, which also keeps a false entry from raising the count of a pair with an unseen word.
 
 The exact word counts that the base score needs stay in a table. The frequent ones are sent
 along, all others are joined.
@@ -17,7 +22,7 @@ along, all others are joined.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,20 +35,24 @@ from themeloom.workspace import Workspace
 _END = np.uint64(0xE2D0F4C7A5B39186)   # stands for the end of a document, also before its first word
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 64                           # above the level of any count
-_SENT = 5                              # bytes of a hash that are sent, besides its range
+_SENT = 5                              # bytes of a hash that tell n-grams of a range apart
+_KEPT = np.uint64((1 << 8 * _SENT) - 1)
+_FLUSH = 1 << 21                       # n-grams that a counting task holds
 
 
 @dataclass(frozen=True)
 class LmParams:
-    """``bits`` bounds one range of the filter, ``frequent`` the exact counts sent to workers.
+    """``bits`` bounds one range of the filter, ``broadcast_bytes`` the filter that is sent to workers
+    as a whole, ``frequent`` the exact counts sent to them.
     ``hashes`` bits are set per entry. ``prior`` is the weight of the word's own probability against
     its count after the word before. A range holds the n-grams of about ``group_bytes`` of text."""
 
     bits: int = 1 << 27
-    hashes: int = 4
+    hashes: int = 8
     frequent: int = 1 << 18
     prior: float = 20.0
     group_bytes: int = 1 << 24
+    broadcast_bytes: int = 1 << 26
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +63,14 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_hashes(stream: np.ndarray) -> np.ndarray:
-    """A hash of every token with the one before it."""
+    """An even hash of every token with the one before it."""
     before = np.concatenate([[_END], stream[:-1]]) if len(stream) else stream
-    return mixed(before * _ODD + mixed(stream))
+    return mixed(before * _ODD + mixed(stream)) & ~np.uint64(1)
 
 
 def word_hashes(stream: np.ndarray) -> np.ndarray:
-    return mixed(stream + _ODD)
+    """An odd hash of every token."""
+    return mixed(stream + _ODD) | np.uint64(1)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -68,28 +78,25 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
-def typical(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level."""
-    return np.where(level > 0, (3 * np.exp2(level - 1.0) - 1) / 2, 0.0)
-
-
 def _step(level: int) -> np.uint64:
     return np.uint64(level * int(_ODD) % (1 << 64))
 
 
 @dataclass(frozen=True)
 class Filter:
-    """``bits`` as bytes; entries start at level ``lowest``."""
+    """``bits`` as bytes; entries start at level ``lowest``. Of several ranges one after the other,
+    range r has the bytes from ``starts[r]`` to ``starts[r + 1]``."""
 
     bits: np.ndarray
     hashes: int
-    lowest: int
+    lowest: int = 1
+    starts: np.ndarray | None = None
 
     @classmethod
     def of(cls, names: np.ndarray, level: np.ndarray, hashes: int) -> Filter:
         """The filter of all levels from 1, with as many bits as its entries need."""
         size = max(1, math.ceil(int(level.sum()) * hashes / math.log(2) / 8))
-        whole = cls(np.zeros(size, np.uint8), hashes, 1)
+        whole = cls(np.zeros(size, np.uint8), hashes)
         whole.insert(names, level)
         return whole
 
@@ -104,23 +111,27 @@ class Filter:
                 first = first + second
         np.bitwise_or(self.bits, np.packbits(flags, bitorder="little"), out=self.bits)
 
-    def level(self, hashes: np.ndarray) -> np.ndarray:
-        """The last of the unbroken run of levels that the filter holds; 0 if it holds none."""
+    def level(self, hashes: np.ndarray, ranges: np.ndarray | None = None) -> np.ndarray:
+        """The last of the unbroken run of levels that the filter holds; 0 if it holds none.
+        ``ranges`` tells the range of each hash."""
         found = np.zeros(len(hashes), np.int64)
-        alive, j = np.arange(len(hashes)), self.lowest
+        if ranges is None:
+            begin, size = np.zeros(len(hashes), np.uint64), np.full(len(hashes), len(self.bits) * 8, np.uint64)
+        else:
+            begin, size = (self.starts[ranges] * 8).astype(np.uint64), (np.diff(self.starts)[ranges] * 8).astype(np.uint64)
+        alive, j = np.flatnonzero(size), self.lowest
         while len(alive) and j < _LEVELS:
-            alive = self._holding(hashes, alive, j)
+            alive = self._holding(hashes, begin, size, alive, j)
             found[alive] = j
             j += 1
         return found
 
-    def _holding(self, hashes: np.ndarray, alive: np.ndarray, level: int) -> np.ndarray:
+    def _holding(self, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, alive: np.ndarray, level: int) -> np.ndarray:
         """Those of ``alive`` whose entry of a level has all its bits set; a missing bit ends the search."""
-        size = np.uint64(len(self.bits) * 8)
         first = mixed(hashes[alive] + _step(level))
         second = mixed(first) | np.uint64(1)
         for _ in range(self.hashes):
-            place = first % size
+            place = begin[alive] + first % size[alive]
             keep = ((self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
             alive, first, second = alive[keep], first[keep] + second[keep], second[keep]
         return alive
@@ -152,81 +163,174 @@ def _counted(names: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(names)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
 
-_BLOB = "bucket INT, names BINARY, counts BINARY"
-
-
 def asked(stream: np.ndarray) -> np.ndarray:
     """Hashes of a stream's words, of its pairs, and of the end, which is before the first word."""
-    return np.concatenate([word_hashes(stream), pair_hashes(stream), word_hashes(np.full(1, _END))])
+    return np.unique(np.concatenate([word_hashes(stream), pair_hashes(stream), word_hashes(np.full(1, _END))]))
+
+
+def _shift(groups: int) -> np.uint64:
+    return np.uint64(64 - groups.bit_length() + 1)
+
+
+def _by_range(names: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
+    """The ranges that sorted names fall in, and where each begins and ends."""
+    ranges, begin = np.unique(names >> _shift(groups), return_index=True)
+    return list(zip(ranges.astype(int).tolist(), begin.tolist(), [*begin[1:].tolist(), len(names)]))
+
+
+def _short(names: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT])
+
 
+def _long(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The names in all blobs, and where each blob's begin."""
+    parts = [np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, _SENT) for b in blobs]
+    ends = np.cumsum([0, *map(len, parts)])
+    names = np.zeros((ends[-1], 8), np.uint8)
+    names[:, :_SENT] = np.concatenate(parts) if parts else 0
+    return names.view("<u8").ravel(), ends
 
-def find_levels(chunks: DataFrame, groups: int, hashes: int) -> DataFrame:
+
+def filter_ranges(docs: DataFrame, groups: int, hashes: int) -> DataFrame:
+    """(bucket, bits, entries, total): the filter of the n-grams of all rows (binary ``text``) in a range
+    of hashes, and how many of them, with which sum of counts, are on each level: words first, then pairs."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            stream, _ = tokens(batch.column("text").to_pylist())
+            held.append(np.unique(np.concatenate([word_hashes(stream), pair_hashes(stream)]), return_counts=True))
+            size += len(held[-1][0])
+            if size > _FLUSH:
+                yield cut(held)
+                held, size = [], 0
+        if size:
+            yield cut(held)
+
+    def cut(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        names, counts = _merged([h[0] for h in held], [h[1].astype(np.uint64) for h in held])
+        short, parts = _short(names), _by_range(names, groups)
+        counts = np.ascontiguousarray(counts.astype("<u4"))
+        blobs = [pa.array([values[a:b].tobytes() for _, a, b in parts], pa.binary()) for values in (short, counts)]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in parts], pa.int32()), *blobs], ["bucket", "names", "counts"])
+
+    def build(table: pa.Table) -> pa.Table:
+        names, _ = _long(table.column("names"))
+        counts = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in table.column("counts")])
+        names, n = _merged([names], [counts])
+        level = levels(n)
+        own = Filter.of(names, level, hashes)
+        place = level + _LEVELS * (names & np.uint64(1) == 0)
+        entries, total = np.bincount(place, minlength=2 * _LEVELS), np.bincount(place, n.astype(float), 2 * _LEVELS)
+        columns = [pa.array([own.bits.tobytes()], pa.binary()), pa.array([entries.tolist()], pa.list_(pa.int64()))]
+        return pa.table([table.column("bucket")[:1], *columns, pa.array([total.tolist()], pa.list_(pa.float64()))], names=["bucket", "bits", "entries", "total"])
+
+    sent = docs.select("text").mapInArrow(send, "bucket INT, names BINARY, counts BINARY")
+    return sent.groupBy("bucket").applyInArrow(build, "bucket INT, bits BINARY, entries ARRAY<BIGINT>, total ARRAY<DOUBLE>")
+
+
+def find_levels(chunks: DataFrame, ranges: DataFrame, groups: int, hashes: int) -> DataFrame:
     """(chunk, bucket, levels): the levels of a chunk's n-grams in a range of hashes, in the order
-    of the hashes, as bytes. Counts are those of the rows with ``train``."""
-    shift = np.uint64(64 - groups.bit_length() + 1)
-
-    def send(table: pa.Table) -> pa.Table:
-        stream, starts = tokens(table.column("text").to_pylist())
-        trained = np.repeat(table.column("train").to_numpy().astype(bool), np.diff(starts))
-        names, place = np.unique(asked(stream), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([trained, trained, [False]]), len(names)).astype("<u4")
-        ends = np.searchsorted(names >> shift, np.arange(groups + 1, dtype=np.uint64))
-        full = [g for g in range(groups) if ends[g + 1] > ends[g]]
-        short = np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT])
-        cut = lambda values: pa.array([values[ends[g] : ends[g + 1]].tobytes() for g in full], pa.binary())
-        chunk = pa.array([table.column("chunk")[0].as_py()] * len(full), pa.int64())
-        return pa.table([chunk, pa.array(full, pa.int32()), cut(short), cut(counts)], names=["chunk", "bucket", "names", "counts"])
-
-    def look(table: pa.Table) -> pa.Table:
-        counts = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")]
-        ends = np.cumsum([0, *map(len, counts)])
-        names = np.zeros((ends[-1], 8), np.uint8)
-        for k, blob in enumerate(table.column("names")):
-            names[ends[k] : ends[k + 1], :_SENT] = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, _SENT)
-        found, place = np.unique(names.view("<u8").ravel(), return_inverse=True)
-        n = np.bincount(place, np.concatenate(counts), len(found))
-        own = Filter.of(found[n > 0], levels(n[n > 0]), hashes)
-        level = own.level(found).astype(np.uint8)[place]
-        blobs = pa.array([level[ends[k] : ends[k + 1]].tobytes() for k in range(len(counts))], pa.binary())
-        return pa.table([table.column("chunk"), table.column("bucket"), blobs], names=["chunk", "bucket", "levels"])
-
-    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk BIGINT, bucket INT, names BINARY, counts BINARY")
-    return sent.groupBy("bucket").applyInArrow(look, "chunk BIGINT, bucket INT, levels BINARY")
+    of the hashes, as bytes."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        names = asked(tokens(table.column("text").to_pylist())[0])
+        short, parts = _short(names), _by_range(names, groups)
+        chunk = pa.array([table.column("chunk")[0].as_py()] * len(parts), pa.int64())
+        blobs = pa.array([short[a:b].tobytes() for _, a, b in parts], pa.binary())
+        return pa.table([chunk, pa.array([r for r, _, _ in parts], pa.int32()), blobs], names=["chunk", "bucket", "names"])
+
+    def look(asks: pa.Table, table: pa.Table) -> pa.Table:
+        names, ends = _long(asks.column("names"))
+        level = np.zeros(len(names), np.uint8)
+        if len(table):
+            found, place = np.unique(names, return_inverse=True)
+            own = Filter(np.frombuffer(table.column("bits")[0].as_buffer(), np.uint8), hashes)
+            level = own.level(found).astype(np.uint8)[place]
+        blobs = pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        return pa.table([asks.column("chunk"), asks.column("bucket"), blobs], names=["chunk", "bucket", "levels"])
+
+    asks = chunks.groupBy("chunk").applyInArrow(ask, "chunk BIGINT, bucket INT, names BINARY")
+    both = asks.groupBy("bucket").cogroup(ranges.select("bucket", "bits").groupBy("bucket"))
+    return both.applyInArrow(look, "chunk BIGINT, bucket INT, levels BINARY")
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """The exact ``counts`` of the ``frequent`` words (sorted hashes), and what all words sum to."""
+    """The exact ``counts`` of the ``frequent`` words (sorted hashes), what all words sum to, and the
+    mean count of each level: of words in ``means[0]``, of pairs in ``means[1]``."""
 
     frequent: np.ndarray
     counts: np.ndarray
     tokens: int
     types: int
     prior: float
+    means: np.ndarray
 
     def probabilities(self, stream: np.ndarray, level: np.ndarray) -> np.ndarray:
         """log10 probability of every token after the one before it: its count there and its own
         probability, weighed by how often the word before was seen. All counts come from the
         filter: ``level`` has those of what the stream asked for."""
-        names = np.unique(asked(stream))
-        count = typical(level)
-        seen = count[np.searchsorted(names, word_hashes(np.concatenate([[_END], stream])))]
+        names = asked(stream)
+        seen = self.means[0][level[np.searchsorted(names, word_hashes(np.concatenate([[_END], stream])))]]
+        before = seen[:-1]
         own = (seen[1:] + 1) / (self.tokens + self.types + 1)
-        both = count[np.searchsorted(names, pair_hashes(stream))]
-        before = np.maximum(seen[:-1], both)
+        both = self.means[1][level[np.searchsorted(names, pair_hashes(stream))]]
+        both = np.minimum(both, np.minimum(before, seen[1:]))  # as in the texts themselves
         return np.log10((both + self.prior * own) / (before + self.prior))
 
+    def scored(self, texts: pa.Table | pa.RecordBatch, read: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+        """doc_id, rid, n_tokens, n_known, base, score and tail (the words that are not frequent) of
+        each text. ``read`` tells the levels of sorted names."""
+        stream, starts = tokens(texts.column("text").to_pylist())
+        ends = starts[:-1]
+        found = np.searchsorted(self.frequent, stream)
+        found[found == len(self.frequent)] = 0
+        known = self.frequent[found] == stream if len(self.frequent) else np.zeros(len(stream), bool)
+        counts = self.counts[found[known]] if len(self.frequent) else np.zeros(0)
+        base = np.zeros(len(stream))
+        base[known] = np.log10((counts + 1) / (self.tokens + self.types + 1))
+        doc = np.repeat(np.arange(len(ends)), np.diff(starts))[~known]
+        order = np.lexsort((stream[~known], doc))
+        doc, rest = doc[order], stream[~known][order]
+        new = np.ones(len(rest), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(rest)))
+        tail = pa.StructArray.from_arrays([pa.array(signed(rest[first])), pa.array(times.astype(np.int64))], fields=list(_TAIL))
+        cuts = np.searchsorted(doc[first], np.arange(len(ends) + 1))
+        add = lambda values: np.add.reduceat(values, ends) if len(ends) else np.zeros(0)
+        return [
+            texts.column("doc_id"),
+            texts.column("rid"),
+            pa.array(np.diff(starts)),
+            pa.array(add(known.astype(np.int64)).astype(np.int64)),
+            pa.array(add(base)),
+            pa.array(add(self.probabilities(stream, read(asked(stream))))),
+            pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), tail),
+        ]
+
+
+_TAIL = pa.struct([("word", pa.int64()), ("m", pa.int64())])
+_SCORED = ["doc_id", "rid", "n_tokens", "n_known", "base", "score", "tail"]
+
 
-def train(space: Workspace, docs: DataFrame, params: LmParams) -> tuple[LanguageModel, DataFrame, int]:
+def train(space: Workspace, docs: DataFrame, params: LmParams) -> tuple[LanguageModel, DataFrame, DataFrame, int]:
     """The model of the training rows (binary ``text``, ``train``), the table (word, n) of exact
-    counts, and the number of ranges of the filter."""
-    words = space.table(count_words(docs.where("train")), "words")
+    counts, the stored ranges of the filter, and the number of ranges."""
+    own = docs.where("train")
+    words = space.table(count_words(own), "words")
     facts = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = facts[0] or 0
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # of all texts: they are looked up too
     # An n-gram has no more levels than its count, so a token makes two entries at most.
     most = 2 * total * params.hashes / math.log(2)
     groups = 1 << max(2, math.ceil(math.log2(max(1, size / params.group_bytes, most / params.bits))))
+    ranges = space.table(filter_ranges(own, groups, params.hashes), "filter")
+    means = np.zeros(2 * _LEVELS)
+    per_level = ranges.select(F.posexplode(F.arrays_zip("entries", "total")).alias("place", "x")).groupBy("place")
+    for r in per_level.agg(F.sum("x.entries").alias("entries"), F.sum("x.total").alias("total")).where("entries > 0").collect():
+        means[r["place"]] = r["total"] / r["entries"]
     # Exact counts from the lowest level that leaves no more than ``frequent`` words.
     level = F.length(F.bin("n"))
     n_of = {r["level"]: r["n"] for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -234,11 +338,16 @@ def train(space: Workspace, docs: DataFrame, params: LmParams) -> tuple[Language
     head = words.where(level >= least).toPandas()
     names = head["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
-    model = LanguageModel(names[order], head["n"].to_numpy(np.int64)[order], total, facts[1], params.prior)
-    return model, words, groups
+    counts = head["n"].to_numpy(np.int64)[order]
+    model = LanguageModel(names[order], counts, total, facts[1], params.prior, means.reshape(2, _LEVELS))
+    return model, words, ranges, groups
 
 
-_TAIL = pa.struct([("word", pa.int64()), ("m", pa.int64())])
+def whole_filter(ranges: DataFrame, groups: int, hashes: int) -> Filter:
+    """All ranges in the driver: for a filter whose size was measured before."""
+    parts = {r["bucket"]: r["bits"] for r in ranges.select("bucket", "bits").collect()}
+    starts = np.cumsum([0, *(len(parts.get(r, b"")) for r in range(groups))])
+    return Filter(np.frombuffer(b"".join(parts[r] for r in sorted(parts)), np.uint8), hashes, 1, starts)
 
 
 def lm_scores(
@@ -249,60 +358,45 @@ def lm_scores(
     ``training`` is the condition that training rows meet. A null or empty text is its end alone.
     Repeated rows are scored, and counted, each. An empty table gives no rows; without training rows
     nothing is known and every count is 0.
+    A probe of an n-gram that was not seen finds an entry with a chance of 2 to the power of minus ``hashes``.
     ``docs`` is read more than once: store it first if its rows change from one reading to the next.
     """
     space = space.part()
     docs = text_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), training.alias("train"))
-    model, words, groups = train(space, docs, params)
-    # Plain data: workers need no copy of this package to read it.
-    parts = model.frequent, model.counts, model.tokens, model.types, model.prior
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
-    total, known_types = model.tokens, model.types
-
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        lm = LanguageModel(*shared.value)
-        stream, starts = tokens(texts.column("text").to_pylist())
-        ends = starts[:-1]
-        answers = answers.sort_by("bucket")
-        level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
-        found = np.searchsorted(lm.frequent, stream)
-        found[found == len(lm.frequent)] = 0
-        known = lm.frequent[found] == stream if len(lm.frequent) else np.zeros(len(stream), bool)
-        counts = lm.counts[found[known]] if len(lm.frequent) else np.zeros(0)
-        base = np.zeros(len(stream))
-        base[known] = np.log10((counts + 1) / (lm.tokens + lm.types + 1))
-        doc = np.repeat(np.arange(len(ends)), np.diff(starts))[~known]
-        order = np.lexsort((stream[~known], doc))
-        doc, rest = doc[order], stream[~known][order]
-        new = np.ones(len(rest), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])
-        first = np.flatnonzero(new)
-        times = np.diff(np.append(first, len(rest)))
-        tail = pa.StructArray.from_arrays([pa.array(signed(rest[first])), pa.array(times.astype(np.int64))], fields=list(_TAIL))
-        cuts = np.searchsorted(doc[first], np.arange(len(ends) + 1))
-        add = lambda values: np.add.reduceat(values, ends) if len(ends) else np.zeros(0)
-        return pa.table(
-            [
-                texts.column("doc_id"),
-                texts.column("rid"),
-                pa.array(np.diff(starts)),
-                pa.array(add(known.astype(np.int64)).astype(np.int64)),
-                pa.array(add(base)),
-                pa.array(add(lm.probabilities(stream, level))),
-                pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), tail),
-            ],
-            names=["doc_id", "rid", "n_tokens", "n_known", "base", "score", "tail"],
-        )
-
+    docs = docs.withColumn("train", F.coalesce("train", F.lit(False)))
+    model, words, ranges, groups = train(space, docs, params)
+    total, known_types, hashes = model.tokens, model.types, params.hashes
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, rid BIGINT, n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, tail ARRAY<STRUCT<word: BIGINT, m: BIGINT>>"
-    # A chunk is TEXT_BATCH rows of one task. Both uses read one exchange.
-    rid = F.col("rid")
-    chunk = rid - rid.bitwiseAND(F.lit((1 << 33) - 1)) % TEXT_BATCH
-    chunks = docs.withColumn("train", F.coalesce("train", F.lit(False))).withColumn("rid", F.monotonically_increasing_id())
-    chunks = chunks.withColumn("chunk", chunk)
-    answers = find_levels(chunks, groups, params.hashes)
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+    numbered = docs.drop("train").withColumn("rid", F.monotonically_increasing_id())
+    # Plain data: workers need no copy of this package to read it.
+    parts = model.frequent, model.counts, model.tokens, model.types, model.prior, model.means
+    context = docs.sparkSession.sparkContext
+    size = ranges.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    if size <= params.broadcast_bytes:
+        whole = whole_filter(ranges, groups, hashes)
+        shared = context.broadcast((*parts, whole.bits, whole.starts))
+
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            *facts, bits, starts = shared.value
+            lm, own, shift = LanguageModel(*facts), Filter(bits, hashes, 1, starts), _shift(groups)
+            for batch in batches:
+                columns = lm.scored(batch, lambda names: own.level(names & _KEPT, (names >> shift).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, _SCORED)
+
+        scored = numbered.mapInArrow(here, schema)
+    else:
+        shared = context.broadcast(parts)
+
+        def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            level = np.frombuffer(b"".join(answers.sort_by("bucket").column("levels").to_pylist()), np.uint8)
+            return pa.table(LanguageModel(*shared.value).scored(texts, lambda names: level), names=_SCORED)
+
+        # A chunk is TEXT_BATCH rows of one task. Both uses read one exchange.
+        rid = F.col("rid")
+        chunks = numbered.withColumn("chunk", rid - rid.bitwiseAND(F.lit((1 << 33) - 1)) % TEXT_BATCH)
+        answers = find_levels(chunks, ranges, groups, hashes)
+        scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
     scored = space.table(scored, "scored")
     shared.destroy()
     rare = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.m").join(words, "word", "left")
