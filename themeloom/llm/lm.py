@@ -163,9 +163,9 @@ def _counted(names: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(names)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
 
-def asked(stream: np.ndarray) -> np.ndarray:
-    """Hashes of a stream's words, of its pairs, and of the end, which is before the first word."""
-    return np.unique(np.concatenate([word_hashes(stream), pair_hashes(stream), word_hashes(np.full(1, _END))]))
+def ngrams(stream: np.ndarray) -> np.ndarray:
+    """Hashes of a stream's words, then of its pairs, then of the end, which is before the first word."""
+    return np.concatenate([word_hashes(stream), pair_hashes(stream), word_hashes(np.full(1, _END))])
 
 
 def _shift(groups: int) -> np.uint64:
@@ -174,8 +174,8 @@ def _shift(groups: int) -> np.uint64:
 
 def _by_range(names: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
     """The ranges that sorted names fall in, and where each begins and ends."""
-    ranges, begin = np.unique(names >> _shift(groups), return_index=True)
-    return list(zip(ranges.astype(int).tolist(), begin.tolist(), [*begin[1:].tolist(), len(names)]))
+    ends = np.searchsorted(names >> _shift(groups), np.arange(groups + 1, dtype=np.uint64)).tolist()
+    return [(r, a, b) for r, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
 
 
 def _short(names: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def filter_ranges(docs: DataFrame, groups: int, hashes: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             stream, _ = tokens(batch.column("text").to_pylist())
-            held.append(np.unique(np.concatenate([word_hashes(stream), pair_hashes(stream)]), return_counts=True))
+            held.append(np.unique(ngrams(stream)[:-1], return_counts=True))
             size += len(held[-1][0])
             if size > _FLUSH:
                 yield cut(held)
@@ -234,7 +234,7 @@ def find_levels(chunks: DataFrame, ranges: DataFrame, groups: int, hashes: int)
     of the hashes, as bytes."""
 
     def ask(table: pa.Table) -> pa.Table:
-        names = asked(tokens(table.column("text").to_pylist())[0])
+        names = np.unique(ngrams(tokens(table.column("text").to_pylist())[0]))
         short, parts = _short(names), _by_range(names, groups)
         chunk = pa.array([table.column("chunk")[0].as_py()] * len(parts), pa.int64())
         blobs = pa.array([short[a:b].tobytes() for _, a, b in parts], pa.binary())
@@ -267,21 +267,22 @@ class LanguageModel:
     prior: float
     means: np.ndarray
 
-    def probabilities(self, stream: np.ndarray, level: np.ndarray) -> np.ndarray:
+    def probabilities(self, stream: np.ndarray, read: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """log10 probability of every token after the one before it: its count there and its own
         probability, weighed by how often the word before was seen. All counts come from the
-        filter: ``level`` has those of what the stream asked for."""
-        names = asked(stream)
-        seen = self.means[0][level[np.searchsorted(names, word_hashes(np.concatenate([[_END], stream])))]]
-        before = seen[:-1]
-        own = (seen[1:] + 1) / (self.tokens + self.types + 1)
-        both = self.means[1][level[np.searchsorted(names, pair_hashes(stream))]]
-        both = np.minimum(both, np.minimum(before, seen[1:]))  # as in the texts themselves
+        filter: ``read`` tells the levels of sorted names."""
+        names, place = np.unique(ngrams(stream), return_inverse=True)
+        level, size = read(names)[place], len(stream)
+        seen = self.means[0][level[:size]]
+        before = np.concatenate([self.means[0][level[-1:]], seen[:-1]])
+        own = (seen + 1) / (self.tokens + self.types + 1)
+        # As in the texts, a pair occurs no more often than its words.
+        both = np.minimum(self.means[1][level[size : 2 * size]], np.minimum(before, seen))
         return np.log10((both + self.prior * own) / (before + self.prior))
 
     def scored(self, texts: pa.Table | pa.RecordBatch, read: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
         """doc_id, rid, n_tokens, n_known, base, score and tail (the words that are not frequent) of
-        each text. ``read`` tells the levels of sorted names."""
+        each text."""
         stream, starts = tokens(texts.column("text").to_pylist())
         ends = starts[:-1]
         found = np.searchsorted(self.frequent, stream)
@@ -306,7 +307,7 @@ class LanguageModel:
             pa.array(np.diff(starts)),
             pa.array(add(known.astype(np.int64)).astype(np.int64)),
             pa.array(add(base)),
-            pa.array(add(self.probabilities(stream, read(asked(stream))))),
+            pa.array(add(self.probabilities(stream, read))),
             pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), tail),
         ]
 
