@@ -337,6 +337,48 @@ def test_wrapped_licenses(documents):
     assert list(found[7]["sentences"]) == ["AllRights", "CCBY", "AllRights"]
 
 
+NOTICES = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as
+    published by the Free Software Foundation, either version 3 of the
+    License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+    License, v. 2.0. If a copy of the MPL was not distributed with this
+    file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+    purpose with or without fee is hereby granted, provided that the above
+    copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT": "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody",
+    "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-SA": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+}
+TAGS = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0+": "GPL-2.0-or-later", "LGPL-2.1-or-later": "LGPL-2.1-or-later",
+    "AGPL-3.0-only": "AGPL-3.0", "BSD-3-Clause": "BSD-3-Clause", "MPL-2.0": "MPL-2.0", "CC-BY-SA-4.0": "CC-BY-SA", "ISC": "ISC", "Unlicense": "Unlicense",
+}
+
+
+def test_standard_notices(documents):
+    """The notices that the licences themselves give, plain and as comments, and tags in files."""
+    said = [(name, t) for name, text in NOTICES.items() for t in (text, "# " + text.replace("\n", "\n# "))]
+    said += [(name, f"{a}SPDX-License-Identifier: {tag}{b}\ncode(here);") for tag, name in TAGS.items() for a, b in (("// ", ""), ("/* ", " */"))]
+    found = scan_licenses(documents([(i, t, "en", "a") for i, (_, t) in enumerate(said)])).collect()
+    assert {r["doc_id"]: list(r["licenses"]) for r in found} == {i: [name] for i, (name, _) in enumerate(said)}
+
+
 def test_empty_tables_and_stages(spark, documents, odd):
     """Every stage of the pipeline, on no rows and on odd ones."""
     for name, stage in STAGES:

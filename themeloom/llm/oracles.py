@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from themeloom.llm.chat import END, SPLIT, START
-from themeloom.llm.licenses import CUE, RULES, SENTENCES
+from themeloom.llm.licenses import INNER_MARKS, RULES, SENTENCES
 
 ORACLES: dict[str, str] = {}
 
@@ -158,11 +158,12 @@ def _license_sql() -> str:
         steps.append(f"r{k} as (select *, {left} as left{k}, {left} like '%' || {part} || '%' as hit{k} from {f'r{k - 1}' if k else 'named'})")
         found.append(f"case when hit{k} then '{name}' end")
         left = f"replace(left{k}, {part}, '  ')"
+    text = "coalesce(text, '')"
+    for mark in INNER_MARKS:
+        text = f"regexp_replace({text}, {quoted(mark)}, '\\1\\2', 'g')"
     return f"""
 with cut as (
-    select doc_id, list_filter(
-        regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\r]+', '\\1\n', 'g'), '\\n+'),
-        lambda s: regexp_matches(s, {quoted(CUE)})) as said
+    select doc_id, regexp_split_to_array(regexp_replace({text}, '([.!?;:])[ \\t\\r]+', '\\1\n', 'g'), '\\n+') as said
     from documents
 ), plain as (
     select doc_id, list_transform(said, lambda s:
