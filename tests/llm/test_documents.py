@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from themeloom.llm.language import LanguageParams, fit_languages, predict_langua
 from themeloom.llm.licenses import SENTENCES, scan_licenses
 from themeloom.llm.lm import Filter, LmParams, levels, lm_scores
 from themeloom.llm.mixing import MixParams, expected_copies, mix, word_count
-from themeloom.llm.ngram_join import JoinParams, ngram_join
+from themeloom.llm.ngram_join import JoinParams, ngram_join, open_pairs, prefix_of
 from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
 from themeloom.llm.quality import QualityParams, quality_rules, repeat_words, without_lines
 from themeloom.llm.queries import word_tokenizer
@@ -146,6 +147,58 @@ def test_ngram_join_against_brute_force(space, documents):
     assert rows(found, "doc_id", "component_id") == list(enumerate(root))
 
 
+def test_a_pair_is_open_in_one_block():
+    """Blocks of all frequent n-grams open every linked pair once, or leave it to a rarer n-gram."""
+    rng = np.random.default_rng(9)
+    params = JoinParams(width=1, percent=80, block=8, strip=8)
+    base = rng.choice(1 << 40, 30, replace=False)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:29], rng.integers(1 << 41, 1 << 50, 1)])).astype(np.uint64) for _ in range(24)]
+    frequencies = np.ones(1 << 12, np.uint32)
+    prefixes = [prefix_of(s, frequencies, params.percent).astype(np.int64).tolist() for s in sets]
+    frequent = {g for g, n in Counter(g for p in prefixes for g in p).items() if n > 6}
+    opened = Counter()
+    for gram in frequent:
+        members = [i for i, p in enumerate(prefixes) if gram in p]
+        for first in range(2):
+            for second in range(first, 2):
+                rows = [i for i in members if i % 2 in (first, second)]
+                lists = [([g for g in prefixes[i] if g not in frequent], [g for g in prefixes[i] if g in frequent]) for i in rows]
+                table = pa.table({
+                    "gram": [gram] * len(rows), "first": [first] * len(rows), "second": [second] * len(rows), "part": [i % 2 for i in rows],
+                    "n": [len(sets[i]) for i in rows], "place": [prefixes[i].index(gram) for i in rows],
+                    "rare": pa.array([r for r, _ in lists], pa.list_(pa.int64())), "often": pa.array([o for _, o in lists], pa.list_(pa.int64())),
+                })
+                opened.update((rows[a], rows[b]) for a, b in zip(*np.nonzero(open_pairs(table, params))) if a < b)
+    linked = 0
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            rarer = (set(prefixes[a]) & set(prefixes[b])) - frequent
+            assert opened[a, b] <= 1
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                linked += 1
+                assert bool(opened[a, b]) != bool(rarer)
+    assert linked > 20
+
+
+def test_ngram_join_of_ids_with_several_texts(space, documents):
+    """Rows of one id are one node, however many texts it has; repeated rows change nothing."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    rows_ = []
+    for i in range(40):
+        own = list(base if i < 30 else other)
+        own[int(rng.integers(0, 100))] = f"edit{i}"
+        rows_.append((i, " ".join(own), "en", "a"))
+    joined = [*rows_, (3, " ".join(other), "en", "a"), *[rows_[7]] * 20, (99, "something else", "en", "a")]
+    small = JoinParams(width=5, percent=80, cells=1 << 12, few=6, block=16, strip=8)
+    apart = ngram_join(space, documents([*rows_, *[rows_[7]] * 20]), params=small)
+    assert set(rows(apart, "doc_id", "component_id")) == {(i, 0 if i < 30 else 30) for i in range(40)}
+    found = rows(ngram_join(space, documents(joined), params=small), "doc_id", "component_id")
+    assert set(found) == {(i, 0) for i in range(40)} | {(99, 99)} and len(found) == len(joined)
+
+
 def test_components(spark, space):
     chain = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     found = dict(rows(components(space, spark.createDataFrame(chain, "a BIGINT, b BIGINT")), "id", "component"))

@@ -10,6 +10,9 @@
 4. Classes that share an n-gram few others have are compared in pairs. Those of an n-gram that
    many have are compared block by block inside tasks, which return who is joined with whom, not
    the pairs. So a large group of near copies emits its size, not its square, and no link is lost.
+   A pair is open in one block only, that of the smallest such n-gram in both prefixes, and in none
+   if it also shares a rarer one. A first round over prefixes alone finds the rows with open pairs;
+   the whole sets follow for those.
 """
 
 from __future__ import annotations
@@ -53,6 +56,12 @@ def ngram_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(window_hashes(hash_words(lower_words(text)), width))
 
 
+def prefix_of(grams: np.ndarray, frequencies: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest n-grams of a set, rarest first: two linked sets share one of them."""
+    often = frequencies[(grams % np.uint64(len(frequencies))).astype(np.int64)]
+    return grams[np.lexsort((grams, often))[: len(grams) - (percent * len(grams) + 99) // 100 + 1]]
+
+
 def _needed(a: Column, b: Column, percent: int) -> Column:
     """Smallest intersection of two linked sets of these sizes."""
     return F.ceil(F.lit(percent) * (a + b) / F.lit(float(100 + percent)) - F.lit(1e-9))
@@ -147,13 +156,9 @@ def _prefixes(docs: DataFrame, shared: Broadcast, params: JoinParams) -> DataFra
             sizes, found, ends = [], [], [0]
             for value in batch.column("text").to_pylist():
                 grams = ngram_set(value, width)
-                size = len(grams)
-                if size:
-                    often = table[(grams % np.uint64(len(table))).astype(np.int64)]
-                    grams = grams[np.lexsort((grams, often))[: size - (percent * size + 99) // 100 + 1]]
-                sizes.append(size)
-                found.append(grams)
-                ends.append(ends[-1] + len(grams))
+                sizes.append(len(grams))
+                found.append(prefix_of(grams, table, percent) if len(grams) else grams)
+                ends.append(ends[-1] + len(found[-1]))
             values = signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), prefix], ["doc_id", "n", "prefix"])
@@ -216,14 +221,15 @@ def ngram_join(
     ids = classes.select("doc_id").distinct()
     posted = prefixes.join(ids, "doc_id").select("doc_id", "n", F.posexplode("prefix").alias("place", "gram"))
     posted = space.table(posted.distinct(), "posted")
-    frequencies.destroy()  # the table of prefixes is written: nothing needs them again
     often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = space.table(posted.join(space.table(often, "often"), "gram"), "shared")
 
     pairs = _close_pairs(shared.where(F.col("docs") <= params.few), params)
     pairs = space.table(_similar_ranges(pairs, classes, params), "pairs")
     found = space.table(_verified(pairs, docs, params), "found")
-    every = found.unionByName(space.table(_block_edges(space, shared.where(F.col("docs") > params.few), docs, params), "edges"))
+    edges = _block_edges(space, shared.where(F.col("docs") > params.few), docs, frequencies, params)
+    every = found.unionByName(space.table(edges, "edges"))
+    frequencies.destroy()
 
     # Classes that share an id are one node already; copies hang on their class.
     named = linked.join(classes.select("same", "n", F.col("doc_id").alias("class")), ["same", "n"])
@@ -255,41 +261,113 @@ def _close_pairs(shared: DataFrame, params: JoinParams) -> DataFrame:
     return x.join(y, close).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
 
 
-def _block_edges(space: Workspace, shared: DataFrame, docs: DataFrame, params: JoinParams) -> DataFrame:
-    """(a, b): each class with the smallest it is joined with in a block of a frequent n-gram."""
-    width, percent, strip = params.width, params.percent, params.strip
-    ids = space.table(shared.select("doc_id").distinct(), "frequent_ids")
+def _frequent_sets(shared: DataFrame, docs: DataFrame, frequencies: Broadcast, params: JoinParams) -> DataFrame:
+    """(doc_id, n, rare, often, places, grams): the different sets of all ids with a frequent n-gram in
+    their prefix: its frequent n-grams with their places, the others of the prefix, and the whole set."""
+    width, percent = params.width, params.percent
+    listed = shared.groupBy("doc_id").agg(F.collect_set("gram").alias("listed"))
+    once = docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = frequencies.value
         for batch in batches:
-            found = [signed(ngram_set(value, width)) for value in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grams"])
+            rows = []
+            for name, text, frequent in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("listed")):
+                grams = ngram_set(text, width)
+                if len(grams):
+                    prefix = signed(prefix_of(grams, table, percent))
+                    place = np.flatnonzero(np.isin(prefix, frequent.values.to_numpy()))
+                    rows.append((name, len(grams), np.delete(prefix, place), prefix[place], place, signed(grams)))
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+            columns = zip(*rows) if rows else [()] * 6
+            names = ["doc_id", "n", "rare", "often", "places", "grams"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+    lists = ", ".join(f"{c} ARRAY<BIGINT>" for c in ("rare", "often", "places", "grams"))
+    return once.join(listed, "doc_id").mapInArrow(run, f"doc_id BIGINT, n BIGINT, {lists}")
+
+
+def _common(values: np.ndarray, row: np.ndarray, rows: int, strip: int) -> np.ndarray:
+    """How many values each two rows share; ``row`` tells whose each value is. Columns go by
+    strips: memory must not follow the length of the texts."""
+    _, place, often = np.unique(values, return_inverse=True, return_counts=True)
+    several = often[place] > 1  # what only one row has is in no intersection
+    kept, column = np.unique(place[several], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[several][order], column[order]
+    common = np.zeros((rows, rows))
+    for at in range(0, len(kept), strip):
+        part = slice(*np.searchsorted(column, [at, at + strip]))
+        held = np.zeros((rows, min(strip, len(kept) - at)), np.float32)
+        held[row[part], column[part] - at] = 1
+        common += held @ held.T
+    return common
+
+
+def _ragged(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and the row of each."""
+    whole = lists.combine_chunks()
+    sizes = whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return whole.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _needed_in(n: np.ndarray, percent: int) -> np.ndarray:
+    return -(-percent * np.add.outer(n, n) // (100 + percent))
+
+
+def open_pairs(rows: pa.Table, params: JoinParams) -> np.ndarray:
+    """Which pairs of the rows of a block are to be verified there: those that pass the length and the
+    positional filter and share no rare n-gram of their prefixes, nor a smaller frequent one."""
+    gram, first, second = (rows.column(c)[0].as_py() for c in ("gram", "first", "second"))
+    n, place = rows.column("n").to_numpy(), rows.column("place").to_numpy()
+    found = 100 * np.minimum.outer(n, n) >= params.percent * np.maximum.outer(n, n)
+    longest = np.minimum.outer(n - place, n - place) + np.minimum.outer(place, place)
+    found &= longest >= _needed_in(n, params.percent)
+    np.fill_diagonal(found, False)
+    if first != second:
+        part = rows.column("part").to_numpy()
+        found &= part[:, None] != part[None, :]
+    if found.any():
+        rare, often = _ragged(rows.column("rare")), _ragged(rows.column("often"))
+        smaller = often[0] < gram
+        values = np.concatenate([rare[0], often[0][smaller]])
+        found &= _common(values, np.concatenate([rare[1], often[1][smaller]]), len(n), params.strip) == 0
+    return found
 
-    held = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id BIGINT, grams ARRAY<BIGINT>")
-    held = space.table(held, "frequent_sets")
 
-    def joined(rows: pa.Table) -> list[tuple]:
-        names, grams = rows.column("doc_id").to_numpy(), rows.column("grams").combine_chunks()
-        sizes = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        _, place, often = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        several = often[place] > 1  # what only one set has is in no intersection
-        kept, column = np.unique(place[several], return_inverse=True)
-        row = row[several]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        # Columns go by strips: memory must not follow the length of the texts.
-        common = np.zeros((len(sizes), len(sizes)), np.float32)
-        for at in range(0, len(kept), strip):
-            part = slice(*np.searchsorted(column, [at, at + strip]))
-            held = np.zeros((len(sizes), min(strip, len(kept) - at)), np.float32)
-            held[row[part], column[part] - at] = 1
-            common += held @ held.T
-        close = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-        np.fill_diagonal(close, False)
-        root = smallest_linked(close, names)
-        return [(int(a), int(b)) for a, b in zip(names, root) if a != b]
-
-    dealt = into_blocks(shared.select("gram", "doc_id", "docs"), "doc_id", "docs", params.block)
-    rows = dealt.join(held, "doc_id").select("gram", "first", "second", "doc_id", "grams")
-    return per_block(rows, "gram", joined, pa.schema([("a", pa.int64()), ("b", pa.int64())])).distinct()
+def _joined(rows: pa.Table, params: JoinParams) -> list[tuple[int, int]]:
+    """(a, b): ids of a block, each with the smallest it is joined with there."""
+    open_ = open_pairs(rows, params)
+    n = rows.column("n").to_numpy()
+    values, row = _ragged(rows.column("grams"))
+    # The suffix filter, as in ``_similar_ranges``.
+    ranges = np.zeros((len(n), _RANGES), np.int64)
+    np.add.at(ranges, (row, (values.view(np.uint64) >> np.uint64(58)).astype(np.int64)), 1)
+    apart = sum(np.abs(np.subtract.outer(c, c)) for c in ranges.T)
+    open_ &= apart <= np.add.outer(n, n) - 2 * _needed_in(n, params.percent)
+    if not open_.any():
+        return []
+    common = _common(values, row, len(n), params.strip)
+    close = open_ & (100 * common >= params.percent * (np.add.outer(n, n) - common))
+    names = rows.column("doc_id").to_numpy()
+    return [(int(a), int(b)) for a, b in zip(names, smallest_linked(close, names)) if a != b]
+
+
+def _block_edges(space: Workspace, shared: DataFrame, docs: DataFrame, frequencies: Broadcast, params: JoinParams) -> DataFrame:
+    """(a, b): each class with the smallest it is joined with in a block of a frequent n-gram."""
+    held = _frequent_sets(shared, docs, frequencies, params).withColumn("id", F.monotonically_increasing_id())
+    held = space.table(held, "frequent_sets")
+    listed = F.explode(F.arrays_zip("often", "places")).alias("x")
+    entries = held.select("id", listed).select("id", F.col("x.often").alias("gram"), F.col("x.places").alias("place"))
+    sizes = space.table(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")), "frequent_sizes")
+    dealt = into_blocks(entries.join(sizes, "gram"), "id", "docs", params.block)
+    columns = ["gram", "first", "second", "part", "id", "place"]
+
+    def opened(rows: pa.Table) -> list[tuple]:
+        kept = rows.filter(pa.array(open_pairs(rows, params).any(axis=1)))
+        return list(zip(*(kept.column(c).to_pylist() for c in columns)))
+
+    known = dealt.select(columns).join(held.select("id", "n", "rare", "often"), "id")
+    found = per_block(known, "gram", opened, pa.schema([(c, pa.int64()) for c in columns]))
+    whole = found.join(held.select("id", "doc_id", "n", "rare", "often", "grams"), "id")
+    return per_block(whole, "gram", lambda rows: _joined(rows, params), pa.schema([("a", pa.int64()), ("b", pa.int64())])).distinct()
