@@ -261,12 +261,14 @@ def _close_pairs(shared: DataFrame, params: JoinParams) -> DataFrame:
     return x.join(y, close).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
 
 
-def _frequent_sets(shared: DataFrame, docs: DataFrame, frequencies: Broadcast, params: JoinParams) -> DataFrame:
+def _frequent_sets(space: Workspace, shared: DataFrame, docs: DataFrame, frequencies: Broadcast, params: JoinParams) -> DataFrame:
     """(doc_id, n, rare, often, places, grams): the different sets of all ids with a frequent n-gram in
     their prefix: its frequent n-grams with their places, the others of the prefix, and the whole set."""
     width, percent = params.width, params.percent
-    listed = shared.groupBy("doc_id").agg(F.collect_set("gram").alias("listed"))
-    once = docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    # Stored, so their size is known: while they are few, the texts of all others stay where they are.
+    listed = space.table(shared.groupBy("doc_id").agg(F.collect_set("gram").alias("listed")), "frequent")
+    ids = space.table(listed.select("doc_id"), "frequent_ids")
+    once = docs.join(ids, "doc_id", "left_semi").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequencies.value
@@ -355,7 +357,7 @@ def _joined(rows: pa.Table, params: JoinParams) -> list[tuple[int, int]]:
 
 def _block_edges(space: Workspace, shared: DataFrame, docs: DataFrame, frequencies: Broadcast, params: JoinParams) -> DataFrame:
     """(a, b): each class with the smallest it is joined with in a block of a frequent n-gram."""
-    held = _frequent_sets(shared, docs, frequencies, params).withColumn("id", F.monotonically_increasing_id())
+    held = _frequent_sets(space, shared, docs, frequencies, params).withColumn("id", F.monotonically_increasing_id())
     held = space.table(held, "frequent_sets")
     listed = F.explode(F.arrays_zip("often", "places")).alias("x")
     entries = held.select("id", listed).select("id", F.col("x.often").alias("gram"), F.col("x.places").alias("place"))
