@@ -224,12 +224,13 @@ def ngram_join(
     often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = space.table(posted.join(space.table(often, "often"), "gram"), "shared")
 
+    held = space.table(_frequent_sets(space, shared.where(F.col("docs") > params.few), docs, frequencies, params), "frequent_sets")
+    frequencies.destroy()  # the prefixes are written: nothing needs them again
+
     pairs = _close_pairs(shared.where(F.col("docs") <= params.few), params)
     pairs = space.table(_similar_ranges(pairs, classes, params), "pairs")
     found = space.table(_verified(pairs, docs, params), "found")
-    edges = _block_edges(space, shared.where(F.col("docs") > params.few), docs, frequencies, params)
-    every = found.unionByName(space.table(edges, "edges"))
-    frequencies.destroy()
+    every = found.unionByName(space.table(_block_edges(space, held, params), "edges"))
 
     # Classes that share an id are one node already; copies hang on their class.
     named = linked.join(classes.select("same", "n", F.col("doc_id").alias("class")), ["same", "n"])
@@ -262,7 +263,7 @@ def _close_pairs(shared: DataFrame, params: JoinParams) -> DataFrame:
 
 
 def _frequent_sets(space: Workspace, shared: DataFrame, docs: DataFrame, frequencies: Broadcast, params: JoinParams) -> DataFrame:
-    """(doc_id, n, rare, often, places, grams): the different sets of all ids with a frequent n-gram in
+    """(id, doc_id, n, rare, often, places, grams): the different sets of all ids with a frequent n-gram in
     their prefix: its frequent n-grams with their places, the others of the prefix, and the whole set."""
     width, percent = params.width, params.percent
     # Stored, so their size is known: while they are few, the texts of all others stay where they are.
@@ -286,7 +287,8 @@ def _frequent_sets(space: Workspace, shared: DataFrame, docs: DataFrame, frequen
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     lists = ", ".join(f"{c} ARRAY<BIGINT>" for c in ("rare", "often", "places", "grams"))
-    return once.join(listed, "doc_id").mapInArrow(run, f"doc_id BIGINT, n BIGINT, {lists}")
+    found = once.join(listed, "doc_id").mapInArrow(run, f"doc_id BIGINT, n BIGINT, {lists}")
+    return found.withColumn("id", F.monotonically_increasing_id())
 
 
 def _common(values: np.ndarray, row: np.ndarray, rows: int, strip: int) -> np.ndarray:
@@ -355,10 +357,8 @@ def _joined(rows: pa.Table, params: JoinParams) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(names, smallest_linked(close, names)) if a != b]
 
 
-def _block_edges(space: Workspace, shared: DataFrame, docs: DataFrame, frequencies: Broadcast, params: JoinParams) -> DataFrame:
-    """(a, b): each class with the smallest it is joined with in a block of a frequent n-gram."""
-    held = _frequent_sets(space, shared, docs, frequencies, params).withColumn("id", F.monotonically_increasing_id())
-    held = space.table(held, "frequent_sets")
+def _block_edges(space: Workspace, held: DataFrame, params: JoinParams) -> DataFrame:
+    """(a, b): each class of ``held`` with the smallest it is joined with in a block of a frequent n-gram."""
     listed = F.explode(F.arrays_zip("often", "places")).alias("x")
     entries = held.select("id", listed).select("id", F.col("x.often").alias("gram"), F.col("x.places").alias("place"))
     sizes = space.table(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")), "frequent_sizes")
