@@ -223,12 +223,14 @@ def ngram_join(
     posted = space.table(posted.distinct(), "posted")
     often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = space.table(posted.join(space.table(often, "often"), "gram"), "shared")
+    space.drop("posted")
 
     held = space.table(_frequent_sets(space, shared.where(F.col("docs") > params.few), docs, frequencies, params), "frequent_sets")
     frequencies.destroy()  # the prefixes are written: nothing needs them again
 
     pairs = _close_pairs(shared.where(F.col("docs") <= params.few), params)
     pairs = space.table(_similar_ranges(pairs, classes, params), "pairs")
+    space.drop("shared")  # all that is read from it is written
     found = space.table(_verified(pairs, docs, params), "found")
     every = found.unionByName(space.table(_block_edges(space, held, params), "edges"))
 
