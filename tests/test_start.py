@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from themeloom import initialise, store_corpus
 from themeloom.constants import SMALLEST_DOUBLE
 from themeloom.operators import anchors, recover
-from themeloom.operators.gram import gram, gram_profile, gram_row_sums, gram_upper, mirrored, normalised_norms, profile_of, term_sums
+from themeloom.operators.gram import _tiles, gram, gram_profile, gram_row_sums, gram_upper, mirrored, normalised_norms, profile_of, term_sums
 from themeloom.operators.products import NormalisedGram
 
 
@@ -241,3 +241,24 @@ def test_start_keeps_term_ids_when_terms_drop_out(spark, space):
     q = q[np.ix_(kept, kept)]
     q /= q.sum(axis=1, keepdims=True)
     assert start.anchors.picks == [kept[i] for i in deflated_picks(q, 2)]
+
+
+@pytest.mark.parametrize("entries, stripe", [(1 << 22, 1 << 20), (5000, 300), (900, 1 << 20)])
+def test_an_entry_is_sent_once_per_block(spark, space, entries, stripe):
+    """Not once for every other term of its document; counts are whole, large or parts of one."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(0.4, (90, 300)) * np.where(rng.random((90, 1)) < 0.2, 700.0, 1.0)
+    counts[80:] *= 2.5
+    rows = [(int(d), int(t), float(counts[d, t])) for d, t in zip(*np.nonzero(counts))]
+    built = store_corpus(
+        space, spark.createDataFrame(rows, "doc_id BIGINT, term_id INT, cnt DOUBLE"), spark.range(90).withColumnRenamed("id", "doc_id"), 300
+    )
+    dealt, blocks = _tiles(built.rows, 3, entries)
+    sent = dealt.agg(F.sum(F.octet_length("left_ids") + F.octet_length("right_ids")) / 4).first()[0]
+    assert blocks == max(2, -(-len(rows) // entries)) and sent == blocks * len(rows)
+    wanted = gram_of(counts)
+    found = {r["i"]: r for r in gram_profile(built.rows, 300, stripe, 1, 0, entries).collect()}
+    assert set(found) == set(np.flatnonzero(wanted.any(axis=1)))
+    np.testing.assert_array_equal([found[i]["cells"] for i in sorted(found)], (wanted != 0).sum(axis=1)[sorted(found)])
+    np.testing.assert_allclose([found[i]["r"] for i in sorted(found)], np.square(wanted).sum(axis=1)[sorted(found)], rtol=1e-10)
+    np.testing.assert_allclose(matrix_of(gram(built.rows, 300, dense_cells=0), 300), wanted, atol=1e-12)
