@@ -5,6 +5,7 @@ import re
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,26 @@ def test_workspace_removes_what_it_wrote(spark, tmp_path):
     run.close()
     assert not (tmp_path / run.run).exists()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(run.run)]
+
+
+def test_tokens_are_counted_in_parts():
+    """However many rows a batch has; rows with one id stay together, as do null ids."""
+    ids = [3, 1, None, 2, 3, None, 4]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": pa.array(ids, pa.int64()), "tokens": pa.array([["a"] * (corpus.PART_TOKENS // 2)] * 6 + [[]], pa.list_(pa.string()))}
+    )
+    parts = [p.column("doc_id").to_pylist() for p in corpus._parts(batch)]
+    assert parts == [[1, 2], [3, 3, 4], [None, None]]
+    assert not list(corpus._parts(batch.slice(0, 0)))
+    unique = batch.slice(1, 3)
+    assert [p.num_rows for p in corpus._parts(unique)] == [2, 1]
+
+
+def test_frequent_terms_are_not_shuffled(spark, space):
+    rows = [(d, f"w{t:03d}", 1) for t in range(60) for d in range(60 - t)]
+    terms = spark.createDataFrame(rows, "doc_id BIGINT, term STRING, cnt BIGINT")
+    vocab = corpus.vocabulary(space, terms, 60, 0.0)
+    near, far = corpus.document_term(terms, vocab), corpus.document_term(terms, vocab, limit=vocab.bytes // 2)
+    assert sorted(map(tuple, far.collect())) == sorted(map(tuple, near.collect()))
+    plan = far._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "_salt" not in plan and plan.count("SortMergeJoin") >= 1
