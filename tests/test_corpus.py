@@ -190,3 +190,16 @@ def test_frequent_terms_are_not_shuffled(spark, space):
     assert sorted(map(tuple, far.collect())) == sorted(map(tuple, near.collect()))
     plan = far._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "_salt" not in plan and plan.count("SortMergeJoin") >= 1
+
+
+def test_cells_stay_where_they_are_when_terms_are_dropped(spark):
+    cells = spark.range(1000).select((F.col("id") % 10).alias("i"), (F.col("id") % 7).alias("j"), F.lit(1.0).alias("q"))
+    dropped = spark.range(3).select(F.col("id").alias("term_id")).distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain, sent = corpus.drop_terms(cells, dropped, "i", "j"), corpus.drop_terms(cells, dropped, "i", "j", terms=3)
+        assert sorted(map(tuple, sent.select("i", "j", "q").collect())) == sorted(map(tuple, plain.select("i", "j", "q").collect()))
+        assert "SortMergeJoin" not in sent._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
