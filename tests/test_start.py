@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from themeloom import initialise, store_corpus
 from themeloom.constants import SMALLEST_DOUBLE
 from themeloom.operators import anchors, recover
-from themeloom.operators.gram import _tiles, gram, gram_profile, gram_row_sums, gram_upper, mirrored, normalised_norms, profile_of, term_sums
+from themeloom.operators.gram import _packed, _tiles, _unpacked, gram, gram_profile, gram_row_sums, gram_upper, mirrored, normalised_norms, profile_of, term_sums
 from themeloom.operators.products import NormalisedGram
 
 
@@ -262,3 +262,40 @@ def test_an_entry_is_sent_once_per_block(spark, space, entries, stripe):
     np.testing.assert_array_equal([found[i]["cells"] for i in sorted(found)], (wanted != 0).sum(axis=1)[sorted(found)])
     np.testing.assert_allclose([found[i]["r"] for i in sorted(found)], np.square(wanted).sum(axis=1)[sorted(found)], rtol=1e-10)
     np.testing.assert_allclose(matrix_of(gram(built.rows, 300, dense_cells=0), 300), wanted, atol=1e-12)
+
+
+def test_entries_are_dealt_in_about_two_bytes(spark):
+    """Documents of 300 of 100,000 terms, most of them frequent ones."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(2000):
+        ids = np.unique((100_000 * rng.random(300) ** 4).astype(int)).tolist()
+        counts = np.minimum(rng.geometric(0.7, len(ids)), 200).astype(float).tolist()
+        rows.append((sum(counts), ids, counts))
+    corpus = spark.createDataFrame(rows, "n DOUBLE, term_ids ARRAY<INT>, counts ARRAY<DOUBLE>").coalesce(1)
+    dealt, blocks = _tiles(corpus, tasks=6)
+    sent = sum(F.octet_length(c) for c in dealt.columns if c != "tile")
+    copies = blocks * sum(len(ids) for _, ids, _ in rows)
+    assert dealt.agg(F.sum(sent)).first()[0] < 3.0 * copies
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.int32, np.float64])
+def test_packed_numbers_come_back(kind):
+    rng = np.random.default_rng(5)
+    for values in (np.empty(0, kind), (rng.random(1000) * 250).astype(kind)):
+        found = _unpacked(_packed(values), len(values))
+        assert found.dtype == kind
+        np.testing.assert_array_equal(found, values)
+
+
+def test_tiles_take_entries_in_any_order(spark):
+    """Ids that fall within a document, and counts that are not whole."""
+    corpus = spark.createDataFrame(
+        [(4.5, [7, 2, 5], [1.5, 2.0, 1.0]), (3.0, [5, 0], [1.0, 2.0]), (1.0, [3], [1.0])], "n DOUBLE, term_ids ARRAY<INT>, counts ARRAY<DOUBLE>"
+    )
+    wanted = {r["i"]: r for r in gram_profile(corpus, 8).collect()}
+    found = {r["i"]: r for r in gram_profile(corpus, 8, dense_cells=0).collect()}
+    assert found.keys() == wanted.keys()
+    for i, row in wanted.items():
+        assert found[i]["cells"] == row["cells"]
+        np.testing.assert_allclose([found[i]["s"], found[i]["r"]], [row["s"], row["r"]], atol=1e-14)
