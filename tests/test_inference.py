@@ -329,3 +329,24 @@ def test_curvature_with_many_topics(spark):
     used = counts.any(axis=1)
     np.testing.assert_allclose(got[used], curve[used], atol=1e-8)
     assert np.isnan(got[~used]).all()
+
+
+def test_large_topics_are_not_repeated(spark):
+    """Topics of frequent terms are sent to the entries, the others' are shuffled once; no entry is lost."""
+    known = {0: [0.1, 0.2], 1: [0.3, 0.4], 9_000_000: [0.5, 0.6]}
+    table = spark.createDataFrame(list(known.items()), "term_id INT, b ARRAY<DOUBLE>")
+    entries = [(1, 0, 2.0), (1, 0, 2.0), (1, 9_000_000, 1.0), (2, 1, 3.0), (2, 9_000_001, 1.0), (3, 2, 1.0), (3, None, 4.0), (None, 1, 5.0)]
+    triplets = spark.createDataFrame(entries, "doc_id BIGINT, term_id INT, cnt DOUBLE")
+    sliced = estep.topic_slice(triplets, Topics(table, 2, 10_000_000))
+    plan = sliced._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    wanted = [(d, t, c, known.get(t, [0.0, 0.0])) for d, t, c in entries]
+    found = [(r["doc_id"], r["term_id"], r["cnt"], r["b"]) for r in sliced.collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_large_topics_by_aspect(spark):
+    table = spark.createDataFrame([(a, t, [0.1 * a, float(t)]) for a in range(2) for t in (0, 6_000_000)], "aspect INT, term_id INT, b ARRAY<DOUBLE>")
+    triplets = spark.createDataFrame([(1, 0, 0, 1.0), (2, 1, 6_000_000, 2.0), (3, 1, 5, 1.0)], "doc_id BIGINT, aspect INT, term_id INT, cnt DOUBLE")
+    found = estep.topic_slice(triplets, Topics(table, 2, 7_000_000, aspects=2)).orderBy("doc_id").collect()
+    assert [r["b"] for r in found] == [[0.0, 0.0], [0.1, 6_000_000.0], [0.0, 0.0]]
