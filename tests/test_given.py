@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from themeloom.checks import queries
 from themeloom.checks.given import Given
 
 TEXTS = [("en", "the cat and the dog"), ("de", "der hund und die katze"), ("fr", "le chat noir"), ("es", "el gato y el perro"), ("en", "a dog")]
@@ -37,3 +38,15 @@ def test_topics_of_groups_are_shares_of_their_tokens(inputs):
     assert found[names["the"]][1] == pytest.approx((8 + 0.01) / (28 + 0.01 * terms))
     assert found[names["dog"]][0] == pytest.approx(0.01 / (20 + 0.01 * terms))
     assert [sum(b[k] for b in found.values()) for k in range(4)] == pytest.approx([1.0] * 4)
+
+
+def test_entries_are_not_shuffled_for_expected_counts(inputs):
+    found = queries._phi4(inputs)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    # The corpus is read by its buckets, and what is dealt by document comes from the small tables alone.
+    dealt = [k for k, line in enumerate(plan) if "Exchange hashpartitioning(doc_id" in line]
+    assert len(dealt) == 2 and not any("term_ids" in line for k in dealt for line in plan[k : k + 4])
+    assert sum("Bucketed: true" in line for line in plan) == 1
+    tokens = inputs.triplets_with(inputs.aspects).groupBy("aspect").agg(F.sum("cnt")).collect()
+    sums = found.groupBy("aspect").agg(F.sum(F.aggregate("phi", F.lit(0.0), lambda a, v: a + v))).collect()
+    assert dict(map(tuple, sums)) == pytest.approx(dict(map(tuple, tokens)))
