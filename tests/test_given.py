@@ -7,8 +7,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from themeloom import lookup
 from themeloom.checks import queries
 from themeloom.checks.given import Given
+from themeloom.lookup import lookup_join
+from themeloom.operators.estep import TOPIC_BYTES, _blocks
 
 TEXTS = [("en", "the cat and the dog"), ("de", "der hund und die katze"), ("fr", "le chat noir"), ("es", "el gato y el perro"), ("en", "a dog")]
 
@@ -50,3 +53,26 @@ def test_entries_are_not_shuffled_for_expected_counts(inputs):
     tokens = inputs.triplets_with(inputs.aspects).groupBy("aspect").agg(F.sum("cnt")).collect()
     sums = found.groupBy("aspect").agg(F.sum(F.aggregate("phi", F.lit(0.0), lambda a, v: a + v))).collect()
     assert dict(map(tuple, sums)) == pytest.approx(dict(map(tuple, tokens)))
+
+
+def test_lookups_are_repeated_only_where_that_spreads_a_key(spark):
+    big = spark.range(40).select((F.col("id") % 7).alias("k"), F.col("id").alias("d"))
+    small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for spread, repeated in (("k", False), ("d", True)):
+        joined = lookup_join(big, small, "k", 1 << 20, spread, "left", limit=0)
+        assert ("Generate" in joined._jdf.queryExecution().executedPlan().toString()) is repeated
+        assert sorted(map(tuple, joined.fillna(-1).collect())) == sorted((d % 7, d, 2 * (d % 7) if d % 7 < 5 else -1) for d in range(40))
+
+
+def test_topics_of_blocks_are_shuffled_once(inputs, monkeypatch):
+    """Topics beyond what is broadcast reach the blocks by one join, without copies."""
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    _, dictionary = _blocks(inputs.corpus.rows, inputs.topics3, 400)
+    assert "_salt" not in dictionary._jdf.queryExecution().optimizedPlan().toString()
+    found = dictionary.groupBy("block").agg(F.count("b").alias("n")).collect()
+    assert len(found) > 1 and all(r["n"] <= inputs.corpus.terms for r in found)
+
+
+def test_topics_sent_by_the_driver_are_bounded():
+    """Two iterations, a broadcast and what else is collected stay well below a thousand MB."""
+    assert TOPIC_BYTES <= 64 << 20
