@@ -17,7 +17,7 @@ from counted import exact_scores
 from themeloom.llm.components import components
 from themeloom.llm.language import LanguageParams, fit_languages, predict_languages
 from themeloom.llm.licenses import SENTENCES, scan_licenses
-from themeloom.llm.lm import Filter, LmParams, levels, lm_scores
+from themeloom.llm.lm import Filter, LmParams, find_levels, levels, lm_scores, pack_chunks
 from themeloom.llm.mixing import MixParams, expected_copies, mix, word_count
 from themeloom.llm.ngram_join import JoinParams, ngram_join, open_pairs, prefix_of
 from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
@@ -308,6 +308,32 @@ def test_both_ways_of_scores_on_odd_rows(space, odd):
         assert lm_scores(space, odd.limit(0), F.lit(True), LmParams(broadcast_bytes=most)).count() == 0
 
 
+def test_chunks_are_sent_once(documents, monkeypatch):
+    """A chunk sends its n-grams once, in fewer bytes than the texts have; ranges count the training rows among
+    them, without a filter sent beforehand."""
+    import themeloom.llm.lm as lm
+
+    monkeypatch.setattr(lm, "_CHUNK", 1 << 12)
+    texts = [" ".join(f"word{(7 * k + i) % 97}" for i in range(200)) for k in range(20)]
+    docs = documents([(k, t, "en", "a") for k, t in enumerate(texts)]).coalesce(1)
+    numbered = docs.select("doc_id", F.col("text").cast("binary").alias("text"), (F.col("doc_id") % 4 != 0).alias("train"), F.col("doc_id").alias("rid"))
+    batches = docs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        chunks = pack_chunks(numbered).localCheckpoint()
+        assert chunks.count() > 1 and chunks.agg(F.sum(F.length("rows"))).first()[0] < sum(map(len, texts)) / 3
+        answers = find_levels(chunks, 4, 24).collect()
+    finally:
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
+    entries = np.sum([r["entries"] for r in answers if r["entries"]], axis=0)
+    total = np.sum([r["total"] for r in answers if r["total"]], axis=0)
+    # 97 words and the end; 97 pairs in a row, and every first and last word with the end.
+    train = [t.split() for k, t in enumerate(texts) if k % 4]
+    pairs = {p for t in train for p in zip(["", *t], [*t, ""])}
+    assert entries[:64].sum() == 98 and entries[64:].sum() == len(pairs)
+    assert total[:64].sum() == total[64:].sum() == 15 * 201
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     names = rng.integers(0, 2**64, 20_000, np.uint64)
