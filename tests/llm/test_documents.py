@@ -19,7 +19,7 @@ from themeloom.llm.language import LanguageParams, fit_languages, predict_langua
 from themeloom.llm.licenses import SENTENCES, scan_licenses
 from themeloom.llm.lm import Filter, LmParams, find_levels, levels, lm_scores, pack_chunks
 from themeloom.llm.mixing import MixParams, expected_copies, mix, word_count
-from themeloom.llm.ngram_join import JoinParams, ngram_join, open_pairs, prefix_of
+from themeloom.llm.ngram_join import JoinParams, _frequencies, _grades, _sets, ngram_join, open_pairs, prefix_of
 from themeloom.llm.packing import Bins, WordEncoder, cuts, pack
 from themeloom.llm.quality import QualityParams, quality_rules, repeat_words, without_lines
 from themeloom.llm.queries import word_tokenizer
@@ -308,6 +308,18 @@ def test_both_ways_of_scores_on_odd_rows(space, odd):
         assert lm_scores(space, odd.limit(0), F.lit(True), LmParams(broadcast_bytes=most)).count() == 0
 
 
+def test_frequencies_take_a_byte(documents):
+    """The table that goes by the driver has a byte for a cell, which rises with the frequency."""
+    counts = np.concatenate([np.arange(1 << 12), [(1 << k) + d for k in range(13, 33) for d in (-1, 0, 1)]]).astype(np.uint64)
+    grades = _grades(counts).astype(int)
+    assert (np.diff(grades) >= 0).all() and (grades[:16] == np.arange(16)).all() and grades[-1] == 239
+    docs = documents([(k, "a b c d" if k else "a b c", "en", "a") for k in range(40)])
+    params = JoinParams(cells=1 << 12)
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    table = _frequencies(_sets(texts, params), params.cells)
+    assert table.nbytes == params.cells and sorted(table[table > 0]) == sorted(_grades(np.array([39, 40], np.uint64)))
+
+
 def test_chunks_are_sent_once(documents, monkeypatch):
     """A chunk sends its n-grams once, in fewer bytes than the texts have; ranges count the training rows among
     them, without a filter sent beforehand."""

@@ -2,8 +2,8 @@
 
 1. Documents with equal sets fall into one class; from here on only classes count.
 2. n-grams are ordered rarest first. Their document frequencies are counted over all documents
-   in a table of fixed size, by hash; an n-gram's frequency is that of its cell, so the order is
-   the same everywhere and its memory does not grow.
+   in a table of fixed size, by hash; an n-gram's frequency is that of its cell, to three binary digits,
+   so the order is the same everywhere and its memory does not grow.
 3. Two sets as similar as asked share one of the first n - ceil(t n) + 1 n-grams in that order.
    Pairs meet there and pass the length, the positional and the suffix filter, then their texts
    are compared once.
@@ -39,7 +39,7 @@ _SLICES = 64          # parts of the table of frequencies
 @dataclass(frozen=True)
 class JoinParams:
     """Sets of ``width`` words link at ``percent`` of Jaccard similarity. ``cells`` is the size of
-    the frequency table: four bytes each on every worker, whatever the corpus. An n-gram of more
+    the frequency table: one byte each on every worker, whatever the corpus. An n-gram of more
     than ``few`` prefixes is compared in blocks of ``block`` classes, ``strip``
     n-grams at a time."""
 
@@ -125,8 +125,16 @@ def _batch(doc_id=None, n=None, same=None, ranges=None, slice=None, counts=None)
     )
 
 
+def _grades(counts: np.ndarray) -> np.ndarray:
+    """A byte for each count that rises with it: up to 15 the count, beyond its first four binary digits and their place.
+    Prefixes need one order of all n-grams, not their frequencies."""
+    counts = np.minimum(counts, np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place = np.maximum(np.frexp(counts.astype(float))[1] - 4, 0)
+    return (8 * place + (counts >> place)).astype(np.uint8)
+
+
 def _frequencies(sets: DataFrame, cells: int) -> np.ndarray:
-    """The table of document frequencies: ``cells`` numbers, added up slice by slice."""
+    """The table of document frequencies, as grades: ``cells`` bytes, added up slice by slice."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, slice = np.zeros(cells // _SLICES, np.uint64), None
@@ -134,15 +142,14 @@ def _frequencies(sets: DataFrame, cells: int) -> np.ndarray:
             for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
                 slice = k
                 _add_packed(total, packed)
-        top = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([slice], pa.int32()), pa.array([top.tobytes()])], ["slice", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([slice], pa.int32()), pa.array([_grades(total).tobytes()])], ["slice", "total"])
 
     parts = sets.where("slice is not null").select("slice", "counts")
     added = parts.groupBy("slice").applyInArrow(add, "slice INT, total BINARY")
-    found = np.zeros(cells, np.uint32)
+    found = np.zeros(cells, np.uint8)
     size = cells // _SLICES
     for row in added.collect():
-        found[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["total"], np.uint32)
+        found[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["total"], np.uint8)
     return found
 
 
