@@ -96,3 +96,18 @@ def test_foreign_sums_of_a_built_corpus(spark):
     tables = [g.foreign_sums.join(g.words.table, "term_id").select("term", F.round("s", 9).alias("s")) for g in (built, plain)]
     assert "terms" not in built.__dict__  # texts are not split again
     assert tables[0].count() == tables[1].count() and not tables[0].exceptAll(tables[1]).count()
+
+
+def test_small_batches_are_dealt_together(spark, monkeypatch):
+    """The session's batches do not set the number of chunks, which tiles compare with each other."""
+    from themeloom.operators import gram as module
+
+    corpus, counts = sparse_corpus(spark, 70, 100)
+    batches = corpus.coalesce(1).toArrow().to_batches(max_chunksize=5)
+    assert [b.num_rows for b in module._gathered(iter(batches))] == [70]
+    monkeypatch.setattr(module, "CHUNK_ROWS", 30)
+    parts = list(module._gathered(iter(batches)))
+    assert [b.num_rows for b in parts] == [30, 30, 10]
+    assert [n for b in parts for n in b.column("n").to_pylist()] == counts.sum(axis=1).tolist()
+    monkeypatch.setattr(module, "CHUNK_ENTRIES", 1)
+    assert len(list(module._gathered(iter(batches)))) == 14
